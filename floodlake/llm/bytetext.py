@@ -89,6 +89,15 @@ class Words:
         np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
         return mix((total[self.end] - total[self.start]) * down[self.start])
 
+    def prefixes(self, length: int) -> np.ndarray:
+        """A hash of each word's first bytes, differing by ``length``; shorter words count whole."""
+        n = len(self.data)
+        up, down = _powers.of(n + 1)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
+        end = np.minimum(self.end, self.start + length)
+        return mix(((total[end] - total[self.start]) * down[self.start]) ^ (_STEP * np.uint64(length)))
+
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing
-from .frames import table
+from . import decontam, lines, mixing, toxicity
+from .frames import fold, table
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,20 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score_texts(docs, model, keep=["doc_id"])
+    return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    ids = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -23,10 +37,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
+    "op8_decontaminate": decontam.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
