@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 WINDOW = 10
 #: Words of items in one automaton, at most (about 2 GB of memory for every 5 million states; a word makes some six).
 MAX_WORDS = 500_000
-#: Normalised words: runs of ASCII letters, digits and non-ASCII characters.
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Words of the original text: runs of ASCII letters, digits and non-ASCII characters.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 #: Columns that the scan adds.
@@ -100,7 +100,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_wo
     and those of the five new names are replaced.  Rows that repeat are judged
     each for itself.  An empty table of either kind gives no hits.
     """
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD.pattern))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     shards = max(1, -(-int(items.agg(F.sum(words)).first()[0] or 0) // max_words))
     out = docs.drop(*_FOUND)
