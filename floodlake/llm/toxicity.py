@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .frames import fold
+from .frames import fold, stored
 
 #: Labelled rows of each class that the counts are taken from, about (by a hash of the id).
 MAX_ROWS = 20_000
@@ -92,8 +92,8 @@ def _terms(e: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(e)), mean * 10, most * 10, length, np.tanh(mean * np.expm1(length) / 20), np.tanh(mean * np.expm1(length) / 5)])
 
 
-def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(toxic, level, left, word, pair, n): each batch's pairs of a word, or a stem, and the word before it (0 at the start), counted."""
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(toxic, left, word, n): each slice's pairs of a word and the word before it (0 at the start), counted."""
     for batch in batches:
         toxic = np.asarray(batch.column("toxic").to_pylist(), dtype=np.int32)
         for w in bytetext.slices(batch.column("text"), lower=True):
@@ -103,15 +103,19 @@ def _ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = np.concatenate([[np.uint64(0)], word[:-1]])
             left[w.first[:-1][w.counts() > 0]] = 0
             label = toxic[w.row + w.owner()]
-            for level in LEVELS:
-                unit = w.prefixes(level) if level else word
-                pair = bytetext.join_hash(left, unit)
-                _, at, inverse = np.unique(bytetext.mix(pair + label.astype(np.uint64)), return_index=True, return_inverse=True)
-                n = np.bincount(inverse)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[at]), pa.array(np.full(len(at), level, np.int32)), *(pa.array(bytetext.signed(x[at])) for x in (left, unit, pair)), pa.array(n.astype(np.int64))],
-                    names=["toxic", "level", "left", "word", "pair", "n"],
-                )
+            _, at, inverse = np.unique(bytetext.join_hash(left, word) + label.astype(np.uint64), return_index=True, return_inverse=True)
+            n = np.bincount(inverse)
+            yield pa.RecordBatch.from_arrays([pa.array(label[at]), *(pa.array(bytetext.signed(x[at])) for x in (left, word)), pa.array(n.astype(np.int64))], names=["toxic", "left", "word", "n"])
+
+
+def _stems(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, stems): the hashes of each slice's words and of their stems, in the order of ``LEVELS``."""
+    for batch in batches:
+        for w in bytetext.slices(batch.column("text"), lower=True):
+            word, at = np.unique(w.hashes(), return_index=True)
+            stems = np.column_stack([word, *(w.prefixes(n)[at] for n in LEVELS[1:])])
+            lists = pa.ListArray.from_arrays(np.arange(0, stems.size + 1, len(LEVELS), dtype=np.int32), pa.array(bytetext.signed(stems.ravel())))
+            yield pa.RecordBatch.from_arrays([pa.array(bytetext.signed(word)), lists], names=["word", "stems"])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -136,15 +140,12 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, max_ngrams: int = MAX_NGRAMS,
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     kept = F.when(F.col("toxic") == 1, part < max_rows / sizes[1]).otherwise(part < max_rows / sizes[0])
     sample = rows.where(kept)
-    counted = sample.where(fold(F.col("doc_id"), 5) != 1).select("text", "toxic").mapInArrow(_ngrams, "toxic int, level int, left long, word long, pair long, n long")
-    pairs = counted.groupBy("pair").agg(
-        F.first("level").alias("level"), F.first("left").alias("left"), F.first("word").alias("word"),
-        F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("n1"),
-    ).persist()
-    try:
-        model = _smooth(pairs, max_ngrams, discount)
-    finally:
-        pairs.unpersist()
+    texts = sample.where(fold(F.col("doc_id"), 5) != 1).select("text", "toxic")
+    counted = texts.mapInArrow(_pairs, "toxic int, left long, word long, n long")
+    of_class = [F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)]
+    pairs = stored(counted.groupBy("left", "word").agg(*of_class))
+    stems = texts.select("text").mapInArrow(_stems, "word long, stems array<long>").dropDuplicates(["word"])
+    model = _smooth(pairs, stems, max_ngrams, discount)
     held = sample.where(fold(F.col("doc_id"), 5) == 1)
     points = _evidence(held.select("text", "toxic"), model, ["toxic"]).toArrow()
     e = np.column_stack([np.asarray(points[c].to_numpy(), dtype=float) for c in ("mean", "most", "length")]) if len(points) else np.zeros((0, 3))
@@ -155,11 +156,14 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, max_ngrams: int = MAX_NGRAMS,
     return model
 
 
-def _smooth(pairs: DataFrame, max_ngrams: int, d: float) -> Model:
+def _smooth(pairs: DataFrame, stems: DataFrame, max_ngrams: int, d: float) -> Model:
     """Kneser-Ney estimates of both classes, as ratios."""
     seen = [F.col("n0") > 0, F.col("n1") > 0]
     spared = lambda n: F.least(F.col(n), F.lit(d))  # noqa: E731  what the discount takes of a count
-    words = pairs.groupBy("level", "word").agg(F.count("*").alias("k"), *[F.count_if(s).alias(f"k{c}") for c, s in enumerate(seen)], *[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)])
+    words = pairs.groupBy("word").agg(F.count("*").alias("k"), *[F.count_if(s).alias(f"k{c}") for c, s in enumerate(seen)], *[F.sum(f"n{c}").alias(f"n{c}") for c in (0, 1)])
+    # A stem's continuations are those of its words.
+    units = words.join(stems, "word").select("*", F.posexplode("stems").alias("level", "unit"))
+    words = stored(units.groupBy("level", F.col("unit").alias("word")).agg(*[F.sum(c).alias(c) for c in ("k", "k0", "k1", "n0", "n1")]).where(F.col("n0") + F.col("n1") > 0))
     totals = {r.level: r for r in words.groupBy("level").agg(F.sum("k").alias("k"), *[F.sum(f"k{c}").alias(f"k{c}") for c in (0, 1)], *[F.sum(spared(f"k{c}")).alias(f"d{c}") for c in (0, 1)]).collect()}
     # Only what the classes use differently is sent to the driver; the rest backs off.
     rate = F.lit(0.0)
@@ -174,10 +178,9 @@ def _smooth(pairs: DataFrame, max_ngrams: int, d: float) -> Model:
     p = [np.maximum(col(top, f"k{c}") - d, 0) / whole(f"k{c}") + whole(f"d{c}") / whole(f"k{c}") * shared for c in (0, 1)]
     ratio = np.log(p[1]) - np.log(p[0])
     index = bytetext.Lookup(top["word"].to_numpy().view(np.uint64))
-    pairs = pairs.where("level = 0")
     lefts = pairs.where("left <> 0").groupBy("left").agg(*[F.sum(f"n{c}").alias(f"h{c}") for c in (0, 1)], *[F.sum(spared(f"n{c}")).alias(f"t{c}") for c in (0, 1)]).where("h0 > 0 and h1 > 0")
-    frequent = pairs.where((F.col("left") != 0) & (F.col("n0") + F.col("n1") >= 2 * MIN_COUNT)).orderBy(F.desc(F.col("n0") + F.col("n1")), "pair").limit(max_ngrams // 2)
-    both = frequent.join(lefts, "left").select("pair", "word", "n0", "n1", "h0", "h1", "t0", "t1").toArrow()
+    frequent = pairs.where((F.col("left") != 0) & (F.col("n0") + F.col("n1") >= 2 * MIN_COUNT)).orderBy(F.desc(F.col("n0") + F.col("n1")), "left", "word").limit(max_ngrams // 2)
+    both = frequent.join(lefts, "left").select("left", "word", "n0", "n1", "h0", "h1", "t0", "t1").toArrow()
     at = index.find(both["word"].to_numpy().view(np.uint64)) if len(both) else np.zeros(0, np.int64)
     q = []
     for c in (0, 1):
@@ -186,7 +189,7 @@ def _smooth(pairs: DataFrame, max_ngrams: int, d: float) -> Model:
     pair_ratio = np.log(np.maximum(q[1], 1e-300)) - np.log(np.maximum(q[0], 1e-300))
     n0, n1 = (np.array([col(both, f"n{c}"), col(both, f"h{c}")]) for c in (0, 1))
     known = (at >= 0) & _apart(n0[0], n1[0], n0[1], n1[1], CHANCE[1])
-    keys = both["pair"].to_numpy().view(np.uint64)[known] if len(both) else np.zeros(0, np.uint64)
+    keys = bytetext.join_hash(*(both[c].to_numpy().view(np.uint64)[known] for c in ("left", "word")))
     return Model(index, ratio, bytetext.Lookup(keys), pair_ratio[known], np.zeros(6))
 
 
