@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, toxicity
+from . import decontam, lines, mixing, ngram_join, toxicity
 from .frames import fold, table
 
 
@@ -16,6 +16,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
@@ -37,6 +41,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op10_mix_sources": op10_mix_sources,
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
     "op8_decontaminate": decontam.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
