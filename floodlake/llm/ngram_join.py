@@ -257,13 +257,16 @@ def _links(docs: DataFrame, nodes: DataFrame, table: np.ndarray) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (of equal ids, any one).
+    """``docs`` with one document of each component, the one with the smallest id.
 
-    Texts without words stand alone and all stay.
+    Texts without words stand alone and all stay.  Where ids repeat, equal
+    rows are kept once, and different texts under the kept id all stay.
     """
-    found = cluster_documents(docs).where("n_shingles > 0")
+    found = stored(cluster_documents(docs).where("n_shingles > 0").select("doc_id", "component_id"))
     extra = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(extra, docs["doc_id"].eqNullSafe(extra["doc_id"]), "left_anti")
+    out = docs.join(extra, docs["doc_id"].eqNullSafe(extra["doc_id"]), "left_anti")
+    again = found.groupBy("doc_id").count().where("count > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
 
 
 #: DuckDB SQL for the rows of the query.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, ngram_join, toxicity
+from . import decontam, lines, mixing, ngram_join, substrings, toxicity
 from .frames import fold, table
 
 
@@ -34,6 +34,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), ids.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
 }
 
@@ -51,5 +57,6 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
     "op6_ngram_join": ngram_join.ORACLE,
     "op8_decontaminate": decontam.ORACLE,
+    "op9_substring_dedup": substrings.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
 }
