@@ -96,7 +96,7 @@ class Words:
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(_BYTE[self.data] * up[:n], out=total[1:])
         end = np.minimum(self.end, self.start + length)
-        return mix(((total[end] - total[self.start]) * down[self.start]) ^ (_STEP * np.uint64(length)))
+        return mix(((total[end] - total[self.start]) * down[self.start]) ^ np.uint64(int(_STEP) * length % (1 << 64)))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, lines, mixing, ngram_join, substrings, toxicity
+from . import chat, curves, decontam, lines, mixing, ngram_join, substrings, toxicity
 from .frames import fold, table
 
 
@@ -16,6 +16,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return curves.nearest(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = F.lit("\\### Assistant: </turn> ok")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), hard.alias("text"))
+    return chat.digests(chat.format_conversations(turns.unionByName(extra)))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.cluster_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
@@ -46,6 +58,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_nearest": op4_nearest,
+    "op5_chat": op5_chat,
     "op6_ngram_join": op6_ngram_join,
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
