@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curves, decontam, lines, mixing, ngram_join, substrings, toxicity
+from . import chat, curves, decontam, gru, html_tree, lines, mixing, ngram_join, substrings, toxicity
 from .frames import fold, table
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op2_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_tree.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -57,6 +65,8 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_score": op1_lm_score,
+    "op2_extract_html": op2_extract_html,
     "op3_line_dedup": op3_line_dedup,
     "op4_nearest": op4_nearest,
     "op5_chat": op5_chat,
