@@ -5,7 +5,7 @@ the smallest window hash of every 11 consecutive windows, which is part of
 every 20-word window and is the same one wherever that window stands.  Anchors
 that occur once end their windows.  Level 2 doubles: only 20-word windows
 around repeated anchors are formed and counted.  Those that also start earlier
-are removed.  ``longest_repeats`` goes on doubling, from the windows that level
+are removed.  Whole copies of a text are set aside first, as all of them goes.  ``longest_repeats`` goes on doubling, from the windows that level
 2 found repeated, until no candidates survive.
 
 Windows are compared by 64-bit hashes of their words.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .frames import order_key
+from .frames import order_key, shared_folder, stored
 
 #: Words of a window that is removed where it repeats.
 WINDOW = 20
@@ -49,26 +49,24 @@ def _anchor_of(w: bytetext.Words, words: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, mark, at, h): anchors of each text."""
+    """(doc_id, mark, at, h): anchors of each text."""
     for batch in batches:
-        ids, marks = batch.column("ord").to_numpy(), batch.column("mark").to_numpy()
         for w in bytetext.slices(batch.column("text")):
             _, size, anchor, half = _anchor_of(w, w.hashes())
             owner = np.repeat(np.arange(w.n_texts), size)
             new = np.ones(len(anchor), dtype=bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (owner[1:] != owner[:-1])
             anchor, owner = anchor[new], owner[new]
-            row = w.row + owner
+            row = pa.array(w.row + owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row]), pa.array(marks[row]), pa.array((anchor - w.first[owner]).astype(np.int32)), pa.array(bytetext.signed(half[anchor]))],
-                names=["ord", "mark", "at", "h"],
+                [batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array((anchor - w.first[owner]).astype(np.int32)), pa.array(bytetext.signed(half[anchor]))],
+                names=["doc_id", "mark", "at", "h"],
             )
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(ord, mark, start, h, again): windows around repeated anchors, and whether the text itself has the window earlier."""
+    """(doc_id, mark, start, h, again): windows around repeated anchors, and whether the text itself has the window earlier."""
     for batch in batches:
-        ids, marks = batch.column("ord").to_numpy(), batch.column("mark").to_numpy()
         alive = batch.column("alive")
         values, offsets = alive.values.to_numpy(), alive.offsets.to_numpy()
         for w in bytetext.slices(batch.column("text")):
@@ -88,57 +86,71 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             again = np.zeros(len(start), dtype=bool)
             a, b = order[1:], order[:-1]
             again[a] = (h[a] == h[b]) & (owner[a] == owner[b])
-            row = w.row + owner
+            row = pa.array(w.row + owner)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[row]), pa.array(marks[row]), pa.array((start - w.first[owner]).astype(np.int32)), pa.array(bytetext.signed(h)), pa.array(again)],
-                names=["ord", "mark", "start", "h", "again"],
+                [batch.column("doc_id").take(row), batch.column("mark").take(row), pa.array((start - w.first[owner]).astype(np.int32)), pa.array(bytetext.signed(h)), pa.array(again)],
+                names=["doc_id", "mark", "start", "h", "again"],
             )
 
 
+#: Copies (16 bytes each) up to which they are set aside by a broadcast join.
+BROADCAST_ROWS = 500_000
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(order_key(F.col("doc_id")).alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
+    """(doc_id, mark, text): where ids repeat, mark tells their texts apart; else it is 0 and costs nothing."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    again = docs.groupBy("doc_id").count().where("count > 1")
+    mark = F.lit(0).cast("long") if again.isEmpty() else F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumn("mark", mark)
 
 
-def candidate_windows(docs: DataFrame) -> DataFrame:
-    """Levels 1 and 2: (ord, mark, start, h, again) of the windows around repeated anchors."""
-    keyed = _keyed(docs)
-    anchors = keyed.mapInArrow(_anchors, "ord long, mark long, at int, h long")
-    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    alive = anchors.join(repeated, "h", "left_semi").groupBy("ord", "mark").agg(F.collect_list("at").alias("alive"))
-    texts = keyed.join(alive, ["ord", "mark"]).select("ord", "mark", "text", "alive")
-    return texts.mapInArrow(_candidates, "ord long, mark long, start int, h long, again boolean")
+def _same(a: DataFrame, b: DataFrame):
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(ord, mark, starts): of each text with repeats, the windows that start earlier elsewhere or in itself."""
-    windows = candidate_windows(docs)
-    firsts = windows.groupBy("h").agg(F.min("ord").alias("origin"), F.max("ord").alias("last"), F.max("again").alias("within")).where("origin < last or within").select("h", "origin")
-    later = windows.join(firsts, "h").where("origin < ord or again")
-    return later.groupBy("ord", "mark").agg(F.collect_list("start").alias("starts"))
+def _copies(keyed: DataFrame) -> DataFrame:
+    """(doc_id, mark) of texts that are, whole, the text of a smaller id: every window of theirs starts earlier."""
+    text = F.coalesce("text", F.lit(""))
+    prints = keyed.select("doc_id", "mark", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    firsts = prints.groupBy("a", "b").agg(F.min(order_key(F.col("doc_id"))).alias("origin"), F.count("*").alias("n")).where("n > 1")
+    copies = stored(prints.join(firsts, ["a", "b"]).where(F.col("origin") < order_key(F.col("doc_id"))).select("doc_id", "mark").distinct())
+    return F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+
+
+def _windows(keyed: DataFrame, copies: DataFrame | None) -> DataFrame:
+    """Levels 1 and 2: (doc_id, mark, start, h, again) of the windows around repeated anchors, without ``copies``."""
+    firsts = keyed if copies is None else keyed.join(copies, _same(keyed, copies), "left_anti")
+    anchors = firsts.mapInArrow(_anchors, "doc_id long, mark long, at int, h long")
+    repeated = anchors.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    alive = anchors.join(repeated, "h", "left_semi").groupBy("doc_id", "mark").agg(F.collect_list("at").alias("alive"))
+    texts = keyed.join(alive, _same(keyed, alive)).select(keyed["doc_id"], keyed["mark"], "text", "alive")
+    return texts.mapInArrow(_candidates, "doc_id long, mark long, start int, h long, again boolean")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n_words, n_removed, kept) of texts with the starts of windows to remove."""
+    """(doc_id, n_words, n_removed, kept) of texts with the starts of windows to remove; copies go whole."""
     for batch in batches:
-        starts = batch.column("starts").fill_null([]) if batch.column("starts").null_count else batch.column("starts")
-        values, offsets = starts.flatten().to_numpy(), np.concatenate([[0], np.cumsum(starts.value_lengths().to_numpy())])
-        removed, kept, total = [], [], []
+        starts = batch.column("starts")
+        values, offsets = starts.flatten().to_numpy(), np.concatenate([[0], np.cumsum(starts.value_lengths().fill_null(0).to_numpy())])
+        copy = batch.column("copy").to_numpy(zero_copy_only=False)
+        removed, kept, total = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
         for w in bytetext.slices(batch.column("text")):
-            n = len(w.start)
-            step = np.zeros(n + 1, dtype=np.int64)
+            step = np.zeros(len(w.start) + 1, dtype=np.int64)
             base = np.repeat(w.first[:-1], np.diff(offsets[w.row : w.row + w.n_texts + 1]))
             begin = values[offsets[w.row] : offsets[w.row + w.n_texts]] + base
             np.add.at(step, begin, 1)
             np.add.at(step, begin + WINDOW, -1)
-            gone = np.cumsum(step)[:n] > 0
+            n = w.counts()
+            gone = (np.cumsum(step)[:-1] > 0) | np.repeat(copy[w.row : w.row + w.n_texts] & (n >= WINDOW), n)
             count = np.concatenate([[0], np.cumsum(gone)])
             removed.append(count[w.first[1:]] - count[w.first[:-1]])
-            total.append(w.counts())
+            total.append(n)
             for i in range(w.n_texts):
                 words = np.flatnonzero(~gone[w.first[i] : w.first[i + 1]]) + w.first[i]
                 kept.append(b" ".join([w.data[a:b].tobytes() for a, b in zip(w.start[words].tolist(), w.end[words].tolist(), strict=True)]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.concatenate([*total, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*removed, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
+            [batch.column("doc_id"), pa.array(np.concatenate(total).astype(np.int64)), pa.array(np.concatenate(removed).astype(np.int64)), pa.array(kept, pa.binary()).cast(pa.string())],
             names=["doc_id", "n_words", "n_removed", "kept"],
         )
 
@@ -153,10 +165,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Columns besides doc_id and text are ignored; an empty table gives an empty
     result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    gone = repeated_windows(docs)
-    keyed = docs.select("doc_id", order_key(F.col("doc_id")).alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
-    return keyed.join(gone, ["ord", "mark"], "left").select("doc_id", "text", "starts").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    keyed = _keyed(docs)
+    copies = _copies(keyed)
+    windows = _windows(keyed, copies)
+    firsts = windows.groupBy("h").agg(F.min(order_key(F.col("doc_id"))).alias("origin"))
+    later = windows.join(firsts, "h").where((F.col("origin") < order_key(F.col("doc_id"))) | F.col("again"))
+    gone = later.groupBy("doc_id", "mark").agg(F.collect_list("start").alias("starts"))
+    out = keyed.join(gone, _same(keyed, gone), "left").select(keyed["doc_id"], keyed["mark"], "text", "starts")
+    flagged = copies.withColumnsRenamed({"doc_id": "i", "mark": "m"})
+    out = out.join(flagged, out["doc_id"].eqNullSafe(flagged["i"]) & (out["mark"] == flagged["m"]), "left")
+    return out.select("doc_id", "text", "starts", F.col("m").isNotNull().alias("copy")).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def longest_repeats(docs: DataFrame, max_levels: int = 40) -> DataFrame:
@@ -166,7 +184,8 @@ def longest_repeats(docs: DataFrame, max_levels: int = 40) -> DataFrame:
     repeat, and its hash is made of theirs, so texts aren't read again.  Ends
     when a level has no repeated window left.
     """
-    level = candidate_windows(docs.select("doc_id", "text")).select("ord", "mark", "start", "h")
+    shared_folder(docs.sparkSession)
+    level = _windows(_keyed(docs), None).select(order_key(F.col("doc_id")).alias("ord"), "mark", "start", "h")
     length, found = WINDOW, None
     for _ in range(max_levels):
         repeated = level.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
