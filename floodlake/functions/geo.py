@@ -76,6 +76,6 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
 def speed_kmh(text: Column, default: Column) -> Column:
     """A posted speed: the first part before ";", digits and dots only, miles converted; else the default."""
     first = F.lower(F.trim(F.split(text, ";")[0]))
-    number = F.expr("try_cast(NULL AS double)") if text is None else F.regexp_replace(first, "[^0-9.]", "").try_cast("double")
+    number = F.regexp_replace(first, "[^0-9.]", "").try_cast("double")
     value = F.when(first.contains("mph"), number * 1.609344).otherwise(number)
     return F.when(value > 0, value).otherwise(default)
