@@ -1,0 +1 @@
+"""Incremental intake of scenes and job states with Structured Streaming."""
