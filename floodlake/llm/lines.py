@@ -25,6 +25,8 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     """(key, ord, first, last, print, sequence) per window."""
     lines = docs.select("ord", "mark", F.posexplode("lines").alias("pos", "line"))
     lines = lines.select("ord", "mark", "pos", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), F.regexp_count("line", F.lit(WORD)).alias("words")).where("words > 0")
+    # Rows that repeat wholly are one document here; the windows below need no further shuffle.
+    lines = lines.repartition("ord", "mark").distinct()
     run = Window.partitionBy("ord", "mark").orderBy("pos")
     lines = lines.withColumn("at", F.sum("words").over(run) - F.col("words"))
     span = Window.partitionBy("ord", "mark").orderBy("at").rangeBetween(0, min_words - 1)
