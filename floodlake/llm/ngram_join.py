@@ -10,14 +10,16 @@ shingles well enough, is the same size for any input, and any order is exact.
 Prefix shingles that occur once drop out in an aggregation.  The rest are
 joined in two steps so that no group of copies is spelled out as pairs:
 
-1. every node is paired with one pivot per shingle (the smallest set there);
-   pairs that pass the filters and verify are links, and linked nodes merge;
+1. every node is paired with a few pivots per shingle; pairs that pass the filters
+   and verify are links, and linked nodes merge.  Again with other pivots, while
+   that finds links and the next step has more than ``CHEAP`` pairs for each node;
 2. where a shingle still holds several merged groups, nodes of different groups
    are paired.  Nodes of one group need no further link, so nothing is lost.
 
 Filters before verification: length (sizes within 0.8), position (what can
-follow the shared shingle in both), and suffix (sets split into ``CLASSES``
-hash classes, which bound the overlap by the smaller part of each class).
+follow the shared shingle in both), and suffix: the parities of the sets' parts
+in 512 hash classes; classes that differ bound from below how many shingles are
+in one of the sets only, so none of the filters drops a link.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ BUCKETS = 1 << 20
 PIECES = 32
 #: Nodes (16 bytes each) up to which their texts are picked by a broadcast join.
 BROADCAST_ROWS = 500_000
-#: Classes of the suffix filter.
-CLASSES = 8
+#: Turns of pairing with pivots, and pairs per node up to which the rest are looked at one by one.
+MAX_TURNS, CHEAP = 6, 50
+#: 64-bit words of parities for the suffix filter.
+PARITIES = 8
 
 
 def _sets(w: bytetext.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -71,10 +75,12 @@ def _sum_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def _classes(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    """Shingles of each class in each of n texts."""
-    part = (bytetext.mix(sets + np.uint64(7)) >> np.uint64(61)).astype(np.int64)
-    return np.bincount(owner * CLASSES + part, minlength=n * CLASSES).reshape(n, CLASSES)
+def _parities(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of the hash classes holds an odd number of a text's shingles, as 64-bit words (n, PARITIES)."""
+    bits = 64 * PARITIES
+    part = (bytetext.mix(sets + np.uint64(7)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(owner * bits + part, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,24 +94,24 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.diff(first)
             # A sum doesn't depend on the order of the set.
             node = bytetext.mix(_sum_by_text(bytetext.mix(sets), first) + n.astype(np.uint64))
-            parts = _classes(sets, np.repeat(np.arange(w.n_texts), n), w.n_texts)
+            parts = _parities(sets, np.repeat(np.arange(w.n_texts), n), w.n_texts)
             yield _survey_batch(ids.slice(w.row, w.n_texts).cast(pa.int64()), n, node, parts)
     used = np.flatnonzero(counts.reshape(PIECES, -1).any(axis=1))
     if len(used):
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), pa.int64()), *(pa.nulls(len(used), pa.int64()) for _ in range(2)), pa.nulls(len(used), pa.list_(pa.int32())),
+            [pa.nulls(len(used), pa.int64()), *(pa.nulls(len(used), pa.int64()) for _ in range(2)), pa.nulls(len(used), pa.list_(pa.int64())),
              pa.array(used.astype(np.int32)), pa.array([zlib.compress(counts.reshape(PIECES, -1)[i].tobytes(), 1) for i in used], pa.binary())],
             names=_SURVEY_NAMES,
         )
 
 
-_SURVEY = "doc_id long, n_shingles long, node long, parts array<int>, piece int, counts binary"
+_SURVEY = "doc_id long, n_shingles long, node long, parts array<long>, piece int, counts binary"
 _SURVEY_NAMES = ["doc_id", "n_shingles", "node", "parts", "piece", "counts"]
 
 
 def _survey_batch(ids: pa.Array, n: np.ndarray, node: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
     k = len(n)
-    lists = pa.ListArray.from_arrays(np.arange(0, (k + 1) * CLASSES, CLASSES, dtype=np.int32), pa.array(parts.astype(np.int32).ravel()))
+    lists = pa.ListArray.from_arrays(np.arange(0, (k + 1) * PARITIES, PARITIES, dtype=np.int32), pa.array(parts.ravel()))
     return pa.RecordBatch.from_arrays(
         [ids, pa.array(n.astype(np.int64)), pa.array(bytetext.signed(node)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
         names=_SURVEY_NAMES,
@@ -175,14 +181,23 @@ def _possible(size_a: Column, pos_a: Column, size_b: Column, pos_b: Column) -> C
     return length & (after >= _needed(size_a, size_b))
 
 
+def _differing(a: list[Column], b: list[Column]) -> Column:
+    """Classes whose parity differs: so many shingles at least are in one set only."""
+    return sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a[1:], b[1:], strict=True)), F.bit_count(a[0].bitwiseXOR(b[0])))
+
+
+def _words(array: str) -> list[Column]:
+    return [F.get(array, i) for i in range(PARITIES)]
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar; each is compared once."""
     size = nodes.select("node", "size", "parts", "rep")
     left = size.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parts").alias("pa"), F.col("rep").alias("ra"))
     right = size.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parts").alias("pb"), F.col("rep").alias("rb"))
     both = pairs.join(left, "a").join(right, "b")
-    bound = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    likely = stored(both.where(bound >= _needed(F.col("sa"), F.col("sb"))).select("a", "b", "sa", "sb", "ra", "rb"))
+    apart = F.col("sa") + F.col("sb") - 2 * _needed(F.col("sa"), F.col("sb"))
+    likely = stored(both.where(_differing(_words("pa"), _words("pb")) <= apart).select("a", "b", "sa", "sb", "ra", "rb"))
     wanted = likely.select(F.col("ra").alias("doc_id"), F.col("a").alias("node")).union(likely.select("rb", "b")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)  # beyond that, texts and nodes are shuffled together
@@ -235,25 +250,55 @@ def _links(docs: DataFrame, nodes: DataFrame, table: np.ndarray) -> DataFrame:
     postings = _postings(docs, table)
     met = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
     shared = stored(postings.join(met, "token", "left_semi").groupBy("token", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos")))
-    # 1. Pivots: the smallest set of each shingle.
-    order = F.struct("size", "node", "pos")
-    pivots = shared.groupBy("token").agg(F.min(order).alias("p"))
-    first = shared.join(pivots, "token").where("node <> p.node").where(_possible(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos")))
-    tried = stored(first.select(F.col("p.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = stored(_verified(tried, docs, nodes))
-    # 2. Nodes of different groups that share a shingle.
-    groups = components(links)
-    grouped = shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
-    open_ = stored(grouped.join(mixed, "token", "left_semi").select("token", "component", "node", "size", "pos"))
-    kinds = open_.select("token", "component").distinct()
-    two = kinds.select("token", F.col("component").alias("ca")).join(kinds.select("token", F.col("component").alias("cb")), "token").where("ca < cb")
-    side = lambda s: open_.select("token", F.col("component").alias(f"c{s}"), F.col("node").alias(s), F.col("size").alias(f"s{s}"), F.col("pos").alias(f"p{s}"))
-    pairs = two.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(_possible(F.col("sa"), F.col("pa"), F.col("sb"), F.col("pb")))
-    smaller = (F.col("sa") < F.col("sb")) | (F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b"))
-    ordered = pairs.select(F.when(smaller, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(smaller, F.col("b")).otherwise(F.col("a")).alias("b")).distinct()
-    fresh = stored(ordered.join(tried, ["a", "b"], "left_anti"))
-    return links.union(_verified(fresh, docs, nodes))
+    few = CHEAP * nodes.count()
+    open_ = shared.withColumn("component", F.col("node"))
+    tried, links = [], []
+    for turn in range(MAX_TURNS):
+        # 1. Pivots.  What copies were made from has no rare shingles of its own, so it has a shingle nearer its
+        # front than they; the other pivots are drawn by hashes of the nodes, new ones each time.
+        front = F.shiftleft(F.col("pos").cast("long"), 32) + F.xxhash64("node").bitwiseAND(0xFFFFFFFF)
+        orders = [front, *[F.xxhash64("node", F.lit(3 * turn + i)) for i in range(3)]]
+        least = open_.groupBy("token").agg(*[F.min(o).alias(f"o{i}") for i, o in enumerate(orders)])
+        is_pivot = [F.col(f"o{i}") == o for i, o in enumerate(orders)]
+        chosen = is_pivot[0] | is_pivot[1] | is_pivot[2] | is_pivot[3]
+        pivots = open_.join(least, "token").where(chosen).select("token", F.struct("node", "size", "pos", "component").alias("p"))
+        pairs = open_.join(pivots, "token").where("component <> p.component").where(_possible(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos")))
+        fresh = _fresh(pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")), tried)
+        tried.append(fresh)
+        links.append(stored(_verified(fresh, docs, nodes)))
+        # 2. Shingles that still hold several groups, and how many pairs of nodes of different groups those have.
+        # Others are settled for good, as groups only merge.
+        groups = components(_union(links))
+        grouped = open_.drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        kinds = grouped.groupBy("token", "component").agg(F.count("*").alias("k"))
+        mixed = stored(kinds.groupBy("token").agg(F.count("*").alias("groups"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk")).where("groups > 1"))
+        open_ = stored(grouped.join(mixed.select("token"), "token", "left_semi").select("token", "component", "node", "size", "pos"))
+        across = mixed.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0]
+        if (across or 0) <= few or links[-1].isEmpty():
+            break
+    wide = open_.join(nodes.select("node", *[x.alias(f"k{i}") for i, x in enumerate(_words("parts"))]), "node")
+    names = ["component", "node", "size", "pos", *(f"k{i}" for i in range(PARITIES))]
+    side = lambda s: wide.select("token", *[F.col(c).alias(f"{c}_{s}") for c in names])
+    at = lambda c, s: F.col(f"{c}_{s}")
+    parities = [[at(f"k{i}", s) for i in range(PARITIES)] for s in ("a", "b")]
+    met = (at("node", "a") < at("node", "b")) & (at("component", "a") != at("component", "b")) & _possible(at("size", "a"), at("pos", "a"), at("size", "b"), at("pos", "b"))
+    near = _differing(*parities) <= at("size", "a") + at("size", "b") - 2 * _needed(at("size", "a"), at("size", "b"))
+    a, b = side("a"), side("b")
+    pairs = a.join(b, (a["token"] == b["token"]) & met & near).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    return _union([*links, _verified(_fresh(pairs, tried), docs, nodes)])
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+def _fresh(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    """Each pair once, smaller node first, without those tried before."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stored(once.join(_union(tried), ["a", "b"], "left_anti") if tried else once)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
