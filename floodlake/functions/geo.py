@@ -52,7 +52,7 @@ def utm_epsg(lon: Column, lat: Column) -> Column:
 
 
 def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
-    """Easting and northing by the Krüger series to the fourth power of the third flattening."""
+    """Easting and northing by the Krüger series to the fourth power of the third flattening; null for polar codes."""
     n = FLATTENING / (2 - FLATTENING)
     radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
     alpha = (
@@ -70,7 +70,8 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     east = reduce(lambda s_, k: s_ + alpha[k - 1] * F.cos(2 * k * xi) * F.sinh(2 * k * eta), range(1, 5), eta)
     north = reduce(lambda s_, k: s_ + alpha[k - 1] * F.sin(2 * k * xi) * F.cosh(2 * k * eta), range(1, 5), xi)
     shift = F.when(epsg >= 32700, F.lit(FALSE_NORTHING)).otherwise(F.lit(0.0))
-    return FALSE_EASTING + SCALE * radius * east, shift + SCALE * radius * north
+    zoned = (epsg >= 32601) & (epsg <= 32760)
+    return F.when(zoned, FALSE_EASTING + SCALE * radius * east), F.when(zoned, shift + SCALE * radius * north)
 
 
 def speed_kmh(text: Column, default: Column) -> Column:

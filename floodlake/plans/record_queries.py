@@ -247,7 +247,7 @@ ORACLES = {
         WHEN request_id % 13 = 0 OR {_RECT} NOT BETWEEN 0.1 AND 5000 THEN 'AREA_OUT_OF_LIMITS' WHEN event_date > DATE '2020-02-05' THEN 'EVENT_IN_FUTURE' END AS reject_code FROM a) SELECT request_id, reject_code, CASE WHEN reject_code IS NULL THEN round({_RECT}, 4) END AS area_km2 FROM j""",
     "geodesic_area": _A + f" SELECT request_id, CASE WHEN w > 0 THEN round({_RECT}, 4) ELSE 0 END AS area_km2 FROM a",
     "utm_zone": _A + " SELECT request_id, CAST(CASE WHEN y * 1.2::DOUBLE >= 84 THEN 3413 WHEN y * 1.2::DOUBLE <= -80 THEN 3031 ELSE CASE WHEN y >= 0 THEN 32600 ELSE 32700 END + greatest(1, least(60, CAST(floor((x + 180) / 6) AS INT) + 1)) END AS INT) AS epsg FROM a",
-    "project_utm": _A + _UTM + " SELECT request_id, round(500000 + 0.9996 * r * e, 3) AS east, round(CASE WHEN y >= 0 THEN 0 ELSE 10000000 END + 0.9996 * r * n, 3) AS north FROM k",
+    "project_utm": _A + _UTM + " SELECT request_id, CASE WHEN y > -80 THEN round(500000 + 0.9996 * r * e, 3) END AS east, CASE WHEN y > -80 THEN round(CASE WHEN y >= 0 THEN 0 ELSE 10000000 END + 0.9996 * r * n, 3) END AS north FROM k",
     "clip_to_aoi": with_tables("buildings") + ", c AS (SELECT feature_id, greatest(xmin, 250) AS xmin, greatest(ymin, 110) AS ymin, least(xmax, 530) AS xmax, least(ymax, 390) AS ymax, xmin < 250 OR ymin < 110 OR xmax > 530 OR ymax > 390 AS clipped FROM buildings) SELECT * FROM c WHERE xmin <= xmax AND ymin <= ymax",
     "artifact_inventory": _FOUND + " SELECT path, sha256, CAST(size_bytes AS BIGINT) AS size_bytes, media_type FROM found",
     "layer_catalog": _FOUND + " SELECT path, media_type FROM found WHERE page_id % 5 IN (0, 3)",
