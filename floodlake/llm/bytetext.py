@@ -177,6 +177,12 @@ class Lookup:
         self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.steps = int(np.diff(self.first).max()) if len(keys) else 0
 
+    def original(self) -> np.ndarray:
+        """The keys in the order given."""
+        out = np.empty_like(self.keys)
+        out[self.order] = self.keys
+        return out
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The index of each key in the set as given, or -1."""
         out = np.full(len(keys), -1, dtype=np.int64)

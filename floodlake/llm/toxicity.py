@@ -36,9 +36,10 @@ MAX_NGRAMS = 400_000
 MIN_COUNT = 3
 DISCOUNT = 0.75
 STRETCH = 32
-#: Standard deviations from equal rates beyond which a class keeps counts of its own, for words and for pairs
-#: (copies of a text repeat its pairs, but add no continuation of a word).
-CHANCE = (4.0, 8.0)
+#: Standard deviations from equal rates beyond which a class keeps counts of its own; the value that serves the
+#: fold of the curve best is taken.  Pairs need twice as many: copies of a text repeat its pairs, but add no
+#: continuation of a word.
+CHANCE = (4.0, 6.0, 9.0)
 #: Bytes of a word's stems, longest first; 0 is the word itself.
 LEVELS = (0, 8, 7, 6, 5, 4)
 
@@ -52,6 +53,13 @@ class Model:
     pairs: bytetext.Lookup
     pair_ratio: np.ndarray
     weights: np.ndarray
+    word_z: np.ndarray
+    pair_z: np.ndarray
+
+    def beyond(self, z: float) -> Model:
+        """The model of what differs by more than ``z`` standard deviations."""
+        w, p = self.word_z > z, self.pair_z > 2 * z
+        return Model(bytetext.Lookup(self.words.original()[w]), self.word_ratio[w], bytetext.Lookup(self.pairs.original()[p]), self.pair_ratio[p], self.weights, self.word_z[w], self.pair_z[p])
 
     def evidence(self, w: bytetext.Words) -> np.ndarray:
         """Per text: mean ratio, largest mean of a stretch, and log of the length."""
@@ -136,7 +144,7 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, max_ngrams: int = MAX_NGRAMS,
     if len(sizes) < 2:
         share = min(max(1.0 * (1 in sizes), 1e-6), 1 - 1e-6) if sizes else 0.5
         none = bytetext.Lookup(np.zeros(0, np.uint64))
-        return Model(none, np.zeros(0), none, np.zeros(0), np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]))
+        return Model(none, np.zeros(0), none, np.zeros(0), np.array([np.log(share / (1 - share)), 0, 0, 0, 0, 0]), np.zeros(0), np.zeros(0))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     kept = F.when(F.col("toxic") == 1, part < max_rows / sizes[1]).otherwise(part < max_rows / sizes[0])
     sample = rows.where(kept)
@@ -147,13 +155,21 @@ def fit(rows: DataFrame, max_rows: int = MAX_ROWS, max_ngrams: int = MAX_NGRAMS,
     stems = texts.select("text").mapInArrow(_stems, "word long, stems array<long>").dropDuplicates(["word"])
     model = _smooth(pairs, stems, max_ngrams, discount)
     held = sample.where(fold(F.col("doc_id"), 5) == 1)
-    points = _evidence(held.select("text", "toxic"), model, ["toxic"]).toArrow()
-    e = np.column_stack([np.asarray(points[c].to_numpy(), dtype=float) for c in ("mean", "most", "length")]) if len(points) else np.zeros((0, 3))
-    y = np.asarray(points["toxic"].to_numpy(), dtype=float)
     # Each class stands for all its labelled rows, whatever share of them was taken.
     stand = {c: max(1.0, sizes[c] / max_rows) for c in (0, 1)}
-    model.weights = _logistic(_terms(e), y, np.where(y == 1, stand[1], stand[0]))
-    return model
+    best, least = model, np.inf
+    for z in CHANCE:
+        tried = model.beyond(z)
+        points = _evidence(held.select("text", "toxic"), tried, ["toxic"]).toArrow()
+        e = np.column_stack([np.asarray(points[c].to_numpy(), dtype=float) for c in ("mean", "most", "length")]) if len(points) else np.zeros((0, 3))
+        y = np.asarray(points["toxic"].to_numpy(), dtype=float)
+        weight = np.where(y == 1, stand[1], stand[0])
+        tried.weights = _logistic(_terms(e), y, weight)
+        p = np.clip(tried.score(e), 1e-9, 1 - 1e-9)
+        loss = -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+        if loss < least:
+            best, least = tried, loss
+    return best
 
 
 def _smooth(pairs: DataFrame, stems: DataFrame, max_ngrams: int, d: float) -> Model:
@@ -170,8 +186,8 @@ def _smooth(pairs: DataFrame, stems: DataFrame, max_ngrams: int, d: float) -> Mo
     for level, t in totals.items():
         rate = F.when(F.col("level") == level, F.lit(t.k1 / max(t.k0 + t.k1, 1))).otherwise(rate)
     expected = (F.col("k0") + F.col("k1")) * rate
-    apart = F.abs(F.col("k1") - expected) > CHANCE[0] * F.sqrt(expected + 1)
-    top = words.where(apart & (F.col("n0") + F.col("n1") >= MIN_COUNT)).orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(max_ngrams // 2).toArrow()
+    z = F.abs(F.col("k1") - expected) / F.sqrt(expected + 1)
+    top = words.withColumn("z", z).where((F.col("z") > CHANCE[0]) & (F.col("n0") + F.col("n1") >= MIN_COUNT)).orderBy(F.desc(F.col("n0") + F.col("n1")), "word").limit(max_ngrams // 2).toArrow()
     col = lambda t, c: np.asarray(t[c].to_numpy(), dtype=np.float64)
     whole = lambda c: np.array([max(totals[int(x)][c], 1) for x in top["level"].to_numpy()], dtype=np.float64)
     shared = col(top, "k") / whole("k")
@@ -188,15 +204,18 @@ def _smooth(pairs: DataFrame, stems: DataFrame, max_ngrams: int, d: float) -> Mo
         q.append((np.maximum(col(both, f"n{c}") - d, 0) + col(both, f"t{c}") * low) / np.maximum(col(both, f"h{c}"), 1))
     pair_ratio = np.log(np.maximum(q[1], 1e-300)) - np.log(np.maximum(q[0], 1e-300))
     n0, n1 = (np.array([col(both, f"n{c}"), col(both, f"h{c}")]) for c in (0, 1))
-    known = (at >= 0) & _apart(n0[0], n1[0], n0[1], n1[1], CHANCE[1])
+    pair_z = _deviation(n0[0], n1[0], n0[1], n1[1])
+    if len(top):  # a pair stands only with its word
+        pair_z = np.minimum(pair_z, 2 * col(top, "z")[np.maximum(at, 0)])
+    known = (at >= 0) & (pair_z > 2 * CHANCE[0])
     keys = bytetext.join_hash(*(both[c].to_numpy().view(np.uint64)[known] for c in ("left", "word")))
-    return Model(index, ratio, bytetext.Lookup(keys), pair_ratio[known], np.zeros(6))
+    return Model(index, ratio, bytetext.Lookup(keys), pair_ratio[known], np.zeros(6), col(top, "z"), pair_z[known])
 
 
-def _apart(n0: np.ndarray, n1: np.ndarray, all0, all1, z: float) -> np.ndarray:
-    """Whether n1 of n0 + n1 is further than chance from all1 of all0 + all1."""
-    expected = (n0 + n1) * np.asarray(all1, float) / np.maximum(np.asarray(all0, float) + all1, 1)
-    return np.abs(n1 - expected) > z * np.sqrt(expected + 1)
+def _deviation(n0: np.ndarray, n1: np.ndarray, all0: np.ndarray, all1: np.ndarray) -> np.ndarray:
+    """How many standard deviations n1 of n0 + n1 lies from all1 of all0 + all1."""
+    expected = (n0 + n1) * all1 / np.maximum(all0 + all1, 1)
+    return np.abs(n1 - expected) / np.sqrt(expected + 1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
