@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Where a null doc_id stands in the order of documents: after all others.
 LAST = (1 << 63) - 1
+#: Links that one task of ``components`` takes, about.
+LINKS_OF_A_TASK = 100_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,12 +62,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     links = edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo").distinct().checkpoint()
     mark = links.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long"))).first()
     for _ in range(max_rounds):
-        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(links.select("lo", "hi"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e")).select("e.hi", "e.lo").where("hi <> lo").distinct()
-        links = small.checkpoint()
+        # Few links need few tasks: each round has several small shuffles.
+        tasks = 1 + mark[0] // LINKS_OF_A_TASK
+        links = links.coalesce(tasks)
+        both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionAll(links.select("lo", "hi")).coalesce(tasks)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).coalesce(tasks)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).coalesce(tasks).distinct().coalesce(tasks)
+        low = large.groupBy("hi").agg(F.min("lo").alias("m")).coalesce(tasks)
+        small = large.join(low, "hi").select(F.explode(F.array(F.struct("hi", F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
+        links = small.select("e.hi", "e.lo").where("hi <> lo").coalesce(tasks).distinct().coalesce(tasks).checkpoint()
         now = links.agg(F.count("*"), F.sum(F.hash("hi", "lo").cast("long"))).first()
         if now == mark:
             break
