@@ -257,10 +257,10 @@ def _links(docs: DataFrame, nodes: DataFrame, table: np.ndarray) -> DataFrame:
         # 1. Pivots.  What copies were made from has no rare shingles of its own, so it has a shingle nearer its
         # front than they; the other pivots are drawn by hashes of the nodes, new ones each time.
         front = F.shiftleft(F.col("pos").cast("long"), 32) + F.xxhash64("node").bitwiseAND(0xFFFFFFFF)
-        orders = [front, *[F.xxhash64("node", F.lit(3 * turn + i)) for i in range(3)]]
+        orders = [front, *[F.xxhash64("node", F.lit(2 * turn + i)) for i in range(2)]]
         least = open_.groupBy("token").agg(*[F.min(o).alias(f"o{i}") for i, o in enumerate(orders)])
         is_pivot = [F.col(f"o{i}") == o for i, o in enumerate(orders)]
-        chosen = is_pivot[0] | is_pivot[1] | is_pivot[2] | is_pivot[3]
+        chosen = is_pivot[0] | is_pivot[1] | is_pivot[2]
         pivots = open_.join(least, "token").where(chosen).select("token", F.struct("node", "size", "pos", "component").alias("p"))
         pairs = open_.join(pivots, "token").where("component <> p.component").where(_possible(F.col("size"), F.col("pos"), F.col("p.size"), F.col("p.pos")))
         fresh = _fresh(pairs.select(F.col("p.node").alias("a"), F.col("node").alias("b")), tried)
