@@ -64,7 +64,9 @@ def snap_points(points: DataFrame, edges: DataFrame, policy: Policy = DEFAULT) -
     """
     reach = policy.max_snap_m
     at = lambda c: F.col(c) / CM
-    e = edges.select("request_id", "segment_id", *[at(f"{n}.{c}").alias(f"{n}_{c[1]}") for n in ("src", "dst") for c in ("cx", "cy")]).distinct()
+    # Of segments on the same line the least id wins all ties below, so the others needn't meet the points.
+    e = edges.groupBy("request_id", "src", "dst").agg(F.min("segment_id").alias("segment_id"))
+    e = e.select("request_id", "segment_id", *[at(f"{n}.{c}").alias(f"{n}_{c[1]}") for n in ("src", "dst") for c in ("cx", "cy")])
     span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / reach), F.floor(F.greatest(a, b) / reach)))
     e = e.withColumn("bx", span("src_x", "dst_x")).withColumn("by", span("src_y", "dst_y"))
     around = lambda c: F.explode(F.array(*[F.floor(F.col(c) / reach) + d for d in (-1, 0, 1)]))

@@ -48,7 +48,7 @@ TABLES: dict[str, str] = {
         CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'primary' WHEN '2' THEN 'secondary' WHEN '3' THEN 'residential' WHEN '4' THEN 'track' ELSE 'footway' END AS highway,
         CASE WHEN o_orderkey % 7 = 0 THEN 'yes' WHEN o_orderkey % 7 = 1 THEN '-1' ELSE NULL END AS oneway, CAST(NULL AS STRING) AS maxspeed,
         CASE WHEN o_custkey % 24 IN (5, 11) AND o_orderkey % 24 <> 3 THEN 'BLOCKED' WHEN o_custkey % 24 = 17 AND o_orderkey % 24 > 20 THEN 'BLOCKED' WHEN o_custkey % 11 = 1 THEN 'UNKNOWN_COVERAGE' WHEN o_custkey % 11 = 2 THEN 'POTENTIALLY_BLOCKED' ELSE 'OPEN' END AS status
-        FROM {orders} WHERE o_orderstatus <> 'P' AND o_orderkey < 15000""",
+        FROM {orders} WHERE o_orderstatus <> 'P'""",
     "places": """SELECT CAST(0 AS INT) AS request_id, CAST(s_suppkey AS STRING) AS feature_id, s_name AS name, CAST(s_suppkey * 173 % 2500 AS DOUBLE) + 0.5 AS x, CAST(s_suppkey * 311 % 2600 AS DOUBLE) + 0.5 AS y,
         CASE s_suppkey % 10 WHEN 0 THEN 'healthcare' ELSE 'settlement' END AS category, CASE s_suppkey % 5 WHEN 1 THEN 'town' WHEN 2 THEN 'village' WHEN 3 THEN 'hamlet' ELSE 'suburb' END AS place
         FROM {supplier}""",
