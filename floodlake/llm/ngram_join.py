@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext
-from .frames import components, stored
+from .frames import components, order_key, stored
 
 #: Words of a shingle, and the similarity in per cent.
 WORDS, PERCENT = 5, 80
@@ -84,10 +84,10 @@ def _parities(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text (doc_id, n_shingles, node, parts), and at the end the task's frequency table in pieces."""
+    """One row per text (doc_id, mark, n_shingles, node, parts), and at the end the task's frequency table in pieces."""
     counts = np.zeros(BUCKETS, dtype=np.uint32)
     for batch in batches:
-        ids = batch.column("doc_id")
+        ids, marks = batch.column("doc_id"), batch.column("mark")
         for w in bytetext.slices(batch.column("text"), lower=True):
             sets, first = _sets(w)
             counts += np.bincount((sets & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS).astype(np.uint32)
@@ -95,25 +95,25 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A sum doesn't depend on the order of the set.
             node = bytetext.mix(_sum_by_text(bytetext.mix(sets), first) + n.astype(np.uint64))
             parts = _parities(sets, np.repeat(np.arange(w.n_texts), n), w.n_texts)
-            yield _survey_batch(ids.slice(w.row, w.n_texts).cast(pa.int64()), n, node, parts)
+            yield _survey_batch(ids.slice(w.row, w.n_texts).cast(pa.int64()), marks.slice(w.row, w.n_texts), n, node, parts)
     used = np.flatnonzero(counts.reshape(PIECES, -1).any(axis=1))
     if len(used):
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), pa.int64()), *(pa.nulls(len(used), pa.int64()) for _ in range(2)), pa.nulls(len(used), pa.list_(pa.int64())),
+            [pa.nulls(len(used), pa.int64()), *(pa.nulls(len(used), pa.int64()) for _ in range(3)), pa.nulls(len(used), pa.list_(pa.int64())),
              pa.array(used.astype(np.int32)), pa.array([zlib.compress(counts.reshape(PIECES, -1)[i].tobytes(), 1) for i in used], pa.binary())],
             names=_SURVEY_NAMES,
         )
 
 
-_SURVEY = "doc_id long, n_shingles long, node long, parts array<long>, piece int, counts binary"
-_SURVEY_NAMES = ["doc_id", "n_shingles", "node", "parts", "piece", "counts"]
+_SURVEY = "doc_id long, mark long, n_shingles long, node long, parts array<long>, piece int, counts binary"
+_SURVEY_NAMES = ["doc_id", "mark", "n_shingles", "node", "parts", "piece", "counts"]
 
 
-def _survey_batch(ids: pa.Array, n: np.ndarray, node: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+def _survey_batch(ids: pa.Array, marks: pa.Array, n: np.ndarray, node: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
     k = len(n)
     lists = pa.ListArray.from_arrays(np.arange(0, (k + 1) * PARITIES, PARITIES, dtype=np.int32), pa.array(parts.ravel()))
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(n.astype(np.int64)), pa.array(bytetext.signed(node)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+        [ids, marks, pa.array(n.astype(np.int64)), pa.array(bytetext.signed(node)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
         names=_SURVEY_NAMES,
     )
 
@@ -233,16 +233,25 @@ def cluster_documents(docs: DataFrame) -> DataFrame:
     its own text.  Columns besides doc_id and text are ignored; an empty table
     gives an empty result.
     """
+    return _clusters(docs).select("doc_id", "n_shingles", "component_id", "node")
+
+
+def _mark() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def _clusters(docs: DataFrame) -> DataFrame:
+    """The rows of ``cluster_documents`` with mark, the hash of the text, and cluster, one node of the component, besides."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = stored(docs.mapInArrow(_survey, _SURVEY))
-    rows = survey.where("node is not null").select("doc_id", "n_shingles", "node", "parts")
+    survey = stored(docs.withColumn("mark", _mark()).mapInArrow(_survey, _SURVEY))
+    rows = survey.where("node is not null").select("doc_id", "mark", "n_shingles", "node", "parts")
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").cast("int").alias("size"), F.first("parts").alias("parts"))
     links = _links(docs, nodes, _frequencies(survey))
     groups = components(links)
     named = nodes.join(groups, "node").groupBy("component").agg(F.min("rep").alias("least"))
-    of_node = nodes.join(groups.join(named, "component").select("node", "least"), "node", "left").select("node", F.coalesce("least", "rep").alias("least"))
+    of_node = nodes.join(groups.join(named, "component").select("node", "least", "component"), "node", "left").select("node", F.coalesce("least", "rep").alias("least"), F.coalesce("component", "node").alias("cluster"))
     out = rows.join(of_node, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "node", "mark", "cluster")
 
 
 def _links(docs: DataFrame, nodes: DataFrame, table: np.ndarray) -> DataFrame:
@@ -304,14 +313,23 @@ def _fresh(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest id.
 
-    Texts without words stand alone and all stay.  Where ids repeat, equal
-    rows are kept once, and different texts under the kept id all stay.
+    Every row is judged by its own text, also where ids repeat or are null:
+    null ids come last, and of rows that share the smallest id one text is
+    kept.  Equal rows are kept once.  Texts without words stand alone and all
+    stay.
     """
-    found = stored(cluster_documents(docs).where("n_shingles > 0").select("doc_id", "component_id"))
-    extra = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    out = docs.join(extra, docs["doc_id"].eqNullSafe(extra["doc_id"]), "left_anti")
-    again = found.groupBy("doc_id").count().where("count > 1")
-    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "text"])
+    found = stored(_clusters(docs).where("n_shingles > 0").select(order_key(F.col("doc_id")).alias("ord"), "mark", "cluster"))
+    rows = found.groupBy("cluster", "ord", "mark").agg(F.count("*").alias("n"))
+    kept = found.groupBy("cluster").agg(F.min(F.struct("ord", "mark")).alias("kept"))
+    judged = stored(rows.join(kept, "cluster").select("ord", "mark", (F.struct("ord", "mark") == F.col("kept")).alias("stays"), "n"))
+    names, key = docs.columns, [order_key(F.col("doc_id")), _mark()]
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), key[0].alias("ord"), key[1].alias("mark"))
+    out = out.join(judged.where("NOT stays").select("ord", "mark"), ["ord", "mark"], "left_anti")
+    again = judged.where("stays AND n > 1").select("ord", "mark")
+    if not again.isEmpty():
+        once = out.join(again, ["ord", "mark"], "left_semi").dropDuplicates(["ord", "mark"])
+        out = out.join(again, ["ord", "mark"], "left_anti").unionByName(once)
+    return out.select("row.*")
 
 
 #: DuckDB SQL for the rows of the query.
