@@ -202,7 +202,7 @@ def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = _shared(spark, "log")
     log.withColumn("started_at", F.col("started_at").cast("timestamp")).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
-    out = intake.run_to_end(intake.latest_job_state(stream), _shared(spark, "state"))
+    out = intake.run_to_end(intake.latest_job_state(stream), _shared(spark, "jobs"), _shared(spark, "state"))
     return out.select("job_id", "last.status", "last.stage")
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,9 +39,22 @@ def latest_job_state(log: DataFrame) -> DataFrame:
     )
 
 
-def run_to_end(stream: DataFrame, checkpoint: str) -> DataFrame:
-    """Run an aggregating stream over all that is there and return its complete result."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_end(stream: DataFrame, target: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over all that is there and return its complete result.
+
+    Every batch writes the whole result to a folder of its own under
+    ``target``, so the rows stay with the executors; the newest is read back.
+    """
+
+    written: list[int] = []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        written.append(epoch)
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not written:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{target}/v{max(written)}")
