@@ -11,9 +11,10 @@ probability inside the class:
   token weighs by its count plus one, and a token never seen by one.
 
 Counts, class totals and vocabulary come from all training texts by Spark
-aggregation.  The network is trained on one in ``TRAIN_ONE_IN`` training texts,
-by truncated backpropagation in numpy: every task trains on its texts from the
-same start, and the tasks' weights are averaged, ``ROUNDS`` times over.  Output
+aggregation.  The network is trained on every training text once, by truncated
+backpropagation in numpy: hashes deal the texts to ``ROUNDS`` rounds; in each,
+every task trains on its texts from the same start, and the tasks' weights are
+averaged.  Output
 biases start from the counts, so the first guess is the unigram model.  Texts
 are scored whole: the state is carried from window to window.
 
@@ -42,7 +43,9 @@ SPELLINGS, STEPS = 6, 3
 HIDDEN = 16
 #: Tokens over which errors flow back, and texts trained side by side.
 WINDOW, STREAMS = 32, 48
-TRAIN_ONE_IN, ROUNDS = 16, 3
+ROUNDS = 3
+#: Tokens that a task lays out and trains on at a time, so its memory doesn't grow with its share of the table.
+PORTION = 1 << 20
 #: Tokens of each text that scoring takes in one window, and words scored together; the state is carried on.
 SPAN, TOGETHER = 16, 3_000_000
 RATE = 0.01
@@ -280,36 +283,51 @@ def _encode(w: bytetext.Words, v: Vocabulary) -> tuple[np.ndarray, ...]:
     return h, index, classes, v.inputs(index, classes), first
 
 
+def _portions(batches: Iterator[pa.RecordBatch], v: Vocabulary) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """All texts of the batches, encoded, in lists of ``PORTION`` tokens or a slice more."""
+    parts, size = [], 0
+    for batch in batches:
+        for w in bytetext.slices(batch.column("text"), lower=True):
+            parts.append(_encode(w, v))
+            size += len(parts[-1][3])
+            if size >= PORTION:
+                yield parts
+                parts, size = [], 0
+    if parts:
+        yield parts
+
+
 def _train(batches: Iterator[pa.RecordBatch], v: Vocabulary, weights: np.ndarray, rate: float) -> tuple[np.ndarray, int]:
-    """Weights after one pass over the task's texts, laid out in parallel streams."""
+    """Weights after one pass over all of the task's texts, laid out in parallel streams, and their tokens."""
     net = Network(v, weights.copy())
-    parts = [_encode(w, v) for batch in batches for w in bytetext.slices(batch.column("text"), lower=True)]
-    if not parts:
-        return net.weights, 0
-    inputs = np.concatenate([p[3] for p in parts])
-    classes, index = np.concatenate([p[2] for p in parts]), np.concatenate([p[1] for p in parts])
-    starts = np.zeros(len(inputs), dtype=bool)
-    at = 0
-    for p in parts:
-        starts[p[4][:-1] + at] = True
-        at += len(p[3])
-    previous = np.where(starts, net.start, np.concatenate([inputs[:1], inputs[:-1]]))
-    streams = max(1, min(STREAMS, len(inputs) // WINDOW))
-    length = len(inputs) // streams
-    lay = lambda x: x[: length * streams].reshape(streams, length).T
-    previous, classes, index, keep = lay(previous), lay(classes), lay(np.maximum(index, 0)), lay((~starts).astype(np.float32))
-    h = np.zeros((streams, HIDDEN), dtype=np.float32)
     m, s = np.zeros_like(net.weights), np.zeros_like(net.weights)
-    step = 0
-    for t in range(0, length, WINDOW):
-        cut = slice(t, t + WINDOW)
-        g, h, _ = net.learn_window(previous[cut], classes[cut], index[cut], h, keep[cut])
-        g *= min(1.0, 1.0 / max(float(np.sqrt((g * g).sum())), 1e-9))
-        step += 1
-        m += 0.1 * (g - m)
-        s += 0.01 * (g * g - s)
-        net.weights -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
-    return net.weights, length * streams
+    step = tokens = 0
+    for parts in _portions(batches, v):
+        inputs = np.concatenate([p[3] for p in parts])
+        classes, index = np.concatenate([p[2] for p in parts]), np.concatenate([p[1] for p in parts])
+        starts = np.zeros(len(inputs), dtype=bool)
+        at = 0
+        for p in parts:
+            starts[p[4][:-1] + at] = True
+            at += len(p[3])
+        previous = np.where(starts, net.start, np.concatenate([inputs[:1], inputs[:-1]]))
+        flat = previous, classes, np.maximum(index, 0), (~starts).astype(np.float32)
+        streams = max(1, min(STREAMS, len(inputs) // WINDOW))
+        even = len(inputs) // streams * streams
+        # What the streams leave over, fewer tokens than there are streams, is a stream of its own.
+        for laid in ([x[:even].reshape(streams, -1).T for x in flat], [x[even:].reshape(1, -1).T for x in flat]):
+            previous, classes, index, keep = laid
+            h = np.zeros((previous.shape[1], HIDDEN), dtype=np.float32)
+            for t in range(0, len(previous), WINDOW):
+                cut = slice(t, t + WINDOW)
+                g, h, _ = net.learn_window(previous[cut], classes[cut], index[cut], h, keep[cut])
+                g *= min(1.0, 1.0 / max(float(np.sqrt((g * g).sum())), 1e-9))
+                step += 1
+                m += 0.1 * (g - m)
+                s += 0.01 * (g * g - s)
+                net.weights -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            tokens += previous.size
+    return net.weights, tokens
 
 
 def _average(group: pd.DataFrame) -> pd.DataFrame:
@@ -319,7 +337,7 @@ def _average(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
-    """Train on ``docs(text)``: tasks train side by side, their weights are averaged after every round."""
+    """Train on all of ``docs(text)``, each text in one round: tasks train side by side, their weights are averaged after every round."""
     spark = docs.sparkSession
     net = Network(vocabulary)
     net.start_from_counts(vocabulary)
@@ -335,7 +353,8 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
                 yield pa.RecordBatch.from_arrays([pa.array([int(np.abs(new[:8]).sum() * 1e6) % 64], pa.int32()), pa.array([tokens], pa.int64()), pa.array([new.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
 
         # Averages of at most 64 groups of tasks, then their average.
-        some = docs.select("text").mapInArrow(run, schema).groupBy("part").applyInPandas(lambda k, g: _average(g), "tokens long, weights binary")
+        turn = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
+        some = turn.mapInArrow(run, schema).groupBy("part").applyInPandas(lambda k, g: _average(g), "tokens long, weights binary")
         found = some.groupBy().applyInPandas(lambda k, g: _average(g), "tokens long, weights binary").collect()
         if found:
             weights = np.frombuffer(found[0].weights, dtype=np.float32).copy()
@@ -404,8 +423,7 @@ def score_documents(docs: DataFrame, trained: DataFrame | None = None) -> DataFr
     held = fold(F.col("doc_id"), 7) == 2
     learning = docs.where(~held)
     counts, v = count_tokens(learning)
-    sample = stored(learning.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(TRAIN_ONE_IN)) == 0).select("text"))
-    weights = train(sample, v)
+    weights = train(learning.select("text"), v)
     shared = docs.sparkSession.sparkContext.broadcast((v, weights))
     keyed = docs.select(order_key(F.col("doc_id")).alias("ord"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"), "text")
 
