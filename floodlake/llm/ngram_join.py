@@ -7,8 +7,9 @@ Jaccard similarity 0.8 or more then share one of the first
 counted in a table of ``BUCKETS`` hash buckets over all documents: it orders
 shingles well enough, is the same size for any input, and any order is exact.
 
-Prefix shingles that occur once drop out in an aggregation.  The rest are
-joined in two steps so that no group of copies is spelled out as pairs:
+The prefixes are shuffled once, by shingle, and shingles of one node drop out
+where they lie; shingles of very full buckets are dealt over several tasks and
+looked at by an aggregation.  The rest are joined in two steps so that no group of copies is spelled out as pairs:
 
 1. every node is paired with a few pivots per shingle; pairs that pass the filters
    and verify are links, and linked nodes merge.  Again with other pivots, while
@@ -18,8 +19,9 @@ joined in two steps so that no group of copies is spelled out as pairs:
 
 Filters before verification: length (sizes within 0.8), position (what can
 follow the shared shingle in both), and suffix: the parities of the sets' parts
-in 512 hash classes; classes that differ bound from below how many shingles are
-in one of the sets only, so none of the filters drops a link.
+in 512 hash classes, of larger sets in about as many classes as they have
+shingles; classes that differ bound from below how many shingles are in one of
+the sets only, so none of the filters drops a link.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext
@@ -42,11 +44,13 @@ WORDS, PERCENT = 5, 80
 BUCKETS = 1 << 20
 #: The table is summed in so many pieces, each by a task of its own.
 PIECES = 32
+#: A bucket is very full beyond ``FULL`` times the mean and ``FULL_LEAST`` more; its shingles' postings are dealt to so many tasks.
+FULL, FULL_LEAST, SALTS = 8, 1000, 32
 #: Nodes (16 bytes each) up to which their texts are picked by a broadcast join.
 BROADCAST_ROWS = 500_000
 #: Turns of pairing with pivots, and pairs per node up to which the rest are looked at one by one.
 MAX_TURNS, CHEAP = 6, 50
-#: 64-bit words of parities for the suffix filter.
+#: 64-bit words of parities for the suffix filter; larger sets have more besides.
 PARITIES = 8
 
 
@@ -83,8 +87,22 @@ def _parities(sets: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
 
 
+def _fine(sets: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The same over more classes for sets larger than ``_parities`` has classes: the next power of two; null for others."""
+    n = np.diff(first)
+    much = n > 64 * PARITIES
+    bits = np.where(much, 1 << np.ceil(np.log2(np.maximum(n, 2))).astype(np.int64), 0)
+    begin = np.concatenate([[0], np.cumsum(bits)])
+    owner = np.repeat(np.arange(len(n)), n)
+    own = much[owner]
+    owner = owner[own]
+    part = (bytetext.mix(sets[own] + np.uint64(7)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(begin[owner] + part, minlength=int(begin[-1])) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays((begin // 64).astype(np.int32), pa.array(np.packbits(odd).view(np.int64)), mask=pa.array(~much))
+
+
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per text (doc_id, mark, n_shingles, node, parts), and at the end the task's frequency table in pieces."""
+    """One row per text (doc_id, mark, n_shingles, node, parts, fine), and at the end the task's frequency table in pieces."""
     counts = np.zeros(BUCKETS, dtype=np.uint32)
     for batch in batches:
         ids, marks = batch.column("doc_id"), batch.column("mark")
@@ -95,25 +113,25 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # A sum doesn't depend on the order of the set.
             node = bytetext.mix(_sum_by_text(bytetext.mix(sets), first) + n.astype(np.uint64))
             parts = _parities(sets, np.repeat(np.arange(w.n_texts), n), w.n_texts)
-            yield _survey_batch(ids.slice(w.row, w.n_texts).cast(pa.int64()), marks.slice(w.row, w.n_texts), n, node, parts)
+            yield _survey_batch(ids.slice(w.row, w.n_texts).cast(pa.int64()), marks.slice(w.row, w.n_texts), n, node, parts, _fine(sets, first))
     used = np.flatnonzero(counts.reshape(PIECES, -1).any(axis=1))
     if len(used):
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(used), pa.int64()), *(pa.nulls(len(used), pa.int64()) for _ in range(3)), pa.nulls(len(used), pa.list_(pa.int64())),
+            [pa.nulls(len(used), pa.int64()), *(pa.nulls(len(used), pa.int64()) for _ in range(3)), *(pa.nulls(len(used), pa.list_(pa.int64())) for _ in range(2)),
              pa.array(used.astype(np.int32)), pa.array([zlib.compress(counts.reshape(PIECES, -1)[i].tobytes(), 1) for i in used], pa.binary())],
             names=_SURVEY_NAMES,
         )
 
 
-_SURVEY = "doc_id long, mark long, n_shingles long, node long, parts array<long>, piece int, counts binary"
-_SURVEY_NAMES = ["doc_id", "mark", "n_shingles", "node", "parts", "piece", "counts"]
+_SURVEY = "doc_id long, mark long, n_shingles long, node long, parts array<long>, fine array<long>, piece int, counts binary"
+_SURVEY_NAMES = ["doc_id", "mark", "n_shingles", "node", "parts", "fine", "piece", "counts"]
 
 
-def _survey_batch(ids: pa.Array, marks: pa.Array, n: np.ndarray, node: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+def _survey_batch(ids: pa.Array, marks: pa.Array, n: np.ndarray, node: np.ndarray, parts: np.ndarray, fine: pa.Array) -> pa.RecordBatch:
     k = len(n)
     lists = pa.ListArray.from_arrays(np.arange(0, (k + 1) * PARITIES, PARITIES, dtype=np.int32), pa.array(parts.ravel()))
     return pa.RecordBatch.from_arrays(
-        [ids, marks, pa.array(n.astype(np.int64)), pa.array(bytetext.signed(node)), lists, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+        [ids, marks, pa.array(n.astype(np.int64)), pa.array(bytetext.signed(node)), lists, fine, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
         names=_SURVEY_NAMES,
     )
 
@@ -143,11 +161,17 @@ def prefix_length(size: np.ndarray) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(token, node, size, pos) for the prefix of each document's set; pos counts from 0."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    """(token, salt, node, size, pos) for the prefix of each document's set; pos counts from 0.
+
+    ``salt`` is 0 but for shingles of very full buckets, whose postings it deals
+    over several tasks.
+    """
+    used = table[table > 0]
+    full = FULL * (float(used.mean()) if len(used) else 0.0) + FULL_LEAST
+    shared = docs.sparkSession.sparkContext.broadcast((table, full))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, full = shared.value
         for batch in batches:
             for w in bytetext.slices(batch.column("text"), lower=True):
                 sets, first = _sets(w)
@@ -161,12 +185,32 @@ def _postings(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 alone = np.zeros(w.n_texts, dtype=bool)
                 alone[once] = True
                 keep &= np.repeat(alone, n)
+                token, whose = sets[order][keep], node[owner[keep]]
+                much = counts[(token & np.uint64(BUCKETS - 1)).astype(np.int64)] > full
+                salt = np.where(much, 1 + (bytetext.mix(whose) % np.uint64(SALTS)).astype(np.int8), 0).astype(np.int8)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bytetext.signed(sets[order][keep])), pa.array(bytetext.signed(node[owner[keep]])), pa.array(n[owner[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
-                    names=["token", "node", "size", "pos"],
+                    [pa.array(bytetext.signed(token)), pa.array(salt), pa.array(bytetext.signed(whose)), pa.array(n[owner[keep]].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                    names=["token", "salt", "node", "size", "pos"],
                 )
 
-    return docs.select("text").mapInArrow(run, "token long, node long, size int, pos int")
+    return docs.select("text").mapInArrow(run, "token long, salt byte, node long, size int, pos int")
+
+
+def _shared(postings: DataFrame) -> DataFrame:
+    """(token, node, size, pos): the postings whose shingle is in the prefix of several nodes.
+
+    All postings are shuffled once, by token and salt; whether a token has
+    several nodes is then seen where its postings lie.  Only the dealt tokens
+    need a further look over their salts.
+    """
+    own = Window.partitionBy("token", "salt")
+    dealt = postings.repartition("token", "salt").withColumns({"x": F.min("node").over(own), "y": F.max("node").over(own)})
+    dealt = dealt.where("salt > 0 OR x <> y").groupBy("token", "salt", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos"))
+    dealt = stored(dealt)
+    much = dealt.where("salt > 0")
+    several = much.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
+    names = ["token", "node", "size", "pos"]
+    return dealt.where("salt = 0").select(*names).unionAll(much.join(several, "token", "left_semi").select(*names))
 
 
 def _needed(a: Column, b: Column) -> Column:
@@ -190,14 +234,22 @@ def _words(array: str) -> list[Column]:
     return [F.get(array, i) for i in range(PARITIES)]
 
 
+def _finely(a: Column, b: Column) -> Column:
+    """The same for the finer parities: of the larger, halves meet until both are as long."""
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.size(x) / 2), F.slice(x, F.size(x) / 2 + 1, F.size(x) / 2), lambda u, v: u.bitwiseXOR(v))
+    x, y = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, u: n + u)
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are similar; each is compared once."""
-    size = nodes.select("node", "size", "parts", "rep")
-    left = size.select(F.col("node").alias("a"), F.col("size").alias("sa"), F.col("parts").alias("pa"), F.col("rep").alias("ra"))
-    right = size.select(F.col("node").alias("b"), F.col("size").alias("sb"), F.col("parts").alias("pb"), F.col("rep").alias("rb"))
+    left, right = (nodes.select(F.col("node").alias(s), *[F.col(c).alias(f"{c[0]}{s}") for c in ("size", "parts", "fine", "rep")]) for s in ("a", "b"))
     both = pairs.join(left, "a").join(right, "b")
     apart = F.col("sa") + F.col("sb") - 2 * _needed(F.col("sa"), F.col("sb"))
-    likely = stored(both.where(_differing(_words("pa"), _words("pb")) <= apart).select("a", "b", "sa", "sb", "ra", "rb"))
+    coarse = _differing(_words("pa"), _words("pb")) <= apart
+    # Similar sets differ in size by a quarter at most, so finer parities differ in length by one doubling at most.
+    finer = F.col("fa").isNull() | F.col("fb").isNull() | (100 * F.least("sa", "sb") >= PERCENT * F.greatest("sa", "sb")) & (_finely(F.col("fa"), F.col("fb")) <= apart)
+    likely = stored(both.where(coarse).where(finer).select("a", "b", "sa", "sb", "ra", "rb"))
     wanted = likely.select(F.col("ra").alias("doc_id"), F.col("a").alias("node")).union(likely.select("rb", "b")).distinct()
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)  # beyond that, texts and nodes are shuffled together
@@ -244,8 +296,8 @@ def _clusters(docs: DataFrame) -> DataFrame:
     """The rows of ``cluster_documents`` with mark, the hash of the text, and cluster, one node of the component, besides."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     survey = stored(docs.withColumn("mark", _mark()).mapInArrow(_survey, _SURVEY))
-    rows = survey.where("node is not null").select("doc_id", "mark", "n_shingles", "node", "parts")
-    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").cast("int").alias("size"), F.first("parts").alias("parts"))
+    rows = survey.where("node is not null").select("doc_id", "mark", "n_shingles", "node", "parts", "fine")
+    nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").cast("int").alias("size"), F.first("parts").alias("parts"), F.first("fine").alias("fine"))
     links = _links(docs, nodes, _frequencies(survey))
     groups = components(links)
     named = nodes.join(groups, "node").groupBy("component").agg(F.min("rep").alias("least"))
@@ -256,9 +308,7 @@ def _clusters(docs: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, nodes: DataFrame, table: np.ndarray) -> DataFrame:
     """Links (a, b) between nodes that join the same components as all similar pairs do."""
-    postings = _postings(docs, table)
-    met = postings.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("token")
-    shared = stored(postings.join(met, "token", "left_semi").groupBy("token", "node").agg(F.min("size").alias("size"), F.min("pos").alias("pos")))
+    shared = stored(_shared(_postings(docs, table)))
     few = CHEAP * nodes.count()
     open_ = shared.withColumn("component", F.col("node"))
     tried, links = [], []
