@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 # HTML elements by kind.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = set("script style noscript template head title iframe object svg canvas select option textarea button".split())
+IN_HEAD = set("base link meta noscript script style template title".split())
 BLOCK = set(
     "html body article main section div nav aside header footer form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption address details summary hr center dialog".split()
 )
@@ -139,6 +140,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.stack[-1][0] == "head" and tag not in IN_HEAD:
+            self.pop()  # the end tag of a head may be left out
         if tag == "br":
             self.run.append(" ")
             return
@@ -190,6 +193,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self.pop()
         if not self.dropped:
             self.run.append(data)
             if self.links:
