@@ -29,8 +29,16 @@ _CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)")
 _ROLE_CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>)|\n")
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"### ((?:[^\\\n]|\\.)*)\n((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.DOTALL)
-#: Stands for a turn's text while its place is looked for (private-use characters).
-_PROBE = "\uf8ff\ue000\uf8ff"
+#: Characters (private use) of what stands for a turn's text while its place is looked for.
+_EDGE, _MIDDLE = "\uf8ff", "\ue000"
+
+
+def _probe(output: str) -> str:
+    """A string that does not occur in ``output``."""
+    n = 1
+    while (probe := _EDGE + _MIDDLE * n + _EDGE) in output:
+        n += 1
+    return probe
 
 
 def escape(text: str) -> str:
@@ -69,15 +77,20 @@ class Located:
 
 
 def locate(template: Template, turns: Sequence[Turn]) -> Located:
-    """Render all prefixes; compare each output with the one before it."""
+    """Render all prefixes; compare each output with the one before it.
+
+    A conversation of n turns is rendered 2 n times, so the cost grows with the
+    square of its length: the template is a black box.
+    """
     spans: list[tuple[int, int, int, int]] = []
     before = template(turns[:0])
     for i, (role, _) in enumerate(turns):
         now = template(turns[: i + 1])
-        probe = template([*turns[:i], (role, _PROBE)])
-        if not now.startswith(before) or not probe.startswith(before) or (at := probe.find(_PROBE, len(before))) < 0:
+        mark = _probe(now)
+        probe = template([*turns[:i], (role, mark)])
+        if not now.startswith(before) or not probe.startswith(before) or (at := probe.find(mark, len(before))) < 0:
             return Located(template(turns), [], True)
-        tail = len(probe) - at - len(_PROBE)
+        tail = len(probe) - at - len(mark)
         end = len(now) - tail
         if end < at or now[:at] != probe[:at] or now[end:] != probe[len(probe) - tail :]:
             return Located(template(turns), [], True)
@@ -135,3 +148,16 @@ def digests(formatted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(n, pa.int64()), pa.array(turns, pa.string()), pa.array(chars, pa.int64()), pa.array(loss, pa.string()), pa.array(total, pa.int64())], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     return formatted.select("conv_id", "formatted", "loss").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+#: DuckDB SQL for the rows of the query, by plain string functions.
+ORACLE = r"""
+WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, n, who, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(n, who)),
+sized AS (SELECT *, len(text) + len(text) - len(replace(text, '\', '')) + len(array_to_string(regexp_extract_all(text, '#{3,}'), '')) - 2 * len(regexp_extract_all(text, '#{3,}')) + (len(text) - len(replace(text, '</turn>', ''))) // 7
+  + len(role) + len(role) - len(replace(role, '\', '')) + len(array_to_string(regexp_extract_all(role, '#{3,}'), '')) - 2 * len(regexp_extract_all(role, '#{3,}')) + (len(role) - len(replace(role, '</turn>', ''))) // 7
+  + len(role) - len(replace(role, chr(10), '')) + len('### ') + 1 + len('</turn>') + 1 AS chars FROM said),
+gathered AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM sized GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM gathered
+"""
