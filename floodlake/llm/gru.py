@@ -42,7 +42,7 @@ FREQUENT = 1 << 16
 SPELLINGS, STEPS = 6, 3
 HIDDEN = 16
 #: Tokens over which errors flow back, and texts trained side by side.
-WINDOW, STREAMS = 32, 48
+WINDOW, STREAMS = 32, 256
 ROUNDS = 3
 #: Tokens that a task lays out and trains on at a time, so its memory doesn't grow with its share of the table.
 PORTION = 1 << 20
@@ -178,19 +178,26 @@ class Network:
         t_len, b = inputs.shape
         before, after = np.empty((2, t_len, b, n), dtype=np.float32)
         gates = np.empty((t_len, b, 3 * n), dtype=np.float32)
-        x = self.part["x"][inputs]
-        u = self.part["u"]
+        # The logistic function is a tanh of half its argument.
+        halves = np.repeat(np.array([0.5, 1.0], dtype=np.float32), [2 * n, n])
+        x = (self.part["x"] * halves)[inputs]
+        u = self.part["u"] * halves
         u_zr, u_n = np.ascontiguousarray(u[:, : 2 * n]), np.ascontiguousarray(u[:, 2 * n :])
         half = np.float32(0.5)
+        begins = keep.min(axis=1) < 1 if keep is not None else np.zeros(t_len, dtype=bool)
         for t in range(t_len):
-            if keep is not None:
+            if begins[t]:
                 h = h * keep[t][:, None]
             before[t] = h
-            g = gates[t]
-            # The logistic function as a tanh.
-            zr = np.tanh((x[t, :, : 2 * n] + h @ u_zr) * half) * half + half
-            new = np.tanh(x[t, :, 2 * n :] + (zr[:, n:] * h) @ u_n)
-            g[:, : 2 * n], g[:, 2 * n :] = zr, new
+            zr = np.dot(h, u_zr)
+            zr += x[t, :, : 2 * n]
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            new = np.dot(zr[:, n:] * h, u_n)
+            new += x[t, :, 2 * n :]
+            np.tanh(new, out=new)
+            gates[t, :, : 2 * n], gates[t, :, 2 * n :] = zr, new
             h = h + zr[:, :n] * (new - h)
             after[t] = h
         return before, after, gates
@@ -232,47 +239,71 @@ class Network:
         s = after.reshape(-1, n)
         c = classes.reshape(-1)
         m = len(c)
-        lc = self.log_classes(s)
-        loss = -lc[np.arange(m), c].sum()
-        d = np.exp(lc)
+        d = s @ self.part["c"]
+        d += self.part["cb"]
+        # States lie within 1, so the weights bound the exponents; the largest is taken off only where they could overflow.
+        if float(np.abs(self.part["c"]).sum(axis=0).max() + np.abs(self.part["cb"]).max()) > 60:
+            d -= d.max(axis=1, keepdims=True)
+        np.exp(d, out=d)
+        d /= d.sum(axis=1, keepdims=True)
+        loss = -np.log(np.maximum(d[np.arange(m), c], 1e-30)).sum()
         d[np.arange(m), c] -= 1
-        d /= m
+        d *= np.float32(1 / m)
         grad.part["c"][:] = s.T @ d
         grad.part["cb"][:] = d.sum(axis=0)
         ds = d @ self.part["c"].T
-        flat = tokens.reshape(-1)
-        own = np.flatnonzero(c < self.n_learned)
-        for k in np.unique(c[own]):
-            rows = own[c[own] == k]
-            zz = s[rows] @ self.part["w"][k] + self.part["wb"][k]
-            zz -= zz.max(axis=1, keepdims=True)
-            p = np.exp(zz)
+        # Tokens of one class lie together, each class has a softmax of its own.
+        own = np.argsort(c, kind="stable")
+        ends = np.searchsorted(c[own], np.arange(self.n_learned + 1))
+        own = own[: ends[-1]]
+        mine, slots = s[own], tokens.reshape(-1)[own] % CLASS_SIZE
+        back_in = np.empty_like(mine)
+        far = float(np.abs(self.part["w"]).sum(axis=1).max() + np.abs(self.part["wb"]).max()) > 60
+        for k in np.flatnonzero(np.diff(ends)):
+            rows = slice(ends[k], ends[k + 1])
+            p = mine[rows] @ self.part["w"][k]
+            p += self.part["wb"][k]
+            if far:
+                p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
             p /= p.sum(axis=1, keepdims=True)
-            slot = flat[rows] % CLASS_SIZE
-            loss -= np.log(np.maximum(p[np.arange(len(rows)), slot], 1e-30)).sum()
-            p[np.arange(len(rows)), slot] -= 1
-            p /= m
-            grad.part["w"][k] = s[rows].T @ p
+            hit = np.arange(len(p)), slots[rows]
+            loss -= np.log(np.maximum(p[hit], 1e-30)).sum()
+            p[hit] -= 1
+            p *= np.float32(1 / m)
+            grad.part["w"][k] = mine[rows].T @ p
             grad.part["wb"][k] = p.sum(axis=0)
-            ds[rows] += p @ self.part["w"][k].T
+            back_in[rows] = p @ self.part["w"][k].T
+        ds[own] += back_in
         ds = ds.reshape(t_len, b, n)
         dx = np.empty((t_len, b, 3 * n), dtype=np.float32)
         u = self.part["u"]
+        z, r, new = (np.ascontiguousarray(gates[:, :, at : at + n]) for at in (0, n, 2 * n))
+        # What each step's error is multiplied by on its way to the gates, for all steps at once.
+        by_new, by_z, by_r, hold = z * (1 - new * new), (new - before) * z * (1 - z), before * r * (1 - r), 1 - z
+        back_n, back_zr = np.ascontiguousarray(u[:, 2 * n :].T), np.ascontiguousarray(u[:, : 2 * n].T)
+        begins = keep.min(axis=1) < 1
         back = np.zeros((b, n), dtype=np.float32)
         for t in range(t_len - 1, -1, -1):
             back = back + ds[t]
-            old, g = before[t], gates[t]
-            z, r, new = g[:, :n], g[:, n : 2 * n], g[:, 2 * n :]
-            d_new = back * z * (1 - new * new)
-            d_z = back * (new - old) * z * (1 - z)
-            d_rh = d_new @ u[:, 2 * n :].T
-            d_r = d_rh * old * r * (1 - r)
-            dx[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            grad.part["u"][:, : 2 * n] += old.T @ dx[t][:, : 2 * n]
-            grad.part["u"][:, 2 * n :] += (r * old).T @ d_new
-            back = back * (1 - z) + d_rh * r + dx[t][:, : 2 * n] @ u[:, : 2 * n].T
-            back = back * keep[t][:, None]
-        np.add.at(grad.part["x"], inputs.reshape(-1), dx.reshape(-1, 3 * n))
+            one = dx[t]
+            np.multiply(back, by_new[t], out=one[:, 2 * n :])
+            d_rh = np.dot(one[:, 2 * n :], back_n)
+            np.multiply(back, by_z[t], out=one[:, :n])
+            np.multiply(d_rh, by_r[t], out=one[:, n : 2 * n])
+            back *= hold[t]
+            d_rh *= r[t]
+            back += d_rh
+            back += np.dot(one[:, : 2 * n], back_zr)
+            if begins[t]:
+                back = back * keep[t][:, None]
+        flat, old = dx.reshape(-1, 3 * n), before.reshape(-1, n)
+        grad.part["u"][:, : 2 * n] = old.T @ flat[:, : 2 * n]
+        grad.part["u"][:, 2 * n :] = (r * before).reshape(-1, n).T @ flat[:, 2 * n :]
+        order = np.argsort(inputs.reshape(-1), kind="stable")
+        which = inputs.reshape(-1)[order]
+        starts = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+        grad.part["x"][which[starts]] = np.add.reduceat(flat[order], starts, axis=0)
         return grad.weights, after[-1], float(loss) / m
 
 
@@ -321,11 +352,11 @@ def _train(batches: Iterator[pa.RecordBatch], v: Vocabulary, weights: np.ndarray
             for t in range(0, len(previous), WINDOW):
                 cut = slice(t, t + WINDOW)
                 g, h, _ = net.learn_window(previous[cut], classes[cut], index[cut], h, keep[cut])
-                g *= min(1.0, 1.0 / max(float(np.sqrt((g * g).sum())), 1e-9))
+                g *= min(1.0, 1.0 / max(float(np.sqrt(np.dot(g, g))), 1e-9))
                 step += 1
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
-                net.weights -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+                net.weights -= (rate / (1 - 0.9**step)) * m / (np.sqrt(s * (1 / (1 - 0.99**step))) + 1e-6)
             tokens += previous.size
     return net.weights, tokens
 
