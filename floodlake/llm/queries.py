@@ -42,7 +42,7 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     out = toxicity.score_texts(docs, model, keep=["doc_id"])
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
@@ -79,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_line_dedup": lines.ORACLE,
+    "op5_chat": chat.ORACLE,
     "op6_ngram_join": ngram_join.ORACLE,
     "op8_decontaminate": decontam.ORACLE,
     "op9_substring_dedup": substrings.ORACLE,
