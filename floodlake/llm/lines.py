@@ -1,18 +1,23 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
 A document is its lines that hold words.  A window is the shortest run of
-lines, from any line on, that holds ``min_words`` words.  The smallest line
-hash of each window (the last of equals) is its fingerprint: it depends on the
-window alone, so two copies of a run of ``min_words`` words always share one.
-Fingerprints that occur once settle their windows at once.  Around the others
-the match is extended both ways, to the windows that hold the fingerprint;
-windows whose whole line sequence starts earlier (smaller doc_id, or the same
-document further up) are later copies, and the runs they form are deleted.
+lines that holds ``min_words`` words, reaching forward from any line or back
+from any line.  The smallest line hash of each window (the last of equals) is
+its fingerprint: it depends on the window alone, so two copies of a run of
+``min_words`` words always share one.  Fingerprints that occur once settle
+their windows at once.  Around the others the match is extended both ways, to
+the windows that hold the fingerprint; windows whose whole line sequence starts
+earlier (smaller doc_id, or the same document further up) are later copies.
+
+Every line of a repeated run of ``min_words`` words lies in a window of that
+run: in the one that reaches forward from it, or, near the run's end, in the
+one that reaches back from the last line.  So just the lines of runs that occur
+earlier are deleted, to the run's first and last line.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .frames import WORD, order_key
@@ -28,16 +33,17 @@ def _windows(docs: DataFrame, min_words: int) -> DataFrame:
     # Rows that repeat wholly are one document here; the windows below need no further shuffle.
     lines = lines.repartition("ord", "mark").distinct()
     run = Window.partitionBy("ord", "mark").orderBy("pos")
-    lines = lines.withColumn("at", F.sum("words").over(run) - F.col("words"))
-    span = Window.partitionBy("ord", "mark").orderBy("at").rangeBetween(0, min_words - 1)
-    wide = lines.select(
-        "ord", "mark", F.col("pos").alias("first"),
-        F.max("pos").over(span).alias("last"),
-        F.sum("words").over(span).alias("held"),
-        F.min("h").over(span).alias("print"),
-        F.collect_list(F.struct("h", "h2")).over(span).alias("hashes"),
-    )
-    return wide.where(F.col("held") >= min_words).select("ord", "mark", "first", "last", "print", F.xxhash64("hashes").alias("sequence"), F.hash("hashes").alias("sequence2"))
+    lines = lines.withColumn("end", F.sum("words").over(run)).withColumn("at", F.col("end") - F.col("words"))
+    ahead = Window.partitionBy("ord", "mark").orderBy("at").rangeBetween(0, min_words - 1)
+    back = Window.partitionBy("ord", "mark").orderBy("end").rangeBetween(-(min_words - 1), 0)
+
+    def window(span: WindowSpec, words: str) -> Column:
+        hashes = F.collect_list(F.struct("h", "h2")).over(span)
+        return F.struct(F.min("pos").over(span).alias("first"), F.max("pos").over(span).alias("last"), F.min("h").over(span).alias("print"), F.xxhash64(hashes).alias("sequence"), F.hash(hashes).alias("sequence2"), (F.sum("words").over(span) - F.expr(words)).alias("held"))
+
+    # A window that reaches back is a new one only if it holds enough without its last line.
+    wide = lines.select("ord", "mark", F.array(window(ahead, "0"), window(back, "words")).alias("both"))
+    return wide.select("ord", "mark", F.inline(F.filter("both", lambda w: w["held"] >= min_words))).drop("held")
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -60,7 +66,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with text cleared of later repeated runs, and n_lines and n_removed besides.
 
     A null text counts as one empty line and stays null; blank lines hold no
-    words, take no part and go only inside a deleted run.  Rows that share an id count
+    words, take no part and go only inside a deleted window.  Rows that share an id count
     as the same document, so of equal rows none is deleted for the other; null
     ids share the last place.  All other columns are kept as they are.  An empty
     table gives an empty result.
@@ -84,9 +90,11 @@ ORACLE = r"""
 WITH texts AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(doc_id, 9223372036854775807) AS ord, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
 lines AS (SELECT row_id, ord, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM texts),
 worded AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM lines),
-placed AS (SELECT *, sum(words) OVER (PARTITION BY row_id ORDER BY pos) - words AS at_word FROM worded WHERE words > 0),
+placed AS (SELECT *, sum(words) OVER (PARTITION BY row_id ORDER BY pos) AS end_word FROM worded WHERE words > 0),
 spans AS (SELECT row_id, ord, pos AS first_line, max(pos) OVER w AS last_line, sum(words) OVER w AS held, md5(array_to_string(list(line) OVER w, chr(10))) AS seq
-  FROM placed WINDOW w AS (PARTITION BY row_id ORDER BY at_word RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING)),
+  FROM (SELECT *, end_word - words AS at_word FROM placed) WINDOW w AS (PARTITION BY row_id ORDER BY at_word RANGE BETWEEN CURRENT ROW AND 9 FOLLOWING)
+  UNION ALL SELECT row_id, ord, min(pos) OVER w, pos, sum(words) OVER w, md5(array_to_string(list(line) OVER w, chr(10)))
+  FROM placed WINDOW w AS (PARTITION BY row_id ORDER BY end_word RANGE BETWEEN 9 PRECEDING AND CURRENT ROW)),
 origins AS (SELECT seq, min({'o': ord, 'f': first_line}) AS origin FROM spans WHERE held >= 10 GROUP BY seq),
 gone AS (SELECT DISTINCT row_id, unnest(range(first_line, last_line + 1)) AS pos FROM spans JOIN origins USING (seq)
   WHERE held >= 10 AND (origin.o < ord OR origin.o = ord AND origin.f < first_line)),
