@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -164,32 +165,67 @@ def test_html_article(spark, tree_model):
     assert html_tree.extract_pages(pages.limit(0), tree_model).count() == 0
 
 
+@pytest.mark.parametrize("start", ["<html><head><title>t</title><body>", "<head><meta charset=u><title>t</title>", "<title>t</title><body>", "<html><head><title>t</title></head>", "", "<!doctype html><html><head><style>p{}</style><script>x()</script><body>"])
+def test_html_tags_left_out(spark, tree_model, start):
+    page = f"{start}<nav><a href='/a'>Home</a></nav><article><h1>A title</h1><p>First part of it, which goes on for a while.<p>Second part, a longer one that says something at length.</article><footer>&copy; site</footer>"
+    got = html_tree.extract_pages(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string"), tree_model).first()
+    assert got.text == "A title\n\nFirst part of it, which goes on for a while.\n\nSecond part, a longer one that says something at length."
+
+
+def _article_by_pattern(page):
+    """The text of a page's article element, by patterns alone."""
+    inner = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
+    inner = re.sub(r"<!--.*?-->|<(script|style|aside|form|figure|nav)\b.*?</\1>", "", inner, flags=re.S)
+    parts = re.split(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|pre|table|tr|td|th|header|footer|dl|dt|dd)\b[^>]*>", inner)
+    texts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br\s*/?>", " ", x))).split()) for x in parts]
+    return "\n\n".join(t for t in texts if t)
+
+
+def test_html_query_gives_the_articles(spark):
+    pages = {r.page_id: r.html for r in frames.table(spark, SMALL, "pages").collect()}
+    got = {r.page_id: r for r in queries.op2_extract_html(spark, SMALL).collect()}
+    known = {i: _article_by_pattern(h) for i, h in pages.items() if h and len(re.findall("<article", h)) == 1}
+    right = [got[i].text == t for i, t in known.items()]
+    assert set(got) == set(pages) and all(r.n_chars == len(r.text) for r in got.values())
+    assert len(right) >= 10 and np.mean(right) >= 0.95, [(i, got[i].text[:200], t[:200]) for i, t in known.items() if got[i].text != t][:2]
+
+
 # 3
 
 
 def _lines_by_hand(rows):
-    """(removed positions per row) by comparing all windows."""
-    windows = collections.defaultdict(list)
+    """(removed positions per row) by comparing all runs of lines with 10 words or more; blank lines go inside a shortest such run."""
+    runs = collections.defaultdict(list)
     for k, r in enumerate(rows):
         parts = [(i, x, len(WORD.findall(x))) for i, x in enumerate((r[1] or "").split("\n"))]
         parts = [p for p in parts if p[2]]
+        order = frames.LAST if r[0] is None else r[0]
         for a in range(len(parts)):
-            n, b = 0, a
-            while b < len(parts) and n < lines.MIN_WORDS:
+            n = 0
+            for b in range(a, min(len(parts), a + 60)):
                 n += parts[b][2]
-                b += 1
-            if n >= lines.MIN_WORDS:
-                order = frames.LAST if r[0] is None else r[0]
-                windows[tuple(p[1] for p in parts[a:b])].append((order, parts[a][0], k, parts[b - 1][0]))
+                if n >= lines.MIN_WORDS:
+                    least = n - parts[a][2] < lines.MIN_WORDS or n - parts[b][2] < lines.MIN_WORDS
+                    runs[tuple(p[1] for p in parts[a : b + 1])].append((order, parts[a][0], k, [p[0] for p in parts[a : b + 1]], least))
     gone = collections.defaultdict(set)
-    for places in windows.values():
+    for places in runs.values():
         first = min(p[:2] for p in places)
-        for order, start, k, stop in places:
+        for order, start, k, at, least in places:
             if (order, start) > first:
-                gone[k].update(range(start, stop + 1))
+                gone[k].update(range(at[0], at[-1] + 1) if least else at)
     return gone
 
 
+def test_line_runs_go_to_their_ends(spark):
+    long = " ".join(f"w{i}" for i in range(12))
+    run = f"head\n{long}\nshort tail\nend"
+    rows = [(1, f"own line here\n{run}\nafter"), (2, f"before this\n{run}\nother"), (3, run), (4, f"{long} more\nshort tail\nend"), (5, f"x\n\n{long}\n\nshort tail\nnew {long}\nend")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = {r.doc_id: r.text for r in lines.dedup_lines(docs).collect()}
+    assert got[2] == "before this\nother" and got[3] == "" and got[1] == rows[0][1] and got[4] == rows[3][1]
+    assert got[5] == f"x\n\nnew {long}\nend"
+
+
 def test_line_dedup_by_hand(docs, rows):
     got = sorted(((r.doc_id, r.n_removed, r.text) for r in lines.dedup_lines(docs.withColumn("gone", F.lit(1)).withColumn("lines", F.lit("x"))).collect()), key=repr)
     gone = _lines_by_hand(rows)
@@ -259,6 +295,20 @@ def test_chat_awkward_rows(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\na\nassistant\nb\nassistant\nb\n").hexdigest() and got[None].n_turns == 1
 
 
+def test_chat_roles_that_hold_the_probe():
+    turns = [("\uf8ff\ue000\uf8ff", "\uf8ff\ue000\ue000\uf8ff"), ("assistant", "\uf8ff\ue000\uf8ff said \uf8ff\ue000\ue000\uf8ff")] * 2
+    found = chat.locate(chat.turn_template, turns)
+    assert not found.rewrites and [chat.unescape(found.output[c:d]) for _, _, c, d in found.spans] == [t for _, t in turns]
+
+
+def test_chat_empty_table_many_turns_and_long_texts(spark):
+    frame = spark.createDataFrame([(1, i, ["user", "assistant"][i % 2], f"turn {i}") for i in range(500)] + [(2, 0, "assistant", LONG)], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(frame)).collect()}
+    assert got[1].n_turns == 500 and got[1].loss_sha256 == hashlib.sha256("".join(f"turn {i}" for i in range(1, 500, 2)).encode()).hexdigest()
+    assert got[2].loss_chars == len(LONG)
+    assert chat.digests(chat.format_conversations(frame.limit(0))).count() == 0
+
+
 # 6
 
 
@@ -314,15 +364,105 @@ def test_toxicity_learns_and_ignores_other_columns(spark):
         rows.append((i, " ".join(words), "en", "s", 1))
         labels.append((i, 1, int(toxic)))
     docs = spark.createDataFrame([*rows, (None, None, None, None, None), (5000, "", None, None, 0)], DOCS)
-    model = toxicity.fit(toxicity.training_rows(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    model = toxicity.fit(*toxicity.training_rows(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
     got = {r.doc_id: r for r in toxicity.score_texts(docs.withColumn("score", F.lit(1)), model).collect()}
     held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i].predicted == labels[i][2] for i in held]) > 0.97
     assert all(0 <= r.score <= 1 for r in got.values()) and got[None].score == got[5000].score
-    none = toxicity.fit(toxicity.training_rows(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    none = toxicity.fit(*toxicity.training_rows(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
     assert {r.score for r in toxicity.score_texts(docs, none).collect()} == {0.5}
 
 
+def _kneser_ney_by_hand(texts, d=toxicity.DISCOUNT):
+    """A function of (left, word) for each value of CHANCE: the difference of the interpolated log-likelihoods, by dictionaries."""
+    count = [collections.Counter(), collections.Counter()]
+    for text, toxic in texts:
+        w = WORD.findall(_fold(text))
+        count[toxic].update(zip(["", *w[:-1]], w))
+    pairs = set(count[0]) | set(count[1])
+    unit = lambda w, j: (j, w.encode()[: toxicity.LEVELS[j]] if j else w.encode())
+    levels = range(len(toxicity.LEVELS))
+    k, kc = collections.Counter(), [collections.Counter(), collections.Counter()]
+    for left, w in pairs:
+        for j in levels:
+            k[unit(w, j)] += 1
+            for c in (0, 1):
+                kc[c][unit(w, j)] += count[c][left, w] > 0
+    whole, per = len(pairs), [sum(v for u, v in kc[c].items() if u[0] == 0) for c in (0, 1)]
+    spare = [[sum(min(v, d) for u, v in kc[c].items() if u[0] == j) for j in levels] for c in (0, 1)]
+
+    def z(n0, n1, h0, h1):
+        e = (n0 + n1) * h1 / max(h0 + h1, 1)
+        return abs(n1 - e) / math.sqrt(e + 1)
+
+    def p(c, w, j):
+        last = j == len(levels) - 1
+        base = k[unit(w, j)] / whole if last else p(c, w, j + 1) * k[unit(w, j)] / k[unit(w, j + 1)]
+        return max(kc[c][unit(w, j)] - d, 0) / per[c] + spare[c][j] / per[c] * base
+
+    def ratio(w, j, chance):
+        if j == len(levels):
+            return 0.0
+        low = ratio(w, j + 1, chance)
+        if not k[unit(w, j)]:
+            return low
+        s = z(kc[0][unit(w, j)], kc[1][unit(w, j)], *per) ** 4
+        s /= s + chance**4
+        return s * math.log(p(1, w, j) / p(0, w, j)) + (1 - s) * low
+
+    by_left = [collections.defaultdict(list) for _ in (0, 1)]
+    for c in (0, 1):
+        for (left, _), n in count[c].items():
+            by_left[c][left].append(n)
+
+    def pair(left, w, chance):
+        low = ratio(w, 0, chance)
+        if (left, w) not in pairs:
+            return low
+        h, n = [sum(by_left[c][left]) for c in (0, 1)], [count[c][left, w] for c in (0, 1)]
+        q = [(max(n[c] - d, 0) + sum(min(x, d) for x in by_left[c][left]) * p(c, w, 0)) / h[c] if h[c] else p(c, w, 0) for c in (0, 1)]
+        s = min(z(*n, *h), 2 * z(kc[0][unit(w, 0)], kc[1][unit(w, 0)], *per)) ** 4
+        s /= s + (toxicity.OF_PAIRS * chance) ** 4
+        return s * math.log(q[1] / q[0]) + (1 - s) * low
+
+    return pair
+
+
+def test_toxicity_models_by_dictionaries(spark):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(17)
+    texts = []
+    for i in range(400):
+        words = [["alpha", "beta", "gamma", "deltas", "deltoid", "Über", "epsilon"][k] + ["", "s", "ing"][k % 3] for k in rng.integers(0, 7, 12)]
+        if i % 3 == 0:
+            for at in rng.integers(0, 12, 3):
+                words[at] = ["idiotic", "idiots", "you idiot", "scumbag"][at % 4]
+        texts.append((" ".join(words), int(i % 3 == 0)))
+    frame = spark.createDataFrame(texts, "text string, toxic int")
+    counted = frame.mapInArrow(toxicity._pairs, "toxic int, left long, word long, n long")
+    pairs = counted.groupBy("left", "word").agg(*[F.sum(F.when(F.col("toxic") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1)])
+    model = toxicity.smooth(pairs, frame.mapInArrow(toxicity._stems, "word long, stems array<long>").dropDuplicates(["word"]), 400_000, toxicity.DISCOUNT)
+    want = _kneser_ney_by_hand(texts)
+    said = ["you idiot alpha betas unheard idiotically idiots scumbag", "Über you", "deltoiding idiots idiots"]
+    for i, chance in enumerate(toxicity.CHANCE):
+        for text, w in zip(said, [next(bytetext.slices(pa.array([t]), lower=True)) for t in said]):
+            words = WORD.findall(_fold(text))
+            by_hand = [want(left, x, chance) for left, x in zip(["", *words[:-1]], words)]
+            assert np.allclose(model.at(i).ratios(w), by_hand, atol=2 * toxicity.LEAST), text
+    assert want("you", "idiot", 4.0) > 0.05 > abs(want("alpha", "unheard", 4.0))
+
+
+def test_toxicity_awkward_rows(spark, docs, rows):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(16)] + [(3, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(*toxicity.training_rows(docs, labels))
+    got = toxicity.score_texts(docs.withColumn("mean", F.lit("x")), model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert len({r.score for r in got if r.doc_id in (0, 1, 2)}) == 1 and len({r.score for r in got if r.doc_id == 5}) == 1
+    empty = toxicity.fit(*toxicity.training_rows(docs.limit(0), labels))
+    assert toxicity.score_texts(docs.limit(0), empty).count() == 0
+
+
 # 8
 
 
