@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it works on all
 that the stage before it kept.  All but the last return the columns of
 documents.  ``run`` writes each stage's rows as Parquet to the shared folder
 and reads them again for the next.
+
+In every stage null texts count as empty and have no words; rows with null or
+repeated ids are judged each by its own text; columns besides doc_id, text and
+source are carried along; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,13 +20,19 @@ from floodlake.llm.frames import stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose whole text scores below one half; the models learn from the labelled rows outside fold 0."""
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    """Documents whose whole text scores below one half; the models learn from the labelled rows outside fold 0.
+
+    Empty texts score as a text without evidence; equal texts stay or go together.
+    """
+    model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
     return toxicity.score_texts(docs, model).where("predicted = 0").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines, n_chars counted anew; documents that lose all their words go."""
+    """Texts without later repeated runs of lines, n_chars counted anew; documents that lose all their words go.
+
+    Of equal runs the first by id and place stays; documents without words lose nothing and stay.
+    """
     out = lines.dedup_lines(docs)
     some = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
     out = out.where((F.col("n_removed") == 0) | some)
@@ -31,17 +41,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
+    """One document, the one with the smallest id, of each group of near copies.
+
+    Null ids come last; of rows that repeat wholly one stays; documents without words all stay.
+    """
     return ngram_join.keep_one(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    Documents without words hold none; an empty benchmark lets all pass.
+    """
     return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes of each document."""
+    """The words that the mix takes of each document; those without words take none, a null source is one of its own."""
     return mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
 
 
@@ -53,7 +69,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: SQL cannot express the first stage, a trained model; tests hold the others against brute force.
+#: SQL cannot express the first stage, a trained model; tests hold all later ones against brute force.
 ORACLE_SQL = None
 
 
