@@ -104,8 +104,9 @@ def split_edges(edges: DataFrame, snapped: DataFrame) -> DataFrame:
 def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(request_id, node, time_s, source_id, length_m, blockers) of each node that reaches a source ``(request_id, node, source_id)``.
 
-    Time decides, then source and next node.  Length and the roads on the way
-    that the event closes are carried along, so routes aren't rebuilt.
+    Time decides (to the microsecond), then source and next node.  Length and the
+    roads on the way that the event closes are carried along, so routes aren't
+    rebuilt; what changes at a node is offered again along its routes.
     """
     closed = F.col("status").isin("BLOCKED", "POTENTIALLY_BLOCKED", "UNKNOWN_COVERAGE") & (F.coalesce("parent_road_id", F.lit("")) != "")
     cost = F.struct("time_s", "length_m", F.when(closed, F.col("parent_road_id")).alias("road"))
@@ -113,13 +114,16 @@ def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_0
     best = checkpointed(edges.groupBy("request_id", "src", "dst").agg(F.min(cost).alias("c")))
     state = F.struct(F.lit(0.0).alias("t"), "source_id", F.col("node").alias("pred"), F.lit(0.0).alias("m"), F.array().cast("array<string>").alias("roads"))
     reached = checkpointed(sources.groupBy("request_id", "node").agg(F.min("source_id").alias("source_id")).select("request_id", "node", state.alias("s"), F.lit(True).alias("new")))
+    rank = lambda c: F.struct(F.round(f"{c}.t", 6), f"{c}.source_id", f"{c}.pred")
     for _ in range(max_rounds):
         step = reached.where("new").join(best.withColumnRenamed("dst", "node"), ["request_id", "node"])
         roads = F.when(F.col("c.road").isNull(), F.col("s.roads")).otherwise(F.array_union("s.roads", F.array("c.road")))
         moved = F.struct((F.col("s.t") + F.col("c.time_s")).alias("t"), F.col("s.source_id"), F.col("node").alias("pred"), (F.col("s.m") + F.col("c.length_m")).alias("m"), F.array_sort(roads).alias("roads"))
-        offers = step.select("request_id", F.col("src").alias("node"), moved.alias("s")).groupBy("request_id", "node").agg(F.min("s").alias("offer"))
+        offers = step.select("request_id", F.col("src").alias("node"), moved.alias("s")).groupBy("request_id", "node").agg(F.min_by("s", rank("s")).alias("offer"))
         both = reached.select("request_id", "node", "s").join(offers, ["request_id", "node"], "full")
-        better = F.col("offer").isNotNull() & (F.col("s").isNull() | (F.col("offer.t") < F.col("s.t") - 1e-9))
+        # A route through the same next node that has changed further on takes the place of the old one.
+        again = (rank("offer") == rank("s")) & ((F.round("offer.m", 3) != F.round("s.m", 3)) | (F.col("offer.roads") != F.col("s.roads")))
+        better = F.col("offer").isNotNull() & (F.col("s").isNull() | (rank("offer") < rank("s")) | again)
         reached = both.select("request_id", "node", F.when(better, F.col("offer")).otherwise(F.col("s")).alias("s"), better.alias("new"))
         reached = checkpointed(reached)
         if reached.where("new").isEmpty():

@@ -18,10 +18,10 @@ CELL = ["grid_id", "y", "x"]
 
 
 def valid(*bands: Column) -> Column:
-    """Whether all bands hold a value: not null, a number, and not nodata."""
+    """Whether all bands hold a value: not null, a finite number, and not nodata."""
     out = F.lit(True)
     for band in bands:
-        out = out & band.isNotNull() & ~F.isnan(band) & (band != NODATA)
+        out = out & band.isNotNull() & ~F.isnan(band) & (F.abs(band) < float("inf")) & (band != NODATA)
     return F.coalesce(out, F.lit(False))
 
 

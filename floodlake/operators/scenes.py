@@ -90,16 +90,55 @@ def _reasons(policy: Policy) -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def scene_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT, days: int | None = None) -> DataFrame:
-    """All pairs of a scene before and a scene after the event day, with reasons and day gaps."""
+def _sides(scenes: DataFrame, requests: DataFrame, days: int | None) -> DataFrame:
+    """Scenes before and after the event day, with their day and how many days lie between; none of the day itself."""
     s = scenes.join(requests.select("request_id", "event_date"), "request_id").withColumn("day", F.to_date("acquired_at"))
-    if days is not None:
-        s = s.where(F.abs(F.datediff("day", "event_date")) <= days)
-    fields = F.struct(*[c for c in s.columns if c not in ("request_id", "event_date")])
-    pre = s.where("day < event_date").select("request_id", "event_date", fields.alias("pre"))
-    post = s.where("day > event_date").select("request_id", fields.alias("post"))
+    s = s.withColumn("gap", F.abs(F.datediff("day", "event_date"))).where("gap > 0")
+    return s if days is None else s.where(F.col("gap") <= days)
+
+
+def _paired(sides: DataFrame, policy: Policy, on: list[str]) -> DataFrame:
+    """Scenes before with scenes after, of one request and equal in the columns ``on`` (null equals null)."""
+    fields = F.struct(*[c for c in sides.columns if c not in ("request_id", "event_date", "gap")])
+    kept = ["request_id", "event_date", *on]
+    pre = sides.where("day < event_date").select(*kept, fields.alias("pre"))
+    post = sides.where("day > event_date").select("request_id", *[F.col(c).alias(f"_{c}") for c in on], fields.alias("post"))
+    both = pre["request_id"] == post["request_id"]
+    for c in on:
+        both = both & pre[c].eqNullSafe(post[f"_{c}"])
     gaps = [F.datediff("event_date", "pre.day").alias("pre_days"), F.datediff("post.day", "event_date").alias("post_days")]
-    return pre.join(post, "request_id").select("request_id", "event_date", "pre", "post", _reasons(policy).alias("reasons"), *gaps)
+    return pre.join(post, both).select(pre["request_id"], "event_date", "pre", "post", _reasons(policy).alias("reasons"), *gaps)
+
+
+def scene_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT, days: int | None = None) -> DataFrame:
+    """All pairs of a scene before and a scene after the event day, with reasons and day gaps."""
+    return _paired(_sides(scenes, requests, days), policy, [])
+
+
+def first_window_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """The valid pairs of the first window of the ladder that has one, with ``window_days``.
+
+    A pair fits a window if both gaps do, so the smallest window of a group of
+    scenes that match follows from its least gap on either side.  An
+    aggregation finds each request's window, and only scenes inside it that
+    match are joined.
+    """
+    sides = _sides(scenes, requests, policy.max_window_days)
+    usable = F.coalesce(F.col("aoi_coverage_fraction") >= policy.minimum_aoi_coverage, F.lit(True))
+    for name in MATCHED:
+        if name != "polarizations":
+            usable = usable & F.col(name).isNotNull()
+    sides = sides.where(usable)
+    least = [F.min(F.when(side, F.col("gap"))) for side in (F.col("day") < F.col("event_date"), F.col("day") > F.col("event_date"))]
+    # A group without scenes on one side has no pair; greatest would pass over its null.
+    gap = F.when(least[0].isNotNull() & least[1].isNotNull(), F.greatest(*least))
+    windows = sides.groupBy("request_id", *MATCHED).agg(gap.alias("gap")).groupBy("request_id").agg(F.min("gap").alias("least"))
+    fits = F.lit(None).cast("int")
+    for days in reversed(policy.windows):
+        fits = F.when(F.col("least") <= days, F.lit(days)).otherwise(fits)
+    windows = windows.select("request_id", fits.alias("window_days")).where("window_days IS NOT NULL")
+    near = sides.join(windows, "request_id").where("gap <= window_days").drop("window_days")
+    return _paired(near, policy, MATCHED).join(windows, "request_id")
 
 
 def _gap_days(later: Column, earlier: Column) -> Column:
@@ -142,33 +181,31 @@ def pair_alternatives(pairs: DataFrame, best: DataFrame, most: int = 20) -> Data
 
 
 def adaptive_pairing(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
-    """Per request the best pair of the first window of the ladder that has a valid one, or why there is none.
-
-    A pair belongs to every window that both gaps fit in, so the first window
-    that has a valid pair is the smallest window of any valid pair: no window
-    is searched twice.
-    """
-    pairs = scene_pairs(scenes, requests, policy, policy.max_window_days)
-    gap = F.greatest("pre_days", "post_days")
-    fits = F.lit(None).cast("int")
-    for days in reversed(policy.windows):
-        fits = F.when(gap <= days, F.lit(days)).otherwise(fits)
-    valid = pairs.where(F.size("reasons") == 0).withColumn("fits", fits)
-    first = valid.withColumn("window_days", F.min("fits").over(Window.partitionBy("request_id"))).where("fits <= window_days")
-    best = best_pair(score_pairs(first, F.col("window_days"), policy))
-    failed = pair_failures(pairs, scenes, requests, policy.max_window_days)
+    """Per request the best pair of the first window of the ladder that has a valid one, or why there is none."""
+    best = best_pair(score_pairs(first_window_pairs(scenes, requests, policy), F.col("window_days"), policy))
+    failed = pair_failures(scenes, requests, policy.max_window_days)
     out = failed.join(best.select("request_id", "window_days", "pre", "post", "score"), "request_id", "left")
     status = F.when(F.col("score").isNotNull(), F.lit("PAIRED")).otherwise(F.col("failure"))
     return out.select("request_id", status.alias("status"), "window_days", F.col("pre.scene_id").alias("pre_id"), F.col("post.scene_id").alias("post_id"), "score")
 
 
-def pair_failures(pairs: DataFrame, scenes: DataFrame, requests: DataFrame, days: int) -> DataFrame:
-    """What a request without a valid pair fails by; counts of scenes and pairs besides."""
+def pair_failures(scenes: DataFrame, requests: DataFrame, days: int) -> DataFrame:
+    """What a request without a valid pair fails by; counts of scenes and pairs besides.
+
+    Coverage alone is to blame if all scenes of both sides match: then they all
+    have the same known fields.  So neither the count nor the reason needs the
+    pairs themselves.
+    """
     counted = in_event_window(scenes, requests, days).groupBy("request_id").agg(F.count("*").alias("scenes"))
-    short = F.forall("reasons", lambda r: r.startswith("insufficient_aoi_coverage"))
-    judged = pairs.groupBy("request_id").agg(F.count("*").alias("pairs"), F.bool_and(short).alias("only_short"))
+    known = F.lit(True)
+    for name in MATCHED:
+        if name != "polarizations":
+            known = known & F.col(name).isNotNull()
+    kinds = _sides(scenes, requests, days).groupBy("request_id", *MATCHED).agg(F.count_if(F.col("day") < F.col("event_date")).alias("before"), F.count_if(F.col("day") > F.col("event_date")).alias("after"))
+    judged = kinds.groupBy("request_id").agg((F.sum("before") * F.sum("after")).alias("pairs"), ((F.count("*") == 1) & F.bool_and(known)).alias("alike"))
     out = requests.select("request_id").join(counted, "request_id", "left").join(judged, "request_id", "left")
-    failure = F.when(F.col("scenes").isNull(), F.lit("NO_S1_SCENES")).when(F.coalesce("only_short", F.lit(False)), F.lit("S1_INSUFFICIENT_AOI_COVERAGE")).otherwise(F.lit("S1_NO_VALID_PAIR"))
+    short = F.coalesce(F.col("alike") & (F.col("pairs") > 0), F.lit(False))
+    failure = F.when(F.col("scenes").isNull(), F.lit("NO_S1_SCENES")).when(short, F.lit("S1_INSUFFICIENT_AOI_COVERAGE")).otherwise(F.lit("S1_NO_VALID_PAIR"))
     return out.select("request_id", failure.alias("failure"), F.coalesce("scenes", F.lit(0)).alias("scenes"), F.coalesce("pairs", F.lit(0)).alias("pairs"))
 
 

@@ -98,9 +98,10 @@ def project_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clip_to_aoi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = load(spark, sf_dir, "buildings").withColumn("request_id", F.lit(3))
-    a = load(spark, sf_dir, "scene_boxes").where("request_id = 3").select("request_id", *[(F.col(c) * 200).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
-    return ft.clip_to_aoi(b, a, 50.0).select("feature_id", "xmin", "ymin", "xmax", "ymax", "clipped")
+    """Each building is asked about by one request."""
+    b = load(spark, sf_dir, "buildings").withColumn("request_id", (F.col("feature_id").cast("long") % 25).cast("int"))
+    a = load(spark, sf_dir, "scene_boxes").select("request_id", *[F.round(F.col(c) * 200).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
+    return ft.clip_to_aoi(b, a, 50.0).select("request_id", "feature_id", "xmin", "ymin", "xmax", "ymax", "clipped")
 
 
 def _artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,10 +174,10 @@ def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested document per request, as its JSON."""
-    s = load(spark, sf_dir, "scenes").where("ingest_seq % 50 = 0")
-    scenes = s.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("scene_id", "platform"))).alias("scenes"))
+    scenes = load(spark, sf_dir, "scenes").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("scene_id", "platform"))).alias("scenes"))
     doc = F.struct("request_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "scenes")
-    return load(spark, sf_dir, "requests").join(scenes, "request_id").select("request_id", F.to_json(doc).alias("document"))
+    all_ = load(spark, sf_dir, "requests").join(scenes, "request_id", "left").withColumn("scenes", F.coalesce("scenes", F.array().cast("array<struct<scene_id:string,platform:string>>")))
+    return all_.select("request_id", F.to_json(doc).alias("document"))
 
 
 def feature_layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,7 +249,9 @@ ORACLES = {
     "geodesic_area": _A + f" SELECT request_id, CASE WHEN w > 0 THEN round({_RECT}, 4) ELSE 0 END AS area_km2 FROM a",
     "utm_zone": _A + " SELECT request_id, CAST(CASE WHEN y * 1.2::DOUBLE >= 84 THEN 3413 WHEN y * 1.2::DOUBLE <= -80 THEN 3031 ELSE CASE WHEN y >= 0 THEN 32600 ELSE 32700 END + greatest(1, least(60, CAST(floor((x + 180) / 6) AS INT) + 1)) END AS INT) AS epsg FROM a",
     "project_utm": _A + _UTM + " SELECT request_id, CASE WHEN y > -80 THEN round(500000 + 0.9996 * r * e, 3) END AS east, CASE WHEN y > -80 THEN round(CASE WHEN y >= 0 THEN 0 ELSE 10000000 END + 0.9996 * r * n, 3) END AS north FROM k",
-    "clip_to_aoi": with_tables("buildings") + ", c AS (SELECT feature_id, greatest(xmin, 250) AS xmin, greatest(ymin, 110) AS ymin, least(xmax, 530) AS xmax, least(ymax, 390) AS ymax, xmin < 250 OR ymin < 110 OR xmax > 530 OR ymax > 390 AS clipped FROM buildings) SELECT * FROM c WHERE xmin <= xmax AND ymin <= ymax",
+    "clip_to_aoi": with_tables("buildings", "scene_boxes") + """, w AS (SELECT request_id, round(xmin * 200) - 50 AS x0, round(ymin * 200) - 50 AS y0, round(xmax * 200) + 50 AS x1, round(ymax * 200) + 50 AS y1 FROM scene_boxes),
+        c AS (SELECT request_id, feature_id, greatest(xmin, x0) AS xmin, greatest(ymin, y0) AS ymin, least(xmax, x1) AS xmax, least(ymax, y1) AS ymax, xmin < x0 OR ymin < y0 OR xmax > x1 OR ymax > y1 AS clipped
+        FROM buildings JOIN w ON request_id = CAST(feature_id AS BIGINT) % 25) SELECT * FROM c WHERE xmin <= xmax AND ymin <= ymax""",
     "artifact_inventory": _FOUND + " SELECT path, sha256, CAST(size_bytes AS BIGINT) AS size_bytes, media_type FROM found",
     "layer_catalog": _FOUND + " SELECT path, media_type FROM found WHERE page_id % 5 IN (0, 3)",
     "manifest_reconcile": _FOUND + """, listed AS (SELECT CASE WHEN page_id % 13 = 0 THEN '../' || path ELSE path END AS path, CASE WHEN page_id % 7 = 0 THEN '00' ELSE sha256 END AS listed FROM found WHERE page_id % 11 <> 0)
@@ -263,7 +266,7 @@ ORACLES = {
     "stage_durations": with_tables("stage_log") + " SELECT job_id, seq, CAST(floor(date_diff('microsecond', started_at, lead(started_at) OVER w) / 1000) AS BIGINT) AS duration_ms, CAST(least(99, ((row_number() OVER w - 1) * 100 + percent) // 9) AS INT) AS progress FROM stage_log WINDOW w AS (PARTITION BY job_id ORDER BY started_at, seq)",
     "pending_requests": with_tables("stage_log") + " SELECT seq FROM stage_log a WHERE seq % 3 = 0 AND NOT EXISTS (SELECT 1 FROM stage_log b WHERE b.seq % 5 = 0 AND b.status = 'SUCCEEDED' AND b.job_id = a.job_id AND b.stage = a.stage AND epoch(TIMESTAMP '2024-01-12 00:00:00') - epoch(b.started_at) < 864001)",
     "report_metrics": "SELECT CAST(o_custkey % 25 AS INT) AS request_id, 'Buildings assessed' AS label, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 UNION ALL SELECT CAST(o_custkey % 25 AS INT), 'Roads: open (km)', CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) FROM orders GROUP BY 1",
-    "analysis_document": with_tables("requests", "scenes") + """ SELECT request_id, '{"request_id":' || request_id || ',"event_date":"' || event_date || '","scenes":[' || string_agg('{"scene_id":"' || scene_id || '","platform":"' || platform || '"}', ',' ORDER BY scene_id) || ']}' AS document FROM requests JOIN scenes USING (request_id) WHERE ingest_seq % 50 = 0 GROUP BY request_id, event_date""",
+    "analysis_document": with_tables("requests", "scenes") + """ SELECT request_id, '{"request_id":' || request_id || ',"event_date":"' || event_date || '","scenes":[' || coalesce(string_agg('{"scene_id":"' || scene_id || '","platform":"' || platform || '"}', ',' ORDER BY scene_id), '') || ']}' AS document FROM requests LEFT JOIN scenes USING (request_id) GROUP BY request_id, event_date""",
     "feature_layer_roundtrip": with_tables("places") + " SELECT feature_id, name, category, 'map contributors' AS attribution, 'ODbL' AS licence, x, y FROM places",
     "scene_intake_stream": with_tables("scenes") + " SELECT request_id, scene_id, CASE WHEN ingest_seq % 3 = 0 THEN 'again' ELSE platform END AS platform FROM scenes",
     "job_state_stream": with_tables("stage_log") + " SELECT job_id, arg_max(status, (started_at, seq)) AS status, arg_max(stage, (started_at, seq)) AS stage FROM stage_log GROUP BY job_id",

@@ -90,8 +90,7 @@ def adaptive_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pair_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, r = load(spark, sf_dir, "scenes"), load(spark, sf_dir, "requests")
-    pairs = op.scene_pairs(s, r, days=12)
-    return op.pair_failures(pairs, s, r, 12)
+    return op.pair_failures(s, r, 12)
 
 
 def pair_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -197,3 +198,38 @@ def test_secrets_are_masked(spark):
 def test_category_is_tested_on_kind(spark):
     rows = spark.createDataFrame([("polygon", {"building": "yes"}), ("point", {"building": "yes"}), ("line", {"highway": "x"}), ("point", {"amenity": "clinic"}), ("point", {"natural": "tree"})], "kind string, tags map<string,string>")
     assert [r.c for r in rows.select(features.category("tags", F.col("kind")).alias("c")).collect()] == ["building", None, "road", "healthcare", None]
+
+
+def test_equally_quick_routes_follow_source_then_next_node(spark):
+    """Against a search in Python, on a grid whose routes tie often."""
+    rng = random.Random(3)
+    edges = []
+    for x in range(6):
+        for y in range(6):
+            for nx, ny in ((x + 1, y), (x, y + 1)):
+                if nx < 6 and ny < 6:
+                    status = rng.choice(["OPEN", "OPEN", "BLOCKED"])
+                    for a, b in (((x, y), (nx, ny)), ((nx, ny), (x, y))):
+                        edges.append((a, b, float(rng.choice([10, 10, 20])), 100.0 + rng.randrange(3), status, f"r{x}{y}{nx}"))
+    rows = [(0, b[0], b[1], a[0], a[1], t, m, s, r) for a, b, t, m, s, r in edges]  # an edge src to dst is used from dst's source on
+    frame = spark.createDataFrame(rows, "request_id int, sx long, sy long, dx long, dy long, time_s double, length_m double, status string, parent_road_id string")
+    point = lambda p: F.struct(F.col(f"{p}x").alias("cx"), F.col(f"{p}y").alias("cy"))
+    frame = frame.select("request_id", point("s").alias("src"), point("d").alias("dst"), "time_s", "length_m", "status", "parent_road_id")
+    starts = {(0, 0): "b", (5, 5): "a", (0, 5): "c"}
+    sources = spark.createDataFrame([(0, x, y, n) for (x, y), n in starts.items()], "request_id int, sx long, sy long, source_id string").select("request_id", point("s").alias("node"), "source_id")
+    got = {(r.node.cx, r.node.cy): (r.time_s, r.source_id, round(r.length_m, 3), tuple(r.blockers)) for r in network.shortest_access(frame, sources).collect()}
+    time = {n: 0.0 for n in starts}
+    for _ in range(60):
+        for a, b, t, *_ in edges:
+            if a in time and time[a] + t < time.get(b, 1e9):
+                time[b] = time[a] + t
+    best = {}
+    for n in sorted(time, key=time.get):
+        if n in starts:
+            best[n] = (0.0, starts[n], 0.0, ())
+            continue
+        offers = [(best[a][1], a, m, s, r) for a, b, t, m, s, r in edges if b == n and a in best and abs(time[a] + t - time[n]) < 1e-9]
+        source, a, m, s, r = min(offers)
+        roads = set(best[a][3]) | ({r} if s == "BLOCKED" else set())
+        best[n] = (time[n], source, round(best[a][2] + m, 3), tuple(sorted(roads)))
+    assert got == best
