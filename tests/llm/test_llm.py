@@ -556,6 +556,32 @@ def test_pipeline_stages(spark):
             gone = _lines_by_hand(rows)
             want = {r[0]: "\n".join(x for i, x in enumerate(r[1].split("\n")) if i not in gone[k]) for k, r in enumerate(rows)}
             assert {r.doc_id: r.text for r in after.collect()} == {i: t for i, t in want.items() if i in kept}
+        if name == "decontamination":
+            clean = connect(SMALL)
+            clean.register("kept_before", before.select("doc_id", "text").toArrow())
+            found = clean.execute(re.sub(r"\bdocuments\b", "kept_before", decontam.ORACLE)).to_arrow_table().to_pylist()
+            assert kept == {r["doc_id"] for r in found if not r["contaminated"]} and len(found) == len(ids)
         before = after
     last = corpus_pipeline.STAGES[-1][1](spark, before, SMALL)
     assert last.count() == before.count() > 50
+    con = connect(SMALL)
+    con.register("kept_before", before.select("doc_id", "source", "text").toArrow())
+    assert compare(last.drop("first_slot"), con, re.sub(r"\bdocuments\b", "kept_before", mixing.ORACLE)) == ""
+
+
+def test_pipeline_stages_on_awkward_rows(spark, docs, rows):
+    """Nulls, empty and long texts, repeated rows and other columns; and no rows at all."""
+    more = docs.withColumn("size", F.lit("own")).withColumn("n_hit", F.lit(1.5))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, more, SMALL)
+        assert stage(spark, more.limit(0), SMALL).count() == 0, name
+        if name == "mixing":
+            assert out.count() == len(rows)
+            continue
+        assert out.columns == more.columns, name
+        kept = collections.Counter((r.doc_id, r.text) for r in out.collect())
+        assert kept[0, None] == 1 and kept[1, ""] == 1 and kept[11, LONG] == 1, name
+        if name == "near_dedup":
+            assert sum(n for (i, _), n in kept.items() if i in (5, 6, 7, 8)) == 1 and kept[5, rows[5][1]] == 1
+        else:
+            assert all((r[0], r[1]) in kept for r in rows if not r[1] or len(r[1]) < 20), name
