@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .frames import WORD
+from .frames import WORD, stored
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -60,8 +60,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, slots: int
     own, after the others.  Rows that repeat are mixed each for itself.  An
     empty table gives an empty result.  Columns besides doc_id, source and text
     are ignored.  The shuffle is by md5 of seed and id, so reruns agree.
+
+    Texts are read once: ids, sources and sizes are kept in the shared folder.
     """
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = stored(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")))
     targets = source_targets(sized, weights).withColumn("quota", F.floor(F.col("target") + 0.5).cast("long"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
     targets = targets.withColumns({
@@ -110,8 +112,12 @@ def schedule(targets: DataFrame, slots: int = SLOTS) -> DataFrame:
     """
     spark = targets.sparkSession
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") + 1) * GOLDEN % 1.0).alias("point"))
-    spans = targets.select("source", "low", "high", "total")
-    hit = points.join(_small(spans), (F.col("point") * F.col("total") >= F.col("low")) & (F.col("point") * F.col("total") < F.col("high")))
+    # Points and spans meet in as many cells as there are slots, so each point is compared with the sources of its cell.
+    cell = lambda c: F.floor(F.try_divide(F.col(c), F.col("total")) * slots)
+    spans = targets.select("source", "low", "high", "total", F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("cell"))
+    points = points.withColumn("cell", F.floor(F.col("point") * slots))
+    at = F.col("point") * F.col("total")
+    hit = points.join(spans, "cell").where((at >= F.col("low")) & (at < F.col("high")))
     return hit.select("slot", "source", (F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).cast("long").alias("rank"))
 
 
