@@ -72,18 +72,18 @@ def road_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "roads").select("feature_id", F.round(speed_kmh(F.col("maxspeed"), F.try_element_at(speeds, F.col("highway"))), 6).alias("speed_kmh"))
 
 
-_KNOWN = with_tables("flood", "buildings", "roads") + ", known AS (SELECT y, x, mask FROM flood WHERE (y * 96 + x) % 37 <> 0)"
+_KNOWN = with_tables("flood", "buildings", "roads") + ", known AS (SELECT grid_id, y, x, mask FROM flood WHERE (y * 96 + x) % 37 <> 0)"
 _BUILT = _KNOWN + """, wet AS (SELECT feature_id, sum((least(xmax, x * 10 + 10) - greatest(xmin, x * 10)) * (least(ymax, y * 10 + 10) - greatest(ymin, y * 10))) AS m2
-    FROM buildings JOIN known ON mask = 1 AND x * 10 < xmax AND x * 10 + 10 > xmin AND y * 10 < ymax AND y * 10 + 10 > ymin GROUP BY feature_id),
+    FROM buildings JOIN known ON known.grid_id = buildings.grid_id AND mask = 1 AND x * 10 < xmax AND x * 10 + 10 > xmin AND y * 10 < ymax AND y * 10 + 10 > ymin GROUP BY feature_id),
     built AS (SELECT feature_id, (xmax - xmin) * (ymax - ymin) AS area, coalesce(m2, 0) AS m2 FROM buildings LEFT JOIN wet USING (feature_id))"""
-_SEGMENTS = _KNOWN + """, along AS (SELECT feature_id, highway, bridge, tunnel, CASE WHEN y1 = y2 THEN x1 ELSE y1 END AS p, CASE WHEN y1 = y2 THEN x2 ELSE y2 END AS q, CASE WHEN y1 = y2 THEN 1 ELSE 0 END AS flat, CAST(floor(x1 / 10) AS INT) AS fx, CAST(floor(y1 / 10) AS INT) AS fy FROM roads),
+_SEGMENTS = _KNOWN + """, along AS (SELECT grid_id, feature_id, highway, bridge, tunnel, CASE WHEN y1 = y2 THEN x1 ELSE y1 END AS p, CASE WHEN y1 = y2 THEN x2 ELSE y2 END AS q, CASE WHEN y1 = y2 THEN 1 ELSE 0 END AS flat, CAST(floor(x1 / 10) AS INT) AS fx, CAST(floor(y1 / 10) AS INT) AS fy FROM roads),
     steps AS (SELECT *, unnest(range(CAST(floor(p / 10) AS INT), CAST(floor(q / 10) AS INT) + 1)) AS k FROM along),
-    met AS (SELECT s.*, greatest(p, k * 10) AS a, least(q, k * 10 + 10) AS b, m.mask FROM steps s LEFT JOIN known m ON m.y = CASE WHEN flat = 1 THEN fy ELSE k END AND m.x = CASE WHEN flat = 1 THEN k ELSE fx END),
+    met AS (SELECT s.*, greatest(p, k * 10) AS a, least(q, k * 10 + 10) AS b, m.mask FROM steps s LEFT JOIN known m ON m.grid_id = s.grid_id AND m.y = CASE WHEN flat = 1 THEN fy ELSE k END AND m.x = CASE WHEN flat = 1 THEN k ELSE fx END),
     marked AS (SELECT *, coalesce(mask, 0) AS wet, CASE WHEN coalesce(mask, 0) = lag(coalesce(mask, 0)) OVER (PARTITION BY feature_id ORDER BY k) THEN 0 ELSE 1 END AS new FROM met),
     islands AS (SELECT *, sum(new) OVER (PARTITION BY feature_id ORDER BY k) AS island FROM marked),
     pieces AS (SELECT feature_id || ':' || (island - 1) AS segment_id, CASE WHEN bool_or(mask IS NULL) THEN 'UNKNOWN_COVERAGE' WHEN max(wet) = 1 THEN 'BLOCKED' ELSE 'OPEN' END AS status, max(b) - min(a) AS m, any_value(highway) AS highway,
       bool_or(coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1')) AS bridge FROM islands GROUP BY feature_id, island)"""
-_BRIDGES = _KNOWN + """, judged AS (SELECT feature_id, EXISTS (SELECT 1 FROM known WHERE mask = 1 AND (y + x) % 3 = 0 AND y % 4 = 0 AND
+_BRIDGES = _KNOWN + """, judged AS (SELECT feature_id, EXISTS (SELECT 1 FROM known WHERE known.grid_id = roads.grid_id AND mask = 1 AND (y + x) % 3 = 0 AND y % 4 = 0 AND
       sqrt(power(greatest(0, x * 10 - x2, x1 - x * 10 - 10), 2) + power(greatest(0, y * 10 - y2, y1 - y * 10 - 10), 2)) < 20) AS hit
     FROM roads WHERE coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1'))"""
 

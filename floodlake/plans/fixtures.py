@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Cell side in metres of the pixel tables, and cells of a side.
 CELL, SIDE = 10, 96
+#: Orders whose lines fill one grid, and the parts and customers that lie on it; more rows make more grids.
+ORDERS_A_GRID, PARTS_A_GRID, CUSTOMERS_A_GRID = 8192, 1024, 800
 
 TABLES: dict[str, str] = {
     "requests": "SELECT CAST(n_nationkey AS INT) AS request_id, DATE '1996-01-01' + CAST(n_nationkey * 67 AS INT) AS event_date FROM {nation}",
@@ -27,21 +29,21 @@ TABLES: dict[str, str] = {
         FROM {orders}""",
     "scene_boxes": """SELECT request_id, CAST(request_id * 4 + 3 AS DOUBLE) / 10 AS xmin, CAST(request_id * 2 + 2 AS DOUBLE) / 10 AS ymin,
         CAST(request_id * 4 + 12 AS DOUBLE) / 10 AS xmax, CAST(request_id * 2 + 11 AS DOUBLE) / 10 AS ymax FROM (SELECT CAST(n_nationkey AS INT) AS request_id FROM {nation}) x""",
-    "cells": """SELECT CAST(0 AS INT) AS grid_id, CAST(l_orderkey % 96 AS INT) AS y, CAST(l_partkey % 96 AS INT) AS x, CAST(sum(l_linenumber) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n
-        FROM {lineitem} GROUP BY 2, 3""",
+    "cells": f"""SELECT CAST(floor(l_orderkey / {ORDERS_A_GRID}) AS INT) AS grid_id, CAST(l_orderkey % 96 AS INT) AS y, CAST(l_partkey % 96 AS INT) AS x, CAST(sum(l_linenumber) AS BIGINT) AS s, CAST(count(*) AS BIGINT) AS n
+        FROM {{lineitem}} GROUP BY 1, 2, 3""",
     "pixels": """SELECT grid_id, y, x, CAST(s * 13 % 97 + 3 AS DOUBLE) / 1000 AS pre_vv, CAST(s * 7 % 53 + 2 AS DOUBLE) / 1000 AS pre_vh,
         CAST(s * 29 % 101 + 3 AS DOUBLE) / 1000 AS post_vv, CASE WHEN (s + n) % 31 = 0 THEN CAST(-9999 AS DOUBLE) ELSE CAST(s * 11 % 59 + 2 AS DOUBLE) / 1000 END AS post_vh,
         CAST(3 * y + 2 * x + s % 5 AS DOUBLE) AS elevation, CAST((s * 7 + n * 13) % 101 AS DOUBLE) / 100 AS probability FROM cells""",
     "flood": "SELECT grid_id, y, x, probability, CAST(CASE WHEN probability >= 0.5 THEN 1 ELSE 0 END AS INT) AS mask FROM pixels",
-    "buildings": """SELECT CAST(p_partkey AS STRING) AS feature_id, CAST(0 AS INT) AS grid_id, CAST(p_partkey * 37 % 931 + 1 AS DOUBLE) AS xmin, CAST(p_partkey * 53 % 937 + 3 AS DOUBLE) AS ymin,
-        CAST(p_partkey * 37 % 931 + 5 + p_size % 17 AS DOUBLE) AS xmax, CAST(p_partkey * 53 % 937 + 8 + p_size % 13 AS DOUBLE) AS ymax FROM {part}""",
-    "roads": """SELECT CAST(c_custkey AS STRING) AS feature_id, CAST(0 AS INT) AS grid_id, CAST(c_custkey * 31 % 911 AS DOUBLE) + 0.25 AS x1, CAST(c_custkey * 47 % 907 AS DOUBLE) + 0.25 AS y1,
+    "buildings": f"""SELECT CAST(p_partkey AS STRING) AS feature_id, CAST(floor(p_partkey / {PARTS_A_GRID}) AS INT) AS grid_id, CAST(p_partkey * 37 % 931 + 1 AS DOUBLE) AS xmin, CAST(p_partkey * 53 % 937 + 3 AS DOUBLE) AS ymin,
+        CAST(p_partkey * 37 % 931 + 5 + p_size % 17 AS DOUBLE) AS xmax, CAST(p_partkey * 53 % 937 + 8 + p_size % 13 AS DOUBLE) AS ymax FROM {{part}}""",
+    "roads": f"""SELECT CAST(c_custkey AS STRING) AS feature_id, CAST(floor(c_custkey / {CUSTOMERS_A_GRID}) AS INT) AS grid_id, CAST(c_custkey * 31 % 911 AS DOUBLE) + 0.25 AS x1, CAST(c_custkey * 47 % 907 AS DOUBLE) + 0.25 AS y1,
         CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 31 % 911 + 20 + c_custkey % 50 AS DOUBLE) + 0.25 ELSE CAST(c_custkey * 31 % 911 AS DOUBLE) + 0.25 END AS x2,
         CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey * 47 % 907 AS DOUBLE) + 0.25 ELSE CAST(c_custkey * 47 % 907 + 20 + c_custkey % 50 AS DOUBLE) + 0.25 END AS y2,
         CASE c_custkey % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'residential' WHEN 2 THEN 'track' ELSE 'cycleway' END AS highway,
         CASE c_custkey % 9 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' ELSE NULL END AS oneway,
         CASE c_custkey % 6 WHEN 0 THEN '50' WHEN 1 THEN '30 mph' WHEN 2 THEN 'signals' WHEN 3 THEN '40;60' ELSE NULL END AS maxspeed,
-        CASE c_custkey % 8 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE NULL END AS bridge, CASE c_custkey % 16 WHEN 0 THEN 'yes' ELSE NULL END AS tunnel FROM {customer}""",
+        CASE c_custkey % 8 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE NULL END AS bridge, CASE c_custkey % 16 WHEN 0 THEN 'yes' ELSE NULL END AS tunnel FROM {{customer}}""",
     "lattice": """SELECT CAST(0 AS INT) AS request_id, CAST(o_orderkey AS STRING) AS segment_id, CAST(o_custkey AS STRING) AS parent_road_id,
         CAST(o_custkey % 24 * 100 AS DOUBLE) AS x1, CAST(o_orderkey % 24 * 100 AS DOUBLE) AS y1,
         CAST(o_custkey % 24 * 100 + CASE WHEN (o_custkey + o_orderkey) % 2 = 0 THEN 100 ELSE 0 END AS DOUBLE) AS x2, CAST(o_orderkey % 24 * 100 + CASE WHEN (o_custkey + o_orderkey) % 2 = 0 THEN 0 ELSE 100 END AS DOUBLE) AS y2,

@@ -21,7 +21,7 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixel_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pixels(spark, sf_dir).select("y", "x", "valid")
+    return _pixels(spark, sf_dir).select("grid_id", "y", "x", "valid")
 
 
 def band_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def band_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "pixels")
     part = lambda *bands: p.select(*px.CELL, *bands, px.valid(*map(F.col, bands)).alias("valid"))
     aligned = px.align_bands(part("pre_vv", "pre_vh").where("x % 5 <> 0"), part("post_vv", "post_vh"), part("elevation").where("y % 7 <> 0"))
-    return aligned.select("y", "x", "pre_vv", "post_vh", "elevation", "valid")
+    return aligned.select("grid_id", "y", "x", "pre_vv", "post_vh", "elevation", "valid")
 
 
 def _targets(p: DataFrame) -> DataFrame:
@@ -53,24 +53,24 @@ def _targets(p: DataFrame) -> DataFrame:
 
 def grid_resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "pixels")
-    return px.resample(p, _targets(p), "post_vh").select("y", "x", F.round("post_vh", 8).alias("value"))
+    return px.resample(p, _targets(p), "post_vh").select("grid_id", "y", "x", F.round("post_vh", 8).alias("value"))
 
 
 def grid_resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "pixels")
-    return px.resample(p, _targets(p), "post_vh", categorical=True).select("y", "x", F.round("post_vh", 8).alias("value"))
+    return px.resample(p, _targets(p), "post_vh", categorical=True).select("grid_id", "y", "x", F.round("post_vh", 8).alias("value"))
 
 
 def slope_horn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.slope_horn(load(spark, sf_dir, "pixels"), 10.0, 10.0).select("y", "x", F.round("slope", 6).alias("slope"))
+    return px.slope_horn(load(spark, sf_dir, "pixels"), 10.0, 10.0).select("grid_id", "y", "x", F.round("slope", 6).alias("slope"))
 
 
 def normalize_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.normalize_bands(_pixels(spark, sf_dir)).select("y", "x", *[F.round(f"{b}_n", 6).alias(f"{b}_n") for b in ("pre_vv", "pre_vh", "post_vv", "post_vh")])
+    return px.normalize_bands(_pixels(spark, sf_dir)).select("grid_id", "y", "x", *[F.round(f"{b}_n", 6).alias(f"{b}_n") for b in ("pre_vv", "pre_vh", "post_vv", "post_vh")])
 
 
 def score_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.score_pixels(_pixels(spark, sf_dir)).select("y", "x", F.round("probability", 6).alias("probability"))
+    return px.score_pixels(_pixels(spark, sf_dir)).select("grid_id", "y", "x", F.round("probability", 6).alias("probability"))
 
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +78,7 @@ def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flood_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _masked(spark, sf_dir).select("y", "x", "mask")
+    return _masked(spark, sf_dir).select("grid_id", "y", "x", "mask")
 
 
 def flood_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +86,11 @@ def flood_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flood_grid_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.export_grid(_masked(spark, sf_dir)).select("y", "x", F.round("probability", 6).alias("probability"), "mask")
+    return px.export_grid(_masked(spark, sf_dir)).select("grid_id", "y", "x", F.round("probability", 6).alias("probability"), "mask")
 
 
 def tile_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return px.tile_members(load(spark, sf_dir, "pixels").select(*px.CELL), SMALL_TILES).groupBy("ty", "tx").agg(F.count("*").alias("cells"), F.count_if("core").alias("core_cells"))
+    return px.tile_members(load(spark, sf_dir, "pixels").select(*px.CELL), SMALL_TILES).groupBy("grid_id", "ty", "tx").agg(F.count("*").alias("cells"), F.count_if("core").alias("core_cells"))
 
 
 def tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ def tile_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     def scorer(pre: np.ndarray, post: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(post[0] - pre[0]))
 
-    return tiles.score_tiles(ready, scorer, SMALL_TILES).select("y", "x", F.round("probability", 4).alias("probability"))
+    return tiles.score_tiles(ready, scorer, SMALL_TILES).select("grid_id", "y", "x", F.round("probability", 4).alias("probability"))
 
 
 def flood_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,12 +112,12 @@ def flood_regions_windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(regions: DataFrame) -> DataFrame:
-    return regions.select("region", "cells", F.round("area_km2", 6).alias("area_km2"), F.round("mean_probability", 10).alias("mean_probability"), F.round("max_probability", 6).alias("max_probability"))
+    return regions.select("grid_id", "region", "cells", F.round("area_km2", 6).alias("area_km2"), F.round("mean_probability", 10).alias("mean_probability"), F.round("max_probability", 6).alias("max_probability"))
 
 
 def change_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pixels(spark, sf_dir).withColumn("mask", (F.col("probability") >= 0.5).cast("int"))
-    return rg.change_regions(p, SIDE, KM2).select("region", "cells", F.round("mean_change", 6).alias("mean_change"), F.round("score", 6).alias("score"), "confidence")
+    return rg.change_regions(p, SIDE, KM2).select("grid_id", "region", "cells", F.round("mean_change", 6).alias("mean_change"), F.round("score", 6).alias("score"), "confidence")
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,27 +125,27 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.boundary_edges(_labelled(spark, sf_dir)).select("region", "x1", "y1", "x2", "y2")
+    return rg.boundary_edges(_labelled(spark, sf_dir)).select("grid_id", "region", "x1", "y1", "x2", "y2")
 
 
 def region_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.region_rings(rg.boundary_edges(_labelled(spark, sf_dir))).select("region", "ring", F.size("points").alias("corners"))
+    return rg.region_rings(rg.boundary_edges(_labelled(spark, sf_dir))).select("grid_id", "region", "ring", F.size("points").alias("corners"))
 
 
 _OK = "(pre_vv <> -9999 AND pre_vh <> -9999 AND post_vv <> -9999 AND post_vh <> -9999)"
 _PROB = f"CASE WHEN {_OK} THEN 1 / (1 + exp(0.8 * (10 * log10(post_vv) - 10 * log10(pre_vv) + 3))) END"
-_MASKED = with_tables("pixels") + f", scored AS (SELECT y, x, {_PROB} AS p FROM pixels), masked AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 WHEN p IS NOT NULL THEN 0 END AS mask FROM scored)"
+_MASKED = with_tables("pixels") + f", scored AS (SELECT grid_id, y, x, {_PROB} AS p FROM pixels), masked AS (SELECT *, CASE WHEN p >= 0.5 THEN 1 WHEN p IS NOT NULL THEN 0 END AS mask FROM scored)"
 
 
 def _reach(cells: str, near: str = "TRUE") -> str:
     """DuckDB: the smallest cell code that each cell reaches through cells beside it."""
-    return f""", on_cells AS ({cells}), walk AS (SELECT code AS origin, code FROM on_cells UNION
-        SELECT origin, b.code FROM walk JOIN on_cells a ON a.code = walk.code JOIN on_cells b ON ((b.y = a.y AND abs(b.x - a.x) = 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)) AND {near}),
-        labels AS (SELECT code, min(origin) AS region FROM walk GROUP BY code)"""
+    return f""", on_cells AS ({cells}), walk AS (SELECT grid_id, code AS origin, code FROM on_cells UNION
+        SELECT walk.grid_id, origin, b.code FROM walk JOIN on_cells a ON a.grid_id = walk.grid_id AND a.code = walk.code JOIN on_cells b ON b.grid_id = a.grid_id AND ((b.y = a.y AND abs(b.x - a.x) = 1) OR (b.x = a.x AND abs(b.y - a.y) = 1)) AND {near}),
+        labels AS (SELECT grid_id, code, min(origin) AS region FROM walk GROUP BY grid_id, code)"""
 
 
-_FLOODED = "SELECT y * 96 + x AS code, y, x, probability FROM flood WHERE mask = 1"
-_REGIONS = " SELECT CAST(region AS BIGINT) AS region, count(*) AS cells, round(count(*) * 0.0001, 6) AS area_km2, round(avg(probability), 10) AS mean_probability, round(max(probability), 6) AS max_probability FROM on_cells JOIN labels USING (code) GROUP BY region HAVING count(*) * 0.0001::DOUBLE >= 0.001::DOUBLE"
+_FLOODED = "SELECT grid_id, y * 96 + x AS code, y, x, probability FROM flood WHERE mask = 1"
+_REGIONS = " SELECT grid_id, CAST(region AS BIGINT) AS region, count(*) AS cells, round(count(*) * 0.0001, 6) AS area_km2, round(avg(probability), 10) AS mean_probability, round(max(probability), 6) AS max_probability FROM on_cells JOIN labels USING (grid_id, code) GROUP BY grid_id, region HAVING count(*) * 0.0001::DOUBLE >= 0.001::DOUBLE"
 _DB = "abs(10 * log10(post_vv) - 10 * log10(pre_vv))"
 
 QUERIES = {f.__name__: f for f in (
@@ -153,7 +153,7 @@ QUERIES = {f.__name__: f for f in (
     flood_grid_export, tile_assign, tile_scores, flood_regions, flood_regions_windowed, change_regions, region_boundary_edges, region_rings,
 )}
 ORACLES = {
-    "pixel_validity": with_tables("pixels") + f" SELECT y, x, {_OK} AS valid FROM pixels",
+    "pixel_validity": with_tables("pixels") + f" SELECT grid_id, y, x, {_OK} AS valid FROM pixels",
     "band_select": f"""WITH c AS ({_BANDS.format(supplier='supplier')}), s AS (SELECT unnest(['sigma0_vv', 'sigma0_vh', 'elevation']) AS suffix)
         SELECT grid_id, suffix, count(*) FILTER (ends_with(replace(lower(name), '-', '_'), suffix)) AS matches,
         CASE WHEN count(*) FILTER (ends_with(replace(lower(name), '-', '_'), suffix)) = 1 THEN min(CASE WHEN ends_with(replace(lower(name), '-', '_'), suffix) THEN band END) END AS band FROM c, s GROUP BY grid_id, suffix""",
@@ -161,24 +161,25 @@ ORACLES = {
         f AS (SELECT *, first_value(epsg) OVER w AS f1, first_value(width) OVER w AS f2, first_value(y0) OVER w AS f3 FROM g WINDOW w AS (PARTITION BY grid_id ORDER BY role))
         SELECT grid_id, role, 'differs_epsg' AS problem FROM f WHERE epsg <> f1 UNION ALL SELECT grid_id, role, 'differs_width' FROM f WHERE width <> f2
         UNION ALL SELECT grid_id, role, 'differs_y0' FROM f WHERE y0 <> f3 UNION ALL SELECT grid_id, role, 'not_metric' FROM f WHERE epsg = 4326""",
-    "band_align": with_tables("pixels") + " SELECT y, x, pre_vv, post_vh, elevation, post_vh <> -9999 AS valid FROM pixels WHERE x % 5 <> 0 AND y % 7 <> 0",
-    "grid_resample_bilinear": with_tables("pixels") + """, t AS (SELECT y, x FROM pixels WHERE y < 48 AND x < 48), c AS (SELECT y, x, post_vh AS v FROM pixels WHERE post_vh <> -9999), w AS (SELECT unnest([0, 1]) AS d, unnest([0.75::DOUBLE, 0.25::DOUBLE]) AS f)
-        SELECT t.y, t.x, round(sum(v * a.f * b.f) / sum(CASE WHEN v IS NOT NULL THEN a.f * b.f END), 8) AS value FROM t CROSS JOIN w a CROSS JOIN w b LEFT JOIN c ON c.y = t.y * 2 + a.d AND c.x = t.x * 2 + b.d GROUP BY t.y, t.x""",
-    "grid_resample_nearest": with_tables("pixels") + " SELECT t.y, t.x, round(c.post_vh, 8) AS value FROM pixels t LEFT JOIN pixels c ON c.y = t.y * 2 AND c.x = t.x * 2 AND c.post_vh <> -9999 WHERE t.y < 48 AND t.x < 48",
+    "band_align": with_tables("pixels") + " SELECT grid_id, y, x, pre_vv, post_vh, elevation, post_vh <> -9999 AS valid FROM pixels WHERE x % 5 <> 0 AND y % 7 <> 0",
+    "grid_resample_bilinear": with_tables("pixels") + """, t AS (SELECT grid_id, y, x FROM pixels WHERE y < 48 AND x < 48), c AS (SELECT grid_id, y, x, post_vh AS v FROM pixels WHERE post_vh <> -9999), w AS (SELECT unnest([0, 1]) AS d, unnest([0.75::DOUBLE, 0.25::DOUBLE]) AS f)
+        SELECT t.grid_id, t.y, t.x, round(sum(v * a.f * b.f) / sum(CASE WHEN v IS NOT NULL THEN a.f * b.f END), 8) AS value FROM t CROSS JOIN w a CROSS JOIN w b LEFT JOIN c ON c.grid_id = t.grid_id AND c.y = t.y * 2 + a.d AND c.x = t.x * 2 + b.d GROUP BY t.grid_id, t.y, t.x""",
+    "grid_resample_nearest": with_tables("pixels") + " SELECT t.grid_id, t.y, t.x, round(c.post_vh, 8) AS value FROM pixels t LEFT JOIN pixels c ON c.grid_id = t.grid_id AND c.y = t.y * 2 AND c.x = t.x * 2 AND c.post_vh <> -9999 WHERE t.y < 48 AND t.x < 48",
     "slope_horn": with_tables("pixels") + """, w AS (SELECT dy, dx FROM (SELECT unnest([-1, 0, 1]) AS dy) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS dx)),
-        g AS (SELECT p.y, p.x, count(q.elevation) AS n, sum(q.elevation * w.dx * (2 - abs(w.dy))) / 80 AS gx, sum(q.elevation * w.dy * (2 - abs(w.dx))) / 80 AS gy FROM pixels p CROSS JOIN w LEFT JOIN pixels q ON q.y = p.y + w.dy AND q.x = p.x + w.dx GROUP BY p.y, p.x)
-        SELECT y, x, CASE WHEN n = 9 THEN round(sqrt(gx * gx + gy * gy), 6) END AS slope FROM g""",
-    "normalize_bands": with_tables("pixels") + " SELECT y, x, " + ", ".join(f"CASE WHEN {_OK} THEN round((greatest(0, least({b}, 0.15::DOUBLE)) - {m}::DOUBLE) / {s}::DOUBLE, 6) ELSE 0 END AS {b}_n" for b, m, s in (("pre_vv", 0.0953, 0.0427), ("pre_vh", 0.0264, 0.0215), ("post_vv", 0.0953, 0.0427), ("post_vh", 0.0264, 0.0215))) + " FROM pixels",
-    "score_pixels": _MASKED + " SELECT y, x, round(p, 6) AS probability FROM masked",
-    "flood_mask": _MASKED + " SELECT y, x, mask FROM masked",
-    "flood_summary": _MASKED + " SELECT CAST(0 AS INT) AS grid_id, count(*) AS pixels, count(mask) AS valid_pixels, count(*) FILTER (mask = 1) AS flooded_pixels, round(count(mask) / count(*), 6) AS valid_fraction, round(count(*) FILTER (mask = 1) * 100 / 1e6, 6) AS flooded_km2 FROM masked",
-    "flood_grid_export": _MASKED + " SELECT y, x, coalesce(round(p, 6), -9999) AS probability, coalesce(mask, 255) AS mask FROM masked",
-    "tile_assign": with_tables("pixels") + """, t AS (SELECT unnest(range(0, 4)) AS k), m AS (SELECT a.k AS ty, b.k AS tx, y // 32 = a.k AND x // 32 = b.k AS core FROM pixels, t a, t b WHERE y BETWEEN a.k * 32 - 8 AND a.k * 32 + 39 AND x BETWEEN b.k * 32 - 8 AND b.k * 32 + 39)
-        SELECT CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, count(*) AS cells, count(*) FILTER (core) AS core_cells FROM m GROUP BY ty, tx""",
+        g AS (SELECT p.grid_id, p.y, p.x, count(q.elevation) AS n, sum(q.elevation * w.dx * (2 - abs(w.dy))) / 80 AS gx, sum(q.elevation * w.dy * (2 - abs(w.dx))) / 80 AS gy FROM pixels p CROSS JOIN w LEFT JOIN pixels q ON q.grid_id = p.grid_id AND q.y = p.y + w.dy AND q.x = p.x + w.dx GROUP BY p.grid_id, p.y, p.x)
+        SELECT grid_id, y, x, CASE WHEN n = 9 THEN round(sqrt(gx * gx + gy * gy), 6) END AS slope FROM g""",
+    "normalize_bands": with_tables("pixels") + " SELECT grid_id, y, x, " + ", ".join(f"CASE WHEN {_OK} THEN round((greatest(0, least({b}, 0.15::DOUBLE)) - {m}::DOUBLE) / {s}::DOUBLE, 6) ELSE 0 END AS {b}_n" for b, m, s in (("pre_vv", 0.0953, 0.0427), ("pre_vh", 0.0264, 0.0215), ("post_vv", 0.0953, 0.0427), ("post_vh", 0.0264, 0.0215))) + " FROM pixels",
+    "score_pixels": _MASKED + " SELECT grid_id, y, x, round(p, 6) AS probability FROM masked",
+    "flood_mask": _MASKED + " SELECT grid_id, y, x, mask FROM masked",
+    "flood_summary": _MASKED + " SELECT grid_id, count(*) AS pixels, count(mask) AS valid_pixels, count(*) FILTER (mask = 1) AS flooded_pixels, round(count(mask) / count(*), 6) AS valid_fraction, round(count(*) FILTER (mask = 1) * 100 / 1e6, 6) AS flooded_km2 FROM masked GROUP BY grid_id",
+    "flood_grid_export": _MASKED + " SELECT grid_id, y, x, coalesce(round(p, 6), -9999) AS probability, coalesce(mask, 255) AS mask FROM masked",
+    "tile_assign": with_tables("pixels") + """, t AS (SELECT unnest(range(0, 4)) AS k), m AS (SELECT grid_id, a.k AS ty, b.k AS tx, y // 32 = a.k AND x // 32 = b.k AS core FROM pixels, t a, t b WHERE y BETWEEN a.k * 32 - 8 AND a.k * 32 + 39 AND x BETWEEN b.k * 32 - 8 AND b.k * 32 + 39)
+        SELECT grid_id, CAST(ty AS INT) AS ty, CAST(tx AS INT) AS tx, count(*) AS cells, count(*) FILTER (core) AS core_cells FROM m GROUP BY grid_id, ty, tx""",
+    "tile_scores": with_tables("pixels") + f" SELECT grid_id, y, x, CASE WHEN {_OK} THEN round(1 / (1 + exp((least(post_vv, 0.15::DOUBLE) - least(pre_vv, 0.15::DOUBLE)) / 0.0427::DOUBLE)), 4) END AS probability FROM pixels",
     "flood_regions": with_tables("flood") + _reach(_FLOODED) + _REGIONS,
     "flood_regions_windowed": with_tables("flood") + _reach(_FLOODED, "a.y // 32 = b.y // 32 AND a.x // 32 = b.x // 32") + _REGIONS,
-    "change_regions": with_tables("pixels") + _reach(f"SELECT y * 96 + x AS code, y, x, {_DB} AS db FROM pixels WHERE {_OK} AND probability < 0.5 AND {_DB} >= 3")
-        + " SELECT CAST(region AS BIGINT) AS region, count(*) AS cells, round(avg(db), 6) AS mean_change, round(least(1, avg(db) / 6), 6) AS score, CASE WHEN avg(db) / 6 < 0.5 THEN 'low' WHEN avg(db) / 6 < 0.75 THEN 'medium' ELSE 'high' END AS confidence FROM on_cells JOIN labels USING (code) GROUP BY region HAVING count(*) * 0.0001::DOUBLE >= 0.001::DOUBLE",
+    "change_regions": with_tables("pixels") + _reach(f"SELECT grid_id, y * 96 + x AS code, y, x, {_DB} AS db FROM pixels WHERE {_OK} AND probability < 0.5 AND {_DB} >= 3")
+        + " SELECT grid_id, CAST(region AS BIGINT) AS region, count(*) AS cells, round(avg(db), 6) AS mean_change, round(least(1, avg(db) / 6), 6) AS score, CASE WHEN avg(db) / 6 < 0.5 THEN 'low' WHEN avg(db) / 6 < 0.75 THEN 'medium' ELSE 'high' END AS confidence FROM on_cells JOIN labels USING (grid_id, code) GROUP BY grid_id, region HAVING count(*) * 0.0001::DOUBLE >= 0.001::DOUBLE",
     "region_boundary_edges": with_tables("flood") + _reach(_FLOODED) + """, sides AS (SELECT unnest([-1, 0, 1, 0]) AS dy, unnest([0, 1, 0, -1]) AS dx, unnest([1, 1, 0, 0]) AS ax, unnest([0, 1, 1, 0]) AS ay, unnest([0, 1, 1, 0]) AS bx, unnest([0, 0, 1, 1]) AS "by")
-        SELECT CAST(region AS BIGINT) AS region, c.x + ax AS x1, c.y + ay AS y1, c.x + bx AS x2, c.y + "by" AS y2 FROM on_cells c JOIN labels USING (code) CROSS JOIN sides WHERE NOT EXISTS (SELECT 1 FROM on_cells d WHERE d.y = c.y + dy AND d.x = c.x + dx)""",
+        SELECT grid_id, CAST(region AS BIGINT) AS region, c.x + ax AS x1, c.y + ay AS y1, c.x + bx AS x2, c.y + "by" AS y2 FROM on_cells c JOIN labels USING (grid_id, code) CROSS JOIN sides WHERE NOT EXISTS (SELECT 1 FROM on_cells d WHERE d.grid_id = c.grid_id AND d.y = c.y + dy AND d.x = c.x + dx)""",
 }
