@@ -7,6 +7,8 @@ compared with all of the other side.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from ..policy import DEFAULT, Policy
 
 #: Pieces of road shorter than this are not cut off (metres).
 SHORT = 1e-6
+#: Sides of a quarter of the round ends of corridors.
+QUARTER = 16
 
 
 def _span(low: Column, high: Column, size: float) -> Column:
@@ -29,6 +33,28 @@ def touched_cells(features: DataFrame, size: float, margin: float = 0.0) -> Data
     return out.withColumn("cx", F.explode(_span(F.col("xmin") - m, F.col("xmax") + m, size)))
 
 
+def crossed_cells(lines: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """Straight ``lines`` x1..y2 with their box, once for each cell (cy, cx) that may lie within ``margin`` of them.
+
+    Each row of cells asks only for the columns that the line meets there, so a
+    long slanted line makes cells by its length and not by its box.
+    """
+    m = F.lit(margin)
+    boxed = lines.withColumns({"xmin": F.least("x1", "x2"), "xmax": F.greatest("x1", "x2"), "ymin": F.least("y1", "y2"), "ymax": F.greatest("y1", "y2")})
+    out = boxed.withColumn("cy", F.explode(_span(F.col("ymin") - m, F.col("ymax") + m, size)))
+    d = F.col("y2") - F.col("y1")
+    low, high = F.col("cy") * size - m - F.col("y1"), (F.col("cy") + 1) * size + m - F.col("y1")
+    t0 = F.when(d == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(low / d, high / d)))
+    t1 = F.when(d == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(low / d, high / d)))
+    at = lambda t: F.col("x1") + (F.col("x2") - F.col("x1")) * t
+    # One column more on both sides than computed, within the box, so that rounding loses none.
+    box0 = F.floor((F.col("xmin") - m) / size).cast("int")
+    box1 = F.greatest(box0, F.ceil((F.col("xmax") + m) / size).cast("int") - 1)
+    first = F.floor((F.least(at(t0), at(t1)) - m) / size).cast("int") - 1
+    last = F.floor((F.greatest(at(t0), at(t1)) + m) / size).cast("int") + 1
+    return out.withColumn("cx", F.explode(F.sequence(F.greatest(first, box0), F.least(last, box1))))
+
+
 def _wet(flood: DataFrame) -> DataFrame:
     return flood.where("mask = 1").select("grid_id", F.col("y").alias("cy"), F.col("x").alias("cx"))
 
@@ -81,9 +107,9 @@ def road_segments(roads: DataFrame, flood: DataFrame, size: float, policy: Polic
     """
     keys = ["grid_id", "feature_id"]
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    boxed = roads.withColumns({"xmin": F.least("x1", "x2"), "xmax": F.greatest("x1", "x2"), "ymin": F.least("y1", "y2"), "ymax": F.greatest("y1", "y2"), "length": length})
+    boxed = roads.withColumn("length", length)
     t0, t1 = _inside(size)
-    crossed = touched_cells(boxed, size).withColumns({"t0": t0, "t1": t1}).where("t1 > t0")
+    crossed = crossed_cells(boxed, size).withColumns({"t0": t0, "t1": t1}).where("t1 > t0")
     known = flood.where("mask IS NOT NULL").select("grid_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "mask")
     crossed = crossed.join(known, ["grid_id", "cy", "cx"], "left").select(*keys, "length", "t0", "t1", "mask")
     order = Window.partitionBy(*keys).orderBy("t0", "t1")
@@ -131,24 +157,71 @@ def _point_to_segment(px: Column, py: Column) -> Column:
     return F.hypot(px - F.col("x1") - t * dx, py - F.col("y1") - t * dy)
 
 
+def _corridor(margin: float, quarter: int = QUARTER) -> Column:
+    """The outline of a straight line x1..y2 widened by ``margin``: two half circles of ``2 * quarter`` sides each."""
+    heading = F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+
+    def half(end: str, begin: float) -> Column:
+        angle = lambda i: heading + F.lit(begin) + i * (math.pi / 2 / quarter)
+        return F.transform(F.sequence(F.lit(0), F.lit(2 * quarter)), lambda i: F.struct((F.col(f"x{end}") + margin * F.cos(angle(i))).alias("x"), (F.col(f"y{end}") + margin * F.sin(angle(i))).alias("y")))
+
+    return F.concat(half("2", -math.pi / 2), half("1", math.pi / 2))
+
+
+def _area_in_cell(outline: Column, size: float) -> Column:
+    """Area of an outline (points against the clock) inside cell (cy, cx): the height clamped to the cell, integrated along each side."""
+    x0, y0 = F.col("cx") * size, F.col("cy") * size
+    x1, y1 = x0 + size, y0 + size
+    clamp = lambda v, a, b: F.greatest(a, F.least(b, v))
+    whole = lambda v: F.when(v < y0, y0 * v).when(v > y1, y1 * v + (y0 * y0 - y1 * y1) / 2).otherwise((v * v + y0 * y0) / 2)
+
+    def side(i: Column) -> Column:
+        a, b = F.get(outline, i), F.get(outline, (i + 1) % F.size(outline))
+        xa, xb = clamp(a["x"], x0, x1), clamp(b["x"], x0, x1)
+        slope = F.when(a["x"] == b["x"], F.lit(0.0)).otherwise((b["y"] - a["y"]) / (b["x"] - a["x"]))
+        ya, yb = a["y"] + slope * (xa - a["x"]), a["y"] + slope * (xb - a["x"])
+        mean = F.when(F.abs(yb - ya) < 1e-6, clamp((ya + yb) / 2, y0, y1)).otherwise((whole(yb) - whole(ya)) / (yb - ya))
+        return F.when(xa == xb, F.lit(0.0)).otherwise((xa - xb) * (mean - y0))
+
+    return F.aggregate(F.sequence(F.lit(0), F.size(outline) - 1), F.lit(0.0), lambda s, i: s + side(i))
+
+
 def bridge_exposure(bridges: DataFrame, flood: DataFrame, size: float, policy: Policy = DEFAULT) -> DataFrame:
-    """Straight bridges with the distance to the nearest wet cell in reach; AFFECTED if it is within the corridor."""
+    """Straight bridges with the distance to the nearest wet cell in reach, and what share of their corridor is wet.
+
+    AFFECTED if a wet cell lies within the corridor and, unless any contact
+    blocks, the share reaches ``bridge_overlap_fraction``.
+    """
     keys = ["grid_id", "feature_id"]
-    boxed = bridges.withColumns({"xmin": F.least("x1", "x2"), "xmax": F.greatest("x1", "x2"), "ymin": F.least("y1", "y2"), "ymax": F.greatest("y1", "y2")})
-    hit = touched_cells(boxed, size, policy.bridge_buffer_m).join(_wet(flood), ["grid_id", "cy", "cx"])
+    hit = crossed_cells(bridges, size, policy.bridge_buffer_m).join(_wet(flood), ["grid_id", "cy", "cx"])
     t0, t1 = _inside(size)
     corners = [_point_to_segment((F.col("cx") + i) * size, (F.col("cy") + j) * size) for i in (0, 1) for j in (0, 1)]
     to_cell = lambda x, y: F.hypot(F.greatest(F.col("cx") * size - x, F.lit(0.0), x - (F.col("cx") + 1) * size), F.greatest(F.col("cy") * size - y, F.lit(0.0), y - (F.col("cy") + 1) * size))
     apart = F.when(t1 >= t0, F.lit(0.0)).otherwise(F.least(*corners, to_cell(F.col("x1"), F.col("y1")), to_cell(F.col("x2"), F.col("y2"))))
-    near = hit.groupBy(*keys).agg(F.min(apart).alias("distance_m"))
-    out = bridges.join(near, keys, "left")
-    return out.withColumn("status", F.when(F.col("distance_m") < policy.bridge_buffer_m, "AFFECTED").otherwise("NOT_AFFECTED"))
+    near = hit.withColumn("apart", apart).withColumn("_outline", F.when(F.col("apart") < policy.bridge_buffer_m, _corridor(policy.bridge_buffer_m)))
+    wet = F.when(F.col("_outline").isNotNull(), F.greatest(F.lit(0.0), _area_in_cell(F.col("_outline"), size)))
+    near = near.groupBy(*keys).agg(F.min("apart").alias("distance_m"), F.sum(wet).alias("overlap_m2"))
+    round_ends = 2 * QUARTER * math.sin(math.pi / 2 / QUARTER) * policy.bridge_buffer_m**2
+    corridor = 2 * policy.bridge_buffer_m * F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + round_ends
+    out = bridges.join(near, keys, "left").withColumn("overlap_m2", F.coalesce("overlap_m2", F.lit(0.0)))
+    out = out.withColumn("overlap_fraction", F.when(corridor > 0, F.col("overlap_m2") / corridor).otherwise(F.lit(0.0)))
+    hit_at_all = F.coalesce(F.col("distance_m") < policy.bridge_buffer_m, F.lit(False))
+    enough = F.lit(policy.bridge_block_on_contact) | (F.col("overlap_fraction") >= policy.bridge_overlap_fraction)
+    return out.withColumn("status", F.when(hit_at_all & enough, "AFFECTED").otherwise("NOT_AFFECTED"))
 
 
 def rasterize(edges: DataFrame, size: float) -> DataFrame:
-    """(feature_id, cy, cx): cells whose centre lies inside the polygon of ``edges(feature_id, x1, y1, x2, y2)``; holes are edges like others."""
-    box = edges.groupBy("feature_id").agg(F.min(F.least("x1", "x2")).alias("xmin"), F.max(F.greatest("x1", "x2")).alias("xmax"), F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("y1", "y2")).alias("ymax"))
-    cells = touched_cells(box, size).select("feature_id", "cy", "cx")
-    px, py = (F.col("cx") + 0.5) * size, (F.col("cy") + 0.5) * size
-    crosses = ((F.col("y1") > py) != (F.col("y2") > py)) & (px < (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    return cells.join(edges, "feature_id").groupBy("feature_id", "cy", "cx").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").drop("n")
+    """(feature_id, cy, cx): cells whose centre lies inside the polygon of ``edges(feature_id, x1, y1, x2, y2)``; holes are edges like others.
+
+    Each edge of the closed rings gives one crossing for every row of centres it
+    meets; crossings of a row, in order, open and close runs of cells.
+    """
+    py = (F.col("cy") + 0.5) * size
+    rows = F.sequence(F.floor(F.least("y1", "y2") / size).cast("int") - 1, F.ceil(F.greatest("y1", "y2") / size).cast("int"))
+    met = edges.withColumn("cy", F.explode(rows)).where((F.col("y1") > py) != (F.col("y2") > py))
+    crossing = (F.col("x2") - F.col("x1")) * (py - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
+    order = Window.partitionBy("feature_id", "cy").orderBy("begin")
+    runs = met.select("feature_id", "cy", crossing.alias("begin")).withColumns({"end": F.lead("begin").over(order), "n": F.row_number().over(order)}).where("n % 2 = 1")
+    px = lambda c: (c + 0.5) * size
+    cells = F.filter(F.sequence(F.floor(F.col("begin") / size).cast("int") - 1, F.ceil(F.col("end") / size).cast("int")), lambda c: (px(c) >= F.col("begin")) & (px(c) < F.col("end")))
+    return runs.select("feature_id", "cy", F.explode(cells).alias("cx"))

@@ -48,7 +48,7 @@ def _bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridge_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bridges(spark, sf_dir).select("feature_id", "status")
+    return _bridges(spark, sf_dir).select("feature_id", "status", F.round("overlap_fraction", 6).alias("overlap_fraction"))
 
 
 def bridge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,10 +83,22 @@ _SEGMENTS = _KNOWN + """, along AS (SELECT grid_id, feature_id, highway, bridge,
     islands AS (SELECT *, sum(new) OVER (PARTITION BY feature_id ORDER BY k) AS island FROM marked),
     pieces AS (SELECT feature_id || ':' || (island - 1) AS segment_id, CASE WHEN bool_or(mask IS NULL) THEN 'UNKNOWN_COVERAGE' WHEN max(wet) = 1 THEN 'BLOCKED' ELSE 'OPEN' END AS status, max(b) - min(a) AS m, any_value(highway) AS highway,
       bool_or(coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1')) AS bridge FROM islands GROUP BY feature_id, island)"""
-_BRIDGES = _KNOWN + """, judged AS (SELECT feature_id, EXISTS (SELECT 1 FROM known WHERE known.grid_id = roads.grid_id AND mask = 1 AND (y + x) % 3 = 0 AND y % 4 = 0 AND
+_BRIDGES = _KNOWN + """, judged AS (SELECT feature_id, grid_id, x1, y1, x2, y2, EXISTS (SELECT 1 FROM known WHERE known.grid_id = roads.grid_id AND mask = 1 AND (y + x) % 3 = 0 AND y % 4 = 0 AND
       sqrt(power(greatest(0, x * 10 - x2, x1 - x * 10 - 10), 2) + power(greatest(0, y * 10 - y2, y1 - y * 10 - 10), 2)) < 20) AS hit
     FROM roads WHERE coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1'))"""
 
+#: Share of the corridor that is wet: the corridor's sides cut where they enter or leave it, so that each part has its area by its middle.
+_SHARES = _BRIDGES + """, wet_cells AS (SELECT grid_id, y, x FROM known WHERE mask = 1 AND (y + x) % 3 = 0 AND y % 4 = 0),
+    corners AS (SELECT j.feature_id, grid_id, side * 33 + i AS k, CASE side WHEN 0 THEN x2 ELSE x1 END + 20 * cos(atan2(y2 - y1, x2 - x1) + (side - 0.5::DOUBLE) * pi() + i * pi() / 32) AS px,
+      CASE side WHEN 0 THEN y2 ELSE y1 END + 20 * sin(atan2(y2 - y1, x2 - x1) + (side - 0.5::DOUBLE) * pi() + i * pi() / 32) AS py FROM judged j, (SELECT unnest([0, 1]) AS side), (SELECT unnest(range(0, 33)) AS i) WHERE hit),
+    sides AS (SELECT feature_id, grid_id, px AS ax, py AS ay, coalesce(lead(px) OVER w, first_value(px) OVER w) AS bx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS "by" FROM corners WINDOW w AS (PARTITION BY feature_id ORDER BY k)),
+    near_cells AS (SELECT feature_id, c.* FROM judged j JOIN wet_cells c ON c.grid_id = j.grid_id AND c.x * 10 < j.x2 + 20 AND c.x * 10 + 10 > j.x1 - 20 AND c.y * 10 < j.y2 + 20 AND c.y * 10 + 10 > j.y1 - 20 WHERE hit),
+    lines AS (SELECT n.feature_id, n.y, n.x, s.ax, s.ay, s.bx, s."by", greatest(least(ax, bx), n.x * 10) AS u, least(greatest(ax, bx), n.x * 10 + 10) AS v FROM near_cells n JOIN sides s ON s.feature_id = n.feature_id AND least(ax, bx) < n.x * 10 + 10 AND greatest(ax, bx) > n.x * 10),
+    cut AS (SELECT *, ("by" - ay) / (bx - ax) AS m FROM lines WHERE v > u AND abs(bx - ax) > 1e-12),
+    steps AS (SELECT *, list_sort(list_distinct(list_filter([u, v, CASE WHEN m <> 0 THEN ax + (y * 10 - ay) / m END, CASE WHEN m <> 0 THEN ax + (y * 10 + 10 - ay) / m END], lambda p: p BETWEEN u AND v))) AS p FROM cut),
+    parts AS (SELECT *, unnest(p[:-2]) AS p0, unnest(p[2:]) AS p1 FROM steps),
+    sums AS (SELECT feature_id, sum((p1 - p0) * (greatest(y * 10, least(y * 10 + 10, ay + m * ((p0 + p1) / 2 - ax))) - y * 10) * CASE WHEN bx < ax THEN 1 ELSE -1 END) AS m2 FROM parts GROUP BY feature_id)"""
+
 QUERIES = {f.__name__: f for f in (hazard_candidates, building_exposure, building_summary, road_segments, road_summary, bridge_filter, bridge_exposure, bridge_summary, rasterize_polygons, road_speed)}
 ORACLES = {
     "hazard_candidates": _BUILT + " SELECT feature_id FROM wet",
@@ -96,7 +108,7 @@ ORACLES = {
     "road_segments": _SEGMENTS + " SELECT segment_id, status, round(m, 6) AS length_m, highway, bridge FROM pieces",
     "road_summary": _SEGMENTS + " SELECT round(sum(m) FILTER (status = 'OPEN') / 1000, 6) AS open_km, 0.0::DOUBLE AS potentially_blocked_km, round(coalesce(sum(m) FILTER (status = 'BLOCKED'), 0) / 1000, 6) AS blocked_km, round(coalesce(sum(m) FILTER (status = 'UNKNOWN_COVERAGE'), 0) / 1000, 6) AS unknown_coverage_km, count(*) AS segments FROM pieces",
     "bridge_filter": with_tables("roads") + " SELECT feature_id FROM roads WHERE coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1')",
-    "bridge_exposure": _BRIDGES + " SELECT feature_id, CASE WHEN hit THEN 'AFFECTED' ELSE 'NOT_AFFECTED' END AS status FROM judged",
+    "bridge_exposure": _SHARES + " SELECT feature_id, CASE WHEN hit THEN 'AFFECTED' ELSE 'NOT_AFFECTED' END AS status, round(coalesce(m2, 0) / (40 * ((x2 - x1) + (y2 - y1)) + 400 * 32 * sin(pi() / 32)), 6) AS overlap_fraction FROM judged LEFT JOIN sums USING (feature_id)",
     "bridge_summary": _BRIDGES + " SELECT count(*) AS bridges, count(*) FILTER (hit) AS affected FROM judged",
     "rasterize_polygons": f"""WITH rings AS ({_RINGS.format(part='part')}), edges AS ({_EDGES}), boxes AS (SELECT feature_id, min(x1) AS a, max(x1) AS b, min(y1) AS c, max(y1) AS d FROM edges GROUP BY feature_id),
         ys AS (SELECT *, unnest(range(CAST(floor(c / 10) AS INT), CAST(ceil(d / 10) AS INT))) AS cy FROM boxes), cells AS (SELECT *, unnest(range(CAST(floor(a / 10) AS INT), CAST(ceil(b / 10) AS INT))) AS cx FROM ys)

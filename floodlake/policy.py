@@ -39,6 +39,8 @@ class Policy:
     road_potential_fraction: float = 0.01
     road_blocked_fraction: float = 0.5
     bridge_buffer_m: float = 20.0
+    bridge_block_on_contact: bool = True
+    bridge_overlap_fraction: float = 0.1
     # Road network; speeds in km/h by class of road.
     max_snap_m: float = 500.0
     detour_ratio: float = 1.25
