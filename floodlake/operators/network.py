@@ -131,6 +131,30 @@ def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_0
     raise RuntimeError(f"the search did not end in {max_rounds} rounds")
 
 
+def sources_by_node(sources: DataFrame, order: str = "source_id") -> DataFrame:
+    """(request_id, node, source_id): of the sources ``(request_id, node, source_id, ...)`` at a node the first by ``order``; those off the graph are left out."""
+    first = F.min_by("source_id", F.struct(order, "source_id"))
+    return sources.where("node IS NOT NULL").groupBy("request_id", "node").agg(first.alias("source_id"))
+
+
+def access_of_places(segments: DataFrame, places: DataFrame, policy: Policy = DEFAULT, strict: bool = False) -> DataFrame:
+    """Status of all ``places(request_id, feature_id, name, x, y, settlement, source)``, by routes over the roads they were snapped to.
+
+    Places snap to the roads before the event, which are split there; booleans
+    say who asks and who is a source.  A source whose roads are all closed is
+    no source after the event.
+    """
+    edges = checkpointed(road_edges(segments, policy))
+    snapped = checkpointed(snap_points(places, edges, policy))
+    parts = checkpointed(split_edges(edges, snapped))
+    left = post_event_edges(parts, strict)
+    at = snapped.select("request_id", "feature_id", "node").join(places, ["request_id", "feature_id"])
+    sources = sources_by_node(at.where("source").select("request_id", "node", F.col("feature_id").alias("source_id")))
+    open_nodes = left.select("request_id", F.col("src").alias("node")).union(left.select("request_id", "dst"))
+    before, after = shortest_access(parts, sources), shortest_access(left, sources.join(open_nodes, ["request_id", "node"], "left_semi"))
+    return settlement_access(at.where("settlement").select("request_id", "feature_id", "name", "node"), before, after, policy=policy)
+
+
 def settlement_access(settlements: DataFrame, before: DataFrame, after: DataFrame, any_source: bool = True, policy: Policy = DEFAULT) -> DataFrame:
     """Status of each settlement ``(request_id, feature_id, name, node)`` by its routes before and after."""
     way = lambda r, n: r.select("request_id", "node", F.col("time_s").alias(f"{n}_time_s"), F.col("length_m").alias(f"{n}_m"), F.col("source_id").alias(f"{n}_source"), F.col("blockers").alias(f"{n}_blockers"))

@@ -86,6 +86,21 @@ def most_affected_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nw.most_affected(_access(spark, sf_dir)).select("rank", "feature_id", "status")
 
 
+def access_sources_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first source of each node in input order, that is by number."""
+    places = _places(spark, sf_dir)
+    at = nw.snap_points(_sources(places), _edges(spark, sf_dir)).select("request_id", "node", F.col("feature_id").alias("source_id"), F.col("feature_id").cast("long").alias("seq"))
+    return nw.sources_by_node(at, "seq").select(nw.node_name(F.col("node")).alias("node"), "source_id")
+
+
+def places_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settlements routed to towns and healthcare over the roads they are snapped to, before and after the event."""
+    source = F.expr("category = 'healthcare' OR category = 'settlement' AND place IN ('town', 'city')")
+    places = _places(spark, sf_dir).withColumns({"settlement": F.col("category") == "settlement", "source": source})
+    got = nw.access_of_places(load(spark, sf_dir, "lattice"), places)
+    return got.select("feature_id", F.round("before_time_s", 4).alias("before_time_s"), F.round("after_time_s", 4).alias("after_time_s"))
+
+
 _DIRECTED = with_tables("lattice", "places") + f""", starts AS ({_STARTS.format(nation='nation')}),
     drive AS (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS m, CASE highway WHEN 'primary' THEN 60 WHEN 'secondary' THEN 50 WHEN 'residential' THEN 30 WHEN 'track' THEN 15 END AS v FROM lattice WHERE highway <> 'footway'),
     edges AS (SELECT segment_id, CAST(x1 * 100 AS BIGINT) || ',' || CAST(y1 * 100 AS BIGINT) AS src, CAST(x2 * 100 AS BIGINT) || ',' || CAST(y2 * 100 AS BIGINT) AS dst, status, m, m * 3.6 / v AS t, x1, y1, x2, y2 FROM drive WHERE coalesce(oneway, 'no') <> '-1'
@@ -98,13 +113,16 @@ _SNAPPED = _DIRECTED + """, near AS (SELECT feature_id, p.x, p.y, e.*, greatest(
     snapped AS (SELECT b.feature_id, least(b.n, o.n) AS n, e FROM best b JOIN other_end o ON o.feature_id = b.feature_id)"""
 
 
-def _search(name: str, where: str = "TRUE") -> str:
-    return f""", {name}(node, t) USING KEY (node) AS (SELECT CAST(x * 100 AS BIGINT) || ',' || CAST(y * 100 AS BIGINT) AS node, 0.0::DOUBLE AS t FROM starts
-      UNION SELECT e.src, min(d.t + e.t) FROM {name} d JOIN edges e ON e.dst = d.node LEFT JOIN recurring.{name} r ON r.node = e.src WHERE {where} AND (r.t IS NULL OR d.t + e.t < r.t - 1e-9) GROUP BY e.src)"""
+_FROM_STARTS = "SELECT CAST(x * 100 AS BIGINT) || ',' || CAST(y * 100 AS BIGINT) AS node, 0.0::DOUBLE AS t FROM starts"
+
+
+def _search(name: str, where: str = "TRUE", edges: str = "edges", begin: str = _FROM_STARTS) -> str:
+    return f""", {name}(node, t) USING KEY (node) AS ({begin}
+      UNION SELECT e.src, min(d.t + e.t) FROM {name} d JOIN {edges} e ON e.dst = d.node LEFT JOIN recurring.{name} r ON r.node = e.src WHERE {where} AND (r.t IS NULL OR d.t + e.t < r.t - 1e-9) GROUP BY e.src)"""
 
 
 _OPEN = "e.status NOT IN ('BLOCKED', 'UNKNOWN_COVERAGE')"
-QUERIES = {f.__name__: f for f in (road_edges, post_event_edges, access_sources, snap_points, split_edges, shortest_access, settlement_access, connectivity_summary, route_blockers, most_affected_settlements)}
+QUERIES = {f.__name__: f for f in (road_edges, post_event_edges, access_sources, snap_points, split_edges, shortest_access, settlement_access, connectivity_summary, route_blockers, most_affected_settlements, access_sources_by_node, places_access)}
 ORACLES = {
     "road_edges": _DIRECTED + " SELECT segment_id, src, dst, status, round(m, 6) AS length_m, round(t, 6) AS time_s FROM edges",
     "post_event_edges": _DIRECTED + " SELECT segment_id, src, dst, status, round(m, 6) AS length_m, round(t, 6) AS time_s FROM edges WHERE status NOT IN ('BLOCKED', 'UNKNOWN_COVERAGE', 'POTENTIALLY_BLOCKED')",
@@ -123,3 +141,18 @@ _ACCESS = _DIRECTED + _search("b") + _search("a", _OPEN) + """, homes AS (SELECT
     judged AS (SELECT h.node, b.t AS bt, a.t AS aft, CASE WHEN b.t IS NULL THEN 'NO_BASELINE_ACCESS' WHEN a.t IS NULL THEN 'CUT_OFF' WHEN b.t > 0 AND a.t / b.t > 1.25 THEN 'DETOUR' ELSE 'CONNECTED' END AS status FROM homes h LEFT JOIN b ON b.node = h.node LEFT JOIN a ON a.node = h.node)"""
 ORACLES["settlement_access"] = _ACCESS + " SELECT node AS feature_id, status, round(bt, 6) AS before_time_s, round(aft, 6) AS after_time_s FROM judged"
 ORACLES["connectivity_summary"] = _ACCESS + " SELECT CAST(0 AS INT) AS request_id, count(*) AS settlements, count(*) FILTER (status = 'CONNECTED') AS connected, count(*) FILTER (status = 'DETOUR') AS detour, count(*) FILTER (status = 'CUT_OFF') AS cut_off, count(*) FILTER (status = 'NO_BASELINE_ACCESS') AS no_baseline_access FROM judged"
+
+_PLACED = _SNAPPED + """, placed AS (SELECT s.feature_id, p.category, p.place, e.d <= 500 AND n.d > e.d AS inside, e.s AS segment_id, CAST(round_even(e.x * 100, 0) AS BIGINT) AS cx, CAST(round_even(e.y * 100, 0) AS BIGINT) AS cy,
+      CASE WHEN least(n.d, e.d) > 500 THEN NULL WHEN n.d <= e.d THEN CAST(round_even(n.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(n.y * 100, 0) AS BIGINT) ELSE CAST(round_even(e.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(e.y * 100, 0) AS BIGINT) END AS node
+      FROM snapped s JOIN places p ON p.feature_id = s.feature_id),
+    origins AS (SELECT * FROM placed WHERE node IS NOT NULL AND (category = 'healthcare' OR place = 'town'))"""
+_SPLIT = _PLACED + """, marks AS (SELECT DISTINCT segment_id, cx, cy FROM placed WHERE inside),
+    stops AS (SELECT segment_id, src, dst, status, t, 0.0::DOUBLE AS f, src AS node FROM edges UNION ALL SELECT segment_id, src, dst, status, t, 1.0, dst FROM edges
+      UNION ALL SELECT * FROM (SELECT e.segment_id, src, dst, status, t, ((cx - x1 * 100) * (x2 - x1) + (cy - y1 * 100) * (y2 - y1)) / (m * m * 100) AS f, cx || ',' || cy FROM edges e JOIN marks k ON k.segment_id = e.segment_id) WHERE f > 0 AND f < 1),
+    halves AS (SELECT node AS src, lead(node) OVER w AS dst, status, t * (lead(f) OVER w - f) AS t FROM stops WINDOW w AS (PARTITION BY segment_id, src, dst ORDER BY f)),
+    split AS (SELECT * FROM halves WHERE dst IS NOT NULL), still AS (SELECT * FROM split WHERE status NOT IN ('BLOCKED', 'UNKNOWN_COVERAGE'))"""
+ORACLES["access_sources_by_node"] = _PLACED + " SELECT node, arg_min(feature_id, CAST(feature_id AS BIGINT)) AS source_id FROM origins GROUP BY node"
+ORACLES["places_access"] = (
+    _SPLIT + _search("b", edges="split", begin="SELECT DISTINCT node, 0.0::DOUBLE AS t FROM origins") + _search("a", edges="still", begin="SELECT DISTINCT node, 0.0::DOUBLE AS t FROM origins WHERE node IN (SELECT src FROM still UNION SELECT dst FROM still)")
+    + " SELECT p.feature_id, round(b.t, 4) AS before_time_s, round(a.t, 4) AS after_time_s FROM placed p LEFT JOIN b ON b.node = p.node LEFT JOIN a ON a.node = p.node WHERE category = 'settlement'"
+)

@@ -195,7 +195,7 @@ def scene_intake_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(source)
     query = intake.scene_intake(pages, target, _shared(spark, "intake"))
     query.awaitTermination()
-    return intake.latest_scenes(spark, target, query.lastProgress["batchId"]).select("request_id", "scene_id", "platform")
+    return intake.latest_scenes(spark, target, query.lastProgress["batchId"], "request_id int, scene_id string, platform string").select("request_id", "scene_id", "platform")
 
 
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

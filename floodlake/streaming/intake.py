@@ -11,25 +11,43 @@ def _newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def scene_intake(pages: DataFrame, target: str, checkpoint: str):
+#: Parts of the table of scenes, by a hash of request and scene; a batch rewrites only the parts that it touches.
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, target: str, epoch: int) -> dict[int, int]:
+    """The batch that last wrote each bucket, as of a batch; as many entries as there are buckets at most."""
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{target}/versions/v{epoch}").collect()}
+
+
+def scene_intake(pages: DataFrame, target: str, checkpoint: str, buckets: int = BUCKETS):
     """Start a stream that keeps the newest item per request and scene under ``target``.
 
-    Every batch writes a new version of the table in a folder of its own, so a
-    batch that is run again after a failure overwrites only itself.  Returns
-    the query; ``latest_scenes`` reads the newest version.
+    Every batch writes the buckets it touches to a folder of its own, then the
+    table of each bucket's last batch; a batch that is run again after a
+    failure overwrites only itself.  Returns the query; ``latest_scenes`` reads
+    the newest version.  A target keeps its number of buckets.
     """
 
     def upsert(batch: DataFrame, epoch: int) -> None:
-        known = batch
-        if epoch > 0:
-            known = batch.sparkSession.read.schema(batch.schema).parquet(f"{target}/v{epoch - 1}").unionByName(batch)
-        _newest(known, ["request_id", "scene_id"], "ingest_seq").write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64("request_id", "scene_id"), F.lit(buckets)).cast("int").alias("bucket")
+        versions = _versions(spark, target, epoch - 1) if epoch > 0 else {}
+        touched = [r.bucket for r in batch.select(bucket).distinct().collect()]
+        paths = [f"{target}/v{versions[b]}/bucket={b}" for b in touched if b in versions]
+        known = spark.read.schema(batch.schema).parquet(*paths).unionByName(batch) if paths else batch
+        newest = _newest(known, ["request_id", "scene_id"], "ingest_seq")
+        newest.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v{epoch}")
+        now = versions | dict.fromkeys(touched, epoch)
+        spark.createDataFrame(list(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{target}/versions/v{epoch}")
 
     return pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_scenes(spark: SparkSession, target: str, epoch: int) -> DataFrame:
-    return spark.read.parquet(f"{target}/v{epoch}")
+def latest_scenes(spark: SparkSession, target: str, epoch: int, schema: str) -> DataFrame:
+    """The table as of a batch, with the columns of ``schema``."""
+    paths = [f"{target}/v{v}/bucket={b}" for b, v in _versions(spark, target, epoch).items()]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
 def latest_job_state(log: DataFrame) -> DataFrame:
