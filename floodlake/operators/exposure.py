@@ -8,6 +8,7 @@ compared with all of the other side.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,10 +78,10 @@ def building_exposure(buildings: DataFrame, flood: DataFrame, size: float, polic
     return out.withColumn("affected", (F.col("overlap_m2") > 0) & (F.col("fraction") >= policy.building_fraction))
 
 
-def building_summary(exposed: DataFrame) -> DataFrame:
-    """Counts and footprint areas; one row of zeros for no buildings."""
+def building_summary(exposed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Counts and footprint areas, of all or ``by`` columns; without those, one row of zeros for no buildings."""
     hit = F.col("affected")
-    return exposed.agg(
+    return exposed.groupBy(*by).agg(
         F.count("*").alias("total_count"), F.count_if(hit).alias("affected_count"), F.coalesce(F.sum("footprint_m2"), F.lit(0.0)).alias("total_m2"),
         F.coalesce(F.sum(F.when(hit, F.col("footprint_m2"))), F.lit(0.0)).alias("affected_m2"), F.coalesce(F.avg(hit.cast("double")), F.lit(0.0)).alias("affected_fraction"),
     )
@@ -144,10 +145,10 @@ def is_bridge() -> Column:
     return ~F.coalesce("bridge", F.lit("no")).isin("no", "false", "0") & ~F.coalesce("tunnel", F.lit("")).isin("yes", "true", "1")
 
 
-def road_summary(segments: DataFrame) -> DataFrame:
-    """Kilometres by status, and the number of segments."""
+def road_summary(segments: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Kilometres by status, and the number of segments, of all or ``by`` columns."""
     km = lambda s: F.coalesce(F.sum(F.when(F.col("status") == s, F.col("length_m"))), F.lit(0.0)) / 1000
-    return segments.agg(*[km(s).alias(f"{s.lower()}_km") for s in ("OPEN", "POTENTIALLY_BLOCKED", "BLOCKED", "UNKNOWN_COVERAGE")], F.count("*").alias("segments"))
+    return segments.groupBy(*by).agg(*[km(s).alias(f"{s.lower()}_km") for s in ("OPEN", "POTENTIALLY_BLOCKED", "BLOCKED", "UNKNOWN_COVERAGE")], F.count("*").alias("segments"))
 
 
 def _point_to_segment(px: Column, py: Column) -> Column:
@@ -210,6 +211,11 @@ def bridge_exposure(bridges: DataFrame, flood: DataFrame, size: float, policy: P
     return out.withColumn("status", F.when(hit_at_all & enough, "AFFECTED").otherwise("NOT_AFFECTED"))
 
 
+def bridge_summary(exposed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Bridges and affected ones, of all or ``by`` columns."""
+    return exposed.groupBy(*by).agg(F.count("*").alias("bridges"), F.count_if(F.col("status") == "AFFECTED").alias("affected"))
+
+
 def rasterize(edges: DataFrame, size: float) -> DataFrame:
     """(feature_id, cy, cx): cells whose centre lies inside the polygon of ``edges(feature_id, x1, y1, x2, y2)``; holes are edges like others.
 

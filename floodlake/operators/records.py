@@ -45,11 +45,19 @@ def layer_catalog(artifacts: DataFrame) -> DataFrame:
     return artifacts.where(F.lower("path").rlike(r"\.(geojson|tif|tiff)$")).select("path", "media_type")
 
 
-def run_manifest(artifacts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Per request: hash of the canonical request, and its artifacts by path."""
+def run_manifest(artifacts: DataFrame, requests: DataFrame, pairs: DataFrame, stages: DataFrame) -> DataFrame:
+    """Per request: hash of the canonical request, its scenes ``pairs(request_id, pre_id, post_id)``, stages and artifacts.
+
+    ``stages(request_id, stage, status, seq)`` give each stage's last status, in
+    order of stages; artifacts are in order of path.
+    """
     canonical = F.sha2(F.to_json(F.struct("event_date", "request_id")), 256)
     by_path = artifacts.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("artifacts"))
-    return requests.select("request_id", canonical.alias("request_sha256")).join(by_path, "request_id", "left")
+    last = stages.groupBy("request_id", "stage").agg(F.max_by("status", "seq").alias("status"))
+    by_stage = last.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("stage", "status"))).alias("stages"))
+    chosen = pairs.select("request_id", F.struct("pre_id", "post_id").alias("selected_scenes"))
+    out = requests.select("request_id", canonical.alias("request_sha256"))
+    return out.join(chosen, "request_id", "left").join(by_stage, "request_id", "left").join(by_path, "request_id", "left")
 
 
 def redact(text: Column) -> Column:
@@ -102,6 +110,25 @@ def pending_requests(requests: DataFrame, results: DataFrame, now: Column, ttl_s
     return requests.join(fresh, "fingerprint", "left_anti")
 
 
+# Labels of the report's measures, by the column that holds each.
+LABELS = {
+    "flooded_km2": "Flooded area (km2)",
+    "regions": "Flood polygons",
+    "affected_buildings": "Potentially affected buildings",
+    "buildings": "Buildings assessed",
+    "affected_bridges": "Potentially affected bridges",
+    "bridges": "Bridges assessed",
+    "open_km": "Roads: open (km)",
+    "potentially_blocked_km": "Roads: potentially blocked (km)",
+    "blocked_km": "Roads: blocked (km)",
+    "unknown_coverage_km": "Roads: unknown coverage (km)",
+    "connected": "Settlements connected",
+    "detour": "Settlements with detours",
+    "cut_off": "Settlements cut off",
+    "no_baseline_access": "Settlements without baseline access",
+}
+
+
 def report_metrics(metrics: DataFrame) -> DataFrame:
     """Long form (request_id, label, value) of a row of measures per request, unknown ones left out."""
     names = [c for c in metrics.columns if c != "request_id"]

@@ -52,7 +52,15 @@ def bridge_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _bridges(spark, sf_dir).agg(F.count("*").alias("bridges"), F.count_if(F.col("status") == "AFFECTED").alias("affected"))
+    return ex.bridge_summary(_bridges(spark, sf_dir))
+
+
+def by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per grid: buildings, roads and bridges, those affected, and kilometres by status."""
+    buildings = ex.building_summary(ex.building_exposure(load(spark, sf_dir, "buildings"), _flood(spark, sf_dir), CELL), ["grid_id"]).select("grid_id", F.col("total_count").alias("buildings"), F.col("affected_count").alias("affected_buildings"))
+    roads = ex.road_summary(_segments(spark, sf_dir), ["grid_id"]).drop("segments")
+    bridges = ex.bridge_summary(_bridges(spark, sf_dir), ["grid_id"]).withColumnRenamed("affected", "affected_bridges")
+    return buildings.join(roads, "grid_id", "full").join(bridges, "grid_id", "full")
 
 
 _RINGS = "SELECT CAST(p_partkey AS STRING) AS feature_id, CAST(p_partkey * 37 % 931 AS DOUBLE) AS ax, CAST(p_partkey * 53 % 937 AS DOUBLE) AS ay, CAST(10 + p_size AS DOUBLE) AS w, CAST(15 + p_size % 23 AS DOUBLE) AS h FROM {part}"
@@ -116,3 +124,10 @@ ORACLES = {
         HAVING count(*) FILTER (((y1 > cy * 10 + 5) <> (y2 > cy * 10 + 5)) AND cx * 10 + 5 < (x2 - x1) * (cy * 10 + 5 - y1) / (y2 - y1) + x1) % 2 = 1""",
     "road_speed": with_tables("roads") + """ SELECT feature_id, round(CASE maxspeed WHEN '50' THEN 50 WHEN '30 mph' THEN 30 * 1.609344::DOUBLE WHEN '40;60' THEN 40 ELSE CASE highway WHEN 'primary' THEN 60 WHEN 'residential' THEN 30 WHEN 'track' THEN 15 END END, 6) AS speed_kmh FROM roads""",
 }
+#: DuckDB SQL for the rows of ``by_grid``, in three parts.
+BY_GRID = {
+    "b": _BUILT + " SELECT grid_id, count(*) AS buildings, count(*) FILTER (m2 > 0 AND m2 / area >= 0.1) AS affected_buildings FROM built JOIN buildings USING (feature_id) GROUP BY grid_id",
+    "r": _SEGMENTS + """ SELECT grid_id, coalesce(sum(m) FILTER (status = 'OPEN'), 0) / 1000 AS open_km, 0.0::DOUBLE AS potentially_blocked_km, coalesce(sum(m) FILTER (status = 'BLOCKED'), 0) / 1000 AS blocked_km,
+        coalesce(sum(m) FILTER (status = 'UNKNOWN_COVERAGE'), 0) / 1000 AS unknown_coverage_km FROM pieces JOIN roads ON roads.feature_id = split_part(segment_id, ':', 1) GROUP BY grid_id""",
+    "g": _BRIDGES + " SELECT grid_id, count(*) AS bridges, count(*) FILTER (hit) AS affected_bridges FROM judged GROUP BY grid_id",
+}

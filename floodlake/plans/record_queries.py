@@ -12,6 +12,7 @@ from ..functions import geo
 from ..operators import features as ft
 from ..operators import records as rc
 from ..streaming import intake
+from . import exposure_queries, network_queries, pixel_queries, scene_queries
 from .fixtures import load, with_tables
 
 
@@ -126,9 +127,10 @@ def manifest_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _artifacts(spark, sf_dir).withColumn("request_id", (F.split("path", "/")[1].cast("long") % 25).cast("int"))
-    out = rc.run_manifest(found, load(spark, sf_dir, "requests"))
+    log = load(spark, sf_dir, "stage_log").withColumn("request_id", (F.col("job_id").cast("long") % 25).cast("int"))
+    out = rc.run_manifest(found, load(spark, sf_dir, "requests"), scene_queries.adaptive_pairing(spark, sf_dir), log)
     joined = F.array_join(F.transform("artifacts", lambda a: F.concat_ws("=", a["path"], a["sha256"])), ";")
-    return out.select("request_id", "request_sha256", F.sha2(joined, 256).alias("artifacts_sha256"))
+    return out.select("request_id", "request_sha256", F.sha2(joined, 256).alias("artifacts_sha256"), "selected_scenes.*", F.array_join(F.transform("stages", lambda x: F.concat_ws("=", x["stage"], x["status"])), ";").alias("stages"))
 
 
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,17 +169,30 @@ def pending_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 25).cast("int").alias("request_id")).agg(
-        F.count("*").alias("Buildings assessed"), F.count_if(F.col("o_orderstatus") == "F").alias("Roads: open (km)"), F.min(F.when(F.col("o_custkey") % 3 == 5, F.lit(1))).alias("Flood polygons"))
-    return rc.report_metrics(rows).select("request_id", "label", "value")
+    """Measures of the request whose grid and road network have its number."""
+    flood = pixel_queries.flood_summary(spark, sf_dir).select(F.col("grid_id").alias("request_id"), "flooded_km2")
+    regions = pixel_queries.flood_regions(spark, sf_dir).groupBy(F.col("grid_id").alias("request_id")).agg(F.count("*").alias("regions"))
+    exposed = exposure_queries.by_grid(spark, sf_dir).withColumnRenamed("grid_id", "request_id")
+    access = network_queries.connectivity_summary(spark, sf_dir).drop("settlements")
+    rows = load(spark, sf_dir, "requests").select("request_id")
+    for part in (flood, regions, exposed, access):
+        rows = rows.join(part, "request_id", "left")
+    named = rows.select("request_id", *[F.col(c).alias(label) for c, label in rc.LABELS.items()])
+    return rc.report_metrics(named).select("request_id", "label", F.round("value", 6).alias("value"))
 
 
 def analysis_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested document per request, as its JSON."""
+    """One nested document per request, as its JSON: scenes found, the pair chosen, flood and buildings of its grid."""
     scenes = load(spark, sf_dir, "scenes").groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("scene_id", "platform"))).alias("scenes"))
-    doc = F.struct("request_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "scenes")
-    all_ = load(spark, sf_dir, "requests").join(scenes, "request_id", "left").withColumn("scenes", F.coalesce("scenes", F.array().cast("array<struct<scene_id:string,platform:string>>")))
-    return all_.select("request_id", F.to_json(doc).alias("document"))
+    pairing = scene_queries.adaptive_pairing(spark, sf_dir).select("request_id", F.struct("status", "window_days", "pre_id", "post_id").alias("pairing"))
+    hazard = pixel_queries.flood_summary(spark, sf_dir).select(F.col("grid_id").alias("request_id"), F.struct("pixels", "valid_pixels", "flooded_pixels").alias("hazard"))
+    exposed = exposure_queries.by_grid(spark, sf_dir).select(F.col("grid_id").alias("request_id"), F.struct("buildings", "affected_buildings", "bridges", "affected_bridges").alias("exposure"))
+    doc = F.struct("request_id", F.date_format("event_date", "yyyy-MM-dd").alias("event_date"), "scenes", "pairing", "hazard", "exposure")
+    rows = load(spark, sf_dir, "requests")
+    for part in (scenes, pairing, hazard, exposed):
+        rows = rows.join(part, "request_id", "left")
+    rows = rows.withColumn("scenes", F.coalesce("scenes", F.array().cast("array<struct<scene_id:string,platform:string>>")))
+    return rows.select("request_id", F.to_json(doc).alias("document"))
 
 
 def feature_layer_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,6 +249,9 @@ _A = f"WITH a AS ({_AOIS.format(customer='customer')})"
 _FOUND = "WITH found AS (SELECT page_id, 'job/' || page_id || '/' || CASE page_id % 5 WHEN 0 THEN 'a.geojson' WHEN 1 THEN 'b.json' WHEN 2 THEN 'c.HTML' WHEN 3 THEN 'd.tif' ELSE 'e.bin' END AS path, sha256(html) AS sha256, octet_length(encode(html)) AS size_bytes, CASE page_id % 5 WHEN 0 THEN 'application/geo+json' WHEN 1 THEN 'application/json' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/tiff' ELSE 'application/octet-stream' END AS media_type FROM pages)"
 _JOBS = with_tables("stage_log") + ", jobs AS (SELECT job_id, arg_max(status, seq) AS status, arg_max(stage, seq) AS latest, arg_max(CASE WHEN status = 'RUNNING' THEN stage END, CASE WHEN status = 'RUNNING' THEN seq END) AS running FROM stage_log GROUP BY job_id)"
 
+_REQUESTS = with_tables("requests") + " SELECT * FROM requests"
+_BY_GRID = ", ".join(f"{name} AS ({sql})" for name, sql in exposure_queries.BY_GRID.items())
+
 QUERIES = {f.__name__: f for f in (
     feature_category, feature_normalize, feature_quality, feature_normalize_wkb, snapshot_asof, aoi_validate, geodesic_area, utm_zone, project_utm, clip_to_aoi, artifact_inventory, layer_catalog, manifest_reconcile,
     run_manifest, redact_text, mask_evaluation, job_status_rollup, mark_interrupted, stage_durations, pending_requests, report_metrics, analysis_document, feature_layer_roundtrip, scene_intake_stream, job_state_stream,
@@ -256,8 +274,10 @@ ORACLES = {
     "layer_catalog": _FOUND + " SELECT path, media_type FROM found WHERE page_id % 5 IN (0, 3)",
     "manifest_reconcile": _FOUND + """, listed AS (SELECT CASE WHEN page_id % 13 = 0 THEN '../' || path ELSE path END AS path, CASE WHEN page_id % 7 = 0 THEN '00' ELSE sha256 END AS listed FROM found WHERE page_id % 11 <> 0)
         SELECT coalesce(l.path, f.path) AS path, CASE WHEN starts_with(l.path, '..') THEN 'unsafe' WHEN l.path IS NULL THEN 'unlisted' WHEN f.path IS NULL THEN 'missing' WHEN listed <> sha256 THEN 'hash_mismatch' ELSE 'ok' END AS status FROM listed l FULL JOIN found f ON l.path = f.path""",
-    "run_manifest": _FOUND + f", requests AS ({with_tables('requests').removeprefix('WITH RECURSIVE requests AS (').removesuffix(')')})" + """ SELECT request_id, sha256('{"event_date":"' || event_date || '","request_id":' || request_id || '}') AS request_sha256, sha256(string_agg(path || '=' || sha256, ';' ORDER BY path)) AS artifacts_sha256
-        FROM requests LEFT JOIN found ON page_id % 25 = request_id GROUP BY request_id, event_date""",
+    "run_manifest": _FOUND + f", requests AS ({_REQUESTS}), pairs AS ({scene_queries.ORACLES['adaptive_pairing']}), log AS (SELECT * FROM ({with_tables('stage_log')} SELECT * FROM stage_log))" + """,
+        last AS (SELECT CAST(CAST(job_id AS BIGINT) % 25 AS INT) AS request_id, stage, arg_max(status, seq) AS status FROM log GROUP BY 1, 2), by_stage AS (SELECT request_id, string_agg(stage || '=' || status, ';' ORDER BY stage) AS stages FROM last GROUP BY request_id)
+        SELECT request_id, sha256('{"event_date":"' || event_date || '","request_id":' || request_id || '}') AS request_sha256, sha256(string_agg(path || '=' || sha256, ';' ORDER BY path)) AS artifacts_sha256, any_value(pre_id) AS pre_id, any_value(post_id) AS post_id, any_value(stages) AS stages
+        FROM requests LEFT JOIN found ON page_id % 25 = request_id LEFT JOIN pairs USING (request_id) LEFT JOIN by_stage USING (request_id) GROUP BY request_id, event_date""",
     "redact_text": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)(password|passwd|token|secret|authorization|api[_-]?key)(\s*[=:]\s*)([^\s,;&]+)', '\1\2[REDACTED]', 'g'), '(?i)\bBearer\s+[^\s,;&]+', 'Bearer [REDACTED]', 'g')) AS redacted_md5 FROM documents",
     "mask_evaluation": """WITH c AS (SELECT count(*) FILTER (quality > 0 AND toxic > 0) AS tp, count(*) FILTER (quality > 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 0 AND toxic > 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels)
         SELECT *, round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round(tp / (tp + fp + fn), 9) AS iou, round((tp + fp) * 0.0001::DOUBLE, 9) AS predicted_km2, round((tp + fn) * 0.0001::DOUBLE, 9) AS reference_km2 FROM c""",
@@ -265,8 +285,16 @@ ORACLES = {
     "mark_interrupted": _JOBS + " SELECT job_id, CASE WHEN status IN ('QUEUED', 'RUNNING') THEN 'FAILED' ELSE status END AS status, CASE WHEN status IN ('QUEUED', 'RUNNING') THEN coalesce(running, latest) END AS error_stage FROM jobs",
     "stage_durations": with_tables("stage_log") + " SELECT job_id, seq, CAST(floor(date_diff('microsecond', started_at, lead(started_at) OVER w) / 1000) AS BIGINT) AS duration_ms, CAST(least(99, ((row_number() OVER w - 1) * 100 + percent) // 9) AS INT) AS progress FROM stage_log WINDOW w AS (PARTITION BY job_id ORDER BY started_at, seq)",
     "pending_requests": with_tables("stage_log") + " SELECT seq FROM stage_log a WHERE seq % 3 = 0 AND NOT EXISTS (SELECT 1 FROM stage_log b WHERE b.seq % 5 = 0 AND b.status = 'SUCCEEDED' AND b.job_id = a.job_id AND b.stage = a.stage AND epoch(TIMESTAMP '2024-01-12 00:00:00') - epoch(b.started_at) < 864001)",
-    "report_metrics": "SELECT CAST(o_custkey % 25 AS INT) AS request_id, 'Buildings assessed' AS label, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 UNION ALL SELECT CAST(o_custkey % 25 AS INT), 'Roads: open (km)', CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) FROM orders GROUP BY 1",
-    "analysis_document": with_tables("requests", "scenes") + """ SELECT request_id, '{"request_id":' || request_id || ',"event_date":"' || event_date || '","scenes":[' || coalesce(string_agg('{"scene_id":"' || scene_id || '","platform":"' || platform || '"}', ',' ORDER BY scene_id), '') || ']}' AS document FROM requests LEFT JOIN scenes USING (request_id) GROUP BY request_id, event_date""",
+    "report_metrics": f"""WITH flood AS ({pixel_queries.ORACLES['flood_summary']}), areas AS (SELECT grid_id, count(*) AS regions FROM ({pixel_queries.ORACLES['flood_regions']}) GROUP BY grid_id), {_BY_GRID}, access AS ({network_queries.ORACLES['connectivity_summary']}),
+        wide AS MATERIALIZED (SELECT q.request_id, flood.*, areas.*, b.*, r.*, g.*, access.* FROM ({_REQUESTS}) q LEFT JOIN flood ON flood.grid_id = q.request_id LEFT JOIN areas ON areas.grid_id = q.request_id LEFT JOIN b ON b.grid_id = q.request_id
+          LEFT JOIN r ON r.grid_id = q.request_id LEFT JOIN g ON g.grid_id = q.request_id LEFT JOIN access ON access.request_id = q.request_id) """
+        + " UNION ALL ".join(f"SELECT request_id, '{label}' AS label, round(CAST({c} AS DOUBLE), 6) AS value FROM wide WHERE {c} IS NOT NULL" for c, label in rc.LABELS.items()),
+    "analysis_document": f"""WITH found AS (SELECT request_id, string_agg('{{"scene_id":"' || scene_id || '","platform":"' || platform || '"}}', ',' ORDER BY scene_id) AS scenes FROM ({with_tables('scenes')} SELECT * FROM scenes) GROUP BY request_id),
+        pairs AS ({scene_queries.ORACLES['adaptive_pairing']}), flood AS ({pixel_queries.ORACLES['flood_summary']}), {_BY_GRID}
+        SELECT q.request_id, '{{"request_id":' || q.request_id || ',"event_date":"' || event_date || '","scenes":[' || coalesce(scenes, '') || ']' || ',"pairing":{{"status":"' || status || '"' || coalesce(',"window_days":' || window_days || ',"pre_id":"' || pre_id || '","post_id":"' || post_id || '"', '') || '}}'
+          || coalesce(',"hazard":{{"pixels":' || pixels || ',"valid_pixels":' || valid_pixels || ',"flooded_pixels":' || flooded_pixels || '}}', '')
+          || CASE WHEN b.grid_id IS NULL AND r.grid_id IS NULL AND g.grid_id IS NULL THEN '' ELSE ',"exposure":{{' || concat_ws(',', '"buildings":' || buildings, '"affected_buildings":' || affected_buildings, '"bridges":' || bridges, '"affected_bridges":' || affected_bridges) || '}}' END || '}}' AS document
+        FROM ({_REQUESTS}) q LEFT JOIN found USING (request_id) LEFT JOIN pairs USING (request_id) LEFT JOIN flood ON flood.grid_id = q.request_id LEFT JOIN b ON b.grid_id = q.request_id LEFT JOIN r ON r.grid_id = q.request_id LEFT JOIN g ON g.grid_id = q.request_id""",
     "feature_layer_roundtrip": with_tables("places") + " SELECT feature_id, name, category, 'map contributors' AS attribution, 'ODbL' AS licence, x, y FROM places",
     "scene_intake_stream": with_tables("scenes") + " SELECT request_id, scene_id, CASE WHEN ingest_seq % 3 = 0 THEN 'again' ELSE platform END AS platform FROM scenes",
     "job_state_stream": with_tables("stage_log") + " SELECT job_id, arg_max(status, (started_at, seq)) AS status, arg_max(stage, (started_at, seq)) AS stage FROM stage_log GROUP BY job_id",

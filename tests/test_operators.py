@@ -233,3 +233,89 @@ def test_equally_quick_routes_follow_source_then_next_node(spark):
         roads = set(best[a][3]) | ({r} if s == "BLOCKED" else set())
         best[n] = (time[n], source, round(best[a][2] + m, 3), tuple(sorted(roads)))
     assert got == best
+
+
+def test_share_of_a_bridge_corridor(spark):
+    """Against points sampled in the corridor; the switch asks for that share."""
+    rng = random.Random(5)
+    wet = {(rng.randrange(12), rng.randrange(12)) for _ in range(30)}
+    lines = {"a": (20.0, 55.0, 95.0, 55.0), "b": (25.0, 30.0, 85.0, 90.0), "c": (60.0, 95.0, 40.0, 20.0), "d": (50.0, 50.0, 50.0, 90.0)}
+    bridges = spark.createDataFrame([(n, 0, *p, "primary", None, None, "yes", None) for n, p in lines.items()], ROAD)
+    got = {r.feature_id: r for r in exposure.bridge_exposure(bridges, _flood(spark, wet), 10.0).collect()}
+    strict = {r.feature_id: r for r in exposure.bridge_exposure(bridges, _flood(spark, wet), 10.0, Policy(bridge_block_on_contact=False, bridge_overlap_fraction=0.25)).collect()}
+    for name, (x1, y1, x2, y2) in lines.items():
+        gy, gx = np.mgrid[-30:150:0.25, -30:150:0.25] + 0.125
+        t = np.clip(((gx - x1) * (x2 - x1) + (gy - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2), 0, 1)
+        inside = np.hypot(gx - x1 - t * (x2 - x1), gy - y1 - t * (y2 - y1)) <= 20
+        flooded = np.isin(np.floor(gy / 10) * 1000 + np.floor(gx / 10), [y * 1000 + x for y, x in wet])
+        share = (inside & flooded).sum() / inside.sum()
+        assert abs(got[name].overlap_fraction - share) < 0.004 and got[name].status == "AFFECTED"
+        assert strict[name].status == ("AFFECTED" if got[name].overlap_fraction >= 0.25 else "NOT_AFFECTED")
+
+
+def test_cells_along_a_line_are_its_own(spark):
+    """Every cell that the line crosses is asked for, and few others."""
+    lines = [("a", 3.0, 7.0, 912.0, 655.0), ("b", 500.5, 800.5, 20.5, 11.5), ("c", 5.0, 5.0, 5.0, 305.0), ("d", -40.0, 20.0, 333.0, -71.0)]
+    frame = spark.createDataFrame(lines, "feature_id string, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.feature_id, r.cy, r.cx) for r in exposure.crossed_cells(frame, 10.0).collect()}
+    for name, x1, y1, x2, y2 in lines:
+        t = np.linspace(0, 1, 20_001)[1:-1]
+        want = {(name, int(y), int(x)) for y, x in zip(np.floor((y1 + (y2 - y1) * t) / 10), np.floor((x1 + (x2 - x1) * t) / 10), strict=True)}
+        assert want <= got
+        assert sum(k[0] == name for k in got) <= 4 * len(want)
+
+
+def test_polygon_with_a_hole_is_rasterised(spark):
+    rings = [[(3.0, 4.0), (97.0, 22.0), (70.0, 91.0), (41.0, 55.0), (12.0, 88.0)], [(40.0, 25.0), (66.0, 33.0), (52.0, 48.0)]]
+    sides = [("p", *a, *b) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    got = {(r.cy, r.cx) for r in exposure.rasterize(spark.createDataFrame(sides, "feature_id string, x1 double, y1 double, x2 double, y2 double"), 5.0).collect()}
+    want = set()
+    for cy in range(-2, 25):
+        for cx in range(-2, 25):
+            px, py = cx * 5 + 2.5, cy * 5 + 2.5
+            if sum((y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1 for _, x1, y1, x2, y2 in sides) % 2:
+                want.add((cy, cx))
+    assert got == want
+
+
+def test_rings_give_back_their_edges(spark):
+    rng = random.Random(8)
+    cells = spark.createDataFrame([(g, y, x) for g in (0, 1) for y in range(14) for x in range(14) if rng.random() < 0.6], "grid_id int, y int, x int")
+    edges = regions.boundary_edges(regions.label_regions(cells, 14, 5)).cache()
+    want = sorted((e.grid_id, e.region, e.x1, e.y1, e.x2, e.y2) for e in edges.collect())
+    got = []
+    for r in regions.region_rings(edges).collect():
+        for p, q in zip(r.points, r.points[1:] + r.points[:1], strict=True):
+            n = abs(q.x - p.x) + abs(q.y - p.y)
+            dx, dy = (q.x - p.x) // n, (q.y - p.y) // n
+            got += [(r.grid_id, r.region, p.x + i * dx, p.y + i * dy, p.x + (i + 1) * dx, p.y + (i + 1) * dy) for i in range(n)]
+    assert sorted(got) == want
+
+
+def test_first_source_of_a_node(spark):
+    at = spark.createDataFrame([(1, "b", 2, 0), (1, "a", 9, 0), (1, "c", 1, 5), (1, "d", 0, None)], "request_id int, source_id string, seq int, cx int").withColumn("node", F.when(F.col("cx").isNotNull(), F.struct("cx")))
+    assert {(r.node.cx, r.source_id) for r in network.sources_by_node(at, "seq").collect()} == {(0, "b"), (5, "c")}
+    assert {(r.node.cx, r.source_id) for r in network.sources_by_node(at).collect()} == {(0, "a"), (5, "c")}
+
+
+def test_place_beside_a_road_is_routed_along_it(spark):
+    row = lambda i, status, *ends: (1, f"s{i}", f"p{i}", *ends, "residential", None, None, status)
+    places = spark.createDataFrame([(1, "town", "T", 0.0, 0.0, False, True), (1, "home", "H", 50.0, 5.0, True, False), (1, "far", "F", 9000.0, 0.0, True, False)], "request_id int, feature_id string, name string, x double, y double, settlement boolean, source boolean")
+    for status, expected in (("OPEN", "CONNECTED"), ("BLOCKED", "CUT_OFF")):
+        segments = spark.createDataFrame([row(0, status, 0.0, 0.0, 100.0, 0.0), row(1, "OPEN", 0.0, 0.0, 0.0, 40.0)], SEGMENT)
+        got = {r.feature_id: r for r in network.access_of_places(segments, places).collect()}
+        assert (got["home"].status, got["home"].before_m) == (expected, 50) and got["far"].status == "NO_BASELINE_ACCESS"
+        assert got["far"].reason == "no road node within 500 m" and got["home"].before_source == "town"
+    # A town whose only road is closed is no source after the event, not even for itself.
+    shut = spark.createDataFrame([row(0, "BLOCKED", 0.0, 0.0, 100.0, 0.0)], SEGMENT)
+    assert network.access_of_places(shut, places.where("feature_id = 'town'").withColumn("settlement", F.lit(True))).first().status == "CUT_OFF"
+
+
+def test_manifest_names_scenes_and_last_states(spark):
+    artifacts = spark.createDataFrame([(1, "b", "x"), (1, "a", "y")], "request_id int, path string, sha256 string")
+    requests = spark.createDataFrame([(1, dt.date(2026, 1, 1)), (2, dt.date(2026, 1, 2))], "request_id int, event_date date")
+    pairs = spark.createDataFrame([(1, "p", "q")], "request_id int, pre_id string, post_id string")
+    stages = spark.createDataFrame([(1, "OSM", "RUNNING", 1), (1, "OSM", "SUCCEEDED", 2)], "request_id int, stage string, status string, seq int")
+    rows = {r.request_id: r for r in records.run_manifest(artifacts, requests, pairs, stages).collect()}
+    assert [a.path for a in rows[1].artifacts] == ["a", "b"] and tuple(rows[1].selected_scenes) == ("p", "q") and [tuple(s) for s in rows[1].stages] == [("OSM", "SUCCEEDED")]
+    assert rows[2].artifacts is None and rows[2].selected_scenes is None

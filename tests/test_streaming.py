@@ -18,3 +18,16 @@ def test_job_state_is_written_to_the_shared_folder(spark, tmp_path):
     out = intake.run_to_end(intake.latest_job_state(stream), f"{tmp_path}/jobs", f"{tmp_path}/state")
     assert {r.job_id: r.last.status for r in out.collect()} == {str(i): str(160 + i) for i in range(40)}
     assert {t.name for t in spark.catalog.listTables()} == before and glob.glob(f"{tmp_path}/jobs/v*/*.parquet")
+
+
+def test_intake_rewrites_only_touched_buckets(spark, tmp_path):
+    schema = "request_id int, scene_id string, ingest_seq long, platform string"
+    pages = [[(1, f"s{i}", i, "first") for i in range(200)], [(1, "s7", 900, "again"), (1, "new", 901, "new"), (1, "s8", 1, "stale")]]
+    for page in pages:
+        spark.createDataFrame(page, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/pages")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/pages")
+        query = intake.scene_intake(stream, f"{tmp_path}/scenes", f"{tmp_path}/state", buckets=16)
+        query.awaitTermination()
+    got = {r.scene_id: r.platform for r in intake.latest_scenes(spark, f"{tmp_path}/scenes", 1, schema).collect()}
+    assert got == {f"s{i}": "first" for i in range(200)} | {"s7": "again", "new": "new"}
+    assert len(glob.glob(f"{tmp_path}/scenes/v0/bucket=*")) == 16 and len(glob.glob(f"{tmp_path}/scenes/v1/bucket=*")) <= 3
