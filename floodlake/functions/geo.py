@@ -74,6 +74,23 @@ def utm(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
     return F.when(zoned, FALSE_EASTING + SCALE * radius * east), F.when(zoned, shift + SCALE * radius * north)
 
 
+def lon_lat(east: Column, north: Column, epsg: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of UTM coordinates, the reverse of ``utm`` by the same series; null for polar codes."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    shift = F.when(epsg >= 32700, F.lit(FALSE_NORTHING)).otherwise(F.lit(0.0))
+    xi, eta = (north - shift) / (SCALE * radius), (east - FALSE_EASTING) / (SCALE * radius)
+    steep = reduce(lambda s_, k: s_ - beta[k - 1] * F.sin(2 * k * xi) * F.cosh(2 * k * eta), range(1, 5), xi)
+    wide = reduce(lambda s_, k: s_ - beta[k - 1] * F.cos(2 * k * xi) * F.sinh(2 * k * eta), range(1, 5), eta)
+    chi = F.asin(F.sin(steep) / F.cosh(wide))
+    lat = reduce(lambda s_, k: s_ + delta[k - 1] * F.sin(2 * k * chi), range(1, 5), chi)
+    middle = (F.pmod(epsg, F.lit(100)) - 1) * 6 - 180 + 3
+    zoned = (epsg >= 32601) & (epsg <= 32760)
+    return F.when(zoned, middle + F.degrees(F.atan2(F.sinh(wide), F.cos(steep)))), F.when(zoned, F.degrees(lat))
+
+
 def speed_kmh(text: Column, default: Column) -> Column:
     """A posted speed: the first part before ";", digits and dots only, miles converted; else the default."""
     first = F.lower(F.trim(F.split(text, ";")[0]))

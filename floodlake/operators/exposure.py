@@ -17,6 +17,8 @@ from ..policy import DEFAULT, Policy
 
 #: Pieces of road shorter than this are not cut off (metres).
 SHORT = 1e-6
+# Fixed value: what a layer of impacts claims.
+CLAIM = "potential exposure, not confirmed damage"
 #: Sides of a quarter of the round ends of corridors.
 QUARTER = 16
 
@@ -231,3 +233,12 @@ def rasterize(edges: DataFrame, size: float) -> DataFrame:
     px = lambda c: (c + 0.5) * size
     cells = F.filter(F.sequence(F.floor(F.col("begin") / size).cast("int") - 1, F.ceil(F.col("end") / size).cast("int")), lambda c: (px(c) >= F.col("begin")) & (px(c) < F.col("end")))
     return runs.select("feature_id", "cy", F.explode(cells).alias("cx"))
+
+
+def impact_features(buildings: DataFrame, bridges: DataFrame) -> DataFrame:
+    """Exposed buildings and bridges as features of one layer: shape, class, share under water, and what the layer claims."""
+    point = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    box = F.array(point("xmin", "ymin"), point("xmax", "ymin"), point("xmax", "ymax"), point("xmin", "ymax"))
+    built = buildings.select("grid_id", "feature_id", F.lit("building").alias("kind"), box.alias("points"), F.when(F.col("affected"), "AFFECTED").otherwise("NOT_AFFECTED").alias("classification"), F.col("fraction").alias("overlap_fraction"))
+    crossing = bridges.select("grid_id", "feature_id", F.lit("bridge").alias("kind"), F.array(point("x1", "y1"), point("x2", "y2")).alias("points"), F.col("status").alias("classification"), "overlap_fraction")
+    return built.unionByName(crossing).withColumn("claim_level", F.lit(CLAIM))

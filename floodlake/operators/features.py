@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,17 +123,155 @@ def decode_wkb(extract: DataFrame) -> DataFrame:
     return extract.mapInArrow(run, schema)
 
 
+def loops(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
+    """An open-ended ring taken apart where it crosses or meets itself, into rings that don't; those without area are left out."""
+    ring = [p for i, p in enumerate(ring) if p != ring[i - 1]]
+    n = len(ring)
+    if n < 3:
+        return []
+    a = np.array(ring)
+    d = np.roll(a, -1, axis=0) - a
+    cuts: list[list[tuple[float, tuple[float, float]]]] = [[] for _ in ring]
+    for i in range(n - 2):
+        later = slice(i + 2, n - 1 if i == 0 else n)
+        gap, other = a[later] - a[i], d[later]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            turn = d[i, 0] * other[:, 1] - d[i, 1] * other[:, 0]
+            t = (gap[:, 0] * other[:, 1] - gap[:, 1] * other[:, 0]) / turn
+            u = (gap[:, 0] * d[i, 1] - gap[:, 1] * d[i, 0]) / turn
+        for j in np.flatnonzero((t > 0) & (t < 1) & (u > 0) & (u < 1)):
+            at = (float(a[i, 0] + t[j] * d[i, 0]), float(a[i, 1] + t[j] * d[i, 1]))
+            cuts[i].append((float(t[j]), at))
+            cuts[i + 2 + j].append((float(u[j]), at))
+    walk = [q for p, cut in zip(ring, cuts, strict=True) for q in (p, *(at for _, at in sorted(cut)))]
+    found, path, place = [], [], {}
+    for p in [*walk, walk[0]]:
+        if p in place:
+            loop = path[place[p] :]
+            x, y = np.array(loop).T
+            if abs(float(x @ np.roll(y, -1) - y @ np.roll(x, -1))) > 0:
+                found.append(loop)
+            for q in loop[1:]:
+                del place[q]
+            path = path[: place[p] + 1]
+        else:
+            place[p] = len(path)
+            path.append(p)
+    return found
+
+
+def repair(decoded: DataFrame) -> DataFrame:
+    """``decoded(kind, points)`` with parts, whose polygons' rings don't cross themselves, and whether that took a repair.
+
+    A polygon without area has no parts and, as a null geometry, empty ones.
+    """
+    from pyspark.sql import types as T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+        for batch in batches:
+            parts, repaired = [], []
+            for kind, points in zip(batch.column("kind").to_pylist(), batch.column("points").to_pylist(), strict=True):
+                if kind == "polygon" and points:
+                    ring = [(p["x"], p["y"]) for p in points]
+                    got = loops(ring)
+                    parts.append([[{"x": x, "y": y} for x, y in loop] for loop in got])
+                    repaired.append(len(got) != 1 or len(got[0]) != len(ring))
+                else:
+                    parts.append([points] if kind and points else [])
+                    repaired.append(False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, shape), pa.array(repaired, pa.bool_())], names=[*batch.schema.names, "parts", "repaired"])
+
+    ring = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+    return decoded.mapInArrow(run, T.StructType([*decoded.schema, T.StructField("parts", T.ArrayType(ring)), T.StructField("repaired", T.BooleanType())]))
+
+
+def _ring_within(ring: Column, planes: Column) -> Column:
+    """A ring cut by half-planes (axis, sign, bound), one after the other; empty if nothing is left."""
+
+    def cut(path: Column, plane: Column) -> Column:
+        depth = lambda p: plane["sign"] * (F.when(plane["axis"] == 0, p["x"]).otherwise(p["y"]) - plane["bound"])
+
+        def step(p: Column, i: Column) -> Column:
+            q = F.get(path, F.when(i == 0, F.size(path) - 1).otherwise(i - 1))
+            t = F.try_divide(depth(q), depth(q) - depth(p))
+            at = F.struct((q["x"] + (p["x"] - q["x"]) * t).alias("x"), (q["y"] + (p["y"] - q["y"]) * t).alias("y"))
+            here, there = depth(p) >= 0, depth(q) >= 0
+            return F.when(here & there, F.array(p)).when(here, F.array(at, p)).when(there, F.array(at)).otherwise(F.slice(F.array(p), 1, 0))
+
+        return F.flatten(F.transform(path, step))
+
+    return F.aggregate(planes, ring, cut)
+
+
+def _line_within(line: Column, box: dict[str, Column]) -> Column:
+    """The stretches of a line's edges inside a box, in their order and direction."""
+
+    def edge(i: Column) -> Column:
+        a, b = F.get(line, i), F.get(line, i + 1)
+        t0, t1 = [F.lit(0.0)], [F.lit(1.0)]
+        for c in "xy":
+            d, near, far = b[c] - a[c], box[f"{c}min"] - a[c], box[f"{c}max"] - a[c]
+            off = (d == 0) & ((near > 0) | (far < 0))
+            t0.append(F.when(off, F.lit(2.0)).when(d == 0, F.lit(0.0)).otherwise(F.least(near / d, far / d)))
+            t1.append(F.when(off, F.lit(-1.0)).when(d == 0, F.lit(1.0)).otherwise(F.greatest(near / d, far / d)))
+        at = lambda t: F.struct((a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+        return F.when(F.greatest(*t0) < F.least(*t1), F.array(at(F.greatest(*t0)), at(F.least(*t1))))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(line) - 2, F.lit(0))), edge), lambda e: e.isNotNull())
+
+
+def clip_parts(repaired: DataFrame, aois: DataFrame, buffer: float) -> DataFrame:
+    """Points, lines and polygons in ``parts``, cut at their request's rectangle widened by ``buffer``, and whether any lay beyond.
+
+    What lies wholly beyond has no parts left.  A line's parts are its edges'
+    stretches inside; a hollow polygon may keep edges along the border.  Rows
+    of a request without a rectangle have none left either.
+    """
+    box = {c: F.col(f"_{c}") + (-buffer if c.endswith("min") else buffer) for c in ("xmin", "ymin", "xmax", "ymax")}
+    both = repaired.join(aois.select("request_id", *[F.col(c).cast("double").alias(f"_{c}") for c in box]), "request_id", "left")
+    within = lambda p: (p["x"] >= box["xmin"]) & (p["x"] <= box["xmax"]) & (p["y"] >= box["ymin"]) & (p["y"] <= box["ymax"])
+    known = F.col("_xmin").isNotNull()
+    covered = known & F.forall(F.flatten("parts"), within)
+    planes = F.array(*[F.struct(F.lit(axis).alias("axis"), F.lit(sign).alias("sign"), box[c].alias("bound")) for axis, sign, c in ((0, 1.0, "xmin"), (0, -1.0, "xmax"), (1, 1.0, "ymin"), (1, -1.0, "ymax"))])
+    cut = (
+        F.when(F.col("kind") == "polygon", F.filter(F.transform("parts", lambda r: _ring_within(r, planes)), lambda r: ring_area(r) > 0))
+        .when(F.col("kind") == "line", F.flatten(F.transform("parts", lambda r: _line_within(r, box))))
+        .otherwise(F.filter("parts", lambda r: F.forall(r, within)))
+    )
+    none = F.slice(F.col("parts"), 1, 0)
+    out = both.withColumns({"clipped": ~covered, "parts": F.when(covered, F.col("parts")).when(known, cut).otherwise(none)})
+    return out.select(*repaired.columns, "clipped")
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a ring in the plane."""
+    n = F.size(ring)
+    after = F.concat(F.slice(ring, 2, F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
+    return F.abs(F.aggregate(F.zip_with(ring, after, lambda a, b: a["x"] * b["y"] - a["y"] * b["x"]), F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def line_length(line: Column) -> Column:
+    """Length of a line in the plane."""
+    steps = F.zip_with(F.slice(line, 1, F.size(line) - 1), F.slice(line, 2, F.size(line) - 1), lambda a, b: F.hypot(b["x"] - a["x"], b["y"] - a["y"]))
+    return F.aggregate(steps, F.lit(0.0), lambda s, v: s + v)
+
+
 def normalize_features(decoded: DataFrame) -> DataFrame:
     """Rows ``(osm_type, osm_id, tags, kind, ...)`` with id, tags without nulls, category and outcome.
 
-    Outcomes: dropped_empty without geometry, ignored without category, else retained.
+    Outcomes: dropped_empty without geometry (or without ``parts``, where rows
+    have them), ignored without category, else retained.
     """
+    empty = F.col("kind").isNull() | ((F.size("parts") == 0) if "parts" in decoded.columns else F.lit(False))
     tags = F.map_filter("tags", lambda k, v: v.isNotNull())
     out = decoded.withColumn("tags", tags).withColumn("category", category("tags", F.col("kind")))
-    outcome = F.when(F.col("kind").isNull(), "dropped_empty").when(F.col("category").isNull(), "ignored").otherwise("retained")
+    outcome = F.when(empty, "dropped_empty").when(F.col("category").isNull(), "ignored").otherwise("retained")
     return out.withColumns({"feature_id": F.concat_ws("/", "osm_type", "osm_id"), "outcome": outcome})
 
 
 def feature_quality(normalized: DataFrame) -> DataFrame:
+    """Rows by outcome; repaired and clipped ones, where known, are counted besides."""
     n = lambda s: F.count_if(F.col("outcome") == s).alias(s)
-    return normalized.agg(F.count("*").alias("rows"), n("retained"), n("dropped_empty"), n("ignored"))
+    beside = [F.count_if(c).alias(c) for c in ("repaired", "clipped") if c in normalized.columns]
+    return normalized.agg(F.count("*").alias("rows"), n("retained"), n("dropped_empty"), n("ignored"), *beside)

@@ -11,10 +11,11 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.geo import lon_lat
 from ..policy import DEFAULT, Policy
 from .pixels import CELL, decibel_change
 
@@ -162,3 +163,19 @@ def region_rings(edges: DataFrame) -> DataFrame:
         return pa.table({"grid_id": pa.array(first["grid_id"].to_pylist() * n, pa.int32()), "region": pa.array(first["region"].to_pylist() * n, pa.int64()), "ring": pa.array(range(n), pa.int32()), "points": points})
 
     return edges.groupBy("grid_id", "region").applyInArrow(chain, "grid_id int, region long, ring int, points array<struct<x:int,y:int>>")
+
+
+def outlines(rings: DataFrame, grids: DataFrame) -> DataFrame:
+    """``region_rings`` with their corners' degrees: outline, an array of lon and lat.
+
+    ``grids(grid_id, epsg, x0, y0, size)`` place each grid: its upper left
+    corner in metres and its cell side.  Rings of other grids are left out.
+    """
+    east = lambda p: F.col("x0") + p["x"] * F.col("size")
+    north = lambda p: F.col("y0") - p["y"] * F.col("size")
+
+    def degrees(p: Column) -> Column:
+        lon, lat = lon_lat(east(p), north(p), F.col("epsg"))
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return rings.join(grids, "grid_id").select(*rings.columns, F.transform("points", degrees).alias("outline"))

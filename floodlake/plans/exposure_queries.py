@@ -63,6 +63,13 @@ def by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return buildings.join(roads, "grid_id", "full").join(bridges, "grid_id", "full")
 
 
+def impact_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = ex.building_exposure(load(spark, sf_dir, "buildings"), _flood(spark, sf_dir), CELL)
+    out = ex.impact_features(built, _bridges(spark, sf_dir))
+    corner = F.get("points", 0)
+    return out.select("kind", "feature_id", F.size("points").alias("corners"), corner["x"].alias("x"), corner["y"].alias("y"), "classification", F.round("overlap_fraction", 6).alias("overlap_fraction"), "claim_level")
+
+
 _RINGS = "SELECT CAST(p_partkey AS STRING) AS feature_id, CAST(p_partkey * 37 % 931 AS DOUBLE) AS ax, CAST(p_partkey * 53 % 937 AS DOUBLE) AS ay, CAST(10 + p_size AS DOUBLE) AS w, CAST(15 + p_size % 23 AS DOUBLE) AS h FROM {part}"
 _EDGES = """SELECT feature_id, ax AS x1, ay AS y1, ax + w AS x2, ay + 3 AS y2 FROM rings UNION ALL SELECT feature_id, ax + w, ay + 3, ax + w / 2, ay + h FROM rings UNION ALL SELECT feature_id, ax + w / 2, ay + h, ax, ay FROM rings"""
 
@@ -107,7 +114,7 @@ _SHARES = _BRIDGES + """, wet_cells AS (SELECT grid_id, y, x FROM known WHERE ma
     parts AS (SELECT *, unnest(p[:-2]) AS p0, unnest(p[2:]) AS p1 FROM steps),
     sums AS (SELECT feature_id, sum((p1 - p0) * (greatest(y * 10, least(y * 10 + 10, ay + m * ((p0 + p1) / 2 - ax))) - y * 10) * CASE WHEN bx < ax THEN 1 ELSE -1 END) AS m2 FROM parts GROUP BY feature_id)"""
 
-QUERIES = {f.__name__: f for f in (hazard_candidates, building_exposure, building_summary, road_segments, road_summary, bridge_filter, bridge_exposure, bridge_summary, rasterize_polygons, road_speed)}
+QUERIES = {f.__name__: f for f in (hazard_candidates, building_exposure, building_summary, road_segments, road_summary, bridge_filter, bridge_exposure, bridge_summary, impact_features, rasterize_polygons, road_speed)}
 ORACLES = {
     "hazard_candidates": _BUILT + " SELECT feature_id FROM wet",
     "building_exposure": _BUILT + " SELECT feature_id, area AS footprint_m2, m2 AS overlap_m2, round(m2 / area, 9) AS fraction, m2 > 0 AND m2 / area >= 0.1 AS affected FROM built",
@@ -118,6 +125,8 @@ ORACLES = {
     "bridge_filter": with_tables("roads") + " SELECT feature_id FROM roads WHERE coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1')",
     "bridge_exposure": _SHARES + " SELECT feature_id, CASE WHEN hit THEN 'AFFECTED' ELSE 'NOT_AFFECTED' END AS status, round(coalesce(m2, 0) / (40 * ((x2 - x1) + (y2 - y1)) + 400 * 32 * sin(pi() / 32)), 6) AS overlap_fraction FROM judged LEFT JOIN sums USING (feature_id)",
     "bridge_summary": _BRIDGES + " SELECT count(*) AS bridges, count(*) FILTER (hit) AS affected FROM judged",
+    "impact_features": _SHARES + ", " + _BUILT.removeprefix(_KNOWN + ", ") + f""" SELECT 'building' AS kind, feature_id, 4 AS corners, xmin AS x, ymin AS y, CASE WHEN m2 > 0 AND m2 / area >= 0.1 THEN 'AFFECTED' ELSE 'NOT_AFFECTED' END AS classification, round(m2 / area, 6) AS overlap_fraction, '{ex.CLAIM}' AS claim_level FROM built JOIN buildings USING (feature_id)
+        UNION ALL SELECT 'bridge', feature_id, 2, x1, y1, CASE WHEN hit THEN 'AFFECTED' ELSE 'NOT_AFFECTED' END, round(coalesce(sums.m2, 0) / (40 * ((x2 - x1) + (y2 - y1)) + 400 * 32 * sin(pi() / 32)), 6), '{ex.CLAIM}' FROM judged LEFT JOIN sums USING (feature_id)""",
     "rasterize_polygons": f"""WITH rings AS ({_RINGS.format(part='part')}), edges AS ({_EDGES}), boxes AS (SELECT feature_id, min(x1) AS a, max(x1) AS b, min(y1) AS c, max(y1) AS d FROM edges GROUP BY feature_id),
         ys AS (SELECT *, unnest(range(CAST(floor(c / 10) AS INT), CAST(ceil(d / 10) AS INT))) AS cy FROM boxes), cells AS (SELECT *, unnest(range(CAST(floor(a / 10) AS INT), CAST(ceil(b / 10) AS INT))) AS cx FROM ys)
         SELECT feature_id, CAST(cy AS INT) AS cy, CAST(cx AS INT) AS cx FROM cells JOIN edges USING (feature_id) GROUP BY feature_id, cy, cx

@@ -58,6 +58,37 @@ def feature_normalize_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("osm_id", "kind", F.get("points", 0)["x"].alias("x"))
 
 
+_DRAWN = """SELECT 'way' AS osm_type, feature_id AS osm_id, grid_id AS request_id, 'polygon' AS kind, CASE WHEN CAST(feature_id AS BIGINT) % 6 = 0 THEN 'no' ELSE 'yes' END AS building, CAST(NULL AS STRING) AS highway, CAST(NULL AS STRING) AS place,
+      xmin AS x1, ymin AS y1, xmax AS x2, ymax AS y2, CAST(feature_id AS BIGINT) % 13 = 0 AS knotted FROM {buildings}
+    UNION ALL SELECT 'way', 'r' || feature_id, grid_id, 'line', NULL, highway, NULL, x1, y1, x2, y2, FALSE FROM {roads}
+    UNION ALL SELECT 'node', feature_id, request_id, 'point', NULL, NULL, place, x, y, x, y, FALSE FROM {places}"""
+#: Area asked about by each grid's request: x and y from 300 to 600, and 50 more each way.
+_ASKED = (300.0, 600.0, 50.0)
+
+
+def _extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buildings, roads and places as drawn shapes, repaired, cut to their requests' areas and normalised; every 13th building is a bow tie."""
+    rows = spark.sql(_DRAWN, **{t: load(spark, sf_dir, t) for t in ("buildings", "roads", "places")})
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    box = [at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2")]
+    points = F.when(F.col("kind") == "point", F.array(box[0])).when(F.col("kind") == "line", F.array(box[0], box[2])).when(F.col("knotted"), F.array(box[0], box[2], box[1], box[3])).otherwise(F.array(*box))
+    tags = F.create_map(*[x for t in ("building", "highway", "place") for x in (F.lit(t), F.col(t))])
+    drawn = ft.repair(rows.select("osm_type", "osm_id", "request_id", "kind", tags.alias("tags"), points.alias("points")))
+    low, high, buffer = _ASKED
+    areas = rows.select("request_id").distinct().select("request_id", *[F.lit(low).alias(c) for c in ("xmin", "ymin")], *[F.lit(high).alias(c) for c in ("xmax", "ymax")])
+    return ft.normalize_features(ft.clip_parts(drawn, areas, buffer))
+
+
+def feature_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, p: s + f(p))
+    size = F.when(F.col("kind") == "polygon", total(ft.ring_area)).when(F.col("kind") == "line", total(ft.line_length)).otherwise(F.size("parts").cast("double"))
+    return _extract(spark, sf_dir).select("feature_id", "request_id", "outcome", "category", "repaired", "clipped", F.round(size, 6).alias("size"))
+
+
+def extract_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ft.feature_quality(_extract(spark, sf_dir))
+
+
 def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.snapshot_asof(load(spark, sf_dir, "versions"), _snapshot_events(spark, sf_dir)).select("request_id", "feature_id", "version", "value")
 
@@ -252,8 +283,20 @@ _JOBS = with_tables("stage_log") + ", jobs AS (SELECT job_id, arg_max(status, se
 _REQUESTS = with_tables("requests") + " SELECT * FROM requests"
 _BY_GRID = ", ".join(f"{name} AS ({sql})" for name, sql in exposure_queries.BY_GRID.items())
 
+# A bow tie is as high at x as x is far from its middle; cut where its sides meet the bounds, each strip's area follows from its middle.
+_EXTRACT = with_tables("buildings", "roads", "places") + ", d AS (" + _DRAWN.format(buildings="buildings", roads="roads", places="places") + """),
+    b AS (SELECT *, greatest(x1, 250) AS a1, least(x2, 650) AS a2, greatest(y1, 250) AS b1, least(y2, 650) AS b2, NOT (x1 >= 250 AND x2 <= 650 AND y1 >= 250 AND y2 <= 650) AS clipped FROM d),
+    t AS (SELECT osm_id, (x1 + x2) / 2 AS xm, (y1 + y2) / 2 AS ym, (y2 - y1) / (x2 - x1) AS m, * EXCLUDE (osm_id) FROM b WHERE knotted AND a1 < a2 AND b1 < b2),
+    stops AS (SELECT osm_id, xm, ym, m, b1, b2, unnest(list_sort(list_distinct(list_filter([a1, a2, xm, xm + (b1 - ym) / m, xm - (b1 - ym) / m, xm + (b2 - ym) / m, xm - (b2 - ym) / m], lambda v: v BETWEEN a1 AND a2)))) AS v FROM t),
+    strips AS (SELECT *, lead(v) OVER (PARTITION BY osm_id ORDER BY v) AS w FROM stops),
+    ties AS (SELECT osm_id, sum((w - v) * greatest(0, least(b2, ym + m * abs((v + w) / 2 - xm)) - greatest(b1, ym - m * abs((v + w) / 2 - xm)))) AS m2 FROM strips WHERE w IS NOT NULL GROUP BY osm_id),
+    s AS (SELECT b.*, CASE WHEN kind = 'point' THEN CASE WHEN clipped THEN 0 ELSE 1 END WHEN kind = 'polygon' AND knotted THEN coalesce(m2, 0)
+        WHEN kind = 'polygon' THEN greatest(0, a2 - a1) * greatest(0, b2 - b1) WHEN a1 <= a2 AND b1 <= b2 THEN (a2 - a1) + (b2 - b1) ELSE 0 END AS size FROM b LEFT JOIN ties USING (osm_id)),
+    e AS (SELECT *, CASE WHEN kind = 'polygon' THEN CASE WHEN building <> 'no' THEN 'building' END WHEN kind = 'line' THEN 'road' WHEN place IN ('town', 'village', 'hamlet', 'suburb') THEN 'settlement' END AS category FROM s),
+    o AS (SELECT *, CASE WHEN size <= 0 THEN 'dropped_empty' WHEN category IS NULL THEN 'ignored' ELSE 'retained' END AS outcome FROM e)"""
+
 QUERIES = {f.__name__: f for f in (
-    feature_category, feature_normalize, feature_quality, feature_normalize_wkb, snapshot_asof, aoi_validate, geodesic_area, utm_zone, project_utm, clip_to_aoi, artifact_inventory, layer_catalog, manifest_reconcile,
+    feature_category, feature_normalize, feature_quality, feature_normalize_wkb, feature_extract, extract_quality, snapshot_asof, aoi_validate, geodesic_area, utm_zone, project_utm, clip_to_aoi, artifact_inventory, layer_catalog, manifest_reconcile,
     run_manifest, redact_text, mask_evaluation, job_status_rollup, mark_interrupted, stage_durations, pending_requests, report_metrics, analysis_document, feature_layer_roundtrip, scene_intake_stream, job_state_stream,
 )}
 ORACLES = {
@@ -261,6 +304,8 @@ ORACLES = {
     "feature_normalize": _FEATS + " SELECT feature_id, outcome, CAST((building IS NOT NULL)::INT + (highway IS NOT NULL)::INT + (place IS NOT NULL)::INT + 1 AS INT) AS tags FROM g",
     "feature_quality": _FEATS + " SELECT count(*) AS rows, count(*) FILTER (outcome = 'retained') AS retained, count(*) FILTER (outcome = 'dropped_empty') AS dropped_empty, count(*) FILTER (outcome = 'ignored') AS ignored FROM g",
     "feature_normalize_wkb": "SELECT p_partkey AS osm_id, CASE WHEN p_partkey % 7 <> 0 THEN 'point' END AS kind, CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE END AS x FROM part",
+    "feature_extract": _EXTRACT + " SELECT osm_type || '/' || osm_id AS feature_id, request_id, outcome, category, knotted AS repaired, clipped, round(size, 6)::DOUBLE AS size FROM o",
+    "extract_quality": _EXTRACT + " SELECT count(*) AS rows, count(*) FILTER (outcome = 'retained') AS retained, count(*) FILTER (outcome = 'dropped_empty') AS dropped_empty, count(*) FILTER (outcome = 'ignored') AS ignored, count(*) FILTER (knotted) AS repaired, count(*) FILTER (clipped) AS clipped FROM o",
     "snapshot_asof": with_tables("versions") + f", e AS ({_EVENTS.format(nation='nation')}), r AS (SELECT request_id, v.*, row_number() OVER (PARTITION BY request_id, feature_id ORDER BY version_ts DESC, version DESC) AS k FROM versions v JOIN e ON version_ts <= CAST(event_date AS TIMESTAMP) - INTERVAL '1' SECOND) SELECT request_id, feature_id, version, value FROM r WHERE k = 1 AND deleted = 0",
     "aoi_validate": _A + f""", j AS (SELECT *, CASE WHEN kind IS NULL THEN 'UNPARSABLE' WHEN kind = 'Point' THEN 'NOT_A_POLYGON' WHEN request_id % 13 = 0 AND w > 0 THEN 'INVALID_TOPOLOGY' WHEN x < -180 OR x + w > 180 THEN 'OUT_OF_BOUNDS'
         WHEN request_id % 13 = 0 OR {_RECT} NOT BETWEEN 0.1 AND 5000 THEN 'AREA_OUT_OF_LIMITS' WHEN event_date > DATE '2020-02-05' THEN 'EVENT_IN_FUTURE' END AS reject_code FROM a) SELECT request_id, reject_code, CASE WHEN reject_code IS NULL THEN round({_RECT}, 4) END AS area_km2 FROM j""",

@@ -319,3 +319,57 @@ def test_manifest_names_scenes_and_last_states(spark):
     rows = {r.request_id: r for r in records.run_manifest(artifacts, requests, pairs, stages).collect()}
     assert [a.path for a in rows[1].artifacts] == ["a", "b"] and tuple(rows[1].selected_scenes) == ("p", "q") and [tuple(s) for s in rows[1].stages] == [("OSM", "SUCCEEDED")]
     assert rows[2].artifacts is None and rows[2].selected_scenes is None
+
+
+def _area(ring):
+    return abs(sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
+def test_rings_are_taken_apart_where_they_cross():
+    square = [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]
+    assert features.loops(square) == [square]
+    assert sorted(map(_area, features.loops([(0.0, 0.0), (2.0, 2.0), (2.0, 0.0), (0.0, 2.0)]))) == [1, 1]
+    # Two squares that meet in a corner, drawn in one go; a spike; points on a line; too few.
+    assert sorted(map(_area, features.loops([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0), (0.0, 1.0)]))) == [1, 1]
+    assert [_area(r) for r in features.loops([(0.0, 0.0), (2.0, 0.0), (3.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])] == [4]
+    assert features.loops([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0)]) == features.loops([(0.0, 0.0), (1.0, 1.0)]) == features.loops([]) == []
+
+
+DRAWN = "request_id int, osm_type string, osm_id long, kind string, tags map<string,string>, points array<struct<x:double,y:double>>"
+
+
+def test_shapes_are_cut_at_their_area(spark):
+    rng = random.Random(9)
+    rows, want = [], {}
+    for i in range(60):  # a convex ring's cut area by counting fine cells
+        at = sorted(rng.uniform(0, 2 * math.pi) for _ in range(5))
+        cx, cy, r = rng.uniform(-3, 13), rng.uniform(-3, 13), rng.uniform(1, 6)
+        ring = [(cx + r * math.cos(t), cy + r * math.sin(t)) for t in at]
+        rows.append((1, "way", i, "polygon", {"building": "yes"}, ring))
+        g = (np.arange(400) + 0.5) / 40
+        x, y = np.meshgrid(g, g)
+        want[i] = np.logical_and.reduce([(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= 0 for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]).sum() / 1600
+    rows += [(1, "way", 100, "line", {"highway": "track"}, [(-5.0, 1.0), (5.0, 1.0), (5.0, 20.0), (6.0, 20.0), (6.0, 9.0)]), (1, "way", 101, "line", {"highway": "track"}, [(-5.0, -5.0), (-1.0, 20.0)])]
+    rows += [(1, "node", 102, "point", {"place": "town", "name": None}, [(10.0, 0.0)]), (1, "node", 103, "point", {}, [(10.5, 0.0)]), (1, "node", 104, None, {}, None)]
+    rows += [(2, "node", 105, "point", {"place": "town"}, [(1.0, 1.0)]), (1, "way", 106, "polygon", {"building": "yes"}, [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)]), (1, "node", 107, "point", {}, [(3.0, 3.0)])]
+    box = spark.createDataFrame([(1, 1, 1, 9, 9)], "request_id int, xmin int, ymin int, xmax int, ymax int")
+    out = features.normalize_features(features.clip_parts(features.repair(spark.createDataFrame(rows, DRAWN)), box, 1.0)).cache()
+    got = {r.osm_id: r for r in out.collect()}
+    for i, area in want.items():
+        assert sum(_area([tuple(p) for p in ring]) for ring in got[i].parts) == pytest.approx(area, abs=0.15)
+    assert [[tuple(p) for p in line] for line in got[100].parts] == [[(0, 1), (5, 1)], [(5, 1), (5, 10)], [(6, 10), (6, 9)]] and got[100].clipped
+    assert {i: got[i].outcome for i in range(101, 108)} == {101: "dropped_empty", 102: "retained", 103: "dropped_empty", 104: "dropped_empty", 105: "dropped_empty", 106: "dropped_empty", 107: "ignored"}
+    assert not got[102].clipped and got[102].tags == {"place": "town"} and got[106].repaired
+    q = features.feature_quality(out).first()
+    assert (q.rows, q.ignored, q.repaired) == (len(rows), 1, 1) and q.clipped == sum(r.clipped for r in got.values())
+    empty = features.normalize_features(features.clip_parts(features.repair(spark.createDataFrame([], DRAWN)), box, 1.0))
+    assert tuple(features.feature_quality(empty).first()) == (0, 0, 0, 0, 0, 0)
+
+
+def test_degrees_come_back_from_metres(spark):
+    rng = random.Random(10)
+    places = spark.createDataFrame([(rng.uniform(-180, 180), rng.uniform(-79, 83)) for _ in range(300)], "lon double, lat double").withColumn("epsg", geo.utm_epsg(F.col("lon"), F.col("lat")))
+    east, north = geo.utm(F.col("lon"), F.col("lat"), F.col("epsg"))
+    lon, lat = geo.lon_lat(F.col("east"), F.col("north"), F.col("epsg"))
+    for r in places.withColumns({"east": east, "north": north}).select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
+        assert r.a == pytest.approx(r.lon, abs=1e-8) and r.b == pytest.approx(r.lat, abs=1e-8)
