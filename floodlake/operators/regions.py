@@ -24,10 +24,13 @@ BLOCK = 512
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder named by spark.checkpoint.dir; a local one is made only where that is unset."""
+    """Cut lineage in the folder named by spark.checkpoint.dir; a local one is made only where that is unset on one machine."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="floodlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="floodlake-"))
     return df.checkpoint()
 
 

@@ -17,8 +17,11 @@ from .fixtures import load, with_tables
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="floodlake-")
+    """A new folder below spark.checkpoint.dir; a local one only where that is unset on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = base or tempfile.mkdtemp(prefix="floodlake-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
