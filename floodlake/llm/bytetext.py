@@ -22,6 +22,9 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Separators of letter-and-digit words: ASCII other than digits and letters.
 _NOT_ALNUM = np.zeros(256, dtype=bool)
 _NOT_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+#: Separators of letter words: ASCII other than letters.
+_NOT_ALPHA = np.zeros(256, dtype=bool)
+_NOT_ALPHA[[*range(0x00, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -102,31 +105,34 @@ class Words:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
 
-def slices(column: pa.Array | pa.ChunkedArray, *, lower: bool = False, alnum: bool = False) -> Iterator[Words]:
-    """Tokenise a string column; null counts as the empty text.
-
-    Words are runs of bytes other than ASCII white space; with ``alnum``, runs
-    of ASCII letters, digits and non-ASCII bytes.  ``lower`` folds A-Z alone.
-    """
+def parts(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The UTF-8 bytes of a string column in slices, as (first row, bytes, offsets of its texts); null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
     _, offsets, data = column.buffers()
     offset = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    gap = _NOT_ALNUM if alnum else _SPACE
     row = 0
     while row < len(column):
         stop = int(np.searchsorted(offset, offset[row] + SLICE, side="right")) - 1
         stop = min(max(stop, row + 1), len(column))
-        text = offset[row : stop + 1] - offset[row]
-        part = raw[offset[row] : offset[stop]]
-        if lower:
-            part = _LOWER[part]
-        yield _split(row, part, text, gap)
+        yield row, raw[offset[row] : offset[stop]], offset[row : stop + 1] - offset[row]
         row = stop
 
 
+def slices(column: pa.Array | pa.ChunkedArray, *, lower: bool = False, alnum: bool = False, alpha: bool = False) -> Iterator[Words]:
+    """Tokenise a string column; null counts as the empty text.
+
+    Words are runs of bytes other than ASCII white space; with ``alnum``, runs
+    of ASCII letters, digits and non-ASCII bytes, with ``alpha`` without digits.
+    ``lower`` folds A-Z alone.
+    """
+    gap = _NOT_ALPHA if alpha else _NOT_ALNUM if alnum else _SPACE
+    for row, part, text in parts(column):
+        yield _split(row, _LOWER[part] if lower else part, text, gap)
+
+
 def _split(row: int, data: np.ndarray, text: np.ndarray, gap: np.ndarray) -> Words:
     n = len(data)
     inside = ~gap[data]

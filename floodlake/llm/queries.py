@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curves, decontam, gru, html_tree, lines, mixing, ngram_join, substrings, toxicity
+from . import chat, curves, decontam, gru, html_tree, lines, mixing, ngram_join, substrings, toxicity, wavelet
 from .frames import fold, table
 
 
@@ -64,6 +64,10 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.read_tokens(spark, wavelet.write_tokens(table(spark, sf_dir, "documents")), digests=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_extract_html": op2_extract_html,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
+    "op11_token_files": op11_token_files,
 }
 
 ORACLES: dict[str, str] = {
