@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, curves, decontam, gru, html_tree, lines, mixing, ngram_join, substrings, toxicity, wavelet
+from . import align, chat, curves, decontam, gru, html_tree, lines, mixing, ngram_join, substrings, toxicity, wavelet
 from .frames import fold, table
 
 
@@ -68,6 +68,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_tokens(spark, wavelet.write_tokens(table(spark, sf_dir, "documents")), digests=True)
 
 
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_extract_html": op2_extract_html,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
     "op11_token_files": op11_token_files,
+    "op13_align_tokens": op13_align_tokens,
 }
 
 ORACLES: dict[str, str] = {
