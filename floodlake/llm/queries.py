@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, chat, curves, decontam, gru, html_tree, lines, mixing, ngram_join, substrings, toxicity, wavelet
+from . import align, chat, curves, decontam, divergence, gru, html_tree, lines, mixing, ngram_join, substrings, toxicity, wavelet
 from .frames import fold, table
 
 
@@ -68,6 +68,10 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_tokens(spark, wavelet.write_tokens(table(spark, sf_dir, "documents")), digests=True)
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.link_documents(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_mix_sources": op10_mix_sources,
     "op11_token_files": op11_token_files,
+    "op12_divergence": op12_divergence,
     "op13_align_tokens": op13_align_tokens,
 }
 
@@ -94,4 +99,5 @@ ORACLES: dict[str, str] = {
     "op8_decontaminate": decontam.ORACLE,
     "op9_substring_dedup": substrings.ORACLE,
     "op10_mix_sources": mixing.ORACLE,
+    "op12_divergence": divergence.ORACLE,
 }
