@@ -101,7 +101,7 @@ class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tree = Tree()
-        self.stack: list[tuple[str, int]] = [("", 0)]  # open elements, and the block each stands in
+        self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # open elements, the block each stands in, and whether it is hidden
         self.open: dict[str, int] = {}
         self.run: list[str] = []
         self.links = self.linked = self.dropped = 0
@@ -112,19 +112,23 @@ class _Builder(HTMLParser):
             self.tree.add(self.stack[-1][1], "#text", text=text, linked=min(self.linked, len(text)))
         self.run, self.linked = [], 0
 
-    def push(self, tag: str, block: int) -> None:
-        self.stack.append((tag, block))
+    def push(self, tag: str, block: int, hidden: bool) -> None:
+        self.stack.append((tag, block, hidden))
         self.open[tag] = self.open.get(tag, 0) + 1
+        if tag == "a":
+            self.links += 1
+        if hidden:
+            self.dropped += 1
 
     def pop(self) -> None:
-        tag, _ = self.stack[-1]
+        tag, _, hidden = self.stack[-1]
         if tag in BLOCK:
             self.flush()
         self.stack.pop()
         self.open[tag] -= 1
         if tag == "a":
             self.links -= 1
-        if tag in DROPPED or tag == "#hidden":
+        if hidden:
             self.dropped -= 1
 
     def close_within(self, tags: set[str], border: set[str]) -> None:
@@ -159,38 +163,16 @@ class _Builder(HTMLParser):
         bits, hidden, label = _hints(attrs) if attrs else (0, False, None)
         if tag in BLOCK:
             block = self.tree.add(block, tag, bits, label=label)
-        self.push(tag, block)
-        if tag == "a":
-            self.links += 1
-        if tag in DROPPED:
-            self.dropped += 1
-        elif hidden:
-            self.stack[-1] = ("#hidden" + tag, block)
-            self.open[tag] -= 1
-            self.open["#hidden" + tag] = self.open.get("#hidden" + tag, 0) + 1
-            self.dropped += 1
+        self.push(tag, block, hidden or tag in DROPPED)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in ("br",) and self.stack[-1][0].removeprefix("#hidden") == tag and tag in ("svg", "path"):
+        if tag not in VOID and tag not in ("br",) and self.stack[-1][0] == tag and tag in ("svg", "path"):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        name = "#hidden" + tag
-        if not self.open.get(tag) and not self.open.get(name):
-            return
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] in (tag, name):
-                while len(self.stack) > i:
-                    hidden = self.stack[-1][0].startswith("#hidden")
-                    if hidden:
-                        self.flush()
-                        self.open[self.stack[-1][0]] -= 1
-                        self.stack.pop()
-                        self.dropped -= 1
-                    else:
-                        self.pop()
-                return
+        if self.open.get(tag):
+            self.close_within({tag}, set())
 
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] == "head" and data.strip():

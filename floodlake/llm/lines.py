@@ -68,11 +68,10 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A null text counts as one empty line and stays null; blank lines hold no
     words, take no part and go only inside a deleted window.  Rows that share an id count
     as the same document, so of equal rows none is deleted for the other; null
-    ids share the last place.  All other columns are kept as they are.  An empty
-    table gives an empty result.
+    ids share the last place.  All other columns are kept as they are, but columns
+    called n_lines or n_removed are replaced.  An empty table gives an empty result.
     """
-    names = docs.columns
-    taken = {c.lower() for c in names}
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     both = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).select("row", F.col("row.doc_id").alias("doc_id"), F.col("row.text").alias("text"))
     marked = _marked(both)
     gone = repeated_lines(marked.select("ord", "mark", "lines"), min_words)
@@ -82,8 +81,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     kept = F.transform(stay, lambda i: F.get("lines", i))
     out = out.select("row", F.when(F.col("text").isNull() | F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"), F.size("lines").cast("long").alias("n_lines"), F.size(cut).cast("long").alias("n_removed"))
     columns: list[Column] = [F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    counts = [F.col(c) for c in ("n_lines", "n_removed") if c not in taken]
-    return out.select(*columns, *counts)
+    return out.select(*columns, "n_lines", "n_removed")
 
 
 ORACLE = r"""

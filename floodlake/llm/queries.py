@@ -60,8 +60,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
