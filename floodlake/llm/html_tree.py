@@ -32,7 +32,7 @@ BLOCK = set(
 )
 CLOSES_P = BLOCK - {"html", "body", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "li", "dt", "dd"} | {"p"}
 #: A start tag that ends an open element of these kinds, up to a border.
-CLOSED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+CLOSED_BY = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 TAG_GROUPS = [
     {"article"}, {"main"}, {"section"}, {"div", "center"}, {"nav"}, {"aside"}, {"header"}, {"footer"}, {"form", "fieldset", "dialog"}, {"ul", "ol", "dl"},
     {"li", "dt", "dd"}, {"table", "thead", "tbody", "tfoot", "tr"}, {"td", "th", "caption"}, {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"},
