@@ -19,13 +19,18 @@ from floodlake.llm import decontam, lines, mixing, ngram_join, toxicity
 from floodlake.llm.frames import stored, table
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row besides, so that no column of its own meets those that a stage works with."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose whole text scores below one half; the models learn from the labelled rows outside fold 0.
 
     Empty texts score as a text without evidence; equal texts stay or go together.
     """
     model = toxicity.fit(*toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score_texts(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_texts(_whole(docs), model, keep=["row"]).where("predicted = 0").select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +38,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of equal runs the first by id and place stays; documents without words lose nothing and stay.
     """
-    out = lines.dedup_lines(docs)
+    out = lines.dedup_lines(_whole(docs))
     some = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
     out = out.where((F.col("n_removed") == 0) | some)
-    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", n_chars).select(*docs.columns)
+    own = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    own |= {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*[own[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words hold none; an empty benchmark lets all pass.
     """
-    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")).where("n_hit = 0").select(*docs.columns)
+    return decontam.find_leaks(_whole(docs), table(spark, sf_dir, "benchmark"), keep=["row"]).where("n_hit = 0").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
