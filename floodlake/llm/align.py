@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -165,6 +166,12 @@ class Aligner:
         return Aligned(a, b, first_a, first_b, cuts_a, cuts_b, np.searchsorted(cuts_a, first_a), link_a, link_b, doc)
 
 
+@lru_cache(maxsize=1)
+def _aligner(path_a: str | None, path_b: str | None) -> Aligner:
+    """One for all tasks of a worker."""
+    return Aligner(path_a, path_b)
+
+
 def _same(side: _Side, ids: np.ndarray, n: np.ndarray, data: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For which texts the joined bytes of the tokens are the text's own."""
     size = side.size[ids]
@@ -205,7 +212,7 @@ def align_documents(docs: DataFrame, path_a: str | None = None, path_b: str | No
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(path_a, path_b)
+        aligner = _aligner(path_a, path_b)
         for batch in batches:
             for row, data, text in parts(batch.column("text")):
                 found = aligner.align(row, data, text)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -18,7 +19,7 @@ import public_tokenizers
 from .bytetext import Lookup, Words
 
 #: Pieces that a worker remembers at most; beyond, it begins anew.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 
@@ -129,8 +130,9 @@ class Encoder:
         return ids, np.diff(ends[words.first])
 
 
+@lru_cache(maxsize=2)
 def byte_encoder(path: str | None = None, *, plain: bool = False) -> Encoder:
-    """The byte-level tokenizer; ``plain`` takes the strings of special tokens as ordinary text."""
+    """The byte-level tokenizer, one for all tasks of a worker; ``plain`` takes the strings of special tokens as ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -147,8 +149,9 @@ def byte_encoder(path: str | None = None, *, plain: bool = False) -> Encoder:
     return Encoder(encode)
 
 
+@lru_cache(maxsize=1)
 def piece_encoder(path: str | None = None) -> Encoder:
-    """The sentencepiece tokenizer.  Each piece must begin with the space that the tokenizer itself would add."""
+    """The sentencepiece tokenizer, one for all tasks of a worker.  Each piece must begin with the space that the tokenizer itself would add."""
     import sentencepiece
 
     processor = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(PIECE_BPE))
