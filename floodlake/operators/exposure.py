@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..policy import DEFAULT, Policy
+from .overlay import area, cell_areas, trapezoids
 
 #: Pieces of road shorter than this are not cut off (metres).
 SHORT = 1e-6
@@ -80,6 +81,17 @@ def building_exposure(buildings: DataFrame, flood: DataFrame, size: float, polic
     return out.withColumn("affected", (F.col("overlap_m2") > 0) & (F.col("fraction") >= policy.building_fraction))
 
 
+def shape_exposure(edges: DataFrame, flood: DataFrame, size: float, policy: Policy = DEFAULT) -> DataFrame:
+    """``building_exposure`` of concave, hollow and many-part footprints, given as ``edges(grid_id, feature_id, x1, y1, x2, y2)`` of their rings."""
+    keys = ["grid_id", "feature_id"]
+    parts = trapezoids(edges, keys, size)
+    wet = cell_areas(parts, keys, size).join(_wet(flood), ["grid_id", "cy", "cx"]).groupBy(*keys).agg(F.sum("area").alias("overlap_m2"))
+    out = edges.select(*keys).distinct().join(parts.groupBy(*keys).agg(F.sum(area()).alias("footprint_m2")), keys, "left").join(wet, keys, "left")
+    out = out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("footprint_m2", "overlap_m2")])
+    out = out.withColumn("fraction", F.when(F.col("footprint_m2") > 0, F.col("overlap_m2") / F.col("footprint_m2")).otherwise(F.lit(0.0)))
+    return out.withColumn("affected", (F.col("overlap_m2") > 0) & (F.col("fraction") >= policy.building_fraction))
+
+
 def building_summary(exposed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts and footprint areas, of all or ``by`` columns; without those, one row of zeros for no buildings."""
     hit = F.col("affected")
