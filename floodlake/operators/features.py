@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import ring_km2
@@ -31,12 +31,29 @@ def category(tags: str, kind: Column) -> Column:
 
 
 def snapshot_asof(versions: DataFrame, events: DataFrame) -> DataFrame:
-    """State of each feature at 23:59:59 on the day before each event: its last version until then, unless that deletes it."""
-    e = events.select("request_id", (F.col("event_date").cast("timestamp_ntz") - F.expr("INTERVAL '1' SECOND")).alias("snapshot_at"))
-    known = versions.join(F.broadcast(e), F.col("version_ts") <= F.col("snapshot_at")) if e.count() <= 10_000 else versions.join(e, F.col("version_ts") <= F.col("snapshot_at"))
-    # The state is an aggregate, so versions are combined before the shuffle.
-    last = known.groupBy("request_id", "feature_id").agg(F.max(F.struct("version_ts", "version", "deleted", "value")).alias("v"))
-    return last.where("v.deleted = 0").select("request_id", "feature_id", "v.version", "v.value")
+    """State of each feature at 23:59:59 on the day before each event: its last version until then, unless that deletes it.
+
+    An as-of merge.  The event dates, in order, bound spans of time; each
+    version falls into one span, found by merging its day with the dates, and
+    only a feature's last version of each span goes on.  One ordered window per
+    feature says until which span a version holds; events take the versions
+    that hold at their date.  Days are merged in one task: there are as many
+    as the history has, whatever the number of versions and events.
+    """
+    second = F.expr("version_ts + INTERVAL '1' SECOND")
+    # The first date on whose eve at 23:59:59 the version is known.
+    day = F.when(second == F.to_date(second).cast(dict(versions.dtypes)["version_ts"]), F.to_date(second)).otherwise(F.date_add(F.to_date(second), 1))
+    known = versions.where("version_ts IS NOT NULL").withColumn("day", day)
+    dates = events.select(F.col("event_date").cast("date").alias("day")).where("day IS NOT NULL").distinct().withColumn("at", F.row_number().over(Window.orderBy("day")))
+    days = known.select("day").distinct().withColumn("at", F.lit(None).cast("int")).unionByName(dates).groupBy("day").agg(F.max("at").alias("at"))
+    spans = days.select("day", F.first("at", ignorenulls=True).over(Window.orderBy("day").rowsBetween(0, Window.unboundedFollowing)).alias("at")).where("at IS NOT NULL")
+    # Versions are combined before they are shuffled.
+    last = known.join(spans, "day").groupBy("feature_id", "at").agg(F.max(F.struct("version_ts", "version", "deleted", "value")).alias("v")).select("feature_id", "at", "v.version", "v.deleted", "v.value")
+    until = last.withColumn("next", F.lead("at").over(Window.partitionBy("feature_id").orderBy("at"))).where("deleted = 0")
+    # The last version holds at all later dates.
+    held = until.select("feature_id", "version", "value", F.explode(F.sequence("at", F.coalesce(F.col("next") - 1, F.lit(dates.count())))).alias("at"))
+    asked = events.select("request_id", F.col("event_date").cast("date").alias("day")).join(dates, "day").select("request_id", "at")
+    return asked.join(held, "at").select("request_id", "feature_id", "version", "value")
 
 
 def validate_aois(requests: DataFrame, today: Column | None = None, policy: Policy = DEFAULT) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import speed_kmh
 from ..policy import DEFAULT, Policy
+from .exposure import SHORT, crossed_cells
 from .regions import checkpointed
 
 CM = 100
@@ -56,33 +57,61 @@ def post_event_edges(edges: DataFrame, strict: bool = False) -> DataFrame:
     return edges.where(~F.col("status").isin(*gone))
 
 
-def snap_points(points: DataFrame, edges: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+def _near_cells(points: DataFrame, cells: DataFrame, size: float, inner: int, outer: int, reach: float) -> DataFrame:
+    """Pairs of open ``points`` and the edges in cells from ``inner`` to ``outer`` steps away that may still be nearer than their best."""
+    offset = F.explode(F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in range(-outer, outer + 1) for j in range(-outer, outer + 1) if max(abs(i), abs(j)) > inner or inner == outer == 0]))
+    asked = points.select("*", offset.alias("o")).withColumns({"cy": (F.floor(F.col("y") / size) + F.col("o.dy")).cast("int"), "cx": (F.floor(F.col("x") / size) + F.col("o.dx")).cast("int")}).drop("o")
+    gap = lambda v, c: F.greatest(F.col(c) * size - F.col(v), F.lit(0.0), F.col(v) - (F.col(c) + 1) * size)
+    asked = asked.where(F.hypot(gap("x", "cx"), gap("y", "cy")) <= F.least(F.lit(float(reach)), F.coalesce("e.d", F.lit(float(reach)))))
+    return asked.join(cells, ["request_id", "cy", "cx"])
+
+
+def snap_points(points: DataFrame, edges: DataFrame, policy: Policy = DEFAULT, size: float | None = None) -> DataFrame:
     """Each point's place on the graph: the nearest node, or the nearest point of an edge if that is nearer, within reach.
 
-    Points and edges meet in square buckets as wide as the reach: an edge is in
-    every bucket it may touch, a point looks into its own and the eight around.
+    Edges lie in the fine square cells (``size`` wide, a sixteenth of the reach
+    unless given) that they cross.  A point asks its own cell and the eight around, then rings of cells further
+    out, twice as far each time; it is done when what it has found is nearer
+    than anything beyond its last ring can be, so in a dense town it meets only
+    the edges around it.
     """
     reach = policy.max_snap_m
+    size = size or reach / 16
     at = lambda c: F.col(c) / CM
     # Of segments on the same line the least id wins all ties below, so the others needn't meet the points.
     e = edges.groupBy("request_id", "src", "dst").agg(F.min("segment_id").alias("segment_id"))
     e = e.select("request_id", "segment_id", *[at(f"{n}.{c}").alias(f"{n}_{c[1]}") for n in ("src", "dst") for c in ("cx", "cy")])
-    span = lambda a, b: F.explode(F.sequence(F.floor(F.least(a, b) / reach), F.floor(F.greatest(a, b) / reach)))
-    e = e.withColumn("bx", span("src_x", "dst_x")).withColumn("by", span("src_y", "dst_y"))
-    around = lambda c: F.explode(F.array(*[F.floor(F.col(c) / reach) + d for d in (-1, 0, 1)]))
-    p = points.select("request_id", "feature_id", "x", "y").withColumn("bx", around("x")).withColumn("by", around("y"))
-    both = p.join(e, ["request_id", "bx", "by"])
+    lines = e.withColumns({"x1": F.col("src_x"), "y1": F.col("src_y"), "x2": F.col("dst_x"), "y2": F.col("dst_y")})
+    # A line on the border of two cells is found in either.
+    cells = checkpointed(crossed_cells(lines, size, SHORT).select("request_id", "cy", "cx", "segment_id", "src_x", "src_y", "dst_x", "dst_y"))
     dx, dy = F.col("dst_x") - F.col("src_x"), F.col("dst_y") - F.col("src_y")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("src_x")) * dx + (F.col("y") - F.col("src_y")) * dy) / (dx * dx + dy * dy)))
     fx, fy = F.col("src_x") + t * dx, F.col("src_y") + t * dy
     edge = F.struct(F.hypot(F.col("x") - fx, F.col("y") - fy).alias("d"), fx.alias("px"), fy.alias("py"), "segment_id", "src_x", "src_y", t.alias("t"))
     ends = lambda n: F.struct(F.hypot(F.col("x") - F.col(f"{n}_x"), F.col("y") - F.col(f"{n}_y")).alias("d"), F.col(f"{n}_x").alias("px"), F.col(f"{n}_y").alias("py"))
-    best = both.groupBy("request_id", "feature_id").agg(F.min(F.least(ends("src"), ends("dst"))).alias("n"), F.min(edge).alias("e"))
-    out = points.select("request_id", "feature_id").join(best, ["request_id", "feature_id"], "left")
+    key = ["request_id", "feature_id"]
+    place = "struct<d:double,px:double,py:double>"
+    best = F.lit(None).cast("struct<d:double,px:double,py:double,segment_id:string,src_x:double,src_y:double,t:double>")
+    left = points.select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(None).cast(place).alias("n"), best.alias("e"))
+    done, inner, outer = None, 0, 1
+    while True:
+        near = _near_cells(left, cells, size, inner if inner else -1, outer, reach)
+        found = near.groupBy(*key).agg(F.min(F.least(ends("src"), ends("dst"))).alias("n2"), F.min(edge).alias("e2"))
+        # What lies beyond the square of rings is at least as far as its nearest side.
+        side = lambda v: F.least(F.col(v) - (F.floor(F.col(v) / size) - outer) * size, (F.floor(F.col(v) / size) + outer + 1) * size - F.col(v))  # noqa: E731, B023
+        beyond = F.least(side("x"), side("y"))
+        now = left.join(found, key, "left").withColumns({"n": F.least("n", "n2"), "e": F.least("e", "e2"), "open": (beyond <= reach) & F.coalesce(beyond <= F.col("e2.d"), F.lit(True)) & F.coalesce(beyond <= F.col("e.d"), F.lit(True))})
+        now = checkpointed(now.drop("n2", "e2"))
+        shut = now.where("NOT open").drop("open")
+        done = shut if done is None else done.unionByName(shut)
+        left = now.where("open").drop("open")
+        if left.isEmpty():
+            break
+        inner, outer = outer, 2 * outer
     least = F.least("n.d", "e.d")
     kind = F.when(least.isNull() | (least > reach), "none").when(F.col("n.d") <= F.col("e.d"), "node").otherwise("edge")
     chosen = F.when(kind == "node", node(F.col("n.px"), F.col("n.py"))).when(kind == "edge", node(F.col("e.px"), F.col("e.py")))
-    return out.select("request_id", "feature_id", kind.alias("kind"), chosen.alias("node"), F.when(kind != "none", least).alias("distance_m"), F.when(kind == "edge", F.col("e.segment_id")).alias("segment_id"))
+    return done.select(*key, kind.alias("kind"), chosen.alias("node"), F.when(kind != "none", least).alias("distance_m"), F.when(kind == "edge", F.col("e.segment_id")).alias("segment_id"))
 
 
 def split_edges(edges: DataFrame, snapped: DataFrame) -> DataFrame:

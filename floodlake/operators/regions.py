@@ -11,7 +11,7 @@ import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -133,39 +133,52 @@ def boundary_edges(labelled: DataFrame) -> DataFrame:
     return near.join(there, ["grid_id", "region", "ny", "nx"], "left_anti").select("grid_id", "region", "x1", "y1", "x2", "y2")
 
 
-def region_rings(edges: DataFrame) -> DataFrame:
-    """(grid_id, region, ring, points): boundary edges chained to closed rings, corners only, the first point not repeated.
+def ring_corners(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """(grid_id, region, ring, at, x, y): the corners of each region's rings in order, by list ranking.
 
-    One region's outline is one group; its size is bounded by the grid.
+    Every boundary edge points to the one that follows it.  By pointer
+    doubling each learns the first edge of its ring and how many steps ahead
+    that is; a round joins all edges of all rings once, so rings of n edges
+    take about log n rounds, however many blocks they cross, and no region is
+    ever one group.  Rings are numbered, and begin, by their first point in the
+    order of x, then y.
     """
+    keys = ["grid_id", "region"]
+    way = F.when(F.col("x2") > F.col("x1"), 0).when(F.col("y2") > F.col("y1"), 1).when(F.col("x2") < F.col("x1"), 2).otherwise(3)
+    # An edge's code goes by its first point; of two edges that leave a point, by their direction.
+    code = ((F.col("x1").cast("long") + (1 << 28)) * (1 << 31) + F.col("y1") + (1 << 28)) * 4 + way
+    coded = edges.select(*keys, code.alias("code"), "x1", "y1", "x2", "y2")
+    after = coded.select(*keys, F.col("code").alias("next"), F.col("x1").alias("x2"), F.col("y1").alias("y2"), F.col("x2").alias("x3"), F.col("y2").alias("y3"))
+    # Where two corners touch, turn towards the cell just left, so that rings don't cross.
+    turn = (F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y2")) - (F.col("y2") - F.col("y1")) * (F.col("x3") - F.col("x2"))
+    ways = coded.join(after, [*keys, "x2", "y2"]).groupBy(*keys, "code").agg(F.min(F.struct(turn.alias("turn"), "next")).alias("w"), F.first("x2").alias("x"), F.first("y2").alias("y"))
+    # A corner is where the way turns.
+    links = checkpointed(ways.select(*keys, "code", F.col("w.next").alias("next"), "x", "y", (F.col("w.turn") != 0).alias("corner")))
+
+    # Of the 2^k edges from each on: the least code and how far ahead it is; ``next`` is the edge behind them.
+    rows = links.select(*keys, "code", "next", F.col("code").alias("first"), F.lit(0).cast("long").alias("steps"))
+    for k in range(max_rounds):
+        there = rows.select(*keys, F.col("code").alias("next"), F.col("next").alias("next2"), F.col("first").alias("first2"), (F.col("steps") + (1 << k)).alias("steps2"))
+        nearer = F.col("first") <= F.col("first2")
+        rows = rows.join(there, [*keys, "next"]).select(*keys, "code", F.col("next2").alias("next"), F.least("first", "first2").alias("first"), F.when(nearer, F.col("steps")).otherwise(F.col("steps2")).alias("steps"), nearer.alias("same"))
+        rows = checkpointed(rows)
+        if rows.where("NOT same").isEmpty():
+            break
+        rows = rows.drop("same")
+    else:
+        raise RuntimeError(f"rings did not settle in {max_rounds} rounds")
+    ring = F.dense_rank().over(Window.partitionBy(*keys).orderBy("first")) - 1
+    numbers = rows.select(*keys, "first").distinct().withColumn("ring", ring)
+    # The corner at an edge's end: that of the edge before the first is the ring's first point, then comes the first edge's own.
+    at = F.when(F.col("steps") == 1, F.lit(-(1 << 62))).when(F.col("steps") == 0, F.lit(-(1 << 61))).otherwise(-F.col("steps"))
+    found = rows.join(links.where("corner").select(*keys, "code", "x", "y"), [*keys, "code"]).join(numbers, [*keys, "first"])
+    return found.select(*keys, "ring", at.alias("at"), "x", "y")
 
-    def chain(group: pa.Table) -> pa.Table:
-        after: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for x1, y1, x2, y2 in zip(*(group[c].to_pylist() for c in ("x1", "y1", "x2", "y2")), strict=True):
-            after.setdefault((x1, y1), []).append((x2, y2))
-        rings = []
-        for start in sorted(after):
-            while after[start]:
-                ring, at, came = [start], start, None
-                while True:
-                    ways = after[at]
-                    # Where two corners touch, turn towards the cell just left, so that rings don't cross.
-                    turn = lambda p: 0 if came is None else (at[0] - came[0]) * (p[1] - at[1]) - (at[1] - came[1]) * (p[0] - at[0])  # noqa: E731, B023
-                    step = min(ways, key=turn)
-                    ways.remove(step)
-                    came, at = at, step
-                    if at == start:
-                        break
-                    ring.append(at)
-                n = len(ring)
-                corner = [p for i, p in enumerate(ring) if (p[0] - ring[i - 1][0]) * (ring[(i + 1) % n][1] - p[1]) != (p[1] - ring[i - 1][1]) * (ring[(i + 1) % n][0] - p[0])]
-                rings.append(corner)
-        first = group.slice(0, 1)
-        points = pa.array([[{"x": x, "y": y} for x, y in r] for r in rings], pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))
-        n = len(rings)
-        return pa.table({"grid_id": pa.array(first["grid_id"].to_pylist() * n, pa.int32()), "region": pa.array(first["region"].to_pylist() * n, pa.int64()), "ring": pa.array(range(n), pa.int32()), "points": points})
-
-    return edges.groupBy("grid_id", "region").applyInArrow(chain, "grid_id int, region long, ring int, points array<struct<x:int,y:int>>")
+
+def region_rings(edges: DataFrame) -> DataFrame:
+    """(grid_id, region, ring, points): boundary edges chained to closed rings, corners only, the first point not repeated."""
+    corners = ring_corners(edges).groupBy("grid_id", "region", "ring").agg(F.array_sort(F.collect_list(F.struct("at", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y")))).alias("c"))
+    return corners.select("grid_id", "region", "ring", F.transform("c", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))).alias("points"))
 
 
 def outlines(rings: DataFrame, grids: DataFrame) -> DataFrame:

@@ -180,6 +180,13 @@ _FOOT = """, ends AS (SELECT grid_id, region, x1 AS x, y1 AS y, CASE WHEN y1 = y
     h AS (SELECT *, east / n1 AS d FROM g),
     w AS (SELECT grid_id, region, corners, degrees(p - n1 * tan(p) / r1 * (d ** 2 / 2 - (5 + 3 * t1 + 10 * c1 - 4 * c1 ** 2 - 9 * ep) * d ** 4 / 24 + (61 + 90 * t1 + 298 * c1 + 45 * t1 ** 2 - 252 * ep - 3 * c1 ** 2) * d ** 6 / 720)) AS lat,
       3 + degrees((d - (1 + 2 * t1 + c1) * d ** 3 / 6 + (5 - 2 * c1 + 28 * t1 - 3 * c1 ** 2 + 8 * ep + 24 * t1 ** 2) * d ** 5 / 120) / cos(p)) AS lon FROM h)"""
+#: Each side is followed by the one that leaves where it ends, by the sharper turn where two do; the smallest code is handed along a ring until it is known all round.
+_RINGS = """, coded AS (SELECT *, (x1 * 100000 + y1) * 4 + CASE WHEN x2 > x1 THEN 0 WHEN y2 > y1 THEN 1 WHEN x2 < x1 THEN 2 ELSE 3 END AS code FROM edges),
+    ways AS (SELECT a.grid_id, a.region, a.code, b.code AS next, (a.x2 - a.x1) * (b.y2 - b.y1) - (a.y2 - a.y1) * (b.x2 - b.x1) AS turn FROM coded a JOIN coded b ON b.grid_id = a.grid_id AND b.region = a.region AND b.x1 = a.x2 AND b.y1 = a.y2),
+    follow AS (SELECT grid_id, region, code, arg_min(next, turn) AS next, min(turn) AS turn FROM ways GROUP BY ALL),
+    ring(grid_id, region, code, label) USING KEY (grid_id, region, code) AS (SELECT grid_id, region, code, code FROM follow
+      UNION SELECT f.grid_id, f.region, f.next, min(r.label) FROM ring r JOIN follow f ON f.grid_id = r.grid_id AND f.region = r.region AND f.code = r.code
+        JOIN recurring.ring q ON q.grid_id = f.grid_id AND q.region = f.region AND q.code = f.next WHERE r.label < q.label GROUP BY f.grid_id, f.region, f.next)"""
 ORACLES = {
     "pixel_validity": with_tables("pixels") + f" SELECT grid_id, y, x, {_OK} AS valid FROM pixels",
     "band_select": f"""WITH c AS ({_BANDS.format(supplier='supplier')}), s AS (SELECT unnest(['sigma0_vv', 'sigma0_vh', 'elevation']) AS suffix)
@@ -209,5 +216,6 @@ ORACLES = {
     "change_regions": with_tables("pixels") + _reach(f"SELECT grid_id, y * 96 + x AS code, y, x, {_DB} AS db FROM pixels WHERE {_OK} AND probability < 0.5 AND {_DB} >= 3")
         + " SELECT grid_id, CAST(region AS BIGINT) AS region, count(*) AS cells, round(avg(db), 6) AS mean_change, round(least(1, avg(db) / 6), 6) AS score, CASE WHEN avg(db) / 6 < 0.5 THEN 'low' WHEN avg(db) / 6 < 0.75 THEN 'medium' ELSE 'high' END AS confidence FROM on_cells JOIN labels USING (grid_id, code) GROUP BY grid_id, region HAVING count(*) * 0.0001::DOUBLE >= 0.001::DOUBLE",
     "region_boundary_edges": _EDGES + " SELECT * FROM edges",
+    "region_rings": _EDGES + _RINGS + " SELECT grid_id, region, CAST(dense_rank() OVER (PARTITION BY grid_id, region ORDER BY label) - 1 AS INT) AS ring, CAST(corners AS INT) AS corners FROM (SELECT grid_id, region, label, count(*) FILTER (turn <> 0) AS corners FROM ring JOIN follow USING (grid_id, region, code) GROUP BY ALL)",
     "region_outlines": _EDGES + _FOOT + " SELECT grid_id, region, CAST(sum(corners) AS BIGINT) AS corners, round(min(lon), 6) AS west, round(max(lon), 6) AS east, round(min(lat), 6) AS south, round(max(lat), 6) AS north FROM w GROUP BY grid_id, region",
 }

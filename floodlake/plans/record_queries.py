@@ -96,7 +96,7 @@ def snapshot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.snapshot_asof(load(spark, sf_dir, "versions"), _snapshot_events(spark, sf_dir)).select("request_id", "feature_id", "version", "value")
 
 
-_EVENTS = "SELECT CAST(n_nationkey AS INT) AS request_id, DATE '2024-01-01' + CAST(n_nationkey AS INT) AS event_date FROM {nation} WHERE n_nationkey % 5 = 1"
+_EVENTS = "SELECT CAST(n_nationkey AS INT) AS request_id, DATE '2024-01-01' + CAST(n_nationkey AS INT) AS event_date FROM {nation}"
 
 
 def _snapshot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     log.withColumn("started_at", F.col("started_at").cast("timestamp")).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     out = intake.run_to_end(intake.latest_job_state(stream), _shared(spark, "jobs"), _shared(spark, "state"))
-    return out.select("job_id", "last.status", "last.stage")
+    return out.states.select("job_id", "status", "stage")
 
 
 _CATEGORY = """CASE WHEN kind = 'polygon' AND building = 'yes' THEN 'building' WHEN kind = 'line' AND highway = 'primary' THEN 'road' WHEN kind IN ('point', 'polygon') AND place = 'town' THEN 'settlement' WHEN kind IN ('point', 'polygon') AND amenity = 'clinic' THEN 'healthcare' END"""
