@@ -44,7 +44,7 @@ def bridge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.bridge_exposure(load(spark, sf_dir, "roads").where(ex.is_bridge()), _flood(spark, sf_dir).where("(y + x) % 3 = 0 AND y % 4 = 0"), CELL)
+    return ex.bridge_exposure(load(spark, sf_dir, "roads").where(ex.is_bridge()), _flood(spark, sf_dir), CELL)
 
 
 def bridge_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,12 +98,12 @@ _SEGMENTS = _KNOWN + """, along AS (SELECT grid_id, feature_id, highway, bridge,
     islands AS (SELECT *, sum(new) OVER (PARTITION BY feature_id ORDER BY k) AS island FROM marked),
     pieces AS (SELECT feature_id || ':' || (island - 1) AS segment_id, CASE WHEN bool_or(mask IS NULL) THEN 'UNKNOWN_COVERAGE' WHEN max(wet) = 1 THEN 'BLOCKED' ELSE 'OPEN' END AS status, max(b) - min(a) AS m, any_value(highway) AS highway,
       bool_or(coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1')) AS bridge FROM islands GROUP BY feature_id, island)"""
-_BRIDGES = _KNOWN + """, judged AS (SELECT feature_id, grid_id, x1, y1, x2, y2, EXISTS (SELECT 1 FROM known WHERE known.grid_id = roads.grid_id AND mask = 1 AND (y + x) % 3 = 0 AND y % 4 = 0 AND
+_BRIDGES = _KNOWN + """, judged AS (SELECT feature_id, grid_id, x1, y1, x2, y2, EXISTS (SELECT 1 FROM known WHERE known.grid_id = roads.grid_id AND mask = 1 AND
       sqrt(power(greatest(0, x * 10 - x2, x1 - x * 10 - 10), 2) + power(greatest(0, y * 10 - y2, y1 - y * 10 - 10), 2)) < 20) AS hit
     FROM roads WHERE coalesce(bridge, 'no') NOT IN ('no', 'false', '0') AND coalesce(tunnel, '') NOT IN ('yes', 'true', '1'))"""
 
 #: Share of the corridor that is wet: the corridor's sides cut where they enter or leave it, so that each part has its area by its middle.
-_SHARES = _BRIDGES + """, wet_cells AS (SELECT grid_id, y, x FROM known WHERE mask = 1 AND (y + x) % 3 = 0 AND y % 4 = 0),
+_SHARES = _BRIDGES + """, wet_cells AS (SELECT grid_id, y, x FROM known WHERE mask = 1),
     corners AS (SELECT j.feature_id, grid_id, side * 33 + i AS k, CASE side WHEN 0 THEN x2 ELSE x1 END + 20 * cos(atan2(y2 - y1, x2 - x1) + (side - 0.5::DOUBLE) * pi() + i * pi() / 32) AS px,
       CASE side WHEN 0 THEN y2 ELSE y1 END + 20 * sin(atan2(y2 - y1, x2 - x1) + (side - 0.5::DOUBLE) * pi() + i * pi() / 32) AS py FROM judged j, (SELECT unnest([0, 1]) AS side), (SELECT unnest(range(0, 33)) AS i) WHERE hit),
     sides AS (SELECT feature_id, grid_id, px AS ax, py AS ay, coalesce(lead(px) OVER w, first_value(px) OVER w) AS bx, coalesce(lead(py) OVER w, first_value(py) OVER w) AS "by" FROM corners WINDOW w AS (PARTITION BY feature_id ORDER BY k)),

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 CELL, SIDE = 10, 96
 #: Orders whose lines fill one grid, and the parts and customers that lie on it; more rows make more grids.
 ORDERS_A_GRID, PARTS_A_GRID, CUSTOMERS_A_GRID = 8192, 1024, 800
+#: Orders that make one road network, and the suppliers that lie on it.
+ORDERS_A_NETWORK, SUPPLIERS_A_NETWORK = 8192, 64
 
 TABLES: dict[str, str] = {
     "requests": "SELECT CAST(n_nationkey AS INT) AS request_id, DATE '1996-01-01' + CAST(n_nationkey * 67 AS INT) AS event_date FROM {nation}",
@@ -44,16 +46,16 @@ TABLES: dict[str, str] = {
         CASE c_custkey % 9 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' ELSE NULL END AS oneway,
         CASE c_custkey % 6 WHEN 0 THEN '50' WHEN 1 THEN '30 mph' WHEN 2 THEN 'signals' WHEN 3 THEN '40;60' ELSE NULL END AS maxspeed,
         CASE c_custkey % 8 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE NULL END AS bridge, CASE c_custkey % 16 WHEN 0 THEN 'yes' ELSE NULL END AS tunnel FROM {{customer}}""",
-    "lattice": """SELECT CAST(0 AS INT) AS request_id, CAST(o_orderkey AS STRING) AS segment_id, CAST(o_custkey AS STRING) AS parent_road_id,
+    "lattice": f"""SELECT CAST(floor(o_orderkey / {ORDERS_A_NETWORK}) AS INT) AS request_id, CAST(o_orderkey AS STRING) AS segment_id, CAST(o_custkey AS STRING) AS parent_road_id,
         CAST(o_custkey % 24 * 100 AS DOUBLE) AS x1, CAST(o_orderkey % 24 * 100 AS DOUBLE) AS y1,
         CAST(o_custkey % 24 * 100 + CASE WHEN (o_custkey + o_orderkey) % 2 = 0 THEN 100 ELSE 0 END AS DOUBLE) AS x2, CAST(o_orderkey % 24 * 100 + CASE WHEN (o_custkey + o_orderkey) % 2 = 0 THEN 0 ELSE 100 END AS DOUBLE) AS y2,
         CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'primary' WHEN '2' THEN 'secondary' WHEN '3' THEN 'residential' WHEN '4' THEN 'track' ELSE 'footway' END AS highway,
         CASE WHEN o_orderkey % 7 = 0 THEN 'yes' WHEN o_orderkey % 7 = 1 THEN '-1' ELSE NULL END AS oneway, CAST(NULL AS STRING) AS maxspeed,
         CASE WHEN o_custkey % 24 IN (5, 11) AND o_orderkey % 24 <> 3 THEN 'BLOCKED' WHEN o_custkey % 24 = 17 AND o_orderkey % 24 > 20 THEN 'BLOCKED' WHEN o_custkey % 11 = 1 THEN 'UNKNOWN_COVERAGE' WHEN o_custkey % 11 = 2 THEN 'POTENTIALLY_BLOCKED' ELSE 'OPEN' END AS status
-        FROM {orders} WHERE o_orderstatus <> 'P'""",
-    "places": """SELECT CAST(0 AS INT) AS request_id, CAST(s_suppkey AS STRING) AS feature_id, s_name AS name, CAST(s_suppkey * 173 % 2500 AS DOUBLE) + 0.5 AS x, CAST(s_suppkey * 311 % 2600 AS DOUBLE) + 0.5 AS y,
+        FROM {{orders}}""",
+    "places": f"""SELECT CAST(floor(s_suppkey / {SUPPLIERS_A_NETWORK}) AS INT) AS request_id, CAST(s_suppkey AS STRING) AS feature_id, s_name AS name, CAST(s_suppkey * 173 % 2500 AS DOUBLE) + 0.5 AS x, CAST(s_suppkey * 311 % 2600 AS DOUBLE) + 0.5 AS y,
         CASE s_suppkey % 10 WHEN 0 THEN 'healthcare' ELSE 'settlement' END AS category, CASE s_suppkey % 5 WHEN 1 THEN 'town' WHEN 2 THEN 'village' WHEN 3 THEN 'hamlet' ELSE 'suburb' END AS place
-        FROM {supplier}""",
+        FROM {{supplier}}""",
     "versions": """SELECT CAST(user_id AS STRING) AS feature_id, event_id AS version, ts AS version_ts, CASE WHEN event_type = 'logout' OR event_id % 13 = 0 THEN 1 ELSE 0 END AS deleted, value FROM {events}""",
     "stage_log": "SELECT CAST(user_id AS STRING) AS job_id, event_type AS stage, ts AS started_at, event_id AS seq, CASE event_id % 7 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'QUEUED' WHEN 2 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CAST(event_id % 101 AS INT) AS percent FROM {events}",
     "artifacts": "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'a.geojson' WHEN 1 THEN 'b.json' WHEN 2 THEN 'c.HTML' WHEN 3 THEN 'd.tif' ELSE 'e.bin' END AS name, html FROM {pages}",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import network as nw
@@ -13,8 +13,13 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nw.road_edges(load(spark, sf_dir, "lattice"))
 
 
+def _name(n: str) -> Column:
+    """A node's name, its request in front."""
+    return F.concat_ws(":", "request_id", nw.node_name(F.col(n)))
+
+
 def _named(edges: DataFrame) -> DataFrame:
-    return edges.select("segment_id", nw.node_name(F.col("src")).alias("src"), nw.node_name(F.col("dst")).alias("dst"), "status", F.round("length_m", 6).alias("length_m"), F.round("time_s", 6).alias("time_s"))
+    return edges.select("segment_id", _name("src").alias("src"), _name("dst").alias("dst"), "status", F.round("length_m", 6).alias("length_m"), F.round("time_s", 6).alias("time_s"))
 
 
 def road_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +44,7 @@ def _sources(places: DataFrame) -> DataFrame:
 
 def snap_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapped = nw.snap_points(_places(spark, sf_dir), _edges(spark, sf_dir))
-    return snapped.select("feature_id", "kind", nw.node_name(F.col("node")).alias("node"), F.round("distance_m", 6).alias("distance_m"))
+    return snapped.select("feature_id", "kind", F.when(F.col("node").isNotNull(), _name("node")).alias("node"), F.round("distance_m", 6).alias("distance_m"))
 
 
 def split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,24 +53,25 @@ def split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy("segment_id").agg(F.count("*").alias("parts"), F.round(F.sum("length_m"), 6).alias("length_m"), F.round(F.sum("time_s"), 6).alias("time_s"))
 
 
-_STARTS = "SELECT CAST(0 AS INT) AS request_id, CAST(n_nationkey AS STRING) AS source_id, CAST(n_nationkey * 7 % 24 * 100 AS DOUBLE) AS x, CAST(n_nationkey * 5 % 24 * 100 AS DOUBLE) AS y FROM {nation} WHERE n_nationkey % 9 = 0"
+#: Three places of help in each network.
+_STARTS = "SELECT request_id, CAST(n_nationkey AS STRING) AS source_id, CAST(n_nationkey * 7 % 24 * 100 AS DOUBLE) AS x, CAST(n_nationkey * 5 % 24 * 100 AS DOUBLE) AS y FROM (SELECT DISTINCT request_id FROM {lattice}) q JOIN {nation} ON n_nationkey IN (0, 9, 18)"
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.sql(_STARTS, nation=load(spark, sf_dir, "nation"))
+    s = spark.sql(_STARTS, nation=load(spark, sf_dir, "nation"), lattice=load(spark, sf_dir, "lattice"))
     return s.select("request_id", "source_id", nw.node(F.col("x"), F.col("y")).alias("node"))
 
 
 def shortest_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = nw.shortest_access(_edges(spark, sf_dir), _starts(spark, sf_dir))
-    return got.select(nw.node_name(F.col("node")).alias("node"), F.round("time_s", 6).alias("time_s"))
+    return got.select(_name("node").alias("node"), F.round("time_s", 6).alias("time_s"))
 
 
 def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, starts = _edges(spark, sf_dir), _starts(spark, sf_dir)
     before, after = nw.shortest_access(edges, starts), nw.shortest_access(nw.post_event_edges(edges), starts)
     nodes = edges.select("request_id", "dst").union(edges.select("request_id", "src")).distinct()
-    homes = nodes.select("request_id", nw.node_name(F.col("dst")).alias("feature_id"), F.lit(None).cast("string").alias("name"), F.col("dst").alias("node"))
+    homes = nodes.select("request_id", _name("dst").alias("feature_id"), F.lit(None).cast("string").alias("name"), F.col("dst").alias("node"))
     return nw.settlement_access(homes, before, after)
 
 
@@ -83,14 +89,14 @@ def route_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def most_affected_settlements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nw.most_affected(_access(spark, sf_dir)).select("rank", "feature_id", "status")
+    return nw.most_affected(_access(spark, sf_dir)).select("request_id", "rank", "feature_id", "status")
 
 
 def access_sources_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first source of each node in input order, that is by number."""
     places = _places(spark, sf_dir)
     at = nw.snap_points(_sources(places), _edges(spark, sf_dir)).select("request_id", "node", F.col("feature_id").alias("source_id"), F.col("feature_id").cast("long").alias("seq"))
-    return nw.sources_by_node(at, "seq").select(nw.node_name(F.col("node")).alias("node"), "source_id")
+    return nw.sources_by_node(at, "seq").select(_name("node").alias("node"), "source_id")
 
 
 def places_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,19 +107,19 @@ def places_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("feature_id", F.round("before_time_s", 4).alias("before_time_s"), F.round("after_time_s", 4).alias("after_time_s"))
 
 
-_DIRECTED = with_tables("lattice", "places") + f""", starts AS ({_STARTS.format(nation='nation')}),
+_DIRECTED = with_tables("lattice", "places") + f""", starts AS ({_STARTS.format(nation='nation', lattice='lattice')}),
     drive AS (SELECT *, sqrt(power(x2 - x1, 2) + power(y2 - y1, 2)) AS m, CASE highway WHEN 'primary' THEN 60 WHEN 'secondary' THEN 50 WHEN 'residential' THEN 30 WHEN 'track' THEN 15 END AS v FROM lattice WHERE highway <> 'footway'),
-    edges AS (SELECT segment_id, CAST(x1 * 100 AS BIGINT) || ',' || CAST(y1 * 100 AS BIGINT) AS src, CAST(x2 * 100 AS BIGINT) || ',' || CAST(y2 * 100 AS BIGINT) AS dst, status, m, m * 3.6 / v AS t, x1, y1, x2, y2 FROM drive WHERE coalesce(oneway, 'no') <> '-1'
-      UNION ALL SELECT segment_id, CAST(x2 * 100 AS BIGINT) || ',' || CAST(y2 * 100 AS BIGINT), CAST(x1 * 100 AS BIGINT) || ',' || CAST(y1 * 100 AS BIGINT), status, m, m * 3.6 / v, x2, y2, x1, y1 FROM drive WHERE coalesce(oneway, 'no') <> 'yes')"""
-_SNAPPED = _DIRECTED + """, near AS (SELECT feature_id, p.x, p.y, e.*, greatest(0, least(1, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / (m * m))) AS f FROM places p, edges e),
+    edges AS (SELECT request_id, segment_id, request_id || ':' || CAST(x1 * 100 AS BIGINT) || ',' || CAST(y1 * 100 AS BIGINT) AS src, request_id || ':' || CAST(x2 * 100 AS BIGINT) || ',' || CAST(y2 * 100 AS BIGINT) AS dst, status, m, m * 3.6 / v AS t, x1, y1, x2, y2 FROM drive WHERE coalesce(oneway, 'no') <> '-1'
+      UNION ALL SELECT request_id, segment_id, request_id || ':' || CAST(x2 * 100 AS BIGINT) || ',' || CAST(y2 * 100 AS BIGINT), request_id || ':' || CAST(x1 * 100 AS BIGINT) || ',' || CAST(y1 * 100 AS BIGINT), status, m, m * 3.6 / v, x2, y2, x1, y1 FROM drive WHERE coalesce(oneway, 'no') <> 'yes')"""
+_SNAPPED = _DIRECTED + """, near AS (SELECT feature_id, p.x, p.y, e.*, greatest(0, least(1, ((p.x - x1) * (x2 - x1) + (p.y - y1) * (y2 - y1)) / (m * m))) AS f FROM places p JOIN edges e ON e.request_id = p.request_id),
     ranged AS (SELECT *, x1 + f * (x2 - x1) AS fx, y1 + f * (y2 - y1) AS fy, sqrt(power(x - x1, 2) + power(y - y1, 2)) AS nd FROM near),
     both_ends AS (SELECT feature_id, sqrt(power(x - fx, 2) + power(y - fy, 2)) AS ed, fx, fy, segment_id, nd, x1, y1 FROM ranged),
     best AS (SELECT feature_id, min({'d': nd, 'x': x1, 'y': y1}) AS n, min({'d': ed, 'x': fx, 'y': fy, 's': segment_id}) AS e FROM both_ends GROUP BY feature_id),
-    other_end AS (SELECT p.feature_id, min({'d': sqrt(power(p.x - x2, 2) + power(p.y - y2, 2)), 'x': x2, 'y': y2}) AS n FROM places p, edges GROUP BY p.feature_id),
-    snapped AS (SELECT b.feature_id, least(b.n, o.n) AS n, e FROM best b JOIN other_end o ON o.feature_id = b.feature_id)"""
+    other_end AS (SELECT p.feature_id, min({'d': sqrt(power(p.x - x2, 2) + power(p.y - y2, 2)), 'x': x2, 'y': y2}) AS n FROM places p JOIN edges ON edges.request_id = p.request_id GROUP BY p.feature_id),
+    snapped AS (SELECT p.feature_id, p.request_id, least(b.n, o.n) AS n, e FROM places p LEFT JOIN best b ON b.feature_id = p.feature_id LEFT JOIN other_end o ON o.feature_id = p.feature_id)"""
 
 
-_FROM_STARTS = "SELECT CAST(x * 100 AS BIGINT) || ',' || CAST(y * 100 AS BIGINT) AS node, 0.0::DOUBLE AS t FROM starts"
+_FROM_STARTS = "SELECT request_id || ':' || CAST(x * 100 AS BIGINT) || ',' || CAST(y * 100 AS BIGINT) AS node, 0.0::DOUBLE AS t FROM starts"
 
 
 def _search(name: str, where: str = "TRUE", edges: str = "edges", begin: str = _FROM_STARTS) -> str:
@@ -127,8 +133,8 @@ ORACLES = {
     "road_edges": _DIRECTED + " SELECT segment_id, src, dst, status, round(m, 6) AS length_m, round(t, 6) AS time_s FROM edges",
     "post_event_edges": _DIRECTED + " SELECT segment_id, src, dst, status, round(m, 6) AS length_m, round(t, 6) AS time_s FROM edges WHERE status NOT IN ('BLOCKED', 'UNKNOWN_COVERAGE', 'POTENTIALLY_BLOCKED')",
     "access_sources": with_tables("places") + " SELECT feature_id, category, place FROM places WHERE category = 'healthcare' OR place = 'town'",
-    "snap_points": _SNAPPED + """ SELECT feature_id, CASE WHEN least(n.d, e.d) > 500 THEN 'none' WHEN n.d <= e.d THEN 'node' ELSE 'edge' END AS kind,
-        CASE WHEN least(n.d, e.d) > 500 THEN NULL WHEN n.d <= e.d THEN CAST(round_even(n.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(n.y * 100, 0) AS BIGINT) ELSE CAST(round_even(e.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(e.y * 100, 0) AS BIGINT) END AS node,
+    "snap_points": _SNAPPED + """ SELECT feature_id, CASE WHEN n IS NULL OR least(n.d, e.d) > 500 THEN 'none' WHEN n.d <= e.d THEN 'node' ELSE 'edge' END AS kind,
+        CASE WHEN n IS NULL OR least(n.d, e.d) > 500 THEN NULL WHEN n.d <= e.d THEN request_id || ':' || CAST(round_even(n.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(n.y * 100, 0) AS BIGINT) ELSE request_id || ':' || CAST(round_even(e.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(e.y * 100, 0) AS BIGINT) END AS node,
         CASE WHEN least(n.d, e.d) <= 500 THEN round(least(n.d, e.d), 6) END AS distance_m FROM snapped""",
     "split_edges": _SNAPPED + """, cuts AS (SELECT DISTINCT e.s AS segment_id, e.x AS cx, e.y AS cy FROM snapped WHERE e.d <= 500 AND n.d > e.d),
         inner_cuts AS (SELECT segment_id, src, dst, count(DISTINCT (cx, cy)) AS k FROM edges JOIN cuts USING (segment_id) GROUP BY ALL)
@@ -140,15 +146,15 @@ ORACLES = {
 _ACCESS = _DIRECTED + _search("b") + _search("a", _OPEN) + """, homes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
     judged AS (SELECT h.node, b.t AS bt, a.t AS aft, CASE WHEN b.t IS NULL THEN 'NO_BASELINE_ACCESS' WHEN a.t IS NULL THEN 'CUT_OFF' WHEN b.t > 0 AND a.t / b.t > 1.25 THEN 'DETOUR' ELSE 'CONNECTED' END AS status FROM homes h LEFT JOIN b ON b.node = h.node LEFT JOIN a ON a.node = h.node)"""
 ORACLES["settlement_access"] = _ACCESS + " SELECT node AS feature_id, status, round(bt, 6) AS before_time_s, round(aft, 6) AS after_time_s FROM judged"
-ORACLES["connectivity_summary"] = _ACCESS + " SELECT CAST(0 AS INT) AS request_id, count(*) AS settlements, count(*) FILTER (status = 'CONNECTED') AS connected, count(*) FILTER (status = 'DETOUR') AS detour, count(*) FILTER (status = 'CUT_OFF') AS cut_off, count(*) FILTER (status = 'NO_BASELINE_ACCESS') AS no_baseline_access FROM judged"
+ORACLES["connectivity_summary"] = _ACCESS + " SELECT CAST(split_part(node, ':', 1) AS INT) AS request_id, count(*) AS settlements, count(*) FILTER (status = 'CONNECTED') AS connected, count(*) FILTER (status = 'DETOUR') AS detour, count(*) FILTER (status = 'CUT_OFF') AS cut_off, count(*) FILTER (status = 'NO_BASELINE_ACCESS') AS no_baseline_access FROM judged GROUP BY 1"
 
-_PLACED = _SNAPPED + """, placed AS (SELECT s.feature_id, p.category, p.place, e.d <= 500 AND n.d > e.d AS inside, e.s AS segment_id, CAST(round_even(e.x * 100, 0) AS BIGINT) AS cx, CAST(round_even(e.y * 100, 0) AS BIGINT) AS cy,
-      CASE WHEN least(n.d, e.d) > 500 THEN NULL WHEN n.d <= e.d THEN CAST(round_even(n.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(n.y * 100, 0) AS BIGINT) ELSE CAST(round_even(e.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(e.y * 100, 0) AS BIGINT) END AS node
+_PLACED = _SNAPPED + """, placed AS (SELECT s.feature_id, s.request_id, p.category, p.place, coalesce(e.d <= 500 AND n.d > e.d, FALSE) AS inside, e.s AS segment_id, CAST(round_even(e.x * 100, 0) AS BIGINT) AS cx, CAST(round_even(e.y * 100, 0) AS BIGINT) AS cy,
+      CASE WHEN n IS NULL OR least(n.d, e.d) > 500 THEN NULL WHEN n.d <= e.d THEN s.request_id || ':' || CAST(round_even(n.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(n.y * 100, 0) AS BIGINT) ELSE s.request_id || ':' || CAST(round_even(e.x * 100, 0) AS BIGINT) || ',' || CAST(round_even(e.y * 100, 0) AS BIGINT) END AS node
       FROM snapped s JOIN places p ON p.feature_id = s.feature_id),
     origins AS (SELECT * FROM placed WHERE node IS NOT NULL AND (category = 'healthcare' OR place = 'town'))"""
 _SPLIT = _PLACED + """, marks AS (SELECT DISTINCT segment_id, cx, cy FROM placed WHERE inside),
     stops AS (SELECT segment_id, src, dst, status, t, 0.0::DOUBLE AS f, src AS node FROM edges UNION ALL SELECT segment_id, src, dst, status, t, 1.0, dst FROM edges
-      UNION ALL SELECT * FROM (SELECT e.segment_id, src, dst, status, t, ((cx - x1 * 100) * (x2 - x1) + (cy - y1 * 100) * (y2 - y1)) / (m * m * 100) AS f, cx || ',' || cy FROM edges e JOIN marks k ON k.segment_id = e.segment_id) WHERE f > 0 AND f < 1),
+      UNION ALL SELECT * FROM (SELECT e.segment_id, src, dst, status, t, ((cx - x1 * 100) * (x2 - x1) + (cy - y1 * 100) * (y2 - y1)) / (m * m * 100) AS f, e.request_id || ':' || cx || ',' || cy FROM edges e JOIN marks k ON k.segment_id = e.segment_id) WHERE f > 0 AND f < 1),
     halves AS (SELECT node AS src, lead(node) OVER w AS dst, status, t * (lead(f) OVER w - f) AS t FROM stops WINDOW w AS (PARTITION BY segment_id, src, dst ORDER BY f)),
     split AS (SELECT * FROM halves WHERE dst IS NOT NULL), still AS (SELECT * FROM split WHERE status NOT IN ('BLOCKED', 'UNKNOWN_COVERAGE'))"""
 ORACLES["access_sources_by_node"] = _PLACED + " SELECT node, arg_min(feature_id, CAST(feature_id AS BIGINT)) AS source_id FROM origins GROUP BY node"

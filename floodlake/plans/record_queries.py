@@ -127,7 +127,7 @@ def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def project_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = spark.sql(_AOIS, customer=load(spark, sf_dir, "customer")).where("x BETWEEN -179 AND 179")
+    a = spark.sql(_AOIS, customer=load(spark, sf_dir, "customer")).where("x BETWEEN -180 AND 180")
     east, north = geo.utm(F.col("x"), F.col("y"), geo.utm_epsg(F.col("x"), F.col("y")))
     return a.select("request_id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
@@ -272,7 +272,7 @@ def _utm_sql() -> str:
     terms = {1: f"({n} / 2 - 2 * {n}**2 / 3 + 5 * {n}**3 / 16 + 41 * {n}**4 / 180)", 2: f"(13 * {n}**2 / 48 - 3 * {n}**3 / 5 + 557 * {n}**4 / 1440)", 3: f"(61 * {n}**3 / 240 - 103 * {n}**4 / 140)", 4: f"(49561 * {n}**4 / 161280)"}
     east = " + ".join(f"{a} * cos({2 * k} * xi) * sinh({2 * k} * eta)" for k, a in terms.items())
     north = " + ".join(f"{a} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in terms.items())
-    return f""", z AS (SELECT request_id, x, y, radians(x - (greatest(1, least(60, CAST(floor((x + 180) / 6) AS INT) + 1)) * 6 - 183)) AS d, sin(radians(y)) AS s, 2 * sqrt({n}) / (1 + {n}) AS c FROM a WHERE x BETWEEN -179 AND 179),
+    return f""", z AS (SELECT request_id, x, y, radians(x - (greatest(1, least(60, CAST(floor((x + 180) / 6) AS INT) + 1)) * 6 - 183)) AS d, sin(radians(y)) AS s, 2 * sqrt({n}) / (1 + {n}) AS c FROM a WHERE x BETWEEN -180 AND 180),
         t AS (SELECT *, sinh(atanh(s) - c * atanh(c * s)) AS t FROM z), u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t),
         k AS (SELECT request_id, y, 6378137 / (1 + {n}) * (1 + {n}**2 / 4 + {n}**4 / 64) AS r, eta + {east} AS e, xi + {north} AS n FROM u)"""
 
