@@ -15,6 +15,7 @@ from ..functions.geo import speed_kmh
 from ..policy import DEFAULT, Policy
 from .exposure import SHORT, crossed_cells
 from .regions import checkpointed
+from .state import PartTable
 
 CM = 100
 
@@ -130,33 +131,80 @@ def split_edges(edges: DataFrame, snapped: DataFrame) -> DataFrame:
     return out.select("request_id", "segment_id", "parent_road_id", "status", (F.col("length_m") * share).alias("length_m"), (F.col("time_s") * share).alias("time_s"), F.col("s.a.cut").alias("src"), F.col("s.b.cut").alias("dst"), "piece")
 
 
-def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+#: Side of the squares of nodes that are stored together, in metres, and the number of parts that squares are dealt to.
+SQUARE_M, PARTS = 1000, 64
+
+
+def _part(n: str) -> Column:
+    """The part of a node: nodes of one square of one request share it."""
+    side = lambda c: F.floor(F.col(f"{n}.{c}") / (SQUARE_M * CM))
+    return F.pmod(F.xxhash64("request_id", side("cx"), side("cy")), F.lit(PARTS)).cast("int")
+
+
+def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, width_s: float | None = None) -> DataFrame:
     """(request_id, node, time_s, source_id, length_m, blockers) of each node that reaches a source ``(request_id, node, source_id)``.
 
     Time decides (to the microsecond), then source and next node.  Length and the
     roads on the way that the event closes are carried along, so routes aren't
     rebuilt; what changes at a node is offered again along its routes.
+
+    Delta stepping over all requests together.  Nodes lie in buckets of time,
+    ``width_s`` wide (four times the mean edge unless given).  The nearest
+    bucket with changed nodes offers its light edges (no longer than a bucket)
+    until nothing in it changes, then its heavy ones once.  What is known of the
+    nodes is stored in parts by squares of the map, and a round reads and
+    rewrites only the parts that its nodes lie in or have edges to.
     """
+    spark = edges.sparkSession
     closed = F.col("status").isin("BLOCKED", "POTENTIALLY_BLOCKED", "UNKNOWN_COVERAGE") & (F.coalesce("parent_road_id", F.lit("")) != "")
     cost = F.struct("time_s", "length_m", F.when(closed, F.col("parent_road_id")).alias("road"))
     # Of parallel edges the quickest counts.
-    best = checkpointed(edges.groupBy("request_id", "src", "dst").agg(F.min(cost).alias("c")))
-    state = F.struct(F.lit(0.0).alias("t"), "source_id", F.col("node").alias("pred"), F.lit(0.0).alias("m"), F.array().cast("array<string>").alias("roads"))
-    reached = checkpointed(sources.groupBy("request_id", "node").agg(F.min("source_id").alias("source_id")).select("request_id", "node", state.alias("s"), F.lit(True).alias("new")))
+    best = edges.groupBy("request_id", "src", "dst").agg(F.min(cost).alias("c"))
+    every = list(range(PARTS))
+    stored = PartTable(spark, best.schema, PARTS).rewrite(best.withColumn("part", _part("dst")), every)
+    # Parts next to each other, as many as there are pairs of parts at most.
+    beside: dict[int, set[int]] = {}
+    for r in stored.select("part", _part("src").alias("to")).distinct().collect():
+        beside.setdefault(r.part, set()).add(r.to)
+    mean = stored.agg(F.avg("c.time_s"), F.max("c.time_s")).first()
+    width = width_s or 4 * (mean[0] or 1.0)
+    heavy_edges = (mean[1] or 0.0) > width
+    begin = F.struct(F.lit(0.0).alias("t"), "source_id", F.col("node").alias("pred"), F.lit(0.0).alias("m"), F.array().cast("array<string>").alias("roads"))
+    first = sources.groupBy("request_id", "node").agg(F.min("source_id").alias("source_id")).select("request_id", "node", begin.alias("s"), F.lit(True).alias("light"), F.lit(heavy_edges).alias("heavy"))
+    known = PartTable(spark, first.schema, PARTS)
     rank = lambda c: F.struct(F.round(f"{c}.t", 6), f"{c}.source_id", f"{c}.pred")
+    bucket = F.floor(F.col("s.t") / width)
+    waiting: dict[int, dict[str, int | None]] = {}
+
+    def write(rows: DataFrame, parts: list[int]) -> None:
+        """Rewrite some parts, and note their nearest buckets with changed nodes."""
+        due = lambda kind: F.min(F.when(F.col(kind), bucket)).alias(kind)
+        found = known.rewrite(rows, parts).groupBy("part").agg(due("light"), due("heavy")).collect()
+        for p in parts:
+            waiting.pop(p, None)
+        waiting.update({r.part: {"light": r.light, "heavy": r.heavy} for r in found})
+        known.keep([r.part for r in found], parts)
+
+    write(first.withColumn("part", _part("node")), every)
     for _ in range(max_rounds):
-        step = reached.where("new").join(best.withColumnRenamed("dst", "node"), ["request_id", "node"])
-        roads = F.when(F.col("c.road").isNull(), F.col("s.roads")).otherwise(F.array_union("s.roads", F.array("c.road")))
-        moved = F.struct((F.col("s.t") + F.col("c.time_s")).alias("t"), F.col("s.source_id"), F.col("node").alias("pred"), (F.col("s.m") + F.col("c.length_m")).alias("m"), F.array_sort(roads).alias("roads"))
+        near = {kind: min((w[kind] for w in waiting.values() if w[kind] is not None), default=None) for kind in ("light", "heavy")}
+        if near["light"] is None and near["heavy"] is None:
+            return known.read().select("request_id", "node", F.col("s.t").alias("time_s"), F.col("s.source_id").alias("source_id"), F.col("s.m").alias("length_m"), F.col("s.roads").alias("blockers"))
+        kind = "light" if near["heavy"] is None or near["light"] is not None and near["light"] <= near["heavy"] else "heavy"
+        at = [p for p, w in waiting.items() if w[kind] == near[kind]]
+        moving = F.col(kind) & (bucket == near[kind])
+        own = F.col("c.time_s") <= width if kind == "light" else F.col("c.time_s") > width
+        step = known.read(at).where(moving).join(stored.where(own & F.col("part").isin(at)).select("request_id", "src", F.col("dst").alias("node"), "c"), ["request_id", "node"])
+        shut = F.when(F.col("c.road").isNull(), F.col("s.roads")).otherwise(F.array_union("s.roads", F.array("c.road")))
+        moved = F.struct((F.col("s.t") + F.col("c.time_s")).alias("t"), F.col("s.source_id"), F.col("node").alias("pred"), (F.col("s.m") + F.col("c.length_m")).alias("m"), F.array_sort(shut).alias("roads"))
         offers = step.select("request_id", F.col("src").alias("node"), moved.alias("s")).groupBy("request_id", "node").agg(F.min_by("s", rank("s")).alias("offer"))
-        both = reached.select("request_id", "node", "s").join(offers, ["request_id", "node"], "full")
+        touched = sorted({*at, *(q for p in at for q in beside.get(p, ()))})
+        both = known.read(touched).drop("part").withColumn(kind, F.col(kind) & ~moving).join(offers, ["request_id", "node"], "full")
         # A route through the same next node that has changed further on takes the place of the old one.
         again = (rank("offer") == rank("s")) & ((F.round("offer.m", 3) != F.round("s.m", 3)) | (F.col("offer.roads") != F.col("s.roads")))
         better = F.col("offer").isNotNull() & (F.col("s").isNull() | (rank("offer") < rank("s")) | again)
-        reached = both.select("request_id", "node", F.when(better, F.col("offer")).otherwise(F.col("s")).alias("s"), better.alias("new"))
-        reached = checkpointed(reached)
-        if reached.where("new").isEmpty():
-            return reached.select("request_id", "node", F.col("s.t").alias("time_s"), F.col("s.source_id").alias("source_id"), F.col("s.m").alias("length_m"), F.col("s.roads").alias("blockers"))
+        flag = lambda c, on: F.when(better, F.lit(on)).otherwise(F.col(c)).alias(c)
+        write(both.select("request_id", "node", F.when(better, F.col("offer")).otherwise(F.col("s")).alias("s"), flag("light", True), flag("heavy", heavy_edges), _part("node").alias("part")), touched)
     raise RuntimeError(f"the search did not end in {max_rounds} rounds")
 
 
