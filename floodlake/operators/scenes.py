@@ -115,6 +115,49 @@ def scene_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT
     return _paired(_sides(scenes, requests, days), policy, [])
 
 
+def _usable(sides: DataFrame, policy: Policy) -> DataFrame:
+    """Scenes that can be in a valid pair: covering enough, with nothing missing that must match."""
+    usable = F.coalesce(F.col("aoi_coverage_fraction") >= policy.minimum_aoi_coverage, F.lit(True))
+    for name in MATCHED:
+        if name != "polarizations":
+            usable = usable & F.col(name).isNotNull()
+    return sides.where(usable)
+
+
+def valid_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT, days: int | None = None) -> DataFrame:
+    """The pairs of ``scene_pairs`` without a reason against them; only scenes that match are joined."""
+    return _paired(_usable(_sides(scenes, requests, days), policy), policy, MATCHED)
+
+
+def near_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT, days: int | None = None, most: int = 20) -> DataFrame:
+    """Pairs of ``scene_pairs``, among them of each request the first ``most`` and one more by number of reasons, days and ids.
+
+    A threshold join.  Scenes that agree in all that reasons depend on are of
+    one kind, so a pair's reasons follow from its kinds, and counting kinds
+    tells how many reasons the last pair wanted has.  Of a pair of kinds only
+    those scenes can be wanted that are among the first so many of their kind
+    and side: any other has as many nearer ones to take its place.  So a
+    request's scenes are never all paired.
+    """
+    low = F.coalesce(F.col("aoi_coverage_fraction") < policy.minimum_aoi_coverage, F.lit(False)).alias("low")
+    sides = _sides(scenes, requests, days).withColumn("kind", F.to_json(F.struct(*MATCHED, low))).withColumn("before", F.col("day") < F.col("event_date"))
+    stand_in = F.when(low, F.lit(policy.minimum_aoi_coverage - 1))
+    kinds = sides.groupBy("request_id", "before", "kind").agg(F.count("*").alias("n"), F.first(F.struct(*MATCHED, stand_in.alias("aoi_coverage_fraction"))).alias("like"))
+    side = lambda name, before: kinds.where("before" if before else "NOT before").select("request_id", F.col("kind").alias(f"{name}_kind"), F.col("n").alias(f"{name}_n"), F.col("like").alias(name))
+    met = side("pre", True).join(side("post", False), "request_id").withColumn("reasons", _reasons(policy))
+    met = met.select("request_id", "pre_kind", "post_kind", "reasons", F.size("reasons").alias("against"), (F.col("pre_n") * F.col("post_n")).alias("pairs"))
+    fewer = Window.partitionBy("request_id").orderBy("against").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = met.groupBy("request_id", "against").agg(F.sum("pairs").alias("pairs")).withColumn("fewer", F.coalesce(F.sum("pairs").over(fewer), F.lit(0))).where(F.col("fewer") <= most)
+    met = met.join(wanted.select("request_id", "against"), ["request_id", "against"]).select("request_id", "pre_kind", "post_kind", "reasons")
+    first = Window.partitionBy("request_id", "before", "kind").orderBy("gap", "scene_id")
+    near = sides.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most + 1).drop("_n")
+    fields = F.struct(*[c for c in sides.columns if c not in ("request_id", "event_date", "gap", "kind", "before")])
+    pre = near.where("before").select("request_id", "event_date", F.col("kind").alias("pre_kind"), fields.alias("pre"))
+    post = near.where("NOT before").select("request_id", F.col("kind").alias("post_kind"), fields.alias("post"))
+    gaps = [F.datediff("event_date", "pre.day").alias("pre_days"), F.datediff("post.day", "event_date").alias("post_days")]
+    return met.join(pre, ["request_id", "pre_kind"]).join(post, ["request_id", "post_kind"]).select("request_id", "event_date", "pre", "post", "reasons", *gaps)
+
+
 def first_window_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """The valid pairs of the first window of the ladder that has one, with ``window_days``.
 
@@ -123,12 +166,7 @@ def first_window_pairs(scenes: DataFrame, requests: DataFrame, policy: Policy =
     aggregation finds each request's window, and only scenes inside it that
     match are joined.
     """
-    sides = _sides(scenes, requests, policy.max_window_days)
-    usable = F.coalesce(F.col("aoi_coverage_fraction") >= policy.minimum_aoi_coverage, F.lit(True))
-    for name in MATCHED:
-        if name != "polarizations":
-            usable = usable & F.col(name).isNotNull()
-    sides = sides.where(usable)
+    sides = _usable(_sides(scenes, requests, policy.max_window_days), policy)
     least = [F.min(F.when(side, F.col("gap"))) for side in (F.col("day") < F.col("event_date"), F.col("day") > F.col("event_date"))]
     # A group without scenes on one side has no pair; greatest would pass over its null.
     gap = F.when(least[0].isNotNull() & least[1].isNotNull(), F.greatest(*least))
@@ -172,7 +210,10 @@ def best_pair(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def pair_alternatives(pairs: DataFrame, best: DataFrame, most: int = 20) -> DataFrame:
-    """Up to ``most`` other pairs per request: fewest reasons, then nearest in days, then ids."""
+    """Up to ``most`` other pairs per request: fewest reasons, then nearest in days, then ids.
+
+    ``pairs`` may be all of them or just ``near_pairs``.
+    """
     won = best.select("request_id", F.col("pre.scene_id").alias("_a"), F.col("post.scene_id").alias("_b"))
     rest = pairs.join(won, (pairs["request_id"] == won["request_id"]) & (pairs["pre.scene_id"] == won["_a"]) & (pairs["post.scene_id"] == won["_b"]), "left_anti")
     order = Window.partitionBy("request_id").orderBy(F.size("reasons"), F.col("pre_days") + F.col("post_days"), "pre.scene_id", "post.scene_id")

@@ -79,8 +79,9 @@ def best_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir, 12)
-    alternatives = op.pair_alternatives(scored, op.best_pair(scored))
+    tables = load(spark, sf_dir, "scenes"), load(spark, sf_dir, "requests")
+    best = op.best_pair(op.score_pairs(op.valid_pairs(*tables, days=12), F.lit(12)))
+    alternatives = op.pair_alternatives(op.near_pairs(*tables, days=12), best)
     return alternatives.select("request_id", "rank", F.col("pre.scene_id").alias("pre_id"), F.col("post.scene_id").alias("post_id"), F.array_join("reasons", ",").alias("reasons"))
 
 

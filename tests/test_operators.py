@@ -373,3 +373,20 @@ def test_degrees_come_back_from_metres(spark):
     lon, lat = geo.lon_lat(F.col("east"), F.col("north"), F.col("epsg"))
     for r in places.withColumns({"east": east, "north": north}).select("lon", "lat", lon.alias("a"), lat.alias("b")).collect():
         assert r.a == pytest.approx(r.lon, abs=1e-8) and r.b == pytest.approx(r.lat, abs=1e-8)
+
+
+def test_near_pairs_hold_the_first_of_all_pairs(spark):
+    """Many scenes of few kinds, equal gaps among them: the first pairs are those of all, from far fewer."""
+    rng = random.Random(4)
+    rows = [(k % 3, f"s{k:03d}", f"2020-01-{rng.randrange(1, 29):02d} 06:00:00", rng.choice(["p", "q"]), rng.choice(["GRD", None]), "IW", rng.choice([["VV"], None]), rng.choice(["A", "D"]), rng.choice([1, 2]), rng.choice([0.1, 0.9, 1.0, None]), 0.0, 0.0, 1.0, 1.0) for k in range(240)]
+    found = spark.createDataFrame(rows, "request_id int, scene_id string, at string, platform string, product_type string, instrument_mode string, polarizations array<string>, orbit_direction string, relative_orbit int, aoi_coverage_fraction double, xmin double, ymin double, xmax double, ymax double")
+    found = found.withColumn("acquired_at", F.col("at").cast("timestamp_ntz")).drop("at")
+    requests = spark.createDataFrame([(i, "2020-01-15") for i in range(4)], "request_id int, day string").select("request_id", F.col("day").cast("date").alias("event_date"))
+    every, near = scenes.scene_pairs(found, requests), scenes.near_pairs(found, requests, most=5).cache()
+    for pairs in (every, every.where("FALSE")):
+        best = scenes.best_pair(scenes.score_pairs(pairs, F.lit(30)))
+        got, want = ([(r.request_id, r["rank"], r.pre.scene_id, r.post.scene_id, tuple(r.reasons)) for r in scenes.pair_alternatives(p, best, 5).orderBy("request_id", "rank").collect()] for p in (near, every))
+        assert got == want and len(got) == 15
+    assert near.count() < every.count() / 3
+    key = lambda df: sorted((r.request_id, r.pre.scene_id, r.post.scene_id) for r in df.collect())
+    assert key(scenes.valid_pairs(found, requests)) == key(every.where("size(reasons) = 0"))
