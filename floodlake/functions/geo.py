@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,6 +15,8 @@ E1 = E2**0.5
 B = A * (1 - FLATTENING)
 # UTM.
 SCALE, FALSE_EASTING, FALSE_NORTHING = 0.9996, 500000.0, 10000000.0
+# True parallel and middle longitude of the polar stereographic codes.
+POLAR = {3413: (70.0, -45.0), 3031: (-71.0, 0.0)}
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -91,6 +94,54 @@ def lon_lat(east: Column, north: Column, epsg: Column) -> tuple[Column, Column]:
     return F.when(zoned, middle + F.degrees(F.atan2(F.sinh(wide), F.cos(steep)))), F.when(zoned, F.degrees(lat))
 
 
+def _colatitude(sine: float | Column) -> float | Column:
+    """tan(45 degrees - half the conformal latitude) of a latitude towards the pole, from its sine."""
+    power = lambda x, y: F.pow(x, F.lit(y)) if isinstance(x, Column) else x**y
+    return power((1 - sine) / (1 + sine), 0.5) * power((1 + E1 * sine) / (1 - E1 * sine), E1 / 2)
+
+
+def _caps(epsg: Column) -> list[tuple[Column, float, float, float]]:
+    """Per polar code: whether it is meant, its sign, middle longitude, and metres from the pole per ``_colatitude``."""
+    out = []
+    for code, (parallel, middle) in POLAR.items():
+        sine = math.sin(math.radians(parallel))
+        out.append((epsg == code, 1.0 if parallel > 0 else -1.0, middle, A * math.cos(math.radians(parallel)) / math.sqrt(1 - E2 * sine * sine) / _colatitude(abs(sine))))
+    return out
+
+
+def polar(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    """Easting and northing of the polar stereographic codes; null for other codes."""
+    east, north = F.lit(None).cast("double"), F.lit(None).cast("double")
+    for meant, sign, middle, scale in _caps(epsg):
+        away, turn = scale * _colatitude(sign * F.sin(F.radians(lat))), F.radians(lon - middle)
+        east, north = F.when(meant, away * F.sin(turn)).otherwise(east), F.when(meant, -sign * away * F.cos(turn)).otherwise(north)
+    return east, north
+
+
+def polar_lon_lat(east: Column, north: Column, epsg: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of polar stereographic coordinates, the reverse of ``polar``; null for other codes."""
+    lon, lat = F.lit(None).cast("double"), F.lit(None).cast("double")
+    # From the conformal latitude by the series in the eccentricity.
+    series = (E2 / 2 + 5 * E2**2 / 24 + E2**3 / 12 + 13 * E2**4 / 360, 7 * E2**2 / 48 + 29 * E2**3 / 240 + 811 * E2**4 / 11520, 7 * E2**3 / 120 + 81 * E2**4 / 1120, 4279 * E2**4 / 161280)
+    for meant, sign, middle, scale in _caps(epsg):
+        chi = math.pi / 2 - 2 * F.atan(F.hypot(east, north) / scale)
+        steep = reduce(lambda s_, k: s_ + series[k - 1] * F.sin(2 * k * chi), range(1, 5), chi)  # noqa: B023
+        turned = F.degrees(F.atan2(east, -sign * north)) + middle
+        lon = F.when(meant, F.when(turned < -180, turned + 360).when(turned > 180, turned - 360).otherwise(turned)).otherwise(lon)
+        lat = F.when(meant, sign * F.degrees(steep)).otherwise(lat)
+    return lon, lat
+
+
+def metric(lon: Column, lat: Column, epsg: Column) -> tuple[Column, Column]:
+    """Easting and northing by the code that ``utm_epsg`` gives, zones and polar caps alike."""
+    return tuple(F.coalesce(a, b) for a, b in zip(utm(lon, lat, epsg), polar(lon, lat, epsg), strict=True))
+
+
+def degrees(east: Column, north: Column, epsg: Column) -> tuple[Column, Column]:
+    """The reverse of ``metric``."""
+    return tuple(F.coalesce(a, b) for a, b in zip(lon_lat(east, north, epsg), polar_lon_lat(east, north, epsg), strict=True))
+
+
 def speed_kmh(text: Column, default: Column) -> Column:
     """A posted speed: the first part before ";", digits and dots only, miles converted; else the default."""
     first = F.lower(F.trim(F.split(text, ";")[0]))

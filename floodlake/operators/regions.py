@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.geo import lon_lat
+from ..functions.geo import degrees as metres_to_degrees
 from ..policy import DEFAULT, Policy
 from .pixels import CELL, decibel_change
 
@@ -191,7 +191,7 @@ def outlines(rings: DataFrame, grids: DataFrame) -> DataFrame:
     north = lambda p: F.col("y0") - p["y"] * F.col("size")
 
     def degrees(p: Column) -> Column:
-        lon, lat = lon_lat(east(p), north(p), F.col("epsg"))
+        lon, lat = metres_to_degrees(east(p), north(p), F.col("epsg"))
         return F.struct(lon.alias("lon"), lat.alias("lat"))
 
     return rings.join(grids, "grid_id").select(*rings.columns, F.transform("points", degrees).alias("outline"))

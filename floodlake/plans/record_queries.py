@@ -128,7 +128,7 @@ def utm_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def project_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = spark.sql(_AOIS, customer=load(spark, sf_dir, "customer")).where("x BETWEEN -180 AND 180")
-    east, north = geo.utm(F.col("x"), F.col("y"), geo.utm_epsg(F.col("x"), F.col("y")))
+    east, north = geo.metric(F.col("x"), F.col("y"), geo.utm_epsg(F.col("x"), F.col("y")))
     return a.select("request_id", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
 
 
@@ -274,10 +274,13 @@ def _utm_sql() -> str:
     north = " + ".join(f"{a} * sin({2 * k} * xi) * cosh({2 * k} * eta)" for k, a in terms.items())
     return f""", z AS (SELECT request_id, x, y, radians(x - (greatest(1, least(60, CAST(floor((x + 180) / 6) AS INT) + 1)) * 6 - 183)) AS d, sin(radians(y)) AS s, 2 * sqrt({n}) / (1 + {n}) AS c FROM a WHERE x BETWEEN -180 AND 180),
         t AS (SELECT *, sinh(atanh(s) - c * atanh(c * s)) AS t FROM z), u AS (SELECT *, atan2(t, cos(d)) AS xi, atanh(sin(d) / sqrt(1 + t * t)) AS eta FROM t),
-        k AS (SELECT request_id, y, 6378137 / (1 + {n}) * (1 + {n}**2 / 4 + {n}**4 / 64) AS r, eta + {east} AS e, xi + {north} AS n FROM u)"""
+        k AS (SELECT request_id, x, y, 6378137 / (1 + {n}) * (1 + {n}**2 / 4 + {n}**4 / 64) AS r, eta + {east} AS e, xi + {north} AS n FROM u)"""
 
 
 _UTM = _utm_sql()
+# Distance from the south pole on the plane that is true at 71 degrees.
+_TURN = lambda lat: f"(tan(pi() / 4 - radians({lat}) / 2) * power((1 + {_E}::DOUBLE * sin(radians({lat}))) / (1 - {_E}::DOUBLE * sin(radians({lat}))), {_E}::DOUBLE / 2))"
+_CAP = f"(6378137 * cos(radians(71)) / sqrt(1 - {_E2}::DOUBLE * power(sin(radians(71)), 2)) * {_TURN('-y')} / {_TURN('71')})"
 _RECT = f"(radians(w) * ({_q('y + w')} - {_q('y')}) / 1e6)"
 _A = f"WITH a AS ({_AOIS.format(customer='customer')})"
 _FOUND = "WITH found AS (SELECT page_id, 'job/' || page_id || '/' || CASE page_id % 5 WHEN 0 THEN 'a.geojson' WHEN 1 THEN 'b.json' WHEN 2 THEN 'c.HTML' WHEN 3 THEN 'd.tif' ELSE 'e.bin' END AS path, sha256(html) AS sha256, octet_length(encode(html)) AS size_bytes, CASE page_id % 5 WHEN 0 THEN 'application/geo+json' WHEN 1 THEN 'application/json' WHEN 2 THEN 'text/html' WHEN 3 THEN 'image/tiff' ELSE 'application/octet-stream' END AS media_type FROM pages)"
@@ -314,7 +317,7 @@ ORACLES = {
         WHEN request_id % 13 = 0 OR {_RECT} NOT BETWEEN 0.1 AND 5000 THEN 'AREA_OUT_OF_LIMITS' WHEN event_date > DATE '2020-02-05' THEN 'EVENT_IN_FUTURE' END AS reject_code FROM a) SELECT request_id, reject_code, CASE WHEN reject_code IS NULL THEN round({_RECT}, 4) END AS area_km2 FROM j""",
     "geodesic_area": _A + f" SELECT request_id, CASE WHEN w > 0 THEN round({_RECT}, 4) ELSE 0 END AS area_km2 FROM a",
     "utm_zone": _A + " SELECT request_id, CAST(CASE WHEN y * 1.2::DOUBLE >= 84 THEN 3413 WHEN y * 1.2::DOUBLE <= -80 THEN 3031 ELSE CASE WHEN y >= 0 THEN 32600 ELSE 32700 END + greatest(1, least(60, CAST(floor((x + 180) / 6) AS INT) + 1)) END AS INT) AS epsg FROM a",
-    "project_utm": _A + _UTM + " SELECT request_id, CASE WHEN y > -80 THEN round(500000 + 0.9996 * r * e, 3) END AS east, CASE WHEN y > -80 THEN round(CASE WHEN y >= 0 THEN 0 ELSE 10000000 END + 0.9996 * r * n, 3) END AS north FROM k",
+    "project_utm": _A + _UTM + " SELECT request_id, round(CASE WHEN y > -80 THEN 500000 + 0.9996 * r * e ELSE " + _CAP + " * sin(radians(x)) END, 3) AS east, round(CASE WHEN y > -80 THEN CASE WHEN y >= 0 THEN 0 ELSE 10000000 END + 0.9996 * r * n ELSE " + _CAP + " * cos(radians(x)) END, 3) AS north FROM k",
     "clip_to_aoi": with_tables("buildings", "scene_boxes") + """, w AS (SELECT request_id, round(xmin * 200) - 50 AS x0, round(ymin * 200) - 50 AS y0, round(xmax * 200) + 50 AS x1, round(ymax * 200) + 50 AS y1 FROM scene_boxes),
         c AS (SELECT request_id, feature_id, greatest(xmin, x0) AS xmin, greatest(ymin, y0) AS ymin, least(xmax, x1) AS xmax, least(ymax, y1) AS ymax, xmin < x0 OR ymin < y0 OR xmax > x1 OR ymax > y1 AS clipped
         FROM buildings JOIN w ON request_id = CAST(feature_id AS BIGINT) % 25) SELECT * FROM c WHERE xmin <= xmax AND ymin <= ymax""",

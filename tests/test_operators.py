@@ -390,3 +390,21 @@ def test_near_pairs_hold_the_first_of_all_pairs(spark):
     assert near.count() < every.count() / 3
     key = lambda df: sorted((r.request_id, r.pre.scene_id, r.post.scene_id) for r in df.collect())
     assert key(scenes.valid_pairs(found, requests)) == key(every.where("size(reasons) = 0"))
+
+
+def test_polar_codes_forth_and_back(spark):
+    """The worked example of the projection's standard, true length on the true parallel, and the way back."""
+    rng = random.Random(11)
+    places = [(50.0, -75.0, 3031), (45.0, 70.0, 3413), *((rng.uniform(-180, 180), rng.choice([-1, 1]) * rng.uniform(60, 89.99), 0) for _ in range(100))]
+    rows = spark.createDataFrame([(lon, lat, epsg or (3413 if lat > 0 else 3031)) for lon, lat, epsg in places], "lon double, lat double, epsg int")
+    east, north = geo.metric(F.col("lon"), F.col("lat"), F.col("epsg"))
+    lon, lat = geo.degrees(F.col("east"), F.col("north"), F.col("epsg"))
+    got = rows.withColumns({"east": east, "north": north}).select("*", lon.alias("a"), lat.alias("b")).collect()
+    by = {(r.lon, r.lat): r for r in got}
+    south, true = by[50.0, -75.0], by[45.0, 70.0]
+    assert south.east == pytest.approx(1255380.79, abs=0.01) and south.north == pytest.approx(1053389.56, abs=0.01)
+    sine = math.sin(math.radians(70))
+    assert true.east == pytest.approx(geo.A * math.cos(math.radians(70)) / math.sqrt(1 - geo.E2 * sine * sine), abs=1e-3) and true.north == pytest.approx(0, abs=1e-6)
+    for r in got:
+        assert r.a == pytest.approx(r.lon, abs=1e-7) and r.b == pytest.approx(r.lat, abs=1e-9)
+    assert rows.select(geo.polar(F.col("lon"), F.col("lat"), F.lit(32633))[0].alias("e")).where("e IS NOT NULL").count() == 0
