@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pixels import CELL, resample
+
 # Files that are no artifacts, and media types by ending.
 EXCLUDED = ["job.json", "job.json.part", "request.json", "run_manifest.json"]
 MEDIA = {"geojson": "application/geo+json", "json": "application/json", "html": "text/html", "tif": "image/tiff", "tiff": "image/tiff"}
@@ -80,6 +82,20 @@ def mask_evaluation(cells: DataFrame, pixel_km2: float) -> DataFrame:
     })
 
 
+def compare_rasters(predicted: DataFrame, reference: DataFrame, size: float, reference_size: float, shift: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """``mask_evaluation`` of ``predicted(grid_id, y, x, value)`` against a reference raster of its own cells, both in metres.
+
+    The reference takes the value at each predicted cell's centre (nearest), and
+    counts as water where it is above 0; ``shift`` is how far the prediction's
+    corner lies from the reference's, along y and x.  Cells unknown on either
+    side are left out.
+    """
+    at = lambda c, d: ((F.col(c) + 0.5) * size + d) / reference_size - 0.5
+    found = resample(reference.select(*CELL, "value"), predicted.select(*CELL, at("y", shift[0]).alias("sy"), at("x", shift[1]).alias("sx")), "value", categorical=True)
+    cells = predicted.select(*CELL, F.col("value").alias("predicted")).join(found.select(*CELL, F.col("value").alias("reference")), CELL)
+    return mask_evaluation(cells, size * size / 1e6)
+
+
 def job_status_rollup(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("status").agg(F.count("*").alias("jobs"), F.count_if(F.col("status").isin("QUEUED", "RUNNING")).alias("pending"))
 

@@ -177,6 +177,17 @@ def mask_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 9).alias(c) if k == "double" else c for c, k in out.dtypes])
 
 
+#: A reference raster of cells twice as wide, whose corner lies 5 m further up and 15 m to the left.
+_SURVEYED = "SELECT grid_id, CAST(floor(y / 2) AS INT) AS y, CAST(floor(x / 2) AS INT) AS x, CASE WHEN (s + n) % 31 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(s % 3 AS DOUBLE) END AS value FROM cells WHERE y % 2 = 0 AND x % 2 = 0"
+
+
+def raster_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    predicted = load(spark, sf_dir, "flood").select("grid_id", "y", "x", F.expr("CASE WHEN (y * 96 + x) % 37 <> 0 THEN mask END").alias("value"))
+    reference = spark.sql(_SURVEYED.replace("FROM cells", "FROM {cells}"), cells=load(spark, sf_dir, "cells"))
+    out = rc.compare_rasters(predicted, reference, 10, 20, (5.0, 15.0))
+    return out.select(*[F.round(c, 9).alias(c) if k == "double" else c for c, k in out.dtypes])
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = load(spark, sf_dir, "stage_log")
     return log.groupBy("job_id").agg(F.max_by("status", "seq").alias("status"))
@@ -303,7 +314,7 @@ _EXTRACT = with_tables("buildings", "roads", "places") + ", d AS (" + _DRAWN.for
 
 QUERIES = {f.__name__: f for f in (
     feature_category, feature_normalize, feature_quality, feature_normalize_wkb, feature_extract, extract_quality, snapshot_asof, aoi_validate, geodesic_area, utm_zone, project_utm, clip_to_aoi, artifact_inventory, layer_catalog, manifest_reconcile,
-    run_manifest, redact_text, mask_evaluation, job_status_rollup, mark_interrupted, stage_durations, pending_requests, report_metrics, analysis_document, feature_layer_roundtrip, scene_intake_stream, job_state_stream,
+    run_manifest, redact_text, mask_evaluation, raster_evaluation, job_status_rollup, mark_interrupted, stage_durations, pending_requests, report_metrics, analysis_document, feature_layer_roundtrip, scene_intake_stream, job_state_stream,
 )}
 ORACLES = {
     "feature_category": _FEATS + " SELECT feature_id, category FROM f",
@@ -332,6 +343,9 @@ ORACLES = {
     "redact_text": r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)(password|passwd|token|secret|authorization|api[_-]?key)(\s*[=:]\s*)([^\s,;&]+)', '\1\2[REDACTED]', 'g'), '(?i)\bBearer\s+[^\s,;&]+', 'Bearer [REDACTED]', 'g')) AS redacted_md5 FROM documents",
     "mask_evaluation": """WITH c AS (SELECT count(*) FILTER (quality > 0 AND toxic > 0) AS tp, count(*) FILTER (quality > 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 0 AND toxic > 0) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels)
         SELECT *, round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round(tp / (tp + fp + fn), 9) AS iou, round((tp + fp) * 0.0001::DOUBLE, 9) AS predicted_km2, round((tp + fn) * 0.0001::DOUBLE, 9) AS reference_km2 FROM c""",
+    "raster_evaluation": with_tables("flood") + f""", surveyed AS ({_SURVEYED}), met AS (SELECT mask AS p, value AS r FROM flood f JOIN surveyed s ON s.grid_id = f.grid_id AND s.y = (f.y * 10 + 10) // 20 AND s.x = (f.x * 10 + 20) // 20 WHERE (f.y * 96 + f.x) % 37 <> 0 AND mask IS NOT NULL AND value IS NOT NULL),
+        c AS (SELECT count(*) FILTER (p > 0 AND r > 0) AS tp, count(*) FILTER (p > 0 AND r = 0) AS fp, count(*) FILTER (p = 0 AND r > 0) AS fn, count(*) FILTER (p = 0 AND r = 0) AS tn FROM met)
+        SELECT *, round(tp / (tp + fp), 9) AS "precision", round(tp / (tp + fn), 9) AS recall, round(2 * tp / (2 * tp + fp + fn), 9) AS f1, round(tp / (tp + fp + fn), 9) AS iou, round((tp + fp) * 0.0001::DOUBLE, 9) AS predicted_km2, round((tp + fn) * 0.0001::DOUBLE, 9) AS reference_km2 FROM c""",
     "job_status_rollup": _JOBS + " SELECT status, count(*) AS jobs, count(*) FILTER (status IN ('QUEUED', 'RUNNING')) AS pending FROM jobs GROUP BY status",
     "mark_interrupted": _JOBS + " SELECT job_id, CASE WHEN status IN ('QUEUED', 'RUNNING') THEN 'FAILED' ELSE status END AS status, CASE WHEN status IN ('QUEUED', 'RUNNING') THEN coalesce(running, latest) END AS error_stage FROM jobs",
     "stage_durations": with_tables("stage_log") + " SELECT job_id, seq, CAST(floor(date_diff('microsecond', started_at, lead(started_at) OVER w) / 1000) AS BIGINT) AS duration_ms, CAST(least(99, ((row_number() OVER w - 1) * 100 + percent) // 9) AS INT) AS progress FROM stage_log WINDOW w AS (PARTITION BY job_id ORDER BY started_at, seq)",

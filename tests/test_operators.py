@@ -408,3 +408,14 @@ def test_polar_codes_forth_and_back(spark):
     for r in got:
         assert r.a == pytest.approx(r.lon, abs=1e-7) and r.b == pytest.approx(r.lat, abs=1e-9)
     assert rows.select(geo.polar(F.col("lon"), F.col("lat"), F.lit(32633))[0].alias("e")).where("e IS NOT NULL").count() == 0
+
+
+def test_rasters_of_other_cells_are_compared(spark):
+    """A 4 x 4 prediction of 10 m cells on a 2 x 2 reference of 20 m; unknown cells of either side are left out."""
+    grid = "grid_id int, y int, x int, value double"
+    predicted = spark.createDataFrame([(1, y, x, None if (y, x) == (0, 3) else float(y < 2)) for y in range(4) for x in range(4)], grid)
+    reference = spark.createDataFrame([(1, 0, 0, 2.0), (1, 0, 1, 0.0), (1, 1, 0, 0.5), (1, 1, 1, None), (2, 0, 0, 1.0)], grid)
+    row = records.compare_rasters(predicted, reference, 10, 20).first()
+    assert (row.tp, row.fp, row.fn, row.tn) == (4, 3, 4, 0) and row.predicted_km2 == pytest.approx(0.0007)
+    moved = records.compare_rasters(predicted, reference, 10, 20, (0.0, -20.0)).first()
+    assert (moved.tp, moved.fp, moved.fn, moved.tn) == (3, 0, 4, 0)
