@@ -8,7 +8,7 @@ node, and ends when nothing improved.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import speed_kmh
@@ -132,7 +132,7 @@ def split_edges(edges: DataFrame, snapped: DataFrame) -> DataFrame:
 
 
 #: Side of the squares of nodes that are stored together, in metres, and the number of parts that squares are dealt to.
-SQUARE_M, PARTS = 1000, 64
+SQUARE_M, PARTS = 5000, 64
 
 
 def _part(n: str) -> Column:
@@ -176,14 +176,20 @@ def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_0
     bucket = F.floor(F.col("s.t") / width)
     waiting: dict[int, dict[str, int | None]] = {}
 
+    kinds = ["light", "heavy"] if heavy_edges else ["light"]
+
     def write(rows: DataFrame, parts: list[int]) -> None:
-        """Rewrite some parts, and note their nearest buckets with changed nodes."""
-        due = lambda kind: F.min(F.when(F.col(kind), bucket)).alias(kind)
-        found = known.rewrite(rows, parts).groupBy("part").agg(due("light"), due("heavy")).collect()
+        """Rewrite some parts, and note on the way which have rows, and their nearest buckets with changed nodes."""
+        noted = Observation()
+        mine = lambda p: F.col("part") == p
+        due = [F.min(F.when(mine(p) & F.col(kind), bucket)).alias(f"{kind}{p}") for p in parts for kind in kinds]
+        known.rewrite(rows.observe(noted, *due, *[F.bool_or(mine(p)).alias(f"some{p}") for p in parts]), parts)
+        found = noted.get
         for p in parts:
             waiting.pop(p, None)
-        waiting.update({r.part: {"light": r.light, "heavy": r.heavy} for r in found})
-        known.keep([r.part for r in found], parts)
+            if found[f"some{p}"]:
+                waiting[p] = {kind: found.get(f"{kind}{p}") for kind in ("light", "heavy")}
+        known.keep([p for p in parts if found[f"some{p}"]], parts)
 
     write(first.withColumn("part", _part("node")), every)
     for _ in range(max_rounds):
