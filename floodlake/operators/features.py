@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import ring_km2
 from ..policy import DEFAULT, Policy
+from . import validity
 
 # Tag values that make a settlement or a place of healthcare.
 SETTLEMENTS = ["city", "town", "village", "hamlet", "isolated_dwelling", "suburb", "neighbourhood"]
@@ -59,29 +59,43 @@ def snapshot_asof(versions: DataFrame, events: DataFrame) -> DataFrame:
 def validate_aois(requests: DataFrame, today: Column | None = None, policy: Policy = DEFAULT) -> DataFrame:
     """``requests(request_id, kind, xs, ys, event_date)`` with reject_code (null if fine), area and box; the first broken rule counts.
 
-    ``xs`` and ``ys`` are the open ring in degrees.
+    ``xs`` and ``ys`` are the open ring in degrees, equally long.
     """
-    n = F.size("xs")
-    ring = F.col("xs").isNotNull() & (n >= 3) & (n == F.size("ys"))
-    turn = lambda a, b, c: (F.get("xs", b) - F.get("xs", a)) * (F.get("ys", c) - F.get("ys", a)) - (F.get("ys", b) - F.get("ys", a)) * (F.get("xs", c) - F.get("xs", a))
-    places = F.sequence(F.lit(0), n - 1)
-
-    def crosses(i: Column, j: Column) -> Column:
-        p, q = (i + 1) % n, (j + 1) % n
-        apart = (j != i) & (j != p) & (q != i)
-        return apart & (turn(i, p, j) * turn(i, p, q) < 0) & (turn(j, q, i) * turn(j, q, p) < 0)
-
-    knotted = F.exists(places, lambda i: F.exists(places, lambda j: (j > i) & crosses(i, j)))
-    box = {"xmin": F.array_min("xs"), "ymin": F.array_min("ys"), "xmax": F.array_max("xs"), "ymax": F.array_max("ys")}
-    outside = (F.array_min("xs") < -180) | (F.array_max("xs") > 180) | (F.array_min("ys") < -90) | (F.array_max("ys") > 90)
-    out = requests.withColumn("area_km2", F.when(ring & ~outside, ring_km2(F.col("xs"), F.col("ys"))))
+    ring = F.when(F.size("xs") == F.size("ys"), F.array(F.array(F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))))))
+    return validate_areas(requests.withColumn("polygons", ring), today, policy).drop("polygons")
+
+
+def validate_areas(requests: DataFrame, today: Column | None = None, policy: Policy = DEFAULT) -> DataFrame:
+    """``requests(request_id, kind, polygons, event_date)`` with reject_code (null if fine), area and box; the first broken rule counts.
+
+    ``polygons`` is an array of parts, each an array of rings of points in
+    degrees: the outer ring, then the holes.  A Polygon has one part; a
+    MultiPolygon one or more.  Rings have three points or more.  Shapes are
+    looked through once, however many requests ask for them; equal 64-bit
+    hashes stand for equal shapes.
+    """
+    points = F.flatten(F.flatten("polygons"))
+    parts = F.size("polygons")
+    whole = F.forall("polygons", lambda part: F.coalesce(F.size(part) > 0, F.lit(False)) & F.forall(part, lambda r: F.coalesce(F.size(r) >= 3, F.lit(False))))
+    ring = F.coalesce((parts > 0) & whole & ((parts == 1) | (F.col("kind") == "MultiPolygon")), F.lit(False))
+    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    ends = {"xmin": F.array_min(xs), "ymin": F.array_min(ys), "xmax": F.array_max(xs), "ymax": F.array_max(ys)}
+    outside = (F.col("xmin") < -180) | (F.col("xmax") > 180) | (F.col("ymin") < -90) | (F.col("ymax") > 90)
+    ring_area_km2 = lambda r: ring_km2(F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"]))
+    part_km2 = lambda part: F.aggregate(F.slice(part, 2, F.size(part)), ring_area_km2(F.get(part, 0)), lambda s, r: s - ring_area_km2(r))
+    # Hashes of nested arrays take in the values only, so sizes go before them.
+    sizes = [F.size("polygons"), F.transform("polygons", F.size), F.transform(F.flatten("polygons"), F.size)]
+    shape, mark = "__shape", F.xxhash64(*sizes, "polygons")
+    out = requests.withColumns(ends).withColumn("area_km2", F.when(ring & ~outside, F.aggregate("polygons", F.lit(0.0), lambda s, part: s + part_km2(part)))).withColumn(shape, mark)
+    looked = requests.where(ring).select(mark.alias(shape), "polygons").dropDuplicates([shape])
+    out = out.join(validity.faults(looked, shape).withColumnRenamed("fault", "__fault"), shape, "left")
     code = (
-        F.when(F.col("kind").isNull(), "UNPARSABLE").when(~F.col("kind").isin("Polygon", "MultiPolygon") | ~F.coalesce(ring, F.lit(False)), "NOT_A_POLYGON")
-        .when(knotted, "INVALID_TOPOLOGY").when(outside, "OUT_OF_BOUNDS")
+        F.when(F.col("kind").isNull(), "UNPARSABLE").when(~F.col("kind").isin("Polygon", "MultiPolygon") | ~ring, "NOT_A_POLYGON")
+        .when(F.col("__fault").isNotNull(), "INVALID_TOPOLOGY").when(outside, "OUT_OF_BOUNDS")
         .when(~F.col("area_km2").between(policy.min_aoi_area_km2, policy.max_aoi_area_km2), "AREA_OUT_OF_LIMITS")
         .when(F.col("event_date") > (today if today is not None else F.current_date()), "EVENT_IN_FUTURE")
     )
-    return out.withColumns({"reject_code": code, **box})
+    return out.withColumn("reject_code", code).select(*requests.columns, "area_km2", "reject_code", "xmin", "ymin", "xmax", "ymax")
 
 
 def clip_to_aoi(features: DataFrame, aois: DataFrame, buffer: float) -> DataFrame:
@@ -96,50 +110,6 @@ def clip_to_aoi(features: DataFrame, aois: DataFrame, buffer: float) -> DataFram
     return both.select(*rest, *cut.values(), moved.alias("clipped")).where("xmin <= xmax AND ymin <= ymax")
 
 
-def decode_wkb(extract: DataFrame) -> DataFrame:
-    """``extract`` with kind (point, line, polygon, or null) and points (outer ring, open) of its WKB column ``geom``.
-
-    Bytes that are no such geometry give nulls.
-    """
-    keep = [c for c in extract.columns if c != "geom"]
-
-    def read(blob: bytes | None) -> tuple[str | None, list[dict[str, float]] | None]:
-        try:
-            order = "<" if blob[0] == 1 else ">"
-            code, at = struct.unpack_from(order + "I", blob, 1)[0], 5
-            if code == 1:
-                n = 1
-            elif code == 2:
-                (n,) = struct.unpack_from(order + "I", blob, at)
-                at += 4
-            elif code == 3:
-                rings, n = struct.unpack_from(order + "II", blob, at)
-                at += 8
-                if not rings:
-                    return None, None
-            else:
-                return None, None
-            flat = struct.unpack_from(f"{order}{2 * n}d", blob, at)
-            points = [{"x": x, "y": y} for x, y in zip(flat[::2], flat[1::2], strict=True)]
-            if code == 3:
-                points = points[:-1]
-            return {1: "point", 2: "line", 3: "polygon"}[code], points or None
-        except (TypeError, IndexError, struct.error):
-            return None, None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
-        for batch in batches:
-            got = [read(b) for b in batch.column("geom").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], shape)], names=[*keep, "kind", "points"])
-
-    from pyspark.sql import types as T
-
-    points = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
-    schema = T.StructType([*extract.select(*keep).schema, T.StructField("kind", T.StringType()), T.StructField("points", points)])
-    return extract.mapInArrow(run, schema)
-
-
 def loops(ring: list[tuple[float, float]]) -> list[list[tuple[float, float]]]:
     """An open-ended ring taken apart where it crosses or meets itself, into rings that don't; those without area are left out."""
     ring = [p for i, p in enumerate(ring) if p != ring[i - 1]]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import features as ft
 from ..operators import records as rc
+from ..operators import wkb
 from ..streaming import intake
 from . import exposure_queries, network_queries, pixel_queries, scene_queries
 from .fixtures import load, with_tables
@@ -57,8 +58,29 @@ def feature_normalize_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.when(F.col("p_partkey") % 2 == 0, one).otherwise(two)
     blob = F.concat(F.lit("0101000000"), x, F.lit(one))
     geom = F.unhex(F.when(F.col("p_partkey") % 7 == 0, F.substring(blob, 1, 20)).otherwise(blob))
-    read = ft.decode_wkb(parts.select(F.col("p_partkey").alias("osm_id"), geom.alias("geom")))
-    return read.select("osm_id", "kind", F.get("points", 0)["x"].alias("x"))
+    read = wkb.decode(parts.select(F.col("p_partkey").alias("osm_id"), geom.alias("geom")))
+    return read.select("osm_id", "kind", F.get(F.get(F.get("parts", 0)["rings"], 0), 0)["x"].alias("x"))
+
+
+#: Big-endian doubles of the whole numbers that shapes are drawn with, as hexadecimal digits.
+_NUMBERS = {0: "0000000000000000", 1: "3FF0000000000000", 2: "4000000000000000", 3: "4008000000000000", 4: "4010000000000000", 6: "4018000000000000"}
+
+
+def feature_parts_wkb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Big-endian multipolygons of each part: a hollow square and a second square, as wide as the part's size says; some hold no second one, some break off."""
+    at = lambda *xy: "".join(_NUMBERS[v] for v in xy)
+    count = lambda n: f"{n:08X}"
+    box = lambda a, b: count(5) + at(a, a, b, a, b, b, a, b, a, a)
+    parts = load(spark, sf_dir, "part").select("p_partkey", "p_size")
+    hollow = F.when(F.col("p_size") % 3 == 0, box(1, 2)).otherwise(box(1, 3))
+    first = F.concat(F.lit("0000000003" + count(2) + box(0, 4)), hollow)
+    two = F.concat(F.lit("0000000006" + count(2)), first, F.lit("0000000003" + count(1) + box(4, 6)))
+    one = F.concat(F.lit("0000000006" + count(1)), first)
+    blob = F.when(F.col("p_partkey") % 7 == 0, F.substring(two, 1, 200)).when(F.col("p_partkey") % 2 == 0, two).otherwise(one)
+    read = wkb.decode(parts.select(F.col("p_partkey").alias("osm_id"), F.unhex(blob).alias("geom")))
+    area = lambda part: F.aggregate(F.slice(part["rings"], 2, F.size(part["rings"])), ft.ring_area(F.get(part["rings"], 0)), lambda s, r: s - ft.ring_area(r))
+    rings = F.aggregate("parts", F.lit(0), lambda n, p: n + F.size(p["rings"]))
+    return read.select("osm_id", "kind", F.when(F.col("kind").isNotNull(), F.size("parts")).alias("parts"), rings.alias("rings"), F.aggregate("parts", F.lit(0.0), lambda s, p: s + area(p)).alias("area"))
 
 
 _DRAWN = """SELECT 'way' AS osm_type, feature_id AS osm_id, grid_id AS request_id, 'polygon' AS kind, CASE WHEN CAST(feature_id AS BIGINT) % 6 = 0 THEN 'no' ELSE 'yes' END AS building, CAST(NULL AS STRING) AS highway, CAST(NULL AS STRING) AS place,
@@ -116,6 +138,20 @@ def aoi_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("request_id", "reject_code", F.when(F.col("reject_code").isNull(), F.round("area_km2", 4)).alias("area_km2"))
 
 
+def aoi_validate_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas in two parts, the first one hollow; by the customer's number the hole, or the second part, lies where it mustn't."""
+    a = spark.sql(_AOIS, customer=load(spark, sf_dir, "customer"))
+    n, w = F.col("request_id"), F.col("w")
+    at = lambda x, y: F.struct((F.col("x") + w * x).alias("x"), (F.col("y") + w * y).alias("y"))
+    box = lambda x1, y1, x2, y2: F.array(at(x1, y1), at(x2, y1), at(x2, y2), at(x1, y2))
+    hole = F.when(n % 7 == 0, box(0.75, 0.25, 1.25, 0.5)).when(n % 7 == 1, box(1.25, 0.25, 1.5, 0.5)).otherwise(box(0.25, 0.25, 0.75, 0.75))
+    second = F.when(n % 5 == 0, box(0.375, 0.375, 0.625, 0.625)).when(n % 5 == 1, box(1.0, 1.0, 1.5, 1.5)).when(n % 5 == 2, box(0.0625, 0.0625, 0.125, 0.125)).otherwise(box(2.0, 0.0, 2.5, 0.5))
+    polygons = F.array(F.array(box(0.0, 0.0, 1.0, 1.0), hole), F.array(second))
+    kind = F.when(n % 11 == 0, F.lit("Polygon")).when(n % 19 != 0, F.lit("MultiPolygon"))
+    out = ft.validate_areas(a.select("request_id", kind.alias("kind"), polygons.alias("polygons"), "event_date"), F.lit("2020-02-05").cast("date"))
+    return out.select("request_id", "reject_code", F.when(F.col("reject_code").isNull(), F.round("area_km2", 4)).alias("area_km2"), F.when(F.col("reject_code").isNull(), F.round("xmax", 6)).alias("xmax"))
+
+
 def geodesic_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = spark.sql(_AOIS, customer=load(spark, sf_dir, "customer"))
     return a.select("request_id", F.round(geo.rectangle_km2(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("w")), 4).alias("area_km2"))
@@ -313,7 +349,7 @@ _EXTRACT = with_tables("buildings", "roads", "places") + ", d AS (" + _DRAWN.for
     o AS (SELECT *, CASE WHEN size <= 0 THEN 'dropped_empty' WHEN category IS NULL THEN 'ignored' ELSE 'retained' END AS outcome FROM e)"""
 
 QUERIES = {f.__name__: f for f in (
-    feature_category, feature_normalize, feature_quality, feature_normalize_wkb, feature_extract, extract_quality, snapshot_asof, aoi_validate, geodesic_area, utm_zone, project_utm, clip_to_aoi, artifact_inventory, layer_catalog, manifest_reconcile,
+    feature_category, feature_normalize, feature_quality, feature_normalize_wkb, feature_parts_wkb, feature_extract, extract_quality, snapshot_asof, aoi_validate, aoi_validate_parts, geodesic_area, utm_zone, project_utm, clip_to_aoi, artifact_inventory, layer_catalog, manifest_reconcile,
     run_manifest, redact_text, mask_evaluation, raster_evaluation, job_status_rollup, mark_interrupted, stage_durations, pending_requests, report_metrics, analysis_document, feature_layer_roundtrip, scene_intake_stream, job_state_stream,
 )}
 ORACLES = {
@@ -321,11 +357,21 @@ ORACLES = {
     "feature_normalize": _FEATS + " SELECT feature_id, outcome, CAST((building IS NOT NULL)::INT + (highway IS NOT NULL)::INT + (place IS NOT NULL)::INT + 1 AS INT) AS tags FROM g",
     "feature_quality": _FEATS + " SELECT count(*) AS rows, count(*) FILTER (outcome = 'retained') AS retained, count(*) FILTER (outcome = 'dropped_empty') AS dropped_empty, count(*) FILTER (outcome = 'ignored') AS ignored FROM g",
     "feature_normalize_wkb": "SELECT p_partkey AS osm_id, CASE WHEN p_partkey % 7 <> 0 THEN 'point' END AS kind, CASE WHEN p_partkey % 7 <> 0 THEN CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 2.0 END::DOUBLE END AS x FROM part",
+    "feature_parts_wkb": """WITH w AS (SELECT p_partkey AS osm_id, p_partkey % 7 <> 0 AS whole, p_partkey % 2 = 0 AS two, CASE WHEN p_size % 3 = 0 THEN 1 ELSE 4 END AS hole FROM part)
+        SELECT osm_id, CASE WHEN whole THEN 'polygon' END AS kind, CASE WHEN whole THEN CASE WHEN two THEN 2 ELSE 1 END END::INT AS parts, CASE WHEN whole THEN CASE WHEN two THEN 3 ELSE 2 END END::INT AS rings, CASE WHEN whole THEN 16 - hole + CASE WHEN two THEN 4 ELSE 0 END END::DOUBLE AS area FROM w""",
     "feature_extract": _EXTRACT + " SELECT osm_type || '/' || osm_id AS feature_id, request_id, outcome, category, knotted AS repaired, clipped, round(size, 6)::DOUBLE AS size FROM o",
     "extract_quality": _EXTRACT + " SELECT count(*) AS rows, count(*) FILTER (outcome = 'retained') AS retained, count(*) FILTER (outcome = 'dropped_empty') AS dropped_empty, count(*) FILTER (outcome = 'ignored') AS ignored, count(*) FILTER (knotted) AS repaired, count(*) FILTER (clipped) AS clipped FROM o",
     "snapshot_asof": with_tables("versions") + f", e AS ({_EVENTS.format(nation='nation')}), r AS (SELECT request_id, v.*, row_number() OVER (PARTITION BY request_id, feature_id ORDER BY version_ts DESC, version DESC) AS k FROM versions v JOIN e ON version_ts <= CAST(event_date AS TIMESTAMP) - INTERVAL '1' SECOND) SELECT request_id, feature_id, version, value FROM r WHERE k = 1 AND deleted = 0",
     "aoi_validate": _A + f""", j AS (SELECT *, CASE WHEN kind IS NULL THEN 'UNPARSABLE' WHEN kind = 'Point' THEN 'NOT_A_POLYGON' WHEN request_id % 13 = 0 AND w > 0 THEN 'INVALID_TOPOLOGY' WHEN x < -180 OR x + w > 180 THEN 'OUT_OF_BOUNDS'
         WHEN request_id % 13 = 0 OR {_RECT} NOT BETWEEN 0.1 AND 5000 THEN 'AREA_OUT_OF_LIMITS' WHEN event_date > DATE '2020-02-05' THEN 'EVENT_IN_FUTURE' END AS reject_code FROM a) SELECT request_id, reject_code, CASE WHEN reject_code IS NULL THEN round({_RECT}, 4) END AS area_km2 FROM j""",
+    # Parts are flat where w is 0: no rings are left that could meet, and the area is too small.
+    "aoi_validate_parts": _A + f""", p AS (SELECT *, request_id % 7 AS h, request_id % 5 AS s, w > 0 AS wide, CASE request_id % 5 WHEN 0 THEN 0.375 WHEN 1 THEN 1 WHEN 2 THEN 0.0625 ELSE 2 END::DOUBLE AS u, CASE request_id % 5 WHEN 0 THEN 0.375 WHEN 1 THEN 1 WHEN 2 THEN 0.0625 ELSE 0 END::DOUBLE AS v,
+          CASE request_id % 5 WHEN 0 THEN 0.25 WHEN 2 THEN 0.0625 ELSE 0.5 END::DOUBLE AS d FROM a),
+        b AS (SELECT *, greatest(x + w, x + w * (u + d), CASE WHEN h = 0 THEN x + w * 1.25::DOUBLE WHEN h = 1 THEN x + w * 1.5::DOUBLE ELSE x END) AS xmax, greatest(y + w, y + w * (v + d)) AS ymax,
+          radians(w) * ({_q('y + w')} - {_q('y')}) / 1e6 - radians(w * 0.5::DOUBLE) * ({_q('y + w * 0.75::DOUBLE')} - {_q('y + w * 0.25::DOUBLE')}) / 1e6 + radians(w * d) * ({_q('y + w * (v + d)')} - {_q('y + w * v')}) / 1e6 AS km2 FROM p),
+        j AS (SELECT *, CASE WHEN request_id % 19 = 0 AND request_id % 11 <> 0 THEN 'UNPARSABLE' WHEN request_id % 11 = 0 THEN 'NOT_A_POLYGON' WHEN wide AND (h < 2 OR s = 2) THEN 'INVALID_TOPOLOGY' WHEN x < -180 OR xmax > 180 OR y < -90 OR ymax > 90 THEN 'OUT_OF_BOUNDS'
+          WHEN NOT wide OR km2 NOT BETWEEN 0.1 AND 5000 THEN 'AREA_OUT_OF_LIMITS' WHEN event_date > DATE '2020-02-05' THEN 'EVENT_IN_FUTURE' END AS reject_code FROM b)
+        SELECT request_id, reject_code, CASE WHEN reject_code IS NULL THEN round(km2, 4) END AS area_km2, CASE WHEN reject_code IS NULL THEN round(xmax, 6) END AS xmax FROM j""",
     "geodesic_area": _A + f" SELECT request_id, CASE WHEN w > 0 THEN round({_RECT}, 4) ELSE 0 END AS area_km2 FROM a",
     "utm_zone": _A + " SELECT request_id, CAST(CASE WHEN y * 1.2::DOUBLE >= 84 THEN 3413 WHEN y * 1.2::DOUBLE <= -80 THEN 3031 ELSE CASE WHEN y >= 0 THEN 32600 ELSE 32700 END + greatest(1, least(60, CAST(floor((x + 180) / 6) AS INT) + 1)) END AS INT) AS epsg FROM a",
     "project_utm": _A + _UTM + " SELECT request_id, round(CASE WHEN y > -80 THEN 500000 + 0.9996 * r * e ELSE " + _CAP + " * sin(radians(x)) END, 3) AS east, round(CASE WHEN y > -80 THEN CASE WHEN y >= 0 THEN 0 ELSE 10000000 END + 0.9996 * r * n ELSE " + _CAP + " * cos(radians(x)) END, 3) AS north FROM k",
