@@ -14,7 +14,7 @@ Counts, class totals and vocabulary come from all training texts by Spark
 aggregation.  The network is trained on every training text once, by truncated
 backpropagation in numpy: hashes deal the texts to ``ROUNDS`` rounds; in each,
 every task trains on its texts from the same start, and the tasks' weights are
-averaged.  Output
+averaged level by level, at most ``FAN_IN`` of them together.  Output
 biases start from the counts, so the first guess is the unigram model.  Texts
 are scored whole: the state is carried from window to window.
 
@@ -29,6 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ HIDDEN = 16
 #: Tokens over which errors flow back, and texts trained side by side.
 WINDOW, STREAMS = 32, 256
 ROUNDS = 3
+#: Tasks whose weights meet in one group of a level of averages.
+FAN_IN = 64
 #: Tokens that a task lays out and trains on at a time, so its memory doesn't grow with its share of the table.
 PORTION = 1 << 20
 #: Tokens of each text that scoring takes in one window, and words scored together; the state is carried on.
@@ -361,10 +364,29 @@ def _train(batches: Iterator[pa.RecordBatch], v: Vocabulary, weights: np.ndarray
     return net.weights, tokens
 
 
-def _average(group: pd.DataFrame) -> pd.DataFrame:
+def _average(task: int, group: pd.DataFrame) -> pd.DataFrame:
     tokens = group["tokens"].to_numpy(dtype=np.float64)
     total = sum(np.frombuffer(b, dtype=np.float32).astype(np.float64) * n for b, n in zip(group["weights"], tokens, strict=True))
-    return pd.DataFrame({"tokens": [int(tokens.sum())], "weights": [(total / max(tokens.sum(), 1)).astype(np.float32).tobytes()]})
+    return pd.DataFrame({"task": [task], "tokens": [int(tokens.sum())], "weights": [(total / max(tokens.sum(), 1)).astype(np.float32).tobytes()]})
+
+
+def averaged(trained: DataFrame, fan_in: int = FAN_IN) -> np.ndarray | None:
+    """Mean by tokens of the weights of ``trained(task, tokens, weights)``; none if there are no rows.
+
+    Level by level, those of ``fan_in`` tasks that follow one another meet, so
+    no group is larger, however many tasks have trained.  What tasks have
+    learned is stored first: a lost executor costs no training.
+    """
+    rows = stored(trained)
+    last = rows.agg(F.max("task")).first()[0]
+    if last is None:
+        return None
+    while True:
+        up = F.floor(F.col("task") / fan_in).cast("int").alias("task")
+        rows = rows.groupBy(up).applyInPandas(lambda k, g: _average(int(k[0]), g), "task int, tokens long, weights binary")
+        last //= fan_in
+        if not last:
+            return np.frombuffer(rows.first().weights, dtype=np.float32).copy()
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
@@ -373,7 +395,6 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
     net = Network(vocabulary)
     net.start_from_counts(vocabulary)
     weights = net.weights
-    schema = "part int, tokens long, weights binary"
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((vocabulary, weights, RATE / (1 + r)))
 
@@ -381,14 +402,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
             v, start, rate = shared.value
             new, tokens = _train(batches, v, start, rate)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([int(np.abs(new[:8]).sum() * 1e6) % 64], pa.int32()), pa.array([tokens], pa.int64()), pa.array([new.tobytes()], pa.binary())], names=["part", "tokens", "weights"])
+                yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": [tokens], "weights": [new.tobytes()]})
 
-        # Averages of at most 64 groups of tasks, then their average.
         turn = docs.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == r).select("text")
-        some = turn.mapInArrow(run, schema).groupBy("part").applyInPandas(lambda k, g: _average(g), "tokens long, weights binary")
-        found = some.groupBy().applyInPandas(lambda k, g: _average(g), "tokens long, weights binary").collect()
-        if found:
-            weights = np.frombuffer(found[0].weights, dtype=np.float32).copy()
+        found = averaged(turn.mapInArrow(run, "task int, tokens long, weights binary"))
+        if found is not None:
+            weights = found
     return weights
 
 
