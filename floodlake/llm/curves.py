@@ -26,7 +26,7 @@ from .frames import stored
 DIMENSIONS, BITS = 6, 8
 ORDERINGS = 16
 #: Vectors that a range holds at least, and ranges of an ordering at most.
-RANGE, RANGES = 1024, 48
+RANGE, RANGES = 64, 48
 #: Ranges visited on each side of a query's own.
 BESIDE = 1
 #: Vectors (about) that projections and ranges are fitted on.
@@ -149,7 +149,6 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 5, orderings: int = ORDE
 def _search(points: DataFrame, dim: int, n: int, k: int, orderings: int, beside: int) -> DataFrame:
     """(query, point, least, score): the k + 1 best of each visited block."""
     ranges = int(np.clip(n // RANGE, 1, RANGES))
-    orderings = orderings if ranges > 2 * beside + 1 else 1  # one ordering visits all
     part = F.pmod(F.xxhash64("point"), F.lit(1 << 30)) / float(1 << 30)
     sample = _matrix(points.where(part < SAMPLE / n).select("embedding").toArrow()["embedding"], dim)
     if not len(sample):

@@ -287,6 +287,36 @@ def test_nearest_by_brute_force(spark):
     assert curves.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_nearest_on_the_given_vectors(spark, scale, monkeypatch):
+    """Small tables go through the same curves as large ones: a query sees a part of the ranges of every ordering."""
+    made = []
+    fit = curves.Index.__init__
+
+    def watched(self, sample, ranges, orderings):
+        made.append((ranges, orderings))
+        fit(self, sample, ranges, orderings)
+
+    monkeypatch.setattr(curves.Index, "__init__", watched)
+    sf_dir = f"/root/testdata/{scale}"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = collections.defaultdict(set)
+    for r in queries.op4_nearest(spark, sf_dir).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        s = np.round(x @ x[q], 12)
+        s[q] = -9
+        want = {int(ids[i]) for i in np.lexsort((ids, -s))[:5]}
+        hit += len(want & got[ids[q]])
+        total += 5
+    assert hit / total >= 0.9
+    ranges, orderings = made[0]
+    assert orderings == curves.ORDERINGS and ranges > 2 * curves.BESIDE + 1
+
+
 def test_hilbert_curve_is_continuous():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     key = curves.hilbert(cells, 3)
