@@ -1,4 +1,4 @@
-"""Overlay of general polygons by scan beams, as column work.
+"""Overlay of general polygons by scan beams.
 
 A shape is the set of its rings' edges: outer rings, holes and further parts
 alike.  Edges are dealt to horizontal slabs; in a slab, the heights at which
@@ -12,13 +12,23 @@ those that meet in one slab.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .regions import checkpointed
 
 #: Columns of a trapezoid between heights y0 and y1: left and right at the lower and the upper height.
 SIDES = ["y0", "y1", "l0", "l1", "r0", "r1"]
+#: Columns of an edge in a slab: its ends, and between which heights it is in the slab.
+LINE = ["x1", "y1", "x2", "y2", "low", "high"]
+#: Edges that a task sweeps at once (more if they are of one group), and pairs of edges that it compares at once.
+EDGES, PAIRS = 50_000, 1_000_000
 
 
 def ring_edges(shapes: DataFrame, keys: Sequence[str], rings: str = "rings") -> DataFrame:
@@ -32,8 +42,100 @@ def ring_edges(shapes: DataFrame, keys: Sequence[str], rings: str = "rings") ->
     return edges.select(*keys, F.col("e.a.x").cast("double").alias("x1"), F.col("e.a.y").cast("double").alias("y1"), F.col("e.b.x").cast("double").alias("x2"), F.col("e.b.y").cast("double").alias("y2"))
 
 
-def _x_at(y: Column) -> Column:
-    return F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1"))
+def _repeated(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts (2, 0, 3): which of them each item is of, (0, 0, 2, 2, 2), and its number there, (0, 1, 0, 1, 2)."""
+    which = np.repeat(np.arange(len(counts)), counts)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _crossings(group: np.ndarray, line: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(group, y) where two edges of one group cross inside both."""
+    slope = (line["x2"] - line["x1"]) / (line["y2"] - line["y1"])
+    base = line["x1"] - slope * line["y1"]
+    # Each edge meets those behind it in its group.
+    ends = np.searchsorted(group, group, "right")
+    later = ends - np.arange(len(group)) - 1
+    upto = np.cumsum(later)
+    groups, heights, begin = [], [], 0
+    while begin < len(group):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, "right")))
+        i, n = _repeated(later[begin:end])
+        i += begin
+        j = i + 1 + n
+        y = (base[j] - base[i]) / (slope[i] - slope[j])
+        met = (y > np.maximum(line["low"][i], line["low"][j])) & (y < np.minimum(line["high"][i], line["high"][j]))
+        groups.append(group[i[met]])
+        heights.append(y[met])
+        begin = end
+    return np.concatenate(groups), np.concatenate(heights)
+
+
+def _beams(group: np.ndarray, line: dict[str, np.ndarray], turn: np.ndarray, crossing: bool, union: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The trapezoids of whole groups of edges, as an edge of the group of each, and ``SIDES``."""
+    n = len(group)
+    more = _crossings(group, line) if crossing else (group[:0], line["low"][:0])
+    of, y = np.concatenate([group, group, more[0]]), np.concatenate([line["low"], line["high"], more[1]])
+    order = np.lexsort((y, of))
+    new = np.ones(len(of), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (y[order][1:] != y[order][:-1])
+    number = np.empty(len(of), np.int64)
+    number[order] = np.cumsum(new) - 1
+    stop = y[order][new]
+    # An edge is active in the beams from its lower end to its upper one.
+    edge, ahead = _repeated(number[n : 2 * n] - number[:n])
+    beam = number[:n][edge] + ahead
+    low, top = stop[beam], stop[beam + 1]
+    x1, y1, x2, y2 = (line[c][edge] for c in LINE[:4])
+    at = lambda y: x1 + (x2 - x1) * (y - y1) / (y2 - y1)
+    a, b = at(low), at(top)
+    order = np.lexsort((turn[edge], b, a, at((low + top) / 2), beam))
+    edge, beam, low, top, a, b = edge[order], beam[order], low[order], top[order], a[order], b[order]
+    first = np.searchsorted(beam, beam, "left")
+    if union:
+        wound = np.cumsum(turn[edge])
+        wound -= (wound - turn[edge])[first]
+        inside = wound != 0
+        kept = inside != (wound - turn[edge] != 0)
+        edge, beam, low, top, a, b, opens = edge[kept], beam[kept], low[kept], top[kept], a[kept], b[kept], inside[kept]
+    else:
+        opens = (np.arange(len(beam)) - first) % 2 == 0
+    i = np.flatnonzero(opens[:-1] & (beam[1:] == beam[:-1]))
+    return edge[i], [low[i], top[i], a[i], b[i], a[i + 1], b[i + 1]]
+
+
+def _swept(batches: Iterator[pa.RecordBatch], by: Sequence[str], crossing: bool, union: bool) -> Iterator[pa.RecordBatch]:
+    """Trapezoids of edges that come group by group; a group's last edges wait for the next batch."""
+    held: list[pa.RecordBatch] = []
+
+    def swept(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        line = {c: t[c].to_numpy() for c in LINE}
+        with np.errstate(all="ignore"):
+            edge, sides = _beams(np.cumsum(_begins(t, by)) - 1, line, t["turn"].to_numpy().astype(np.int64), crossing, union)
+        out = pa.table([*[t[c].take(pa.array(edge)) for c in by], *[pa.array(s) for s in sides]], [*by, *SIDES])
+        yield from out.combine_chunks().to_batches(100_000)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= EDGES:
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = int(np.flatnonzero(_begins(t, by))[-1])
+            if last:
+                yield from swept(t.slice(0, last).combine_chunks())
+            held = t.slice(last).to_batches()
+    if sum(b.num_rows for b in held):
+        yield from swept(pa.Table.from_batches(held).combine_chunks())
+
+
+def _begins(t: pa.Table, by: Sequence[str]) -> np.ndarray:
+    """Whether a row is the first of its group."""
+    new = np.zeros(t.num_rows, bool)
+    new[:1] = True
+    for c in by:
+        v = t[c].combine_chunks()
+        differ = pc.fill_null(pc.not_equal(v[1:], v[:-1]), False).to_numpy(zero_copy_only=False)
+        none = pc.is_null(v).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | (none[1:] != none[:-1])
+    return new
 
 
 def trapezoids(edges: DataFrame, keys: Sequence[str], height: float, *, crossing: bool = True, union: bool = False) -> DataFrame:
@@ -54,30 +156,9 @@ def trapezoids(edges: DataFrame, keys: Sequence[str], height: float, *, crossing
     first = F.floor(F.col("y1") / height)
     e = e.withColumn("slab", F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col("y2") / height) - 1))))
     e = e.withColumns({"low": F.greatest("y1", F.col("slab") * height), "high": F.least("y2", (F.col("slab") + 1) * height)}).where("low < high")
-    stops = e.select(*by, F.explode(F.array("low", "high")).alias("y"))
-    if crossing:
-        line = ["x1", "y1", "x2", "y2", "low", "high"]
-        other = e.select(*by, *[F.col(c).alias(f"o_{c}") for c in line])
-        # Each pair of edges of a slab once; lines as x over y.
-        both = e.select(*by, *line).join(other, by).where(F.struct(*line) < F.struct(*[F.col(f"o_{c}") for c in line]))
-        slope = lambda p: (F.col(f"{p}x2") - F.col(f"{p}x1")) / (F.col(f"{p}y2") - F.col(f"{p}y1"))
-        base = lambda p: F.col(f"{p}x1") - slope(p) * F.col(f"{p}y1")
-        y = F.try_divide(base("o_") - base(""), slope("") - slope("o_"))
-        met = both.withColumn("y", y).where("y > greatest(low, o_low) AND y < least(high, o_high)")
-        stops = stops.unionByName(met.select(*by, "y"))
-    heights = Window.partitionBy(*by).orderBy("y")
-    beams = stops.distinct().withColumn("top", F.lead("y").over(heights)).where("top IS NOT NULL")
-    active = beams.join(e, by).where("low <= y AND high >= top")
-    middle = _x_at((F.col("y") + F.col("top")) / 2)
-    active = active.select(*by, F.col("y").alias("y0"), F.col("top").alias("y1_"), _x_at(F.col("y")).alias("a"), _x_at(F.col("top")).alias("b"), middle.alias("middle"), "turn")
-    order = Window.partitionBy(*by, "y0").orderBy("middle", "a", "b", "turn")
-    if union:
-        wound = F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0))
-        active = active.withColumns({"after": wound != 0, "before": wound - F.col("turn") != 0}).where("after <> before")
-    else:
-        active = active.withColumn("after", F.row_number().over(order) % 2 == 1)
-    ends = active.withColumns({"r0": F.lead("a").over(order), "r1": F.lead("b").over(order)}).where("after AND r0 IS NOT NULL")
-    return ends.select(*by, "y0", F.col("y1_").alias("y1"), F.col("a").alias("l0"), F.col("b").alias("l1"), "r0", "r1")
+    e = e.where("x1 IS NOT NULL AND x2 IS NOT NULL").select(*by, *LINE, "turn")
+    out = T.StructType([*[e.schema[c] for c in by], *[T.StructField(c, T.DoubleType()) for c in SIDES]])
+    return e.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda batches: _swept(batches, by, crossing, union), out)
 
 
 def area() -> Column:
@@ -104,6 +185,38 @@ def cell_areas(parts: DataFrame, keys: Sequence[str], size: float) -> DataFrame:
     return cells.groupBy(*keys, F.col("slab").cast("int").alias("cy"), "cx").agg(F.sum((F.col("y1") - F.col("y0")) * wide).alias("area"))
 
 
+def _common(batches: Iterator[pa.RecordBatch], own: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """What the two trapezoids of each row have in common, as trapezoids."""
+    for t in batches:
+        if not t.num_rows:
+            continue
+        v = {c: t[c].to_numpy() for c in t.schema.names if c not in own}
+        low, high = np.maximum(v["a_y0"], v["b_y0"]), np.minimum(v["a_y1"], v["b_y1"])
+
+        def at(side: str, end: str, y: np.ndarray, i: np.ndarray | slice = slice(None), v: dict[str, np.ndarray] = v) -> np.ndarray:
+            p, q, y0, y1 = (v[f"{side}_{c}"][i] for c in (f"{end}0", f"{end}1", "y0", "y1"))
+            return p + (q - p) * (y - y0) / (y1 - y0)
+
+        # Between the heights where two sides meet, the same two bound what is common.
+        lines = {(side, end): (at(side, end, low), at(side, end, high)) for side in "ab" for end in "lr"}
+        stops = [low, high]
+        with np.errstate(all="ignore"):
+            for end in "lr":
+                for other in "lr":
+                    d0, d1 = (lines["a", end][n] - lines["b", other][n] for n in (0, 1))
+                    y = low + (high - low) * (d0 / (d0 - d1))
+                    stops.append(np.where((y > low) & (y < high), y, high))
+        stops = np.sort(np.stack(stops, 1), 1)
+        i, n = np.nonzero(stops[:, :-1] < stops[:, 1:])
+        y0, y1 = stops[i, n], stops[i, n + 1]
+        l0, l1 = (np.maximum(at("a", "l", y, i), at("b", "l", y, i)) for y in (y0, y1))
+        r0, r1 = (np.minimum(at("a", "r", y, i), at("b", "r", y, i)) for y in (y0, y1))
+        kept = l0 + l1 < r0 + r1
+        found = [x[kept] for x in (y0, y1, l0, l1, np.maximum(l0, r0), np.maximum(l1, r1))]
+        i = pa.array(i[kept])
+        yield pa.RecordBatch.from_arrays([*[t[c].take(i) for c in own], *[pa.array(x) for x in found]], [*own, *SIDES])
+
+
 def intersection(left: DataFrame, right: DataFrame, on: Sequence[str], width: float) -> DataFrame:
     """Trapezoids of what is common to shapes of both sides, with the columns of both.
 
@@ -117,27 +230,13 @@ def intersection(left: DataFrame, right: DataFrame, on: Sequence[str], width: fl
         return named
 
     both = dealt(left, "a_").join(dealt(right, "b_"), [*on, "slab", "bucket"]).where(F.col("bucket") == F.greatest("a_first", "b_first"))
-    both = both.withColumns({"low": F.greatest("a_y0", "b_y0"), "high": F.least("a_y1", "b_y1")}).where("low < high")
-
-    def at(side: str, end: str, y: Column) -> Column:
-        p, q, y0, y1 = (F.col(f"{side}_{c}") for c in (f"{end}0", f"{end}1", "y0", "y1"))
-        return p + (q - p) * (y - y0) / (y1 - y0)
-
-    def meet(one: tuple[str, str], two: tuple[str, str]) -> Column:
-        d0, d1 = (at(*one, F.col(y)) - at(*two, F.col(y)) for y in ("low", "high"))
-        y = F.col("low") + (F.col("high") - F.col("low")) * F.try_divide(d0, d0 - d1)
-        return F.when((y > F.col("low")) & (y < F.col("high")), y)
-
-    # Between the heights where two sides meet, the same two bound what is common.
-    pairs = [(("a", "l"), ("b", "l")), (("a", "r"), ("b", "r")), (("a", "l"), ("b", "r")), (("a", "r"), ("b", "l"))]
-    stops = F.array_sort(F.filter(F.array(F.col("low"), F.col("high"), *[meet(*p) for p in pairs]), lambda y: y.isNotNull()))
-    own = [c for c in both.columns if c not in ("a_first", "b_first", "bucket", "low", "high") and not (c[:2] in ("a_", "b_") and c[2:] in SIDES)]
-    both = both.withColumn("stops", stops)
-    beam = F.explode(F.transform(F.sequence(F.lit(0), F.size("stops") - 2), lambda i: F.struct(F.get("stops", i).alias("y0"), F.get("stops", i + 1).alias("y1"))))
-    both = both.select("*", beam.alias("beam")).where("beam.y0 < beam.y1")
-    side = lambda end, y: (F.greatest if end == "l" else F.least)(at("a", end, F.col(f"beam.{y}")), at("b", end, F.col(f"beam.{y}")))
-    out = both.select(*own, "beam.y0", "beam.y1", *[side(end, f"y{i}").alias(f"{end}{i}") for end in "lr" for i in (0, 1)])
-    return out.where("l0 + l1 < r0 + r1").withColumns({f"r{i}": F.greatest(f"l{i}", f"r{i}") for i in (0, 1)})
+    apart = lambda p, q: F.least(f"{p}_l0", f"{p}_l1") >= F.greatest(f"{q}_r0", f"{q}_r1")
+    both = both.where((F.greatest("a_y0", "b_y0") < F.least("a_y1", "b_y1")) & ~apart("a", "b") & ~apart("b", "a"))
+    sides = [f"{p}_{c}" for p in "ab" for c in SIDES]
+    own = [c for c in both.columns if c not in ("a_first", "b_first", "bucket", *sides)]
+    both = both.select(*own, *sides)
+    out = T.StructType([*[both.schema[c] for c in own], *[T.StructField(c, T.DoubleType()) for c in SIDES]])
+    return both.mapInArrow(lambda batches: _common(batches, own), out)
 
 
 def outline() -> Column:
@@ -195,9 +294,14 @@ def covered_share(shapes: DataFrame, areas: DataFrame, on: Sequence[str], keys:
     Both sides hold edges: ``shapes(on, keys, x1..y2)``, ``areas(on, x1..y2)``.
     """
     asked = trapezoids(areas, on, height)
-    common = intersection(trapezoids(shapes, [*on, *keys], height), asked, on, width).groupBy(*on, *keys).agg(F.sum(area()).alias("common"))
+    # Equal shapes, such as scenes of one orbit have, are cut once.
+    drawn = shapes.groupBy(*on, *keys).agg(F.array_sort(F.collect_list(F.struct(*LINE[:4]))).alias("edges"))
+    unlike = checkpointed(drawn.select(*on, "edges").distinct().withColumn("like", F.monotonically_increasing_id()))
+    edges = unlike.select(*on, "like", F.explode("edges").alias("e")).select(*on, "like", "e.*")
+    common = intersection(trapezoids(edges, [*on, "like"], height), asked, on, width).groupBy("like").agg(F.sum(area()).alias("common"))
     whole = asked.groupBy(*on).agg(F.sum(area()).alias("whole"))
-    rows = shapes.select(*on, *keys).distinct().join(common, [*on, *keys], "left").join(whole, list(on), "left")
+    cut = unlike.join(common, "like", "left").join(whole, list(on), "left")
+    rows = drawn.join(cut.drop("like"), [*on, "edges"], "left")
     share = F.when(F.col("whole") > 0, F.least(F.lit(1.0), F.coalesce("common", F.lit(0.0)) / F.col("whole"))).otherwise(F.lit(0.0))
     return rows.select(*on, *keys, share.alias("fraction"))
 
