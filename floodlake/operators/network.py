@@ -1,15 +1,21 @@
 """Road graphs and access before and after an event, for many requests at once.
 
 Nodes are pairs of whole centimetres, so no key is a rounded double.  The
-search is a frontier relaxation over all requests and sources together: each
-round joins the nodes improved last to the edges, keeps the least state per
-node, and ends when nothing improved.
+search goes over all requests and sources together: each round follows what
+improved last inside the squares of the map, keeps the least state per node,
+and ends when nothing improved.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geo import speed_kmh
 from ..policy import DEFAULT, Policy
@@ -141,6 +147,66 @@ def _part(n: str) -> Column:
     return F.pmod(F.xxhash64("request_id", side("cx"), side("cy")), F.lit(PARTS)).cast("int")
 
 
+#: Columns of nodes and of edges as a square's search takes them: of an edge, c is where it begins, p where it ends.
+_FLAT = ["request_id", "sx", "sy", "cx", "cy", "px", "py", "t", "m", "name", "roads", "open"]
+
+
+def _ranked(t: float, source: str | None, pred: tuple[int, int]) -> tuple:
+    return math.floor(t * 1e6 + 0.5), source is not None, source or "", pred
+
+
+def _search_square(group: pa.Table, limit: float, side: int) -> pa.Table:
+    """The nodes of one square after the search inside it, and the best offers to nodes beyond (``own`` is false).
+
+    Nodes that changed are followed, nearest first, as far as ``limit``; those further on stay open.
+    """
+    into: dict[tuple, list] = {}
+    at: dict[tuple, tuple] = {}
+    beyond: dict[tuple, tuple] = {}
+    waits: set[tuple] = set()
+    request, square = group["request_id"][0].as_py(), (group["sx"][0].as_py(), group["sy"][0].as_py())
+    for cx, cy, px, py, t, m, name, roads, waiting in zip(*[group[c].to_pylist() for c in _FLAT[3:]], strict=True):
+        if roads is None:
+            into.setdefault((px, py), []).append(((cx, cy), t, m, name, (cx // side, cy // side) == square))
+        else:
+            at[cx, cy] = _ranked(t, name, (px, py)), t, name, (px, py), m, roads
+            if waiting:
+                waits.add((cx, cy))
+    heap = [(at[n][0], n) for n in waits if at[n][1] < limit]
+    heapq.heapify(heap)
+    while heap:
+        rank, n = heapq.heappop(heap)
+        if n not in waits or at[n][0] != rank:
+            continue
+        waits.discard(n)
+        _, t, source, _, m, roads = at[n]
+        for begin, seconds, metres, road, own in into.get(n, ()):
+            shut = roads if road is None else sorted({*roads, road})
+            offer = _ranked(t + seconds, source, n), t + seconds, source, n, m + metres, shut
+            known = at if own else beyond
+            old = known.get(begin)
+            # A route through the same next node that has changed further on takes the place of the old one.
+            if old is None or offer[0] < old[0] or offer[0] == old[0] and (_mm(offer[4]), shut) != (_mm(old[4]), old[5]):
+                known[begin] = offer
+                if own:
+                    waits.add(begin)
+                    if offer[1] < limit:
+                        heapq.heappush(heap, (offer[0], begin))
+    rows = [(n, v, n in waits, True) for n, v in at.items()] + [(n, v, True, False) for n, v in beyond.items()]
+    out = [[request] * len(rows), *[[n[i] for n, *_ in rows] for i in (0, 1)], *[[v[3][i] for _, v, *_ in rows] for i in (0, 1)]]
+    out += [[v[i] for _, v, *_ in rows] for i in (1, 4, 2, 5)] + [[r[i] for r in rows] for i in (2, 3)]
+    types = [group.schema.field(c).type for c in ("request_id", *_FLAT[3:])]
+    return pa.table([pa.array(x, t) for x, t in zip(out, [*types, pa.bool_()], strict=True)], ["request_id", *_FLAT[3:], "own"])
+
+
+def _searcher(limit: float, side: int) -> Callable[[pa.Table], pa.Table]:
+    return lambda group: _search_square(group, limit, side)
+
+
+def _mm(metres: float) -> int:
+    return math.floor(metres * 1e3 + 0.5)
+
+
 def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, width_s: float | None = None) -> DataFrame:
     """(request_id, node, time_s, source_id, length_m, blockers) of each node that reaches a source ``(request_id, node, source_id)``.
 
@@ -148,12 +214,13 @@ def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_0
     roads on the way that the event closes are carried along, so routes aren't
     rebuilt; what changes at a node is offered again along its routes.
 
-    Delta stepping over all requests together.  Nodes lie in buckets of time,
-    ``width_s`` wide (four times the mean edge unless given).  The nearest
-    bucket with changed nodes offers its light edges (no longer than a bucket)
-    until nothing in it changes, then its heavy ones once.  What is known of the
-    nodes is stored in parts by squares of the map, and a round reads and
-    rewrites only the parts that its nodes lie in or have edges to.
+    The map is dealt into squares.  A round follows what changed inside each
+    square to its end, over all requests and squares side by side, and offers
+    what reaches the border to the squares beyond; so rounds go by squares
+    passed, not by nodes.  With ``width_s``, a round goes on only to the end of
+    the nearest span of so many seconds.  What is known of the nodes is stored
+    in parts by squares, and a round reads and rewrites only the parts that its
+    squares lie in or have edges to.
     """
     spark = edges.sparkSession
     closed = F.col("status").isin("BLOCKED", "POTENTIALLY_BLOCKED", "UNKNOWN_COVERAGE") & (F.coalesce("parent_road_id", F.lit("")) != "")
@@ -166,51 +233,49 @@ def shortest_access(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_0
     beside: dict[int, set[int]] = {}
     for r in stored.select("part", _part("src").alias("to")).distinct().collect():
         beside.setdefault(r.part, set()).add(r.to)
-    mean = stored.agg(F.avg("c.time_s"), F.max("c.time_s")).first()
-    width = width_s or 4 * (mean[0] or 1.0)
-    heavy_edges = (mean[1] or 0.0) > width
     begin = F.struct(F.lit(0.0).alias("t"), "source_id", F.col("node").alias("pred"), F.lit(0.0).alias("m"), F.array().cast("array<string>").alias("roads"))
-    first = sources.groupBy("request_id", "node").agg(F.min("source_id").alias("source_id")).select("request_id", "node", begin.alias("s"), F.lit(True).alias("light"), F.lit(heavy_edges).alias("heavy"))
+    first = sources.groupBy("request_id", "node").agg(F.min("source_id").alias("source_id")).select("request_id", "node", begin.alias("s"), F.lit(True).alias("open"))
     known = PartTable(spark, first.schema, PARTS)
-    rank = lambda c: F.struct(F.round(f"{c}.t", 6), f"{c}.source_id", f"{c}.pred")
-    bucket = F.floor(F.col("s.t") / width)
-    waiting: dict[int, dict[str, int | None]] = {}
-
-    kinds = ["light", "heavy"] if heavy_edges else ["light"]
+    rank = lambda c: F.struct(F.floor(F.col(f"{c}.t") * 1e6 + 0.5), f"{c}.source_id", f"{c}.pred")
+    waiting: dict[int, float] = {}
 
     def write(rows: DataFrame, parts: list[int]) -> None:
-        """Rewrite some parts, and note on the way which have rows, and their nearest buckets with changed nodes."""
+        """Rewrite some parts, and note on the way which have rows, and their nearest changed nodes."""
         noted = Observation()
         mine = lambda p: F.col("part") == p
-        due = [F.min(F.when(mine(p) & F.col(kind), bucket)).alias(f"{kind}{p}") for p in parts for kind in kinds]
-        known.rewrite(rows.observe(noted, *due, *[F.bool_or(mine(p)).alias(f"some{p}") for p in parts]), parts)
+        known.rewrite(rows.observe(noted, *[F.min(F.when(mine(p) & F.col("open"), F.col("s.t"))).alias(f"due{p}") for p in parts], *[F.bool_or(mine(p)).alias(f"some{p}") for p in parts]), parts)
         found = noted.get
         for p in parts:
             waiting.pop(p, None)
-            if found[f"some{p}"]:
-                waiting[p] = {kind: found.get(f"{kind}{p}") for kind in ("light", "heavy")}
+            if found[f"due{p}"] is not None:
+                waiting[p] = found[f"due{p}"]
         known.keep([p for p in parts if found[f"some{p}"]], parts)
 
+    side = SQUARE_M * CM
+    square = lambda n: [F.floor(F.col(f"{n}.{c}") / side).alias(f"s{c[1]}") for c in ("cx", "cy")]
+    point = lambda n, p: [F.col(f"{n}.{c}").alias(f"{p}{c[1]}") for c in ("cx", "cy")]
+    none = F.lit(None)
     write(first.withColumn("part", _part("node")), every)
     for _ in range(max_rounds):
-        near = {kind: min((w[kind] for w in waiting.values() if w[kind] is not None), default=None) for kind in ("light", "heavy")}
-        if near["light"] is None and near["heavy"] is None:
+        if not waiting:
             return known.read().select("request_id", "node", F.col("s.t").alias("time_s"), F.col("s.source_id").alias("source_id"), F.col("s.m").alias("length_m"), F.col("s.roads").alias("blockers"))
-        kind = "light" if near["heavy"] is None or near["light"] is not None and near["light"] <= near["heavy"] else "heavy"
-        at = [p for p, w in waiting.items() if w[kind] == near[kind]]
-        moving = F.col(kind) & (bucket == near[kind])
-        own = F.col("c.time_s") <= width if kind == "light" else F.col("c.time_s") > width
-        step = known.read(at).where(moving).join(stored.where(own & F.col("part").isin(at)).select("request_id", "src", F.col("dst").alias("node"), "c"), ["request_id", "node"])
-        shut = F.when(F.col("c.road").isNull(), F.col("s.roads")).otherwise(F.array_union("s.roads", F.array("c.road")))
-        moved = F.struct((F.col("s.t") + F.col("c.time_s")).alias("t"), F.col("s.source_id"), F.col("node").alias("pred"), (F.col("s.m") + F.col("c.length_m")).alias("m"), F.array_sort(shut).alias("roads"))
-        offers = step.select("request_id", F.col("src").alias("node"), moved.alias("s")).groupBy("request_id", "node").agg(F.min_by("s", rank("s")).alias("offer"))
+        limit = (math.floor(min(waiting.values()) / width_s) + 1) * width_s if width_s else math.inf
+        at = [p for p, t in waiting.items() if t < limit]
+        nodes = known.read(at).select("request_id", *square("node"), *point("node", "c"), *point("s.pred", "p"), "s.t", "s.m", F.col("s.source_id").alias("name"), "s.roads", "open")
+        ways = stored.where(F.col("part").isin(at)).select("request_id", *square("dst"), *point("src", "c"), *point("dst", "p"), F.col("c.time_s").alias("t"), F.col("c.length_m").alias("m"), F.col("c.road").alias("name"), none.cast("array<string>").alias("roads"), none.cast("boolean").alias("open"))
+        flat = nodes.unionByName(ways)
+        plain = T.StructType([*[T.StructField(f.name, f.dataType) for f in flat.schema if f.name not in ("sx", "sy")], T.StructField("own", T.BooleanType())])
+        met = flat.groupBy("request_id", "sx", "sy").applyInArrow(_searcher(limit, side), plain)
+        state = F.struct("t", F.col("name").alias("source_id"), F.struct(F.col("px").alias("cx"), F.col("py").alias("cy")).alias("pred"), "m", "roads")
+        met = met.select("request_id", F.struct("cx", "cy").alias("node"), state.alias("s"), "open", "own")
         touched = sorted({*at, *(q for p in at for q in beside.get(p, ()))})
-        both = known.read(touched).drop("part").withColumn(kind, F.col(kind) & ~moving).join(offers, ["request_id", "node"], "full")
-        # A route through the same next node that has changed further on takes the place of the old one.
-        again = (rank("offer") == rank("s")) & ((F.round("offer.m", 3) != F.round("s.m", 3)) | (F.col("offer.roads") != F.col("s.roads")))
+        rest = known.read([p for p in touched if p not in at]).select("request_id", "node", "s", "open", F.lit(True).alias("own"))
+        mine, offered = F.when(F.col("own"), F.struct("s", "open")), ~F.col("own")
+        both = met.unionByName(rest).groupBy("request_id", "node").agg(F.first(mine, ignorenulls=True).alias("k"), F.min_by(F.when(offered, F.col("s")), F.when(offered, rank("s"))).alias("offer"))
+        both = both.select("request_id", "node", "k.s", "k.open", "offer")
+        again = (rank("offer") == rank("s")) & ((F.floor(F.col("offer.m") * 1e3 + 0.5) != F.floor(F.col("s.m") * 1e3 + 0.5)) | (F.col("offer.roads") != F.col("s.roads")))
         better = F.col("offer").isNotNull() & (F.col("s").isNull() | (rank("offer") < rank("s")) | again)
-        flag = lambda c, on: F.when(better, F.lit(on)).otherwise(F.col(c)).alias(c)
-        write(both.select("request_id", "node", F.when(better, F.col("offer")).otherwise(F.col("s")).alias("s"), flag("light", True), flag("heavy", heavy_edges), _part("node").alias("part")), touched)
+        write(both.select("request_id", "node", F.when(better, F.col("offer")).otherwise(F.col("s")).alias("s"), (better | F.coalesce("open", F.lit(False))).alias("open"), _part("node").alias("part")), touched)
     raise RuntimeError(f"the search did not end in {max_rounds} rounds")
 
 
