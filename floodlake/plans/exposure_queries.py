@@ -9,9 +9,9 @@ from ..operators import exposure as ex
 from .fixtures import CELL, load, with_tables
 
 
-def _flood(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _flood(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
     """Cells of the flood, those of every 37th code unknown."""
-    return load(spark, sf_dir, "flood").where("(y * 96 + x) % 37 <> 0")
+    return load(spark, sf_dir, "flood", **given).where("(y * 96 + x) % 37 <> 0")
 
 
 def hazard_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,8 @@ def building_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.building_summary(ex.building_exposure(load(spark, sf_dir, "buildings"), _flood(spark, sf_dir), CELL)).withColumn("affected_fraction", F.round("affected_fraction", 9))
 
 
-def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.road_segments(load(spark, sf_dir, "roads"), _flood(spark, sf_dir), CELL)
+def _segments(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+    return ex.road_segments(load(spark, sf_dir, "roads", **given), _flood(spark, sf_dir, **given), CELL)
 
 
 def road_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +43,8 @@ def bridge_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "roads").where(ex.is_bridge()).select("feature_id")
 
 
-def _bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.bridge_exposure(load(spark, sf_dir, "roads").where(ex.is_bridge()), _flood(spark, sf_dir), CELL)
+def _bridges(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+    return ex.bridge_exposure(load(spark, sf_dir, "roads", **given).where(ex.is_bridge()), _flood(spark, sf_dir, **given), CELL)
 
 
 def bridge_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,11 +55,11 @@ def bridge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.bridge_summary(_bridges(spark, sf_dir))
 
 
-def by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def by_grid(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
     """Per grid: buildings, roads and bridges, those affected, and kilometres by status."""
-    buildings = ex.building_summary(ex.building_exposure(load(spark, sf_dir, "buildings"), _flood(spark, sf_dir), CELL), ["grid_id"]).select("grid_id", F.col("total_count").alias("buildings"), F.col("affected_count").alias("affected_buildings"))
-    roads = ex.road_summary(_segments(spark, sf_dir), ["grid_id"]).drop("segments")
-    bridges = ex.bridge_summary(_bridges(spark, sf_dir), ["grid_id"]).withColumnRenamed("affected", "affected_bridges")
+    buildings = ex.building_summary(ex.building_exposure(load(spark, sf_dir, "buildings", **given), _flood(spark, sf_dir, **given), CELL), ["grid_id"]).select("grid_id", F.col("total_count").alias("buildings"), F.col("affected_count").alias("affected_buildings"))
+    roads = ex.road_summary(_segments(spark, sf_dir, **given), ["grid_id"]).drop("segments")
+    bridges = ex.bridge_summary(_bridges(spark, sf_dir, **given), ["grid_id"]).withColumnRenamed("affected", "affected_bridges")
     return buildings.join(roads, "grid_id", "full").join(bridges, "grid_id", "full")
 
 

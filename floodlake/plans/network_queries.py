@@ -9,8 +9,8 @@ from ..operators import network as nw
 from .fixtures import load, with_tables
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nw.road_edges(load(spark, sf_dir, "lattice"))
+def _edges(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+    return nw.road_edges(load(spark, sf_dir, "lattice", **given))
 
 
 def _name(n: str) -> Column:
@@ -57,8 +57,8 @@ def split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STARTS = "SELECT request_id, CAST(n_nationkey AS STRING) AS source_id, CAST(n_nationkey * 7 % 24 * 100 AS DOUBLE) AS x, CAST(n_nationkey * 5 % 24 * 100 AS DOUBLE) AS y FROM (SELECT DISTINCT request_id FROM {lattice}) q JOIN {nation} ON n_nationkey IN (0, 9, 18)"
 
 
-def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = spark.sql(_STARTS, nation=load(spark, sf_dir, "nation"), lattice=load(spark, sf_dir, "lattice"))
+def _starts(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+    s = spark.sql(_STARTS, nation=load(spark, sf_dir, "nation"), lattice=load(spark, sf_dir, "lattice", **given))
     return s.select("request_id", "source_id", nw.node(F.col("x"), F.col("y")).alias("node"))
 
 
@@ -67,8 +67,8 @@ def shortest_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(_name("node").alias("node"), F.round("time_s", 6).alias("time_s"))
 
 
-def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, starts = _edges(spark, sf_dir), _starts(spark, sf_dir)
+def _access(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+    edges, starts = _edges(spark, sf_dir, **given), _starts(spark, sf_dir, **given)
     before, after = nw.shortest_access(edges, starts), nw.shortest_access(nw.post_event_edges(edges), starts)
     nodes = edges.select("request_id", "dst").union(edges.select("request_id", "src")).distinct()
     homes = nodes.select("request_id", _name("dst").alias("feature_id"), F.lit(None).cast("string").alias("name"), F.col("dst").alias("node"))
@@ -79,8 +79,8 @@ def settlement_access(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _access(spark, sf_dir).select("feature_id", "status", F.round("before_time_s", 6).alias("before_time_s"), F.round("after_time_s", 6).alias("after_time_s"))
 
 
-def connectivity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nw.connectivity_summary(_access(spark, sf_dir))
+def connectivity_summary(spark: SparkSession, sf_dir: str, **given: DataFrame) -> DataFrame:
+    return nw.connectivity_summary(_access(spark, sf_dir, **given))
 
 
 def route_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
