@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import os
+import random
+
+import pyarrow as pa
 
 from compare import compare, connect
-from floodlake.operators import exposure
+from floodlake.operators import exposure, features
 from floodlake.plans import ORACLES, record_queries
 
 LARGER = "/root/testdata/sf0.01"
@@ -22,3 +25,28 @@ def test_report_works_on_the_grids_it_reports(spark, tmp_path, monkeypatch):
     report = record_queries.report_metrics(spark, str(tmp_path))
     assert compare(report, connect(str(tmp_path)), ORACLES["report_metrics"]) == ""
     assert [{r.grid_id for r in rows.select("grid_id").distinct().collect()} for rows in seen[0]] == [{1}, {1}]
+
+
+POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+
+def test_only_unsound_rings_are_taken_apart_alone(monkeypatch):
+    """A batch of rings comes out as if each went through ``loops``, but those that cross nothing don't."""
+    rng, real, alone = random.Random(7), features.loops, []
+    rings = [[(float(rng.randint(0, 9)), float(rng.randint(0, 9)) + rng.choice([0, rng.random()])) for _ in range(rng.choice([0, 1, 2, 3, 4, 4, 6, 70]))] for _ in range(600)]
+    squares = [[(i, 0.0), (i + 2.0, 0.0), (i + 2.0, 2.0), (i, 2.0)] for i in range(1000)]
+    monkeypatch.setattr(features, "loops", lambda ring: alone.append(ring) or real(ring))
+    kinds = ["polygon"] * 1600 + ["line", None, "point"]
+    given = [*rings, *squares, [(0.0, 0.0), (1.0, 1.0)], [(0.0, 0.0)], None]
+    shapes = [None if r is None else [{"x": x, "y": y} for x, y in r] for r in given]
+    parts, repaired = features._repaired(pa.array(kinds), pa.array(shapes, POINTS))
+    want = [real(r) if k == "polygon" else [r] if k and r else [] for k, r in zip(kinds, given, strict=True)]
+    assert [[[(p["x"], p["y"]) for p in ring] for ring in of] for of in parts.to_pylist()] == want
+    assert repaired.tolist() == [k == "polygon" and bool(r) and [len(x) for x in w] != [len(r)] for k, r, w in zip(kinds, given, want, strict=True)]
+    assert alone and not any(ring in squares for ring in alone)
+
+
+def test_drawn_shapes_are_dealt_out(spark):
+    """Work on each shape isn't left to the few tasks that read the tables."""
+    plan = record_queries.feature_extract(spark, LARGER)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression" in plan and plan.index("MapInArrow") < plan.index("RepartitionByExpression")
