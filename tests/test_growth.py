@@ -8,7 +8,7 @@ import random
 import pyarrow as pa
 
 from compare import compare, connect
-from floodlake.operators import exposure, features
+from floodlake.operators import exposure, features, regions
 from floodlake.plans import ORACLES, record_queries
 
 LARGER = "/root/testdata/sf0.01"
@@ -50,3 +50,24 @@ def test_drawn_shapes_are_dealt_out(spark):
     """Work on each shape isn't left to the few tasks that read the tables."""
     plan = record_queries.feature_extract(spark, LARGER)._jdf.queryExecution().toString()
     assert "RepartitionByExpression" in plan and plan.index("MapInArrow") < plan.index("RepartitionByExpression")
+
+
+def test_rings_are_chained_inside_squares(spark, monkeypatch):
+    """Squares of any size give the same rings; rings inside one square need no rounds over their edges."""
+    rng = random.Random(11)
+    cells = [(g, y, x) for g in (0, 1) for y in range(24) for x in range(24) if rng.random() < 0.6 or y in (3, 20) or x in (3, 20)]
+    edges = regions.boundary_edges(regions.label_regions(spark.createDataFrame(cells, "grid_id int, y int, x int"), 24, 9)).cache()
+    rounds, real = [], regions.checkpointed
+    monkeypatch.setattr(regions, "checkpointed", lambda df: rounds.append("next" in df.columns and "same" in df.columns) or real(df))
+    found = []
+    for block in (2, 5, 24, 512):
+        rounds.clear()
+        found.append({(r.grid_id, r.region, r.ring): [(p.x, p.y) for p in r.points] for r in regions.region_rings(edges, block).collect()})
+        assert sum(rounds) > 3 if block == 2 else sum(rounds) <= 1 if block == 512 else True
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) > 20 and max(map(len, found[0].values())) > 100
+    ends = set()
+    for (grid, region, _), points in found[0].items():
+        for (x1, y1), (x2, y2) in zip(points, points[1:] + points[:1], strict=True):
+            n = abs(x2 - x1) + abs(y2 - y1)
+            ends |= {(grid, region, x1 + (x2 - x1) // n * i, y1 + (y2 - y1) // n * i, x1 + (x2 - x1) // n * (i + 1), y1 + (y2 - y1) // n * (i + 1)) for i in range(n)}
+    assert ends == {tuple(r) for r in edges.select("grid_id", "region", "x1", "y1", "x2", "y2").collect()}
