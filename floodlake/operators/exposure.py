@@ -20,6 +20,8 @@ from .overlay import area, cell_areas, trapezoids
 SHORT = 1e-6
 # Fixed value: what a layer of impacts claims.
 CLAIM = "potential exposure, not confirmed damage"
+#: Columns of a feature's box.
+BOX = ["xmin", "ymin", "xmax", "ymax"]
 #: Sides of a quarter of the round ends of corridors.
 QUARTER = 16
 
@@ -30,6 +32,11 @@ def _span(low: Column, high: Column, size: float) -> Column:
     return F.sequence(first, F.greatest(first, F.ceil(high / size).cast("int") - 1))
 
 
+def _dealt(features: DataFrame) -> DataFrame:
+    """Features dealt out by their keys: each makes many rows of cells, and few files hold many features."""
+    return features.repartition("grid_id", "feature_id")
+
+
 def touched_cells(features: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     """``features`` with xmin..ymax, once for each cell (cy, cx) of the box widened by ``margin``."""
     m = F.lit(margin)
@@ -65,16 +72,18 @@ def _wet(flood: DataFrame) -> DataFrame:
 
 def hazard_candidates(features: DataFrame, flood: DataFrame, size: float) -> DataFrame:
     """Features whose box meets a wet cell."""
-    ids = touched_cells(features, size).join(_wet(flood), ["grid_id", "cy", "cx"], "left_semi").select("grid_id", "feature_id").distinct()
+    ids = touched_cells(_dealt(features.select("grid_id", "feature_id", *BOX)), size).select("grid_id", "feature_id", "cy", "cx").join(_wet(flood), ["grid_id", "cy", "cx"], "left_semi").select("grid_id", "feature_id").distinct()
     return features.join(ids, ["grid_id", "feature_id"], "left_semi")
 
 
 def building_exposure(buildings: DataFrame, flood: DataFrame, size: float, policy: Policy = DEFAULT) -> DataFrame:
     """Footprint and flooded area of rectangular buildings, the flooded share, and whether it makes them affected."""
-    hit = touched_cells(buildings, size).join(_wet(flood), ["grid_id", "cy", "cx"])
+    # Only an area goes on with each cell.
+    met = touched_cells(_dealt(buildings.select("grid_id", "feature_id", *BOX)), size)
     wide = F.least(F.col("xmax"), (F.col("cx") + 1) * size) - F.greatest(F.col("xmin"), F.col("cx") * size)
     high = F.least(F.col("ymax"), (F.col("cy") + 1) * size) - F.greatest(F.col("ymin"), F.col("cy") * size)
-    wet = hit.groupBy("grid_id", "feature_id").agg(F.sum(F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))).alias("overlap_m2"))
+    met = met.select("grid_id", "feature_id", "cy", "cx", (F.greatest(wide, F.lit(0.0)) * F.greatest(high, F.lit(0.0))).alias("m2"))
+    wet = met.join(_wet(flood), ["grid_id", "cy", "cx"]).groupBy("grid_id", "feature_id").agg(F.sum("m2").alias("overlap_m2"))
     out = buildings.join(wet, ["grid_id", "feature_id"], "left").withColumn("overlap_m2", F.coalesce("overlap_m2", F.lit(0.0)))
     area = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
     out = out.withColumn("footprint_m2", area).withColumn("fraction", F.when(area > 0, F.col("overlap_m2") / area).otherwise(F.lit(0.0)))
@@ -124,7 +133,7 @@ def road_segments(roads: DataFrame, flood: DataFrame, size: float, policy: Polic
     length = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
     boxed = roads.withColumn("length", length)
     t0, t1 = _inside(size)
-    crossed = crossed_cells(boxed, size).withColumns({"t0": t0, "t1": t1}).where("t1 > t0")
+    crossed = crossed_cells(_dealt(boxed.select(*keys, "length", "x1", "y1", "x2", "y2")), size).withColumns({"t0": t0, "t1": t1}).where("t1 > t0").select(*keys, "length", "cy", "cx", "t0", "t1")
     known = flood.where("mask IS NOT NULL").select("grid_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "mask")
     crossed = crossed.join(known, ["grid_id", "cy", "cx"], "left").select(*keys, "length", "t0", "t1", "mask")
     order = Window.partitionBy(*keys).orderBy("t0", "t1")
@@ -208,7 +217,7 @@ def bridge_exposure(bridges: DataFrame, flood: DataFrame, size: float, policy: P
     blocks, the share reaches ``bridge_overlap_fraction``.
     """
     keys = ["grid_id", "feature_id"]
-    hit = crossed_cells(bridges, size, policy.bridge_buffer_m).join(_wet(flood), ["grid_id", "cy", "cx"])
+    hit = crossed_cells(_dealt(bridges.select(*keys, "x1", "y1", "x2", "y2")), size, policy.bridge_buffer_m).join(_wet(flood), ["grid_id", "cy", "cx"])
     t0, t1 = _inside(size)
     corners = [_point_to_segment((F.col("cx") + i) * size, (F.col("cy") + j) * size) for i in (0, 1) for j in (0, 1)]
     to_cell = lambda x, y: F.hypot(F.greatest(F.col("cx") * size - x, F.lit(0.0), x - (F.col("cx") + 1) * size), F.greatest(F.col("cy") * size - y, F.lit(0.0), y - (F.col("cy") + 1) * size))

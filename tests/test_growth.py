@@ -71,3 +71,20 @@ def test_rings_are_chained_inside_squares(spark, monkeypatch):
             n = abs(x2 - x1) + abs(y2 - y1)
             ends |= {(grid, region, x1 + (x2 - x1) // n * i, y1 + (y2 - y1) // n * i, x1 + (x2 - x1) // n * (i + 1), y1 + (y2 - y1) // n * (i + 1)) for i in range(n)}
     assert ends == {tuple(r) for r in edges.select("grid_id", "region", "x1", "y1", "x2", "y2").collect()}
+
+
+def test_features_are_dealt_out_before_they_make_cells(spark):
+    """No task makes the cells of all the features that one file holds."""
+    box = "grid_id int, feature_id string, xmin double, ymin double, xmax double, ymax double"
+    built = spark.createDataFrame([(0, str(i), i * 3.0, 1.0, i * 3.0 + 25, 19.0) for i in range(40)], box)
+    flood = spark.createDataFrame([(0, y, x, (x + y) % 2) for y in range(3) for x in range(20)], "grid_id int, y int, x int, mask int")
+    exposed = exposure.building_exposure(built, flood, 10.0)
+    for plan in (exposed, exposure.hazard_candidates(built, flood, 10.0)):
+        said = plan._jdf.queryExecution().toString().partition("== Optimized Logical Plan ==")[2]
+        lines = said.partition("== Physical Plan ==")[0].splitlines()
+        makes = [i for i, line in enumerate(lines) if "Generate explode" in line]
+        assert makes and "RepartitionByExpression" in "".join(lines[max(makes) : max(makes) + 4])
+    wet = [(10.0 * x, 10.0 * y) for y in range(3) for x in range(20) if (x + y) % 2]
+    for r in exposed.collect():
+        want = sum(max(0.0, min(r.xmax, x + 10) - max(r.xmin, x)) * max(0.0, min(r.ymax, y + 10) - max(r.ymin, y)) for x, y in wet)
+        assert r.overlap_m2 == want and r.footprint_m2 == 450.0
