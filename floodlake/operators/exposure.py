@@ -67,7 +67,8 @@ def crossed_cells(lines: DataFrame, size: float, margin: float = 0.0) -> DataFra
 
 
 def _wet(flood: DataFrame) -> DataFrame:
-    return flood.where("mask = 1").select("grid_id", F.col("y").alias("cy"), F.col("x").alias("cx"))
+    """Keys of wet cells, to be merged with cells of features: Spark guesses those as small as the features, and would broadcast them."""
+    return flood.where("mask = 1").select("grid_id", F.col("y").alias("cy"), F.col("x").alias("cx")).hint("merge")
 
 
 def hazard_candidates(features: DataFrame, flood: DataFrame, size: float) -> DataFrame:

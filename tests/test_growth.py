@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pyarrow as pa
+import pytest
 
 from compare import compare, connect
 from floodlake.operators import exposure, features, regions
@@ -88,3 +90,18 @@ def test_features_are_dealt_out_before_they_make_cells(spark):
     for r in exposed.collect():
         want = sum(max(0.0, min(r.xmax, x + 10) - max(r.xmin, x)) * max(0.0, min(r.ymax, y + 10) - max(r.ymin, y)) for x, y in wet)
         assert r.overlap_m2 == want and r.footprint_m2 == 450.0
+
+
+def test_cells_of_features_are_never_broadcast(spark):
+    """One wide building and one long bridge make many cells, however few bytes Spark takes them for."""
+    built = spark.sql("SELECT * FROM VALUES (0, 'b', 0D, 0D, 3000D, 2000D) AS t(grid_id, feature_id, xmin, ymin, xmax, ymax)")
+    bridges = spark.sql("SELECT * FROM VALUES (0, 'g', 5D, 5D, 4005D, 3005D) AS t(grid_id, feature_id, x1, y1, x2, y2)")
+    edges = spark.sql("SELECT * FROM VALUES (0, 's', 0D, 0D, 70D, 0D), (0, 's', 70D, 0D, 0D, 90D), (0, 's', 0D, 90D, 0D, 0D) AS t(grid_id, feature_id, x1, y1, x2, y2)")
+    flood = spark.sql("SELECT CAST(id % 1 AS INT) AS grid_id, CAST(id DIV 56 * 7 AS INT) AS y, CAST(id % 56 * 9 AS INT) AS x, CAST((id DIV 56 * 7 + id % 56 * 9) % 2 AS INT) AS mask FROM range(58 * 56)")
+    exposed, crossing = exposure.building_exposure(built, flood, 10.0), exposure.bridge_exposure(bridges, flood, 10.0)
+    for df in (exposed, crossing, exposure.impact_features(exposed, crossing), exposure.hazard_candidates(built, flood, 10.0), exposure.shape_exposure(edges, flood, 10.0)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"SortMergeJoin \[grid_id#\d+, cy#\d+, cx#\d+\]", plan) and not re.search(r"HashJoin \[grid_id#\d+, cy#\d+, cx#\d+\]", plan)
+    wet = sum((y + x) % 2 for y in range(0, 200, 7) for x in range(0, 300, 9))
+    got = {r.kind: r for r in exposure.impact_features(exposed, crossing).collect()}
+    assert got["building"].overlap_fraction == pytest.approx(wet / 60_000) and got["bridge"].classification == "AFFECTED"
