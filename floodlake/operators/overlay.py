@@ -29,6 +29,8 @@ SIDES = ["y0", "y1", "l0", "l1", "r0", "r1"]
 LINE = ["x1", "y1", "x2", "y2", "low", "high"]
 #: Edges that a task sweeps at once (more if they are of one group), and pairs of edges that it compares at once.
 EDGES, PAIRS = 50_000, 1_000_000
+#: Share of a polygon's area, or part of a line's edge, up to which what lies beyond counts as none.
+NONE_BEYOND = 1e-9
 
 
 def ring_edges(shapes: DataFrame, keys: Sequence[str], rings: str = "rings") -> DataFrame:
@@ -339,14 +341,14 @@ def clip_features(features: DataFrame, parts: DataFrame, on: Sequence[str], heig
     cut = intersection(own, parts, on, width)
     sizes = own.groupBy(*keys).agg(F.sum(area()).alias("whole"))
     polygons = cut.groupBy(*keys).agg(F.collect_list(outline().cast(shape)).alias("left"), F.sum(area()).alias("held")).join(sizes, keys)
-    polygons = polygons.select(*keys, "left", (F.col("held") < F.col("whole") * (1 - 1e-12)).alias("beyond"))
+    polygons = polygons.select(*keys, "left", (F.col("held") < F.col("whole") * (1 - NONE_BEYOND)).alias("beyond"))
     # Lines: edges one by one, in order.
     line = rows.where("kind = 'line'").select(*keys, F.posexplode(F.flatten(F.transform("parts", lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 2, F.lit(0))), lambda i: F.struct(F.get(p, i).alias("a"), F.get(p, i + 1).alias("b")))))).alias("at", "e")).where("e.b IS NOT NULL")
     line = line.select(*keys, "at", *[F.col(f"e.{e}.{c}").cast("double").alias(f"{c}{n}") for e, n in (("a", "1"), ("b", "2")) for c in "xy"])
     inside = clip_lines(line, parts, [*keys, "at"], on, height, width).join(line, [*keys, "at"])
     move = lambda t: point(F.col("x1") + (F.col("x2") - F.col("x1")) * F.col(t), F.col("y1") + (F.col("y2") - F.col("y1")) * F.col(t))
     stretches = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "t0", F.array(move("t0"), move("t1")).alias("line")))).alias("s"), F.sum(F.col("t1") - F.col("t0")).alias("held"))
-    lines = stretches.join(line.groupBy(*keys).agg(F.count("*").alias("whole")), keys).select(*keys, F.transform("s", lambda s: s["line"]).cast(f"array<{shape}>").alias("left"), (F.col("held") < F.col("whole") - 1e-9).alias("beyond"))
+    lines = stretches.join(line.groupBy(*keys).agg(F.count("*").alias("whole")), keys).select(*keys, F.transform("s", lambda s: s["line"]).cast(f"array<{shape}>").alias("left"), (F.col("held") < F.col("whole") - NONE_BEYOND).alias("beyond"))
     # Points.
     spots = rows.where("kind = 'point'").select(*keys, F.posexplode("parts").alias("at", "p")).select(*keys, "at", F.get("p", 0)["x"].cast("double").alias("x"), F.get("p", 0)["y"].cast("double").alias("y"))
     kept = points_inside(spots, parts, [*keys, "at"], on, height, width).join(spots, [*keys, "at"])
