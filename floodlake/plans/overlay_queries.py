@@ -75,9 +75,16 @@ def _drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.unionByName(row(roads, "line", F.array(F.array(at("x1", "y1"), at("x2", "y2"))))).unionByName(row(places, "point", F.array(F.array(at("x", "y")))))
 
 
+def _borders(requests: DataFrame) -> DataFrame:
+    """``_BORDERS`` of each request, all edges in one pass: a pass for each edge would fill the driver with plans."""
+    ends = [(*a, *b) for ring in (_BAND, _POND) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+    edges = F.array(*[F.struct(*[F.lit(float(v)).alias(c) for c, v in zip(("x1", "y1", "x2", "y2"), e, strict=True)]) for e in ends])
+    return requests.select("request_id", F.explode(edges).alias("e")).select("request_id", "e.*")
+
+
 def clip_to_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = _drawn(spark, sf_dir)
-    borders = _edges(spark, _BORDERS, grids=drawn.select(F.col("request_id").alias("grid_id")).distinct())
+    borders = _borders(drawn.select("request_id").distinct())
     out = ov.clip_features(drawn, ov.trapezoids(borders, ["request_id"], 50.0), ["request_id"], 50.0, 50.0)
     total = lambda f: F.aggregate("parts", F.lit(0.0), lambda s, p: s + f(p))
     size = F.when(F.col("kind") == "polygon", total(ft.ring_area)).when(F.col("kind") == "line", total(ft.line_length)).otherwise(F.size("parts").cast("double"))
