@@ -224,14 +224,15 @@ def intersection(left: DataFrame, right: DataFrame, on: Sequence[str], width: fl
 
     Both sides' trapezoids are of slabs equally high; those of equal ``on`` and
     slab meet in buckets ``width`` wide, a pair just in the bucket where the
-    later of them begins.
+    later of them begins.  They are merged: Spark takes what was dealt to
+    buckets for as small as the shapes, and would broadcast it.
     """
     def dealt(parts: DataFrame, mark: str) -> DataFrame:
         first, last = F.floor(F.least("l0", "l1") / width), F.floor(F.greatest("r0", "r1") / width)
         named = parts.select(*[F.col(c).alias(c if c in (*on, "slab") or c not in SIDES else f"{mark}{c}") for c in parts.columns], first.alias(f"{mark}first"), F.explode(F.sequence(first, last)).alias("bucket"))
         return named
 
-    both = dealt(left, "a_").join(dealt(right, "b_"), [*on, "slab", "bucket"]).where(F.col("bucket") == F.greatest("a_first", "b_first"))
+    both = dealt(left, "a_").join(dealt(right, "b_").hint("merge"), [*on, "slab", "bucket"]).where(F.col("bucket") == F.greatest("a_first", "b_first"))
     apart = lambda p, q: F.least(f"{p}_l0", f"{p}_l1") >= F.greatest(f"{q}_r0", f"{q}_r1")
     both = both.where((F.greatest("a_y0", "b_y0") < F.least("a_y1", "b_y1")) & ~apart("a", "b") & ~apart("b", "a"))
     sides = [f"{p}_{c}" for p in "ab" for c in SIDES]
@@ -259,7 +260,7 @@ def clip_lines(lines: DataFrame, parts: DataFrame, keys: Sequence[str], on: Sequ
     named = parts.select(*on, "slab", *[F.col(c).alias(f"b_{c}") for c in SIDES], F.explode(F.sequence(F.floor(F.least("l0", "l1") / width), F.floor(F.greatest("r0", "r1") / width))).alias("bucket"))
     # A level line on the border of two slabs asks the lower one, too.
     border = F.when((F.col("y1") == F.col("y2")) & (F.col("y1") == F.col("slab") * height), F.array(F.col("slab"), F.col("slab") - 1)).otherwise(F.array("slab"))
-    both = dealt.withColumn("slab", F.explode(border)).join(named, [*on, "slab", "bucket"])
+    both = dealt.withColumn("slab", F.explode(border)).join(named.hint("merge"), [*on, "slab", "bucket"])
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     b0, b1 = F.col("b_y0"), F.col("b_y1")
     # Depth inside each of the four sides is even along the line: from f0 at its begin to f1 at its end.
@@ -285,7 +286,7 @@ def points_inside(points: DataFrame, parts: DataFrame, keys: Sequence[str], on:
     # A point on the border of two slabs may touch the lower one only.
     border = F.when(F.col("y") == F.col("slab") * height, F.array(F.col("slab"), F.col("slab") - 1)).otherwise(F.array("slab"))
     named = parts.select(*on, "slab", *[F.col(c).alias(f"b_{c}") for c in SIDES], F.explode(F.sequence(F.floor(F.least("l0", "l1") / width), F.floor(F.greatest("r0", "r1") / width))).alias("bucket"))
-    both = dealt.withColumn("slab", F.explode(border)).join(named, [*on, "slab", "bucket"])
+    both = dealt.withColumn("slab", F.explode(border)).join(named.hint("merge"), [*on, "slab", "bucket"])
     at = lambda end: F.col(f"b_{end}0") + (F.col(f"b_{end}1") - F.col(f"b_{end}0")) * (F.col("y") - F.col("b_y0")) / (F.col("b_y1") - F.col("b_y0"))
     return both.where((F.col("y") >= F.col("b_y0")) & (F.col("y") <= F.col("b_y1")) & (F.col("x") >= at("l")) & (F.col("x") <= at("r"))).select(*keys).distinct()
 
@@ -345,13 +346,13 @@ def clip_features(features: DataFrame, parts: DataFrame, on: Sequence[str], heig
     # Lines: edges one by one, in order.
     line = rows.where("kind = 'line'").select(*keys, F.posexplode(F.flatten(F.transform("parts", lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 2, F.lit(0))), lambda i: F.struct(F.get(p, i).alias("a"), F.get(p, i + 1).alias("b")))))).alias("at", "e")).where("e.b IS NOT NULL")
     line = line.select(*keys, "at", *[F.col(f"e.{e}.{c}").cast("double").alias(f"{c}{n}") for e, n in (("a", "1"), ("b", "2")) for c in "xy"])
-    inside = clip_lines(line, parts, [*keys, "at"], on, height, width).join(line, [*keys, "at"])
+    inside = clip_lines(line, parts, [*keys, "at"], on, height, width).join(line.hint("merge"), [*keys, "at"])
     move = lambda t: point(F.col("x1") + (F.col("x2") - F.col("x1")) * F.col(t), F.col("y1") + (F.col("y2") - F.col("y1")) * F.col(t))
     stretches = inside.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "t0", F.array(move("t0"), move("t1")).alias("line")))).alias("s"), F.sum(F.col("t1") - F.col("t0")).alias("held"))
     lines = stretches.join(line.groupBy(*keys).agg(F.count("*").alias("whole")), keys).select(*keys, F.transform("s", lambda s: s["line"]).cast(f"array<{shape}>").alias("left"), (F.col("held") < F.col("whole") - NONE_BEYOND).alias("beyond"))
     # Points.
     spots = rows.where("kind = 'point'").select(*keys, F.posexplode("parts").alias("at", "p")).select(*keys, "at", F.get("p", 0)["x"].cast("double").alias("x"), F.get("p", 0)["y"].cast("double").alias("y"))
-    kept = points_inside(spots, parts, [*keys, "at"], on, height, width).join(spots, [*keys, "at"])
+    kept = points_inside(spots, parts, [*keys, "at"], on, height, width).join(spots.hint("merge"), [*keys, "at"])
     points = kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.array(point(F.col("x"), F.col("y"))))).alias("left")).join(spots.groupBy(*keys).agg(F.count("*").alias("whole")), keys)
     points = points.select(*keys, F.col("left").cast(f"array<{shape}>").alias("left"), (F.size("left") < F.col("whole")).alias("beyond"))
     found = polygons.select(*keys, F.col("left").cast(f"array<{shape}>").alias("left"), "beyond").unionByName(lines).unionByName(points)
